@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, mixing, sharding
+from . import bpe, fingerprints, mixing, sharding, toxicity
+from .jaccard_join import jaccard_components
+from .quality_rules import quality
 from .shared import table, words_of
 from .substring_dedup import remove_repeats
 
@@ -24,6 +26,12 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    base = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), (~base & ~F.col("rejected")).alias("kept"))
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     docs = table(spark, sf_dir, "documents").select("doc_id", (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
@@ -31,17 +39,48 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
+def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    n, half = F.char_length("text"), F.floor(F.char_length("text") / 2).cast("int")
+    rows = fingerprints.with_next(docs, "text")
+    edited = F.concat(F.substring("text", F.lit(1), n - half), F.substring("next", F.lit(1), half))
+    rows = rows.select("doc_id", n.cast("long").alias("n_chars"), "text", "next", edited.alias("edited"))
+    rows = rows.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), *(fingerprints.sketch(F.col(c)).alias(f"_{c}") for c in ("text", "edited", "next")))
+    own, new, after = F.col("_text"), F.col("_edited"), F.col("_next")
+    return rows.select(
+        "doc_id", "n_chars", "edited_sha256", fingerprints.as_text(own).alias("fingerprint"), fingerprints.as_text(new).alias("edited_fingerprint"),
+        fingerprints.likeness(own, new).alias("near_edited"), fingerprints.likeness(own, after).alias("near_next"),
+        fingerprints.containment(own, new).alias("in_edited"), fingerprints.containment(own, after).alias("in_next"),
+    )
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", F.size(words_of(F.col("text"))).cast("long").alias("size"))
     out = mixing.mix(docs)
     return out.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents"), n=4, percent=85)
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held = (F.crc32(F.col("doc_id").cast("string")) % 5 == 0).alias("held_out")
+    labels = table(spark, sf_dir, "labels").where(F.crc32(F.col("doc_id").cast("string")) % 5 != 0)
+    out = toxicity.score(docs, toxicity.fit(docs, labels))
+    return out.select("doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_substring_dedup": op2_substring_dedup,
+    "op3_quality_rules": op3_quality_rules,
     "op5_sharding": op5_sharding,
+    "op6_fingerprints": op6_fingerprints,
     "op7_mixing": op7_mixing,
+    "op9_ngram_jaccard": op9_ngram_jaccard,
+    "op10_toxicity": op10_toxicity,
 }
 
 _DRAWS = ", ".join(f"ln((('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), 'null') || '/{i}'), 1, 13))::BIGINT + 0.5) / 4503599627370496.0)" for i in range(25))
