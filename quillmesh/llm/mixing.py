@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .shared import stage
+
 
 def coin(key: Column, seed: str) -> Column:
     """Uniform in 0 to 1, decided by key and seed; null is a key like any other."""
@@ -56,7 +58,8 @@ def mix(sized: DataFrame, most: int = 3, seed: str = "mix") -> DataFrame:
     """
     sized = sized.drop("source_size", "target", "copies")
     sums = sized.groupBy("source").agg(F.coalesce(F.sum("size"), F.lit(0)).cast("long").alias("source_size"))
-    plan = targets(cyclic_weights(sums), most).withColumnRenamed("source", "_qm_source").drop("weight")
+    # written, so that its size is known when the join is planned, and documents are not shuffled if it is small
+    plan = stage(targets(cyclic_weights(sums), most).withColumnRenamed("source", "_qm_source").drop("weight"), "plan")
     joined = sized.join(plan, F.col("source").eqNullSafe(F.col("_qm_source"))).drop("_qm_source")
     whole = F.floor("rate")
     more = (coin(F.col("doc_id"), seed) < F.col("rate") - whole).cast("long")
