@@ -17,6 +17,11 @@ _SCHEME = r"^[A-Za-z][A-Za-z0-9+.\-]*:"
 LINE_END = "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
 
 
+def once(value: Column, use) -> Column:
+    """use(value), with value computed once a row even if it is used many times."""
+    return F.transform(F.array(value), use)[0]
+
+
 def trim(value: Column) -> Column:
     return F.regexp_replace(value, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
 

@@ -37,9 +37,11 @@ def frontmatter(files: DataFrame) -> DataFrame:
     def entry(line: Column, i: Column) -> Column:
         return F.struct(fn.trim(F.substring_index(line, ":", 1)).alias("key"), (i + 2).alias("line"), fn.unquote_value(F.substring(line, F.instr(line, ":") + 1, F.length(line))).alias("value"), (~line.startswith("#") & line.contains(":")).alias("kept"))
 
+    def last_of_keys(found: Column) -> Column:
+        return F.filter(found, lambda e, i: ~F.exists(F.slice(found, i + 2, F.size(found)), lambda o: o["key"] == e["key"]))
+
     found = F.filter(F.transform(head, entry), lambda e: e["kept"])
-    last = F.filter(found, lambda e, i: F.size(F.filter(F.slice(found, i + 2, F.size(found)), lambda o: o["key"] == e["key"])) == 0)
-    entries = F.transform(last, lambda e: F.struct(e["key"].alias("key"), e["line"].alias("line"), e["value"].alias("value")))
+    entries = F.transform(fn.once(found, last_of_keys), lambda e: F.struct(e["key"].alias("key"), e["line"].alias("line"), e["value"].alias("value")))
     return rows.select("path", status.alias("status"), F.when(status == "ok", entries).otherwise(F.array().cast("array<struct<key:string,line:int,value:string>>")).alias("entries"))
 
 
