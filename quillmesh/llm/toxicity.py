@@ -30,6 +30,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .shared import stage
+
 ORDER, DISCOUNT, WINDOWS, FOLDS = 6, 0.75, (1, 4), 4
 _TOKEN = re.compile(r"[^\W_]+")
 TOKEN_SQL = r"(?U)[^\W_]+"
@@ -144,7 +146,7 @@ def fit_curve(inputs: np.ndarray, labels: np.ndarray, weights: np.ndarray, steps
     return b.tolist()
 
 
-def fit(docs: DataFrame, labels: DataFrame, rows: int = 10_000, grams: int = 400_000) -> Spelling:
+def fit(docs: DataFrame, labels: DataFrame, rows: int = 10_000, grams: int = 250_000) -> Spelling:
     """docs(doc_id, text) and labels(doc_id, toxic), of learning rows only."""
     marked = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max((F.col("toxic") > 0).cast("int")).alias("toxic"))
     marked = marked.withColumn("_qm_turn", F.xxhash64(F.lit("toxicity"), "doc_id"))
@@ -153,8 +155,10 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = 10_000, grams: int = 400
         own = marked.where(F.col("toxic") == label)
         share[label] = own.count()
         kept.append(own.orderBy("_qm_turn").limit(rows))
-    sample = kept[0].unionByName(kept[1]).withColumn("fold", F.pmod(F.col("_qm_turn"), F.lit(FOLDS)).cast("int")).cache()
-    chosen = docs.select("doc_id", F.lower(F.coalesce("text", F.lit(""))).alias("text")).join(sample, "doc_id").select("toxic", "fold", "text")
+    sample = kept[0].unionByName(kept[1]).withColumn("fold", F.pmod(F.col("_qm_turn"), F.lit(FOLDS)).cast("int"))
+    # the sample has 2 * rows short rows at most, so every executor can hold it
+    texts = docs.select("doc_id", F.lower(F.coalesce("text", F.lit(""))).alias("text"))
+    chosen = stage(texts.join(F.broadcast(sample.select("doc_id", "toxic", "fold")), "doc_id").select("toxic", "fold", "text"), "labelled")
     cells = [((F.col("fold") == k) & (F.col("toxic") == y), f"n{k}_{y}") for k in range(FOLDS) for y in (1, 0)]
     words = chosen.select("toxic", "fold", F.explode(F.regexp_extract_all("text", F.lit(TOKEN_SQL), F.lit(0))).alias("word"))
     words = words.groupBy("word").agg(*(F.count_if(c).alias(name) for c, name in cells))
@@ -162,26 +166,29 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = 10_000, grams: int = 400
     cut = F.transform(F.sequence(F.lit(2), F.length("word") + 2), lambda i: F.substring(spelt, F.greatest(F.lit(1), i - ORDER + 1), F.least(i, F.lit(ORDER))))
     names = [name for _, name in cells]
     counted = words.select(F.explode(cut).alias("gram"), *names).groupBy("gram").agg(*(F.sum(n).alias(n) for n in names))
-    top = counted.orderBy(F.desc(sum(F.col(n) for n in names)), "gram").limit(grams).toPandas()
-    spellings = top["gram"].tolist()
-    n = top[names].to_numpy(np.int64).reshape(len(top), FOLDS, 2)
-
+    top = counted.orderBy(F.desc(sum(F.col(n) for n in names)), "gram").limit(grams).toArrow()
+    spellings = top["gram"].to_pylist()
+    n = np.stack([top[c].to_numpy() for c in names], 1).reshape(len(spellings), FOLDS, 2)
+    del top
     below = shared_backoff(list(zip(spellings, n.sum((1, 2)).tolist(), strict=True)))
 
     def without(fold: int | None) -> Spelling:
         left = n.sum(1) - (n[:, fold] if fold is not None else 0)
         return spelling_model([(g, t, o) for g, (t, o) in zip(spellings, left.tolist(), strict=True) if t or o], below)
 
-    sent = docs.sparkSession.sparkContext.broadcast([without(k) for k in range(FOLDS)])
+    def inputs_of(fold: int) -> pa.Table:
+        sent = docs.sparkSession.sparkContext.broadcast(without(fold))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            got = [sent.value[k].inputs(t) for k, t in zip(b.column("fold").to_pylist(), b.column("text").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column("toxic"), pa.array(got, pa.list_(pa.float64()))], names=["toxic", "inputs"])
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                got = [sent.value.inputs(t) for t in b.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([b.column("toxic"), pa.array(got, pa.list_(pa.float64()))], names=["toxic", "inputs"])
+
+        out = chosen.where(F.col("fold") == fold).mapInArrow(run, "toxic int, inputs array<double>").toArrow()
+        sent.destroy()
+        return out
 
-    seen = chosen.mapInArrow(run, "toxic int, inputs array<double>").toPandas()
-    sent.unpersist()
-    sample.unpersist()
+    seen = pa.concat_tables([inputs_of(k) for k in range(FOLDS)]).to_pandas()
     model = without(None)
     y = seen["toxic"].to_numpy(float)
     seen_of = {label: max(1, min(rows, share[label])) for label in (0, 1)}
