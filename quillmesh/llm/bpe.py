@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .shared import batches_of
+from .shared import batches_of, lean
 
 #: What the tokenizer file calls white space, less the three that ``str.split`` adds.
 _EXTRA_SPACE = re.compile("[\x1c-\x1f]")
@@ -166,6 +166,11 @@ def default_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def _forget() -> None:
+    for encoder in _LOADED.values():
+        encoder.known.clear()
+
+
 def _apply(docs: DataFrame, column: str, added: list[tuple[str, T.DataType]], make) -> DataFrame:
     names = {n for n, _ in added}
     docs = docs.select(*[c for c in docs.columns if c not in names or c == column])
@@ -179,7 +184,7 @@ def _apply(docs: DataFrame, column: str, added: list[tuple[str, T.DataType]], ma
                 made = zip(*map(make, rows.column(column).to_pylist()), strict=True)
                 yield pa.RecordBatch.from_arrays([*(rows.column(f.name) for f in carried), *(pa.array(m, k) for m, k in zip(made, kinds, strict=True))], names=schema.names)
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(lean(run, _forget), schema)
 
 
 def encode(docs: DataFrame, path: str | None = None, column: str = "text") -> DataFrame:

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .chunks import BUCKET, CHUNK, Chunks, code_of, slices
 from .components import connected_components
-from .shared import batches_of, hash_words, rolling, stage
+from .shared import batches_of, hash_words, lean, lean_group, lean_pair, rolling, stage
 
 #: N-grams of a block that one task multiplies.
 TILE = 3_000_000
@@ -52,7 +52,7 @@ def _signatures(docs: DataFrame, n: int) -> DataFrame:
                 marks = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
                 yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column(CHUNK), pa.array(map(len, sets), pa.int64()), pa.array(marks, pa.binary())], names=["doc_id", CHUNK, "n_shingles", "mark"])
 
-    return docs.mapInArrow(run, f"doc_id long, {CHUNK} int, n_shingles long, mark binary")
+    return docs.mapInArrow(lean(run), f"doc_id long, {CHUNK} int, n_shingles long, mark binary")
 
 
 def _own(rows: pa.Table, keep: pa.Table, n: int) -> tuple[list[int], list[np.ndarray]]:
@@ -199,10 +199,10 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, tile: int
         kinds = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary()]
         return pa.table([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["doc_id", "size", "prefix", "grams"])
 
-    sent = chunks.grouped().cogroup(firsts.groupBy(CHUNK)).applyInArrow(send, f"{BUCKET} int, {CHUNK} int, keys binary, many binary")
-    counted = sent.groupBy(BUCKET).applyInArrow(count, f"{CHUNK} int, {BUCKET} int, levels binary")
+    sent = chunks.grouped().cogroup(firsts.groupBy(CHUNK)).applyInArrow(lean_pair(send), f"{BUCKET} int, {CHUNK} int, keys binary, many binary")
+    counted = sent.groupBy(BUCKET).applyInArrow(lean_group(count), f"{CHUNK} int, {BUCKET} int, levels binary")
     told = counted.unionByName(firsts, allowMissingColumns=True)
-    alive = stage(chunks.grouped().cogroup(told.groupBy(CHUNK)).applyInArrow(prune, "doc_id long, size long, prefix array<long>, grams binary"), "alive")
+    alive = stage(chunks.grouped().cogroup(told.groupBy(CHUNK)).applyInArrow(lean_pair(prune), "doc_id long, size long, prefix array<long>, grams binary"), "alive")
 
     entries = alive.select("doc_id", F.explode("prefix").alias("gram"))
     leads = entries.groupBy("gram").agg(F.min("doc_id").alias("lead"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
@@ -222,7 +222,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, tile: int
     bins = max(1, -(-4 * total // tile))
     dealt = small.unionByName(tiled).withColumn("_qm_bin", F.when(F.col("right") + F.col("left") == 0, F.pmod(F.xxhash64("class"), F.lit(bins))).otherwise(F.xxhash64("class", "left", "right")))
     blocks = dealt.join(alive.select("doc_id", "grams"), "doc_id").select("_qm_bin", "doc_id", "class", "grams")
-    links = blocks.groupBy("_qm_bin").applyInArrow(_multiply(percent), "a long, b long")
+    links = blocks.groupBy("_qm_bin").applyInArrow(lean_group(_multiply(percent)), "a long, b long")
     linked = connected_components(links).withColumnsRenamed({"node": "_qm_node"})
 
     first = groups.join(linked, F.col("doc_id") == F.col("_qm_node"), "left").select(F.col("mark").alias("_qm_mark"), F.coalesce("component", "doc_id").alias("_qm_component"))

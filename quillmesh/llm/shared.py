@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -83,6 +85,51 @@ def rolling(words: np.ndarray, k: int, family: int = 0) -> np.ndarray:
     return out
 
 
+def release() -> None:
+    """Gives back to the system what a Python worker no longer needs; workers live on from one operator to the next."""
+    HASHES.clear()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
+def lean(run: Callable, forget: Callable[[], None] = lambda: None) -> Callable:
+    """For ``mapInArrow``: ``run`` that forgets and releases when its partition ends."""
+
+    def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            forget()
+            release()
+
+    return mapped
+
+
+def lean_group(run: Callable) -> Callable:
+    """For ``applyInArrow`` of one table: ``run`` that releases after each group."""
+
+    def applied(rows: pa.Table) -> pa.Table:
+        try:
+            return run(rows)
+        finally:
+            release()
+
+    return applied
+
+
+def lean_pair(run: Callable) -> Callable:
+    """For ``applyInArrow`` of two tables: ``run`` that releases after each group."""
+
+    def applied(rows: pa.Table, more: pa.Table) -> pa.Table:
+        try:
+            return run(rows, more)
+        finally:
+            release()
+
+    return applied
+
+
 def batches_of(rows: pa.Table | pa.RecordBatch, size: int = 64):
     """Slices of a few rows, so that what is made from long texts stays small."""
     for i in range(0, rows.num_rows, size):

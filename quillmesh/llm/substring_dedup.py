@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from .chunks import BUCKET, CHUNK, Chunks, Loaded, bits, code_of, flags, slices
-from .shared import rolling
+from .shared import lean_group, lean_pair, rolling
 
 _PROBES = f"{BUCKET} int, {CHUNK} int, keys binary, repeated binary, anchors binary"
 _HITS = f"{CHUNK} int, {BUCKET} int, hits binary"
@@ -135,8 +135,8 @@ def remove_repeats(docs: DataFrame, window: int = 20, carry: list[str] | None =
         rows = rows.take(pa.array(chunk.order, pa.int64()))
         return pa.table([rows["doc_id"], *(rows[c] for c in carried), pa.array(chunk.lengths), pa.array(removed, pa.int64()), pa.array(texts, pa.string())], names=names)
 
-    probes = chunks.grouped().applyInArrow(probe, _PROBES)
-    hits = probes.groupBy(BUCKET).applyInArrow(meet, _HITS)
-    windows = chunks.grouped().cogroup(hits.groupBy(CHUNK)).applyInArrow(extend, _KEYS)
-    late = windows.groupBy(BUCKET).applyInArrow(judge, _KEYS)
-    return chunks.grouped().cogroup(late.groupBy(CHUNK)).applyInArrow(cut, schema)
+    probes = chunks.grouped().applyInArrow(lean_group(probe), _PROBES)
+    hits = probes.groupBy(BUCKET).applyInArrow(lean_group(meet), _HITS)
+    windows = chunks.grouped().cogroup(hits.groupBy(CHUNK)).applyInArrow(lean_pair(extend), _KEYS)
+    late = windows.groupBy(BUCKET).applyInArrow(lean_group(judge), _KEYS)
+    return chunks.grouped().cogroup(late.groupBy(CHUNK)).applyInArrow(lean_pair(cut), schema)

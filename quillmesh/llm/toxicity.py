@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import stage
+from .shared import batches_of, lean, stage
 
 ORDER, DISCOUNT, WINDOWS, FOLDS = 6, 0.75, (1, 4), 4
 _TOKEN = re.compile(r"[^\W_]+")
@@ -184,7 +184,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = 10_000, grams: int = 250
                 got = [sent.value.inputs(t) for t in b.column("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays([b.column("toxic"), pa.array(got, pa.list_(pa.float64()))], names=["toxic", "inputs"])
 
-        out = chosen.where(F.col("fold") == fold).mapInArrow(run, "toxic int, inputs array<double>").toArrow()
+        out = chosen.where(F.col("fold") == fold).mapInArrow(lean(run), "toxic int, inputs array<double>").toArrow()
         sent.destroy()
         return out
 
@@ -206,8 +206,9 @@ def score(docs: DataFrame, model: Spelling, carry: list[str] | None = None) -> D
     names = ["doc_id", *carry, "score"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            got = pa.array([sent.value.score(t) for t in b.column("text").to_pylist()], pa.float64())
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names[:-1]), got], names=names)
+        for batch in batches:
+            for b in batches_of(batch, 512):
+                got = pa.array([sent.value.score(t) for t in b.column("text").to_pylist()], pa.float64())
+                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names[:-1]), got], names=names)
 
-    return source.mapInArrow(run, T.StructType([*(source.schema[c] for c in names[:-1]), T.StructField("score", T.DoubleType())]))
+    return source.mapInArrow(lean(run, lambda: sent.value.known.clear()), T.StructType([*(source.schema[c] for c in names[:-1]), T.StructField("score", T.DoubleType())]))
