@@ -12,9 +12,8 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .shared import hash_words
@@ -25,6 +24,16 @@ CHUNK, BUCKET = "_qm_chunk", "_qm_bucket"
 LEAST, MOST = 8 << 20, 256 << 20
 
 
+def place_among(value: Column, bounds: list[int]) -> Column:
+    """How many of the sorted bounds are not above a value, by binary search; 0 for null."""
+    if not bounds:
+        return F.lit(0)
+    # the cast of a literal is folded once, where a literal array would be built of one node a bound
+    cuts = F.split(F.lit(",".join(map(str, bounds))), ",").cast("array<bigint>")
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(len(bounds).bit_length()))])
+    return F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get(cuts, at + step - 1) <= value, at + step).otherwise(at))
+
+
 class Chunks:
     """documents(doc_id, text, *carry) plus a chunk number that rises with doc_id."""
 
@@ -36,17 +45,9 @@ class Chunks:
         if self.n > 1:
             cuts = [i / self.n for i in range(1, self.n)]
             bounds = docs.agg(F.percentile_approx("doc_id", cuts, max(10_000, 20 * self.n))).first()[0] or []
-        cuts_ = np.unique(np.array(bounds, np.int64))
-
-        @F.pandas_udf("int")
-        def chunk(ids: pd.Series) -> pd.Series:
-            low = ids.isna().to_numpy()
-            at = np.searchsorted(cuts_, ids.fillna(0).to_numpy().astype(np.int64), side="right")
-            return pd.Series(np.where(low, 0, at).astype(np.int32))
-
         self.carry = [c for c in carry or [] if c not in ("doc_id", "text")]
-        own = F.lit(0) if self.n == 1 else chunk(F.col("doc_id").cast("long"))
-        self.docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *self.carry, own.cast("int").alias(CHUNK))
+        own = place_among(F.col("doc_id").cast("long"), sorted(set(bounds)))
+        self.docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *self.carry, own.alias(CHUNK))
 
     def grouped(self):
         return self.docs.groupBy(CHUNK)

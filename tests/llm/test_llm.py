@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillmesh.llm import bpe, chat, fingerprints, mixing, quality_rules, queries, sharding, toxicity, warc
+from quillmesh.llm.chunks import place_among
 from quillmesh.llm.jaccard_join import Product, jaccard_components
 from quillmesh.llm.shared import scratch
 from quillmesh.llm.substring_dedup import remove_repeats
@@ -56,6 +57,13 @@ def test_bpe_matches_library(spark):
     assert [o["decoded"] for o in out] == ["some</w> text</w>", ""] and out[1]["ids"] == b""
 
 
+@pytest.mark.parametrize("bounds", [[], [4], [-3, 0, 4, 9, 10, 50], list(range(0, 600, 3))])
+def test_place_among(spark, bounds):
+    values = [None, *range(-10, 620)]
+    out = spark.createDataFrame([(v,) for v in values], "v long").select("v", place_among(F.col("v"), bounds).alias("at")).collect()
+    assert {r["v"]: r["at"] for r in out} == {v: 0 if v is None else sum(b <= v for b in bounds) for v in values}
+
+
 @pytest.mark.parametrize("least", [None, 2000])
 def test_substring_dedup(spark, least):
     rows = corpus()
