@@ -3,8 +3,10 @@
 Sizes are summed a source; targets share the whole by weight and stop at ``most`` times what the
 source has, the excess going to the others by weight until none is above.  That is a water level:
 with sources in the order of cap over weight, those whose cap lies under the level keep the cap.
-A document is then taken floor(rate) times and once more by a coin that its key decides, so a
-rerun, or a lost executor, takes the same.
+A document is then taken floor(rate) times and once more by a coin that its key and a seed decide,
+so a rerun, or a lost executor, takes the same.  Each source has its own seed: of ``COINS`` seeds
+that under which the words of the further copies come nearest to what the target asks for, the
+first of equals.  Long documents in a small source would move its sum far from the target else.
 """
 
 from __future__ import annotations
@@ -15,10 +17,32 @@ from pyspark.sql import functions as F
 from .shared import stage
 
 
-def coin(key: Column, seed: str) -> Column:
-    """Uniform in 0 to 1, decided by key and seed; null is a key like any other."""
-    digest = F.md5(F.concat_ws("/", F.lit(seed), F.coalesce(key.cast("string"), F.lit("null"))))
-    return F.conv(F.substring(digest, 1, 13), 16, 10).cast("long").cast("double") / float(1 << 52)
+#: Seeds tried for each source, and how many of their coins one digest holds.
+COINS, PER_DIGEST = 32, 4
+
+
+def _digest(key: Column, seed: str, number: Column) -> Column:
+    return F.md5(F.concat_ws("/", F.lit(seed), number.cast("string"), F.coalesce(key.cast("string"), F.lit("null"))))
+
+
+def _part(digest: Column, k: Column) -> Column:
+    return F.conv(F.substring(digest, 1 + 8 * (k % PER_DIGEST), F.lit(8)), 16, 10).cast("long").cast("double") / float(1 << 32)
+
+
+def coin(key: Column, seed: str, k: Column) -> Column:
+    """Uniform in 0 to 1, decided by key, seed and the seed's number; null is a key like any other."""
+    return _part(_digest(key, seed, F.floor(k / PER_DIGEST)), k)
+
+
+def _seeds(sized: DataFrame, plan: DataFrame, seed: str) -> DataFrame:
+    """plan with ``_qm_seed``; sums are made a source, whatever its share of the rows."""
+    joined = sized.join(plan, F.col("source").eqNullSafe(F.col("_qm_source")))
+    tosses = joined.select("_qm_source", F.coalesce("size", F.lit(0)).alias("_n"), (F.col("rate") - F.floor("rate")).alias("_p"), *[_digest(F.col("doc_id"), seed, F.lit(j)).alias(f"_d{j}") for j in range(COINS // PER_DIGEST)])
+    more = [F.sum(F.when(_part(F.col(f"_d{k // PER_DIGEST}"), F.lit(k)) < F.col("_p"), F.col("_n")).otherwise(0)).alias(f"_s{k}") for k in range(COINS)]
+    sums = tosses.groupBy("_qm_source").agg(*more).withColumnRenamed("_qm_source", "_qm_s")
+    wanted = F.col("target") - F.floor("rate") * F.col("source_size")
+    best = F.array_min(F.array(*[F.struct(F.abs(F.col(f"_s{k}").cast("double") - wanted).alias("off"), F.lit(k).alias("k")) for k in range(COINS)]))["k"]
+    return plan.join(sums, F.col("_qm_source").eqNullSafe(F.col("_qm_s"))).select(*plan.columns, best.alias("_qm_seed"))
 
 
 def cyclic_weights(sources: DataFrame, cycle: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
@@ -57,13 +81,16 @@ def mix(sized: DataFrame, most: int = 3, seed: str = "mix") -> DataFrame:
     sizes count as 0.  Repeated rows toss the same coin.
     """
     sized = sized.drop("source_size", "target", "copies")
-    sums = sized.groupBy("source").agg(F.coalesce(F.sum("size"), F.lit(0)).cast("long").alias("source_size"))
+    sizes = stage(sized.select("doc_id", "source", "size"), "sizes")
+    sums = sizes.groupBy("source").agg(F.coalesce(F.sum("size"), F.lit(0)).cast("long").alias("source_size"))
     # written, so that its size is known when the join is planned, and documents are not shuffled if it is small
     plan = stage(targets(cyclic_weights(sums), most).withColumnRenamed("source", "_qm_source").drop("weight"), "plan")
-    joined = sized.join(plan, F.col("source").eqNullSafe(F.col("_qm_source"))).drop("_qm_source")
+    plan = stage(_seeds(sizes, plan, seed), "seeds")
+    rows = sizes.select(sized.columns) if set(sized.columns) == set(sizes.columns) else sized
+    joined = rows.join(plan, F.col("source").eqNullSafe(F.col("_qm_source"))).drop("_qm_source")
     whole = F.floor("rate")
-    more = (coin(F.col("doc_id"), seed) < F.col("rate") - whole).cast("long")
-    return joined.withColumn("copies", whole + more).drop("rate")
+    more = (coin(F.col("doc_id"), seed, F.col("_qm_seed")) < F.col("rate") - whole).cast("long")
+    return joined.withColumn("copies", whole + more).drop("rate", "_qm_seed")
 
 
 def emit(mixed: DataFrame) -> DataFrame:

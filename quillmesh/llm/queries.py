@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from . import bpe, chat, fingerprints, mixing, sharding, toxicity, warc
 from .jaccard_join import jaccard_components
+from .oracle import ORACLE_SQL as ORACLE_SQL
 from .quality_rules import quality
 from .shared import scratch, table, words_of
 from .substring_dedup import remove_repeats
@@ -120,6 +121,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_ngram_jaccard": op9_ngram_jaccard,
     "op10_toxicity": op10_toxicity,
 }
-
-#: None of the ten has a form in DuckDB's SQL; tests hold each against brute force.
-ORACLE_SQL: dict[str, str] = {}
