@@ -2,9 +2,10 @@
 
 Each class models a word letter by letter, with contexts of up to ``ORDER - 1`` letters from the
 word's start.  A class's counts are discounted and fall back on one Kneser-Ney distribution that
-both share, so where a class has seen little the two say the same and cancel: for a letter that
-neither saw after a context, the ratio of the two models is that of their backoff weights alone.
-New forms of a toxic stem are therefore found by the stem.
+both share, to which ``BELIEF`` further counts of every context go, so where a class has seen
+little the two say the same and cancel: for a letter that neither saw after a context, the ratio
+of the two models is that of their backoff weights alone.  New forms of a toxic stem are therefore
+found by the stem.  A document counts a word once, so a long or repetitive one weighs no more.
 
 The text's words give log-likelihood ratios.  Their means, that is length-normalised, over the
 whole text and over its most toxic windows of one word and of four are the inputs of a logistic curve,
@@ -33,6 +34,8 @@ from pyspark.sql import types as T
 from .shared import batches_of, lean, stage
 
 ORDER, DISCOUNT, WINDOWS, FOLDS = 6, 0.75, (1, 4), 4
+#: Counts of every context that are taken to follow the shared backoff.
+BELIEF = 100.0
 _TOKEN = re.compile(r"[^\W_]+")
 TOKEN_SQL = r"(?U)[^\W_]+"
 
@@ -117,12 +120,12 @@ def spelling_model(counts: list[tuple[str, int, int]], below: dict[str, float])
             if n[k]:
                 total[k][h] += n[k]
                 kinds[k][h] += 1
-    backs = [{h: DISCOUNT * kinds[k][h] / n for h, n in total[k].items()} for k in (0, 1)]
+    backs = [{h: (DISCOUNT * kinds[k][h] + BELIEF) / (n + BELIEF) for h, n in total[k].items()} for k in (0, 1)]
     weight = {h: math.log(backs[0].get(h, 1.0) / backs[1].get(h, 1.0)) for h in total[0].keys() | total[1].keys()}
     ratio = {}
     for g, *n in counts:
         h, p = g[:-1], below[g]
-        toxic, ordinary = ((max(n[k] - DISCOUNT, 0.0) / total[k][h] if n[k] else 0.0) + backs[k].get(h, 1.0) * p for k in (0, 1))
+        toxic, ordinary = ((max(n[k] - DISCOUNT, 0.0) / (total[k][h] + BELIEF) if n[k] else 0.0) + backs[k].get(h, 1.0) * p for k in (0, 1))
         ratio[g] = math.log(toxic / ordinary)
     return Spelling(ratio, weight)
 
@@ -160,7 +163,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = 10_000, grams: int = 250
     texts = docs.select("doc_id", F.lower(F.coalesce("text", F.lit(""))).alias("text"))
     chosen = stage(texts.join(F.broadcast(sample.select("doc_id", "toxic", "fold")), "doc_id").select("toxic", "fold", "text"), "labelled")
     cells = [((F.col("fold") == k) & (F.col("toxic") == y), f"n{k}_{y}") for k in range(FOLDS) for y in (1, 0)]
-    words = chosen.select("toxic", "fold", F.explode(F.regexp_extract_all("text", F.lit(TOKEN_SQL), F.lit(0))).alias("word"))
+    words = chosen.select("toxic", "fold", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(TOKEN_SQL), F.lit(0)))).alias("word"))
     words = words.groupBy("word").agg(*(F.count_if(c).alias(name) for c, name in cells))
     spelt = F.concat(F.lit("^"), F.col("word"), F.lit("$"))
     cut = F.transform(F.sequence(F.lit(2), F.length("word") + 2), lambda i: F.substring(spelt, F.greatest(F.lit(1), i - ORDER + 1), F.least(i, F.lit(ORDER))))
