@@ -82,7 +82,9 @@ def code_of(hashes: np.ndarray, buckets: int) -> np.ndarray:
 def slices(codes: np.ndarray):
     """(bucket, from, to) of sorted codes."""
     owners = (codes >> np.uint64(32)).astype(np.int64)
-    cuts = np.flatnonzero(np.r_[True, owners[1:] != owners[:-1]]) if len(owners) else []
+    if not len(owners):
+        return
+    cuts = np.flatnonzero(np.r_[True, owners[1:] != owners[:-1]])
     for a, b in zip(cuts, [*cuts[1:], len(owners)], strict=True):
         yield int(owners[a]), int(a), int(b)
 

@@ -255,3 +255,8 @@ def test_toxicity(spark):
 
 def test_queries_are_registered():
     assert sorted(int(k[2:].split("_")[0]) for k in queries.QUERIES) == list(range(1, 11))
+
+
+def test_no_text_is_long_enough(spark):
+    rows = [(i, f"t{i}" if i % 2 else None) for i in range(20)]
+    assert {(r["doc_id"], r["n_removed"], r["kept_text"]) for r in remove_repeats(documents(spark, rows), 20, least=10).collect()} == {(i, 0, t or "") for i, t in rows}
