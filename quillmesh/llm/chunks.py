@@ -1,6 +1,6 @@
 """Documents in chunks of bounded size, and key look-ups between chunks.
 
-``Chunks`` deals documents into ranges of doc_id.  Operators that must know which hashes occur in
+``Chunks`` deals documents into ranges of doc_id, cut by rows and bytes alike.  Operators that must know which hashes occur in
 other documents too send, for each chunk and hash bucket, one row with the sorted distinct hashes
 as packed bytes.  A hash that a third of all documents hold is then one entry a chunk, and rows
 are as even as the hash.  Answers go back to the chunk in the same form, so nothing is ever
@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import hash_words
+from .shared import hash_words, stage
 
 CHUNK, BUCKET = "_qm_chunk", "_qm_bucket"
 #: Bytes of text in a chunk: the least and the most.  In between it grows with the root of the
@@ -38,13 +38,16 @@ class Chunks:
     """documents(doc_id, text, *carry) plus a chunk number that rises with doc_id."""
 
     def __init__(self, docs: DataFrame, carry: list[str] | None = None, least: int = LEAST):
-        total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        held = stage(docs.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("bytes")), "bytes")
+        total, rows = held.agg(F.coalesce(F.sum("bytes"), F.lit(0)), F.count(F.lit(1))).first()
         size = min(MOST, max(least, math.isqrt(1500 * total)))
         self.n = max(1, -(-total // size))
         bounds: list[int] = []
         if self.n > 1:
             cuts = [i / self.n for i in range(1, self.n)]
-            bounds = docs.agg(F.percentile_approx("doc_id", cuts, max(10_000, 20 * self.n))).first()[0] or []
+            # a row counts once and once more for each mean size it has, so a chunk holds about twice its size at most
+            units = held.select("doc_id", F.explode(F.sequence(F.lit(0), F.floor(F.col("bytes") / max(1, total // rows)).cast("int"))))
+            bounds = units.agg(F.percentile_approx("doc_id", cuts, max(10_000, 20 * self.n))).first()[0] or []
         self.carry = [c for c in carry or [] if c not in ("doc_id", "text")]
         own = place_among(F.col("doc_id").cast("long"), sorted(set(bounds)))
         self.docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *self.carry, own.alias(CHUNK))

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillmesh.llm import bpe, chat, fingerprints, mixing, quality_rules, queries, sharding, toxicity, warc
-from quillmesh.llm.chunks import place_among
+from quillmesh.llm.chunks import Chunks, place_among
 from quillmesh.llm.jaccard_join import Product, jaccard_components
 from quillmesh.llm.shared import scratch
 from quillmesh.llm.substring_dedup import remove_repeats
@@ -260,3 +260,11 @@ def test_queries_are_registered():
 def test_no_text_is_long_enough(spark):
     rows = [(i, f"t{i}" if i % 2 else None) for i in range(20)]
     assert {(r["doc_id"], r["n_removed"], r["kept_text"]) for r in remove_repeats(documents(spark, rows), 20, least=10).collect()} == {(i, 0, t or "") for i, t in rows}
+
+
+def test_chunks_are_cut_by_bytes(spark):
+    """Long texts that stand together are spread over chunks; a chunk is about twice its size at most."""
+    docs = documents(spark, [(i, "w " * (20_000 if 100 <= i < 120 else 50)) for i in range(1000)])
+    chunks = Chunks(docs, least=60_000)
+    held = chunks.docs.groupBy("_qm_chunk").agg(F.sum(F.length("text")).alias("n")).collect()
+    assert len(held) > 8 and max(r["n"] for r in held) <= 2 * 60_000 + 40_000
