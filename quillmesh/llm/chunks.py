@@ -21,7 +21,7 @@ from .shared import hash_words, stage
 CHUNK, BUCKET = "_qm_chunk", "_qm_bucket"
 #: Bytes of text in a chunk: the least and the most.  In between it grows with the root of the
 #: corpus, so that a row between a chunk and a bucket keeps a useful size.
-LEAST, MOST = 8 << 20, 256 << 20
+LEAST, MOST = 6 << 20, 256 << 20
 
 
 def place_among(value: Column, bounds: list[int]) -> Column:
