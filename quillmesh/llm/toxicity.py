@@ -2,7 +2,7 @@
 
 Each class models a word letter by letter, with contexts of up to ``ORDER - 1`` letters from the
 word's start.  A class's counts are discounted and fall back on one Kneser-Ney distribution that
-both share, to which ``BELIEF`` further counts of every context go, so where a class has seen
+both share, counted over the words of all documents, to which ``BELIEF`` further counts of every context go, so where a class has seen
 little the two say the same and cancel: for a letter that neither saw after a context, the ratio
 of the two models is that of their backoff weights alone.  New forms of a toxic stem are therefore
 found by the stem.  A document counts a word once, so a long or repetitive one weighs no more.
@@ -11,8 +11,9 @@ The text's words give log-likelihood ratios.  Their means, that is length-normal
 whole text and over its most toxic windows of one word and of four are the inputs of a logistic curve,
 fitted on labelled rows scored by models that have not seen them (one for each fold).  Every word of every text is scored.
 
-Fitting reads at most ``rows`` labelled documents of each label (those of the lowest hashed id)
-and keeps at most ``grams`` letter sequences.  Nulls and texts without words score as no
+The class counts and the curve are fitted on at most ``rows`` labelled documents of each label
+(those of the lowest hashed id), with at most ``grams`` letter sequences.  The shared counts stay
+in Spark; those of sequences that neither class has seen cancel and are not fetched.  Nulls and texts without words score as no
 evidence; rows without a label, or with a null one, are not learnt from.  Repeated rows score
 alike, and only ``doc_id`` and ``text`` are read.
 """
@@ -22,11 +23,12 @@ from __future__ import annotations
 import math
 import re
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -83,30 +85,38 @@ class Spelling:
         return 1 / (1 + math.exp(-min(50.0, max(-50.0, at))))
 
 
-def shared_backoff(counts: list[tuple[str, int]]) -> dict[str, float]:
-    """Interpolated Kneser-Ney probability of a sequence's last letter after the others.
+def sequences(words: DataFrame, cells: list[str]) -> DataFrame:
+    """words(word, n, *cells) -> gram, *cells, n, others, kinds: what Kneser-Ney needs to know of each sequence of ``cells``.
 
-    Sequences are those of ``grams_of``.  A shorter one counts the letters before it that it was
-    seen with, so each length is computed from the one below.
+    Sequences are those of ``grams_of`` and their ends.  ``n`` counts the sequence in all words,
+    whether or not a cell does; a shorter one counts the letters before it that it was seen with.
+    ``others`` and ``kinds`` are the sum and the number of the sequences that share all letters
+    but the last.  Cells are 0 for what is only an end.  Returned are the sequences, and ends of
+    sequences, that a cell counts.
     """
-    sizes: list[dict[str, float]] = [defaultdict(float) for _ in range(ORDER + 1)]
-    for g, n in counts:
-        sizes[len(g)][g] += n
-    for k in range(ORDER, 1, -1):
-        below = sizes[k - 1]
-        for g in sizes[k]:
-            below[g[1:]] += 1
-    p = {"": 1.0 / (1 + max(1, len(sizes[1])))}
+    spelt = F.concat(F.lit("^"), F.col("word"), F.lit("$"))
+    cut = F.transform(F.sequence(F.lit(2), F.length("word") + 2), lambda i: F.substring(spelt, F.greatest(F.lit(1), i - ORDER + 1), F.least(i, F.lit(ORDER))))
+    grams = words.select(F.explode(cut).alias("gram"), "n", *cells).groupBy("gram").agg(*(F.sum(c).alias(c) for c in ("n", *cells)))
+    ends = F.transform(F.sequence(F.lit(1), F.length("gram")), lambda i: F.substring(F.col("gram"), i, F.lit(ORDER)))
+    whole = F.col("at") == 0
+    learnt = sum(F.col(c) for c in cells) > 0
+    parts = grams.select("n", *cells, learnt.alias("learnt"), F.posexplode(ends).alias("at", "gram"))
+    parts = stage(parts.groupBy("gram").agg(*(F.sum(F.when(whole, F.col(c)).otherwise(0)).alias(c) for c in ("n", *cells)), F.max("learnt").alias("learnt")), "sequences")
+    before = parts.where(F.length("gram") > 1).groupBy(F.expr("substring(gram, 2)").alias("gram")).agg(F.count(F.lit(1)).alias("before"))
+    table = parts.join(before, "gram", "left").withColumn("n", F.col("n") + F.coalesce("before", F.lit(0))).withColumn("context", F.expr("substring(gram, 1, length(gram) - 1)"))
+    sums = table.groupBy("context").agg(F.sum("n").alias("others"), F.count(F.lit(1)).alias("kinds"))
+    return table.where("learnt").join(sums, "context").select("gram", *cells, "n", "others", "kinds")
+
+
+def shared_backoff(rows: Iterable[tuple[str, int, int, int]]) -> dict[str, float]:
+    """Interpolated Kneser-Ney probability of a sequence's last letter after the others, from ``sequences``."""
+    sizes: list[list[tuple[str, int, int, int]]] = [[] for _ in range(ORDER + 1)]
+    for row in rows:
+        sizes[len(row[0])].append(row)
+    p = {"": 1.0 / (1 + max([1, *(kinds for *_, kinds in sizes[1])]))}
     for table in sizes[1:]:
-        sums: dict[str, float] = defaultdict(float)
-        kinds: dict[str, int] = defaultdict(int)
-        for g, n in table.items():
-            h = g[:-1]
-            sums[h] += n
-            kinds[h] += 1
-        for g, n in table.items():
-            h = g[:-1]
-            p[g] = (max(n - DISCOUNT, 0.0) + DISCOUNT * kinds[h] * p[g[1:]]) / sums[h]
+        for g, n, others, kinds in table:
+            p[g] = (max(n - DISCOUNT, 0.0) + DISCOUNT * kinds * p[g[1:]]) / others
     return p
 
 
@@ -160,20 +170,20 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = 10_000, grams: int = 250
         kept.append(own.orderBy("_qm_turn").limit(rows))
     sample = kept[0].unionByName(kept[1]).withColumn("fold", F.pmod(F.col("_qm_turn"), F.lit(FOLDS)).cast("int"))
     # the sample has 2 * rows short rows at most, so every executor can hold it
-    texts = docs.select("doc_id", F.lower(F.coalesce("text", F.lit(""))).alias("text"))
-    chosen = stage(texts.join(F.broadcast(sample.select("doc_id", "toxic", "fold")), "doc_id").select("toxic", "fold", "text"), "labelled")
+    texts = docs.select("doc_id", F.lower(F.coalesce("text", F.lit(""))).alias("text")).join(F.broadcast(sample.select("doc_id", "toxic", "fold")), "doc_id", "left")
+    chosen = stage(texts.where("toxic IS NOT NULL").select("toxic", "fold", "text"), "labelled")
     cells = [((F.col("fold") == k) & (F.col("toxic") == y), f"n{k}_{y}") for k in range(FOLDS) for y in (1, 0)]
-    words = chosen.select("toxic", "fold", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(TOKEN_SQL), F.lit(0)))).alias("word"))
-    words = words.groupBy("word").agg(*(F.count_if(c).alias(name) for c, name in cells))
-    spelt = F.concat(F.lit("^"), F.col("word"), F.lit("$"))
-    cut = F.transform(F.sequence(F.lit(2), F.length("word") + 2), lambda i: F.substring(spelt, F.greatest(F.lit(1), i - ORDER + 1), F.least(i, F.lit(ORDER))))
+    words = texts.select("toxic", "fold", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(TOKEN_SQL), F.lit(0)))).alias("word"))
+    words = words.groupBy("word").agg(F.count(F.lit(1)).alias("n"), *(F.count_if(c).alias(name) for c, name in cells))
     names = [name for _, name in cells]
-    counted = words.select(F.explode(cut).alias("gram"), *names).groupBy("gram").agg(*(F.sum(n).alias(n) for n in names))
-    top = counted.orderBy(F.desc(sum(F.col(n) for n in names)), "gram").limit(grams).toArrow()
+    found = sequences(words, names)
+    whole = sum(F.col(c) for c in names)
+    top = found.withColumn("_qm_whole", whole).orderBy(F.desc("_qm_whole"), "gram").toArrow()
+    below = shared_backoff(zip(*(top[c].to_pylist() for c in ("gram", "n", "others", "kinds")), strict=True))
+    top = top.filter(pc.greater(top["_qm_whole"], 0)).slice(0, grams)
     spellings = top["gram"].to_pylist()
     n = np.stack([top[c].to_numpy() for c in names], 1).reshape(len(spellings), FOLDS, 2)
     del top
-    below = shared_backoff(list(zip(spellings, n.sum((1, 2)).tolist(), strict=True)))
 
     def without(fold: int | None) -> Spelling:
         left = n.sum(1) - (n[:, fold] if fold is not None else 0)

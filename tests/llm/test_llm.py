@@ -253,6 +253,41 @@ def test_toxicity(spark):
     assert toxicity.score(docs, toxicity.fit(docs.limit(0), labels.limit(0))).count() == docs.count()
 
 
+def backoff_by_hand(words):
+    """Kneser-Ney over a Counter of words, all of it in memory."""
+    counts = defaultdict(int)
+    for word, n in words.items():
+        for g in toxicity.grams_of(word):
+            counts[g] += n
+    for k in range(toxicity.ORDER, 1, -1):
+        for g in [g for g in counts if len(g) == k]:
+            counts[g[1:]] += 1
+    after = defaultdict(list)
+    for g, n in counts.items():
+        after[g[:-1]].append(n)
+    p = {"": 1 / (1 + len(after[""]))}
+    for g in sorted(counts, key=len):
+        n, own = counts[g], after[g[:-1]]
+        p[g] = (max(n - toxicity.DISCOUNT, 0) + toxicity.DISCOUNT * len(own) * p[g[1:]]) / sum(own)
+    return p
+
+
+def test_toxicity_backoff_counts_all_documents(spark):
+    r = random.Random(6)
+    texts = [(i, " ".join("".join(r.choices("abcé", k=r.randint(1, 8))) for _ in range(r.randint(0, 30)))) for i in range(300)] + [(None, "abc dcb"), (7, None)]
+    docs, labels = documents(spark, texts), spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int")
+    every = Counter(w for _, t in texts for w in set((t or "").split()))
+    seen = [Counter(w for i, t in texts if i is not None and i < 40 and i % 2 == y for w in set((t or "").split())) for y in (1, 0)]
+    counts = [Counter(), Counter()]
+    for own, k in zip(counts, seen, strict=True):
+        for word, n in k.items():
+            for g in toxicity.grams_of(word):
+                own[g] += n
+    want = toxicity.spelling_model([(g, counts[0][g], counts[1][g]) for g in counts[0].keys() | counts[1].keys()], backoff_by_hand(every))
+    got = toxicity.fit(docs, labels)
+    assert got.ratio == pytest.approx(want.ratio) and got.weight == pytest.approx(want.weight)
+
+
 def test_queries_are_registered():
     assert sorted(int(k[2:].split("_")[0]) for k in queries.QUERIES) == list(range(1, 11))
 
