@@ -2,8 +2,8 @@
 
 Each class models a word letter by letter, with contexts of up to ``ORDER - 1`` letters from the
 word's start.  A class's counts are discounted and fall back on one Kneser-Ney distribution that
-both share, counted over the words of all documents, to which ``BELIEF`` further counts of every context go, so where a class has seen
-little the two say the same and cancel: for a letter that neither saw after a context, the ratio
+both share, counted over the words of all documents, to which ``BELIEF`` further counts of every
+context go, so where a class has seen little the two say the same and cancel: for a letter that neither saw after a context, the ratio
 of the two models is that of their backoff weights alone.  New forms of a toxic stem are therefore
 found by the stem.  A document counts a word once, so a long or repetitive one weighs no more.
 
@@ -12,10 +12,10 @@ whole text and over its most toxic windows of one word and of four are the input
 fitted on labelled rows scored by models that have not seen them (one for each fold).  Every word of every text is scored.
 
 The class counts and the curve are fitted on at most ``rows`` labelled documents of each label
-(those of the lowest hashed id), with at most ``grams`` letter sequences.  The shared counts stay
-in Spark; those of sequences that neither class has seen cancel and are not fetched.  Nulls and texts without words score as no
-evidence; rows without a label, or with a null one, are not learnt from.  Repeated rows score
-alike, and only ``doc_id`` and ``text`` are read.
+(those of the lowest hashed id); all their letter sequences are kept.  The shared counts stay in
+Spark; those of sequences that neither class has seen cancel and are not fetched.  Nulls and texts
+without words score as no evidence; rows without a label, or with a null one, are not learnt from.
+Repeated rows score alike, and only ``doc_id`` and ``text`` are read.
 """
 
 from __future__ import annotations
@@ -28,12 +28,11 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import batches_of, lean, stage
+from .shared import batches_of, lean, release, stage
 
 ORDER, DISCOUNT, WINDOWS, FOLDS = 6, 0.75, (1, 4), 4
 #: Counts of every context that are taken to follow the shared backoff.
@@ -159,7 +158,7 @@ def fit_curve(inputs: np.ndarray, labels: np.ndarray, weights: np.ndarray, steps
     return b.tolist()
 
 
-def fit(docs: DataFrame, labels: DataFrame, rows: int = 10_000, grams: int = 250_000) -> Spelling:
+def fit(docs: DataFrame, labels: DataFrame, rows: int = 10_000) -> Spelling:
     """docs(doc_id, text) and labels(doc_id, toxic), of learning rows only."""
     marked = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max((F.col("toxic") > 0).cast("int")).alias("toxic"))
     marked = marked.withColumn("_qm_turn", F.xxhash64(F.lit("toxicity"), "doc_id"))
@@ -177,17 +176,17 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = 10_000, grams: int = 250
     words = words.groupBy("word").agg(F.count(F.lit(1)).alias("n"), *(F.count_if(c).alias(name) for c, name in cells))
     names = [name for _, name in cells]
     found = sequences(words, names)
-    whole = sum(F.col(c) for c in names)
-    top = found.withColumn("_qm_whole", whole).orderBy(F.desc("_qm_whole"), "gram").toArrow()
-    below = shared_backoff(zip(*(top[c].to_pylist() for c in ("gram", "n", "others", "kinds")), strict=True))
-    top = top.filter(pc.greater(top["_qm_whole"], 0)).slice(0, grams)
-    spellings = top["gram"].to_pylist()
-    n = np.stack([top[c].to_numpy() for c in names], 1).reshape(len(spellings), FOLDS, 2)
-    del top
+    rows_of = found.toArrow()
+    below = shared_backoff(row for b in rows_of.to_batches() for row in zip(*(b[c].to_pylist() for c in ("gram", "n", "others", "kinds")), strict=True))
+    n = np.stack([rows_of[c].to_numpy() for c in names], 1).reshape(rows_of.num_rows, FOLDS, 2)
+    own = n.any((1, 2))
+    spellings, n = rows_of["gram"].filter(pa.array(own)).to_pylist(), n[own]
+    del rows_of
+    release()
 
     def without(fold: int | None) -> Spelling:
         left = n.sum(1) - (n[:, fold] if fold is not None else 0)
-        return spelling_model([(g, t, o) for g, (t, o) in zip(spellings, left.tolist(), strict=True) if t or o], below)
+        return spelling_model([(g, t, o) for g, t, o in zip(spellings, left[:, 0].tolist(), left[:, 1].tolist(), strict=True) if t or o], below)
 
     def inputs_of(fold: int) -> pa.Table:
         sent = docs.sparkSession.sparkContext.broadcast(without(fold))

@@ -288,6 +288,14 @@ def test_toxicity_backoff_counts_all_documents(spark):
     assert got.ratio == pytest.approx(want.ratio) and got.weight == pytest.approx(want.weight)
 
 
+def test_toxicity_keeps_all_sequences(spark):
+    r = random.Random(7)
+    texts = [(i, " ".join("".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=20)) for _ in range(80))) for i in range(200)]
+    model = toxicity.fit(documents(spark, texts), spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id long, toxic int"))
+    grams = {g for _, t in texts for w in t.split() for g in toxicity.grams_of(w)}
+    assert len(grams) > 250_000 and model.ratio.keys() == grams
+
+
 def test_queries_are_registered():
     assert sorted(int(k[2:].split("_")[0]) for k in queries.QUERIES) == list(range(1, 11))
 
