@@ -16,8 +16,7 @@ from ..functions import text as fn
 
 #: A link's label and its target, with angle brackets or without; line by line.
 LINK = r"(?<!!)\[((?:[^\[\]\\\n]++|\\|\\[\[\]]|\[[^\[\]\n]*\])*)\]\((?:<([^>\n]+)>|([^)\s\n]+))\)"
-#: The same for lines of so many backslashes that going back over them would not end: it never goes back.
-LINK_ONCE = r"(?<!!)\[((?:[^\[\]\\\n]++|\\\](?!\()|\\\[|\\|\[[^\[\]\n]*\])*+)\]\((?:<([^>\n]+)>|([^)\s\n]+))\)"
+#: Lines of more backslashes go to ``scan_links``, as the pattern's going back over them would not end.
 BACKSLASHES = 24
 
 # The two ways to embed an image.
@@ -50,15 +49,69 @@ def frontmatter_entries(files: DataFrame) -> DataFrame:
     return frontmatter(files).select("path", F.inline("entries"))
 
 
+def scan_links(line: str | None) -> list[tuple[str, str, str]] | None:
+    """(label, target in angle brackets, bare target) of each match of LINK in a line, in time that grows with its length.
+
+    Whether a label can go on from a place does not depend on where it began, so ``close`` has,
+    from the right to the left, the place where a label that has come so far ends, or -1.
+    """
+    if line is None:
+        return None
+    n = len(line)
+    # the next bracket or backslash, bracket, end of a bare target and ``>`` at or after each place
+    special, bracket, stop, angle = ([n] * (n + 1) for _ in range(4))
+    close = [-1] * (n + 3)
+    for i in range(n - 1, -1, -1):
+        c = line[i]
+        special[i] = i if c in "[]\\" else special[i + 1]
+        bracket[i] = i if c in "[]" else bracket[i + 1]
+        stop[i] = i if c in ") \t\n\x0b\f\r" else stop[i + 1]
+        angle[i] = i if c == ">" else angle[i + 1]
+
+    def target(i: int) -> tuple[int, str, str] | None:
+        """Place after the closing parenthesis, and the target that begins at i."""
+        if line.startswith("<", i) and i + 1 < angle[i] < n and line.startswith(")", angle[i] + 1):
+            return angle[i] + 2, line[i + 1 : angle[i]], ""
+        if i < n and i < stop[i] < n and line[stop[i]] == ")":
+            return stop[i] + 1, "", line[i : stop[i]]
+        return None
+
+    for i in range(n - 1, -1, -1):
+        c = line[i]
+        if c == "]":
+            close[i] = i if line.startswith("(", i + 1) and target(i + 2) else -1
+        elif c == "[":
+            j = bracket[i + 1]
+            close[i] = close[j + 1] if j < n and line[j] == "]" else -1
+        elif c == "\\":
+            close[i] = close[i + 1]
+            if close[i] < 0 and i + 1 < n and line[i + 1] in "[]":
+                close[i] = close[i + 2]
+        else:
+            close[i] = close[special[i]]
+    found, i = [], line.find("[")
+    while i >= 0:
+        end = close[i + 1]
+        if end >= 0 and not line.startswith("!", i - 1, i):
+            after, angled, bare = target(end + 2)
+            found.append((line[i + 1 : end], angled, bare))
+            i = line.find("[", after)
+        else:
+            i = line.find("[", i + 1)
+    return found
+
+
 def markdown_links(files: DataFrame) -> DataFrame:
     """path, ord, line, label, target: in the order of the text."""
     lines = files.select("path", F.posexplode(F.split("text", "\n")).alias("at", "row")).where(F.col("row").contains("]("))
     slashes = F.length("row") - F.length(F.replace("row", F.lit("\\"), F.lit("")))
 
+    scan = F.udf(scan_links, "array<struct<label:string,angled:string,bare:string>>", useArrow=True)
+
     def groups(k: int) -> Column:
-        return F.when(slashes <= BACKSLASHES, F.regexp_extract_all("row", F.lit(LINK), F.lit(k))).otherwise(F.regexp_extract_all("row", F.lit(LINK_ONCE), F.lit(k)))
+        return F.regexp_extract_all(F.when(slashes <= BACKSLASHES, F.col("row")), F.lit(LINK), F.lit(k))
 
-    zipped = F.arrays_zip(groups(1).alias("label"), groups(2).alias("angled"), groups(3).alias("bare"))
+    zipped = F.coalesce(F.arrays_zip(groups(1).alias("label"), groups(2).alias("angled"), groups(3).alias("bare")), scan(F.when(slashes > BACKSLASHES, F.col("row"))))
     rows = lines.select("path", (F.col("at") + 1).alias("line"), F.posexplode(zipped).alias("ord", "z"))
     return rows.select("path", "ord", "line", F.col("z.label").alias("label"), F.when(F.col("z.angled") != "", F.col("z.angled")).otherwise(F.col("z.bare")).alias("target"))
 

@@ -1,4 +1,6 @@
 import os
+import random
+import re
 
 from quillmesh.operators import extract
 from quillmesh.plans import fixes, lint, report
@@ -42,6 +44,17 @@ def test_links(spark):
     assert found == {("p", 1, "a", "b.md"), ("p", 1, "a", "b c.md"), ("p", 2, "![i](i.pn", "p.md"), ("p", 2, "x\\]y", "q.md"), ("long", 1, "a" * 9, "z.md"), ("slash", 1, "\\a\\a\\a\\a\\", "z.md")}
 
 
+def test_scanner_finds_what_the_pattern_does(spark):
+    r = random.Random(2)
+    lines = ["".join(r.choices(["[", "]", "](", "\\", "\\]", "(", ")", "<", ">", "!", " ", "a", "](b)", "é\x0b"], k=r.randint(0, 18))) for _ in range(30000)]
+    wanted = [re.findall(extract.LINK, x, re.ASCII) for x in lines]
+    assert [extract.scan_links(x) for x in lines] == wanted and sum(map(len, wanted)) > 3000
+    text = "\\alpha " * 25 + "[set \\[x] of y](missing.md) [\\]](<b c.md>)"
+    got = extract.markdown_links(spark.createDataFrame([("n.md", text), ("m.md", "x\n[a](b)")], "path string, text string")).collect()
+    assert sorted((x["path"], x["ord"], x["line"], x["label"], x["target"]) for x in got) == [("m.md", 0, 2, "a", "b"), ("n.md", 0, 1, "set \\[x] of y", "missing.md"), ("n.md", 1, 1, "\\]", "b c.md")]
+    assert extract.scan_links("[" + "\\[" * 100_000 + "](" * 100_000) == []
+
+
 def test_wiki(spark, tmp_path):
     root = make(tmp_path, {
         "wiki/index.md": "[a](a.md) [x](x_y.md)", "wiki/a.md": "[b](b.md) [g](gone.md) [h](sub) [s](../sources/n%201.md) [o](note:x) [l](a.md:12) [f](#x) [n](//h/p)\n[2024*01*](x_y.md)",
