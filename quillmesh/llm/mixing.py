@@ -3,10 +3,20 @@
 Sizes are summed a source; targets share the whole by weight and stop at ``most`` times what the
 source has, the excess going to the others by weight until none is above.  That is a water level:
 with sources in the order of cap over weight, those whose cap lies under the level keep the cap.
+
 A document is then taken floor(rate) times and once more by a coin that its key and a seed decide,
-so a rerun, or a lost executor, takes the same.  Each source has its own seed: of ``COINS`` seeds
-that under which the words of the further copies come nearest to what the target asks for, the
-first of equals.  Long documents in a small source would move its sum far from the target else.
+so a rerun, or a lost executor, takes the same.  Over the seeds each coin comes up with a
+probability of exactly the rate's fraction.  The ``LARGEST`` documents of a source toss in the order
+of size, and what one takes or leaves lowers or raises the chances of all that follow, by as much as
+brings the sum of the source back to its target while the mean of each one's chance stays the
+fraction.  A long document in a small source would else move its sum far from the target; it still
+does where it alone is larger than all that is asked for.  The documents after them, each small
+beside the rest, toss with the chance that is left, on their own.
+
+Only the largest documents' sizes and hashes are gathered, in one list a source; documents are
+never sorted or shuffled.  Null sources are a source of their own, null sizes count as 0, a null
+doc_id is a key like any other, rows that repeat a doc_id and size toss the same coin, and no rows
+give no rows.
 """
 
 from __future__ import annotations
@@ -16,33 +26,58 @@ from pyspark.sql import functions as F
 
 from .shared import stage
 
+#: Documents of a source that toss one after the other, and halvings that find one of them.
+LARGEST, HALVINGS = 1000, 10
+
+
+def draw(seed: str, key: Column) -> Column:
+    """Uniform in 0 to 1, from 52 bits of a digest; null is a key like any other."""
+    digest = F.md5(F.concat_ws("/", F.lit(seed), F.coalesce(key.cast("string"), F.lit("null"))))
+    return F.conv(F.substring(digest, 1, 13), 16, 10).cast("long").cast("double") / float(1 << 52)
+
+
+def _place(size: Column, key: Column, seed: str) -> Column:
+    """Falling size, then the hash."""
+    return F.struct((-F.coalesce(size, F.lit(0))).alias("size"), draw(seed, key).alias("drawn"))
+
 
-#: Seeds tried for each source, and how many of their coins one digest holds.
-COINS, PER_DIGEST = 32, 4
+def _chances(largest: Column, whole: Column, part: Column) -> Column:
+    """Chance of each of the largest documents, in order, and of all others at the end."""
 
+    def after(s: Column, x: Column) -> Column:
+        now, words = s["chance"], (-x["place"]["size"] * x["n"]).cast("double")
+        left = s["left"] - words
+        none = F.greatest(F.lit(0.0), (now * s["left"] - words) / left)
+        # chances after a miss, then after a hit, whose mean is the chance now
+        missed = F.when(now < 1, F.least(F.lit(1.0), now * (1 - none) / (1 - now))).otherwise(1.0)
+        hit = F.when(now > 0, F.greatest(F.lit(0.0), (now - (1 - now) * missed) / now)).otherwise(0.0)
+        chance = F.when(left <= 0, now).when(x["place"]["drawn"] < now, hit).otherwise(missed)
+        return F.struct(left.alias("left"), chance.alias("chance"), F.concat(s["all"], F.array(chance)).alias("all"))
 
-def _digest(key: Column, seed: str, number: Column) -> Column:
-    return F.md5(F.concat_ws("/", F.lit(seed), number.cast("string"), F.coalesce(key.cast("string"), F.lit("null"))))
+    start = F.struct(whole.cast("double").alias("left"), part.alias("chance"), F.array(part).alias("all"))
+    return F.aggregate(largest, start, after, lambda s: s["all"])
 
 
-def _part(digest: Column, k: Column) -> Column:
-    return F.conv(F.substring(digest, 1 + 8 * (k % PER_DIGEST), F.lit(8)), 16, 10).cast("long").cast("double") / float(1 << 32)
+def _with_chances(sizes: DataFrame, plan: DataFrame, seed: str) -> DataFrame:
+    """plan with ``_qm_places``, in order, and ``_qm_chances``, one more."""
+    rows = sizes.select(F.col("source").alias("_qm_s"), _place(F.col("size"), F.col("doc_id"), seed).alias("place"))
+    turn = F.row_number().over(Window.partitionBy("_qm_s").orderBy("place"))
+    top = rows.withColumn("turn", turn).where(F.col("turn") <= LARGEST).groupBy("_qm_s", "place").agg(F.count(F.lit(1)).alias("n"))
+    listed = top.groupBy("_qm_s").agg(F.array_sort(F.collect_list(F.struct("place", "n"))).alias("largest"))
+    own = plan.join(listed, F.col("_qm_source").eqNullSafe(F.col("_qm_s")))
+    chances = _chances(F.col("largest"), F.col("_qm_size"), F.col("_qm_rate") - F.floor("_qm_rate"))
+    return own.select(*plan.columns, F.transform("largest", lambda x: x["place"]).alias("_qm_places"), chances.alias("_qm_chances"))
 
 
-def coin(key: Column, seed: str, k: Column) -> Column:
-    """Uniform in 0 to 1, decided by key, seed and the seed's number; null is a key like any other."""
-    return _part(_digest(key, seed, F.floor(k / PER_DIGEST)), k)
+def coin(size: Column, key: Column, seed: str) -> Column:
+    """Whether a document is taken once more, from its source's row of the plan."""
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(HALVINGS))])
 
+    def toss(own: Column) -> Column:
+        at = F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get("_qm_places", at + step - 1) <= own, at + step).otherwise(at))
+        return F.transform(F.array(at), lambda at: own["drawn"] < F.when(F.get("_qm_places", at - 1) == own, F.get("_qm_chances", at - 1)).otherwise(F.element_at("_qm_chances", -1)))[0]
 
-def _seeds(sized: DataFrame, plan: DataFrame, seed: str) -> DataFrame:
-    """plan with ``_qm_seed``; sums are made a source, whatever its share of the rows."""
-    joined = sized.join(plan, F.col("source").eqNullSafe(F.col("_qm_source")))
-    tosses = joined.select("_qm_source", F.coalesce("size", F.lit(0)).alias("_n"), (F.col("rate") - F.floor("rate")).alias("_p"), *[_digest(F.col("doc_id"), seed, F.lit(j)).alias(f"_d{j}") for j in range(COINS // PER_DIGEST)])
-    more = [F.sum(F.when(_part(F.col(f"_d{k // PER_DIGEST}"), F.lit(k)) < F.col("_p"), F.col("_n")).otherwise(0)).alias(f"_s{k}") for k in range(COINS)]
-    sums = tosses.groupBy("_qm_source").agg(*more).withColumnRenamed("_qm_source", "_qm_s")
-    wanted = F.col("target") - F.floor("rate") * F.col("source_size")
-    best = F.array_min(F.array(*[F.struct(F.abs(F.col(f"_s{k}").cast("double") - wanted).alias("off"), F.lit(k).alias("k")) for k in range(COINS)]))["k"]
-    return plan.join(sums, F.col("_qm_source").eqNullSafe(F.col("_qm_s"))).select(*plan.columns, best.alias("_qm_seed"))
+    return F.transform(F.array(_place(size, key, seed)), toss)[0]
 
 
 def cyclic_weights(sources: DataFrame, cycle: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
@@ -77,23 +112,21 @@ def targets(sources: DataFrame, most: int = 3) -> DataFrame:
 def mix(sized: DataFrame, most: int = 3, seed: str = "mix") -> DataFrame:
     """(doc_id, source, size, ...) -> the same with source_size, target, copies.
 
-    Input columns of these three names are replaced.  Null source is a source of its own; null
-    sizes count as 0.  Repeated rows toss the same coin.
+    Input columns of these three names are replaced.
     """
     sized = sized.drop("source_size", "target", "copies")
-    sizes = stage(sized.select("doc_id", "source", "size"), "sizes")
+    sizes = stage(sized.select("doc_id", "source", F.col("size").cast("long").alias("size")), "sizes")
     sums = sizes.groupBy("source").agg(F.coalesce(F.sum("size"), F.lit(0)).cast("long").alias("source_size"))
+    plan = targets(cyclic_weights(sums), most).withColumnsRenamed({"source": "_qm_source", "source_size": "_qm_size", "target": "_qm_target", "rate": "_qm_rate"}).drop("weight")
     # written, so that its size is known when the join is planned, and documents are not shuffled if it is small
-    plan = stage(targets(cyclic_weights(sums), most).withColumnRenamed("source", "_qm_source").drop("weight"), "plan")
-    plan = stage(_seeds(sizes, plan, seed), "seeds")
+    plan = stage(_with_chances(sizes, plan, seed), "plan")
     rows = sizes.select(sized.columns) if set(sized.columns) == set(sizes.columns) else sized
-    joined = rows.join(plan, F.col("source").eqNullSafe(F.col("_qm_source"))).drop("_qm_source")
-    whole = F.floor("rate")
-    more = (coin(F.col("doc_id"), seed, F.col("_qm_seed")) < F.col("rate") - whole).cast("long")
-    return joined.withColumn("copies", whole + more).drop("rate", "_qm_seed")
+    joined = rows.join(plan, F.col("source").eqNullSafe(F.col("_qm_source")))
+    more = coin(F.col("size"), F.col("doc_id"), seed).cast("long")
+    return joined.select(*sized.columns, F.col("_qm_size").alias("source_size"), F.col("_qm_target").alias("target"), (F.floor("_qm_rate") + more).alias("copies"))
 
 
 def emit(mixed: DataFrame) -> DataFrame:
-    """Each row as often as its copies say, numbered from 0 in ``copy``; none for 0."""
+    """Each row as often as its copies say, numbered from 0 in ``copy``, which replaces an input column of that name; none for 0."""
     often = F.when(F.col("copies") > 0, F.sequence(F.lit(0), (F.col("copies") - 1).cast("int"))).otherwise(F.array().cast("array<int>"))
-    return mixed.withColumn("copy", F.explode(often))
+    return mixed.select(*[c for c in mixed.columns if c != "copy"], F.explode(often).alias("copy"))

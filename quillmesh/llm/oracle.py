@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from .mixing import COINS, PER_DIGEST
-from .quality_rules import RULES, SYMBOLS
+from .mixing import LARGEST
+from .quality_rules import PARTS as LABEL_PARTS
+from .quality_rules import STEPS, SYMBOLS
 
 _WORD = r"'[^\x20\x09-\x0D]+'"
 
@@ -29,19 +30,19 @@ kept AS (
 SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(len(words) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
 FROM w LEFT JOIN kept USING (d)"""
 
-_CUTS = ", ".join(f"('{rule}', {step}, CAST({cut!r} AS DOUBLE))" for rule, cuts in RULES.items() for step, cut in enumerate(cuts))
 _MEASURES = {
-    "symbols": "n_symbols / greatest(n_words, 1)",
-    "dup_lines": "n_dup_lines / greatest(n_lines, 1)",
-    "repeats": "n_repeat_words / greatest(n_words, 1)",
-    "long_words": "word_chars / greatest(n_words, 1)",
-    "short_words": "-word_chars / greatest(n_words, 1)",
+    "symbols": "1000 * n_symbols // greatest(n_words, 1)",
+    "dup_lines": "1000 * n_dup_lines // greatest(n_lines, 1)",
+    "repeats": "1000 * n_repeat_words // greatest(n_words, 1)",
+    "long_words": "100 * word_chars // greatest(n_words, 1)",
+    "short_words": "-(100 * word_chars // greatest(n_words, 1))",
 }
 _VALUES = ", ".join(f"('{rule}', {value})" for rule, value in _MEASURES.items())
+_STEPS = ", ".join(f"({i}, {q}, {m}, {more})" for i, (q, m, more) in enumerate(STEPS))
 
-#: P(X <= bad) for X of ``good`` trials of chance 0.005, term by term; 1 from the mean up.
-_TAIL = """CASE WHEN bad >= good * 0.005 THEN 1.0 ELSE list_sum(list_transform(range(0, bad + 1),
-  lambda i: exp(lgamma(good + 1) - lgamma(i + 1) - lgamma(good - i + 1) + i * ln(0.005) + (good - i) * ln(0.995)))) END"""
+#: P(X <= lost) for X of ``held`` trials of chance 0.02, term by term; 1 from the mean up.
+_TAIL = """CASE WHEN lost >= held * 0.02 THEN 1.0 ELSE list_sum(list_transform(range(0, lost + 1),
+  lambda i: exp(lgamma(held + 1) - lgamma(i + 1) - lgamma(held - i + 1) + i * ln(0.02) + (held - i) * ln(0.98)))) END"""
 
 QUALITY_RULES = f"""
 WITH w AS MATERIALIZED (
@@ -55,18 +56,32 @@ m AS MATERIALIZED (
     len(regexp_extract_all(text, '[{SYMBOLS}]')) AS n_symbols, len(lines) - len(list_distinct(lines)) AS n_dup_lines,
     coalesce(n, 0) AS n_repeat_words, len(string_split(text, chr(10))) AS n_lines
   FROM w LEFT JOIN repeats USING (d)),
-v AS MATERIALIZED (SELECT d, doc_id, lang, rule, value FROM m, LATERAL (VALUES {_VALUES}) t(rule, value)),
-good AS (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id HAVING max(quality) > 0),
-tested AS (
-  SELECT lang, rule, step, cutoff, count(*) AS good, count(*) FILTER (value >= cutoff) AS bad
-  FROM v JOIN good USING (doc_id) JOIN (VALUES {_CUTS}) c(rule, step, cutoff) USING (rule) GROUP BY ALL),
-chains AS (SELECT count(*) AS n FROM (SELECT DISTINCT lang, rule FROM tested)),
-ended AS (
-  SELECT lang, rule, cutoff, max(CASE WHEN {_TAIL} * n > 0.05 THEN 1 ELSE 0 END) OVER (PARTITION BY lang, rule ORDER BY step) AS ended
-  FROM tested, chains),
-cuts AS (SELECT lang, rule, min(cutoff) AS cutoff FROM ended WHERE ended = 0 GROUP BY ALL),
-bad AS (SELECT DISTINCT d FROM v JOIN cuts ON v.lang IS NOT DISTINCT FROM cuts.lang AND v.rule = cuts.rule AND value >= cutoff),
-base AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM m)
+base AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM m),
+v AS MATERIALIZED (SELECT d, doc_id, lang, base_failed, rule, CAST(value AS BIGINT) AS value FROM base, LATERAL (VALUES {_VALUES}) t(rule, value)),
+good AS (SELECT doc_id, CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 8) AS BIGINT) % {LABEL_PARTS} = 0 AS first_part FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id HAVING max(quality) > 0),
+known AS MATERIALIZED (
+  SELECT d, rule, value, first_part, lang, false AS parent FROM v JOIN good USING (doc_id) WHERE NOT base_failed
+  UNION ALL SELECT d, rule, value, first_part, NULL, true FROM v JOIN good USING (doc_id) WHERE NOT base_failed),
+levels AS (
+  SELECT lang, parent, rule, list(value ORDER BY value) AS own FROM known WHERE first_part GROUP BY ALL),
+cut_at AS MATERIALIZED (
+  SELECT lang, parent, rule, step, own_at + m * (own_at - middle) + more AS cutoff FROM (
+    SELECT *, own[(q * len(own) + 999) // 1000] AS own_at, own[(500 * len(own) + 999) // 1000] AS middle FROM levels, (VALUES {_STEPS}) s(step, q, m, more))),
+lost_at AS (
+  SELECT k.lang, k.parent, step, k.d, bool_or(value > cutoff) AS lost FROM known k JOIN cut_at c ON k.lang IS NOT DISTINCT FROM c.lang AND k.parent = c.parent AND k.rule = c.rule
+  WHERE NOT first_part GROUP BY ALL),
+steps AS MATERIALIZED (SELECT lang, parent, step, count(*) AS held, count(*) FILTER (lost) AS lost FROM lost_at GROUP BY ALL),
+chains AS (SELECT count(*) AS n FROM (SELECT DISTINCT lang, parent FROM steps)),
+tested AS MATERIALIZED (
+  SELECT lang, parent, step, max(CASE WHEN {_TAIL} * n > 0.05 THEN 1 ELSE 0 END) OVER (PARTITION BY lang, parent ORDER BY step) AS ended
+  FROM steps, chains WHERE pow(0.98, held) * n <= 0.05),
+strictest AS (SELECT lang, parent, max(step) AS step FROM tested WHERE ended = 0 GROUP BY ALL),
+cuts AS (
+  SELECT c.lang, c.parent, rule, cutoff FROM strictest s JOIN cut_at c ON s.lang IS NOT DISTINCT FROM c.lang AND s.parent = c.parent AND s.step = c.step),
+own_path AS (SELECT DISTINCT lang, true AS own FROM tested WHERE NOT parent),
+judged AS (SELECT m.d, m.lang, coalesce(own, false) AS own FROM m LEFT JOIN own_path p ON m.lang IS NOT DISTINCT FROM p.lang),
+bad AS (
+  SELECT DISTINCT v.d FROM v JOIN judged j USING (d) JOIN cuts ON v.rule = cuts.rule AND value > cutoff AND (CASE WHEN own THEN NOT cuts.parent AND v.lang IS NOT DISTINCT FROM cuts.lang ELSE cuts.parent END))
 SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols,
   CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed, NOT base_failed AND bad.d IS NULL AS kept
 FROM base LEFT JOIN bad USING (d)"""
@@ -88,7 +103,9 @@ SELECT CAST(conv_id AS BIGINT) AS conv_id, CAST(n AS BIGINT) AS n_turns, sha256(
   sha256(learnt) AS loss_sha256, CAST(chars AS BIGINT) AS formatted_chars
 FROM joined"""
 
-_DRAW = f"CAST('0x' || substr(md5('mix/' || CAST(k // {PER_DIGEST} AS VARCHAR) || '/' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1 + 8 * (k % {PER_DIGEST}), 8) AS BIGINT) / 4294967296.0::DOUBLE"
+def _draw(key: str) -> str:
+    return f"CAST('0x' || substr(md5('mix/' || coalesce(CAST({key} AS VARCHAR), 'null')), 1, 13) AS BIGINT) / 4503599627370496.0::DOUBLE"
+
 
 #: The level rises source by source: each round gives those over their cap the cap, and the rest is shared again.
 MIXING = f"""
@@ -109,14 +126,25 @@ targets AS MATERIALIZED (
   FROM levelled),
 rated AS MATERIALIZED (
   SELECT *, CASE WHEN source_size > 0 THEN least(target / source_size, 3.0::DOUBLE) ELSE 0.0::DOUBLE END AS rate FROM targets),
-tossed AS MATERIALIZED (
-  SELECT d, doc_id, docs.source, size, source_size, target, CAST(floor(rate) AS BIGINT) AS whole, k, CASE WHEN {_DRAW} < rate - floor(rate) THEN 1 ELSE 0 END AS extra
-  FROM docs JOIN rated ON docs.source IS NOT DISTINCT FROM rated.source, range(0, {COINS}) t(k)),
-chosen AS (
-  SELECT source, arg_min(k, (off, k)) AS best FROM (
-    SELECT source, k, abs(CAST(sum(size * extra) AS DOUBLE) - (any_value(target) - any_value(whole) * any_value(source_size))) AS off FROM tossed GROUP BY source, k) GROUP BY source)
-SELECT doc_id, size, source_size, target, (whole + extra) * size AS taken
-FROM tossed JOIN chosen ON tossed.source IS NOT DISTINCT FROM chosen.source AND k = best"""
+drawn AS MATERIALIZED (
+  SELECT *, dense_rank() OVER (PARTITION BY source ORDER BY size DESC, drawn) AS place, row_number() OVER (PARTITION BY source ORDER BY size DESC, drawn) AS turn
+  FROM (SELECT *, {_draw("doc_id")} AS drawn FROM docs)),
+largest AS MATERIALIZED (
+  SELECT source, place, drawn, CAST(size * count(*) AS DOUBLE) AS words FROM drawn WHERE turn <= {LARGEST} GROUP BY source, place, drawn, size),
+tossed(source, place, whole, chance) AS (
+  SELECT source, CAST(1 AS BIGINT), CAST(source_size AS DOUBLE), rate - floor(rate) FROM rated
+  UNION ALL
+  SELECT source, place + 1, whole - words,
+    CASE WHEN whole - words <= 0 THEN chance
+      WHEN drawn < chance THEN CASE WHEN chance > 0 THEN greatest(0, (chance - (1 - chance) * missed) / chance) ELSE 0 END ELSE missed END
+  FROM (
+    SELECT t.source, t.place, whole, chance, drawn, words, CASE WHEN chance < 1 THEN least(1.0::DOUBLE, chance * (1 - greatest(0.0::DOUBLE, (chance * whole - words) / (whole - words))) / (1 - chance)) ELSE 1.0::DOUBLE END AS missed
+    FROM tossed t JOIN largest l ON t.source IS NOT DISTINCT FROM l.source AND t.place = l.place)),
+last AS (SELECT source, arg_max(chance, place) AS rest FROM tossed GROUP BY source)
+SELECT doc_id, size, source_size, target, (CAST(floor(rate) AS BIGINT) + CASE WHEN drawn < CASE WHEN l.place IS NULL THEN rest ELSE chance END THEN 1 ELSE 0 END) * size AS taken
+FROM (SELECT d.*, EXISTS (SELECT 1 FROM largest l WHERE l.source IS NOT DISTINCT FROM d.source AND l.place = d.place) AS is_large FROM drawn d) d
+JOIN rated ON d.source IS NOT DISTINCT FROM rated.source JOIN last ON d.source IS NOT DISTINCT FROM last.source
+LEFT JOIN tossed l ON is_large AND d.source IS NOT DISTINCT FROM l.source AND d.place = l.place"""
 
 _BASE32 = "array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST(('0b' || substr(bits, 1 + 5 * i, 5)) AS INTEGER), 1)), '')"
 

@@ -31,8 +31,8 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     base = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
+    out = quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), among=~base)
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), (~base & ~F.col("rejected")).alias("kept"))
 
 

@@ -142,13 +142,13 @@ def test_quality_measures_and_bound(spark):
         covered = {a + k for a, x in enumerate(runs) if count[x] > 1 for k in range(5)}
         want[i, len(w), sum(len(x.decode()) for x in w), sum((t or "").count(c) for c in "#*$%&|<>"), len(lines) - len(set(lines)), len(covered)] += 1
     assert got == want
-    cases = [(k, n) for n in (5, 700, 5000) for k in (0, 3, 20) if k <= n]
+    cases = [(k, n) for n in (5, 700, 5000, 120_000) for k in (0, 3, 20, 399, 401, 580) if k <= n]
     tails = spark.createDataFrame(cases, "k long, n long").select("k", "n", quality_rules.binomial_tail(F.col("k"), F.col("n"), 0.005).alias("t")).collect()
     import math
 
     for r in tails:
-        exact = sum(math.comb(r["n"], i) * 0.005**i * 0.995 ** (r["n"] - i) for i in range(r["k"] + 1))
-        assert r["t"] == 1.0 if r["k"] >= 0.005 * r["n"] else exact <= r["t"] <= exact * 1.00001
+        exact = sum(math.exp(math.lgamma(r["n"] + 1) - math.lgamma(i + 1) - math.lgamma(r["n"] - i + 1) + i * math.log(0.005) + (r["n"] - i) * math.log(0.995)) for i in range(r["k"] + 1))
+        assert r["t"] == (1.0 if r["k"] >= 0.005 * r["n"] else pytest.approx(exact, rel=1e-6))
 
 
 def test_quality_cutoffs(spark):
@@ -157,7 +157,25 @@ def test_quality_cutoffs(spark):
     out = quality_rules.quality(docs, labels)
     assert out.where("rejected").count() == 300 and out.where("rejected AND doc_id < 3000").count() == 0
     assert quality_rules.quality(docs, labels.where("doc_id % 30 = 0")).where("rejected").count() == 0  # too few labels
-    assert quality_rules.quality(docs.limit(0), labels).count() == 0
+    assert quality_rules.quality(docs.limit(0), labels).count() == 0 and quality_rules.quality(docs, labels.limit(0)).where("rejected").count() == 0
+
+
+def test_quality_strata(spark):
+    """Large strata have their own path; small ones, the null one among them, take the parent's."""
+    r = random.Random(9)
+    rows = []
+    for i in range(2200):
+        lang = "en" if i < 1000 else "de" if i < 2000 else None
+        rows.append((i, "word" * r.randint(1, 3 if lang == "en" else 6) + " it is " * r.randint(2, 9) + f" end{i}", lang, "x", 1))
+    rows += [(3000 + i, "# $ " * 40, lang, "x", 1) for i, lang in enumerate(["en", "de", None, "other"] * 5)] + [(None, "# " * 30, "en", "x", 1), (1, None, "en", "x", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, stratum string, rejected int")
+    labels = spark.createDataFrame([(i, int(i < 3000)) for i in range(3020)] + [(1, 0), (None, 1)], "doc_id long, quality int")
+    cuts = {(c["stratum"], c["parent"]): c for c in quality_rules.cutoffs(quality_rules.measures(docs), labels).collect()}
+    assert cuts.keys() == {("en", False), ("de", False), (None, True)} and all(c["step"] is not None for c in cuts.values())
+    assert cuts["en", False]["cuts"]["long_words"] < cuts["de", False]["cuts"]["long_words"]
+    out = quality_rules.quality(docs, labels).collect()
+    assert len(out) == len(rows) and {x["doc_id"] for x in out if x["rejected"]} >= {None, *range(3000, 3020)}
+    assert sum(x["rejected"] for x in out if x["doc_id"] is not None and x["doc_id"] < 3000) <= 0.02 * 2200
 
 
 def test_chat():
@@ -203,6 +221,29 @@ def test_mixing(spark):
     assert mixing.mix(docs.limit(0)).count() == 0
 
 
+def test_mixing_chances_are_the_fractions(spark):
+    """Sources alike but in name have seeds of their own: what each place in them takes is on average the rate."""
+    sizes = (50, 7, 7, 1, 0)
+    rows = [(100 * k + j, f"s{k:04}", n) for k in range(1200) for j, n in enumerate(sizes)]
+    for own in (rows, [r for r in rows if r[2] == 50]):
+        out = mixing.mix(spark.createDataFrame(own, "doc_id long, source string, size long")).collect()
+        for weight in (1, 2, 3):
+            for j in {r[0] % 100 for r in own}:
+                taken = [x["copies"] for x in out if x["doc_id"] % 100 == j and int(x["source"][1:]) % 3 + 1 == weight]
+                assert len(taken) == 400 and sum(taken) / 400 == pytest.approx(weight / 2, abs=0.1)
+
+
+def test_mixing_comes_near_the_target(spark):
+    r = random.Random(1)
+    rows = [(i, f"s{i % 6}", int(r.paretovariate(1.1) * 20) if i % 6 else r.randint(1, 400)) for i in range(3000)]
+    rows += [(None, "s1", 5)] * 3 + [(5000 + i, "s5", 30) for i in range(2000)]
+    out = mixing.mix(spark.createDataFrame([(*x, 1.0, 2, 3) for x in rows], "doc_id long, source string, size long, rate double, copy int, _extra int")).collect()
+    for s in {x["source"] for x in out}:
+        own = [x for x in out if x["source"] == s]
+        assert sum(x["size"] * x["copies"] for x in own) == pytest.approx(own[0]["target"], rel=0.03) and own[0]["rate"] == 1.0 and own[0]["copy"] == 2
+    assert len({x["copies"] for x in out if x["doc_id"] is None}) == 1
+
+
 def test_fingerprints(spark):
     rows = [(i, t) for i, t in corpus() if i is not None]
     docs = documents(spark, rows)

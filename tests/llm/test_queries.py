@@ -81,6 +81,31 @@ def test_rows_equal_those_of_sql(spark, folders, name):
     assert bag(got) == bag(by_sql(folders[0], queries.ORACLE_SQL[name]))
 
 
+def test_op3_certifies_cutoffs_as_sql_does(spark, tmp_path):
+    """Two strata with over 1,200 good labels, and small ones that take the parent's cutoffs."""
+    r = random.Random(3)
+    docs, labels = [], []
+    for i in range(4200):
+        lang = ["en", "de"][i % 2] if i < 4000 else ["fr", None][i % 2]
+        bad = i % 10 == 9
+        words = [r.choice(CLEAR) * (2 if lang == "de" else 1) for _ in range(r.randint(10, 60))]
+        if bad:
+            words += ["#", "$ | <", "%"] * r.randint(5, 60)
+        docs.append((i, " ".join(words) + "\nsame\n" * r.randint(0, 3), lang, None, 1, 1, 0.5, "x", 1))
+        if i % 20 != 19:
+            labels.append((i, int(not bad), 0, "t"))
+    for name, data in (("documents", docs), ("labels", labels)):
+        spark.createDataFrame(data, SCHEMAS[name]).repartition(2).write.parquet(f"{tmp_path}/{name}.parquet")
+    con = duckdb.connect()
+    for name in ("documents", "labels"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    got = queries.op3_quality_rules(spark, str(tmp_path)).collect()
+    assert bag(x.asDict() for x in got) == bag(con.execute(queries.ORACLE_SQL["op3_quality_rules"]).df().to_dict("records"))
+    bad = [x for x in got if x["doc_id"] % 10 == 9 and not x["base_failed"]]
+    good = [x for x in got if x["doc_id"] % 10 != 9 and not x["base_failed"]]
+    assert sum(not x["kept"] for x in bad) >= 0.9 * len(bad) and sum(x["kept"] for x in good) >= 0.98 * len(good)
+
+
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))
 def test_empty_tables(spark, folders, name):
     assert queries.QUERIES[name](spark, folders[1]).count() == (1 if name == "op4_chat_format" else 0)
