@@ -1,22 +1,24 @@
 """Documents in chunks of bounded size, and key look-ups between chunks.
 
-``Chunks`` deals documents into ranges of doc_id, cut by rows and bytes alike.  Operators that must know which hashes occur in
-other documents too send, for each chunk and hash bucket, one row with the sorted distinct hashes
-as packed bytes.  A hash that a third of all documents hold is then one entry a chunk, and rows
+``Chunks`` deals documents into ranges of doc_id (see ``ranges``).  Operators that must know which
+hashes occur in other documents too send, for each chunk and hash bucket, one row with the sorted
+distinct hashes as packed bytes.  A hash that a third of all documents hold is then one entry a chunk, and rows
 are as even as the hash.  Answers go back to the chunk in the same form, so nothing is ever
 expanded into pairs, and no document is sent to more than one place.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import hash_words, stage
+from .ranges import Ranges
+from .shared import hash_words
 
 CHUNK, BUCKET = "_qm_chunk", "_qm_bucket"
 #: Bytes of text in a chunk: the least and the most.  In between it grows with the root of the
@@ -24,45 +26,27 @@ CHUNK, BUCKET = "_qm_chunk", "_qm_bucket"
 LEAST, MOST = 6 << 20, 256 << 20
 
 
-def place_among(value: Column, bounds: list[int]) -> Column:
-    """How many of the sorted bounds are not above a value, by binary search; 0 for null."""
-    if not bounds:
-        return F.lit(0)
-    # the cast of a literal is folded once, where a literal array would be built of one node a bound
-    cuts = F.split(F.lit(",".join(map(str, bounds))), ",").cast("array<bigint>")
-    steps = F.array(*[F.lit(1 << k) for k in reversed(range(len(bounds).bit_length()))])
-    return F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get(cuts, at + step - 1) <= value, at + step).otherwise(at))
-
-
 class Chunks:
-    """documents(doc_id, text, *carry) plus a chunk number that rises with doc_id."""
+    """documents(doc_id, text, *carry) plus a chunk number that rises with doc_id, then with the text's digest."""
 
     def __init__(self, docs: DataFrame, carry: list[str] | None = None, least: int = LEAST):
-        held = stage(docs.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("bytes")), "bytes")
-        total, rows = held.agg(F.coalesce(F.sum("bytes"), F.lit(0)), F.count(F.lit(1))).first()
-        size = min(MOST, max(least, math.isqrt(1500 * total)))
-        self.n = max(1, -(-total // size))
-        bounds: list[int] = []
-        if self.n > 1:
-            cuts = [i / self.n for i in range(1, self.n)]
-            # a row counts once and once more for each mean size it has, so a chunk holds about twice its size at most
-            units = held.select("doc_id", F.explode(F.sequence(F.lit(0), F.floor(F.col("bytes") / max(1, total // rows)).cast("int"))))
-            bounds = units.agg(F.percentile_approx("doc_id", cuts, max(10_000, 20 * self.n))).first()[0] or []
         self.carry = [c for c in carry or [] if c not in ("doc_id", "text")]
-        own = place_among(F.col("doc_id").cast("long"), sorted(set(bounds)))
-        self.docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *self.carry, own.alias(CHUNK))
+        docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *self.carry)
+        total = docs.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()[0]
+        ranges = Ranges(docs, "text", min(MOST, max(least, math.isqrt(1500 * total))))
+        self.n, self.docs = ranges.n, ranges.with_number(docs, "text", CHUNK)
 
     def grouped(self):
         return self.docs.groupBy(CHUNK)
 
 
 class Loaded:
-    """A chunk in memory: rows by doc_id (null first) and text, words, their hashes and places."""
+    """A chunk in memory: rows by doc_id (null first) and the text's digest, words, their hashes and places."""
 
     def __init__(self, rows: pa.Table, lower: bool = False):
         ids = rows["doc_id"].to_pylist()
         texts = [(t or "").encode() for t in rows["text"].to_pylist()]
-        self.order = sorted(range(len(ids)), key=lambda i: (ids[i] is not None, ids[i] or 0, texts[i]))
+        self.order = sorted(range(len(ids)), key=lambda i: (ids[i] is not None, ids[i] or 0, hashlib.md5(texts[i]).digest()))
         self.ids = [ids[i] for i in self.order]
         self.words = [(texts[i].lower() if lower else texts[i]).split() for i in self.order]
         self.lengths = np.array([len(w) for w in self.words], np.int64)

@@ -6,8 +6,14 @@ text, so fingerprints of unequal texts can be intersected and merged: the sketch
 the union of the sketches.  Where none lies below, the smallest is kept, so that only a text
 without words has an empty fingerprint; a union drops it again once any lies below.
 
+That smallest hash stands for its text only against others of its kind: a sketch with hashes below
+the fraction does not hold it, so likeness and containment of a text of n shingles say 0 with a
+chance of (1 - fraction) ** n, whatever the two have in common.
+
 Words are cut at ASCII white space and kept as they are.  Texts of fewer words than n are one
-n-gram; null is the empty text.
+n-gram; null is the empty text; equal texts have equal fingerprints, however often they occur.
+Texts of any length are hashed whole.  Operators here add columns to expressions only, and
+``with_next`` reads doc_id and the value, so other columns never clash; no rows give no rows.
 """
 
 from __future__ import annotations
@@ -15,6 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranges import Ranges, digest
 from .shared import words_of
 
 #: Share of the hash range that is kept.
@@ -71,27 +78,25 @@ def merge(a: Column, b: Column, fraction: float = FRACTION) -> Column:
     return F.when(F.size(below) > 0, below).when(least.isNotNull(), F.array(least)).otherwise(F.array().cast("array<bigint>"))
 
 
-def with_next(docs: DataFrame, value: str, size: int = 24 << 20) -> DataFrame:
+def with_next(docs: DataFrame, value: str, size: int = 8 << 20) -> DataFrame:
     """doc_id, value -> these and ``next``: the value of the document after, by falling doc_id (the last meets the first).
 
-    Rows are cut into ranges of doc_id of about ``size`` bytes each, and the first row of the
-    range below stands in as a guest at the end of each, so no task sorts more than a range.
-    Rows of one doc_id come in the order of their values; null doc_id is the last.
+    Rows are cut into ranges of about ``size`` bytes each, and the first row of the range below
+    stands in as a guest at the end of each, so no task sorts more than a range.  Rows of one
+    doc_id come in the falling order of a digest of their values, and a doc_id that many rows
+    repeat is cut into several ranges by it; null doc_id is the last.
     """
-    id_ = F.col("doc_id").cast("long")
-    seen = docs.agg(F.min(id_), F.max(id_), F.sum(F.coalesce(F.octet_length(value), F.lit(0))), F.count(F.lit(1)) - F.count("doc_id")).first()
-    low, high, total, nulls = seen[0] or 0, seen[1] or 0, seen[2] or 0, seen[3]
-    pieces = max(1, -(-total // size))
-    width = max(1, -(-(high - low + 1) // pieces))
-    part = F.coalesce(F.floor((id_ - low) / width), F.lit(-1)).cast("long")
-    rows = docs.select("doc_id", value, part.alias("_qm_part"))
-    firsts = docs.select("doc_id", part.alias("_qm_part")).groupBy("_qm_part").agg(F.max("doc_id").alias("_qm_first"))
+    ranges = Ranges(docs, value, size)
+    rows = ranges.with_number(docs.select("doc_id", value), value, "_qm_part")
+    own = F.struct(F.col("doc_id").isNotNull().alias("known"), F.col("doc_id").alias("id"), digest(F.col(value)).alias("digest"))
+    firsts = rows.select("_qm_part", own.alias("own")).groupBy("_qm_part").agg(F.max("own").alias("_qm_first"))
     # one row a range: as many as the text has pieces
     order = Window.orderBy("_qm_part")
     last = Window.partitionBy()
     above = firsts.withColumn("_qm_to", F.coalesce(F.lead("_qm_part").over(order), F.min("_qm_part").over(last))).withColumnRenamed("_qm_part", "_qm_from")
-    guests = rows.join(above, F.col("doc_id").eqNullSafe(F.col("_qm_first")) & (F.col("_qm_part") == F.col("_qm_from")))
+    first = F.col("doc_id").eqNullSafe(F.col("_qm_first.id")) & (digest(F.col(value)) == F.col("_qm_first.digest"))
+    guests = rows.join(above, (F.col("_qm_part") == F.col("_qm_from")) & first)
     guests = guests.select("doc_id", value, F.col("_qm_to").alias("_qm_part"), F.lit(1).alias("_qm_guest"))
     every = rows.withColumn("_qm_guest", F.lit(0)).unionByName(guests)
-    w = Window.partitionBy("_qm_part").orderBy("_qm_guest", F.col("doc_id").desc_nulls_last(), F.col(value).asc_nulls_first())
+    w = Window.partitionBy("_qm_part").orderBy("_qm_guest", F.col("doc_id").desc_nulls_last(), digest(F.col(value)).desc())
     return every.withColumn("next", F.lead(value).over(w)).where("_qm_guest = 0").drop("_qm_part", "_qm_guest")

@@ -20,7 +20,7 @@ def _runs(words: str, k: int) -> str:
 
 SUBSTRING_DEDUP = f"""
 WITH w AS MATERIALIZED (
-  SELECT doc_id, row_number() OVER (ORDER BY doc_id NULLS FIRST, coalesce(text, '')) AS d, {_words()} AS words FROM documents),
+  SELECT doc_id, row_number() OVER (ORDER BY doc_id NULLS FIRST, md5(coalesce(text, ''))) AS d, {_words()} AS words FROM documents),
 runs AS (SELECT d, unnest(r) AS run, generate_subscripts(r, 1) AS i FROM (SELECT d, {_runs("words", 20)} AS r FROM w)),
 late AS (SELECT d, i FROM (SELECT d, i, row_number() OVER (PARTITION BY run ORDER BY d, i) AS turn FROM runs) WHERE turn > 1),
 gone AS (SELECT DISTINCT d, i + k AS i FROM late, range(0, 20) t(k)),

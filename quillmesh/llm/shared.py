@@ -46,6 +46,20 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def join_counted(rows: DataFrame, told: DataFrame, key: str, total: int, outer: bool = False) -> DataFrame:
+    """rows with what ``told`` (key, n, ...: one row a key that n of ``total`` rows have) says of their key; outer keeps rows it does not name.
+
+    Keys that more than a 256th of the rows have are 256 at most; they go to all executors, so that
+    their rows stay where they are, and all others are shuffled.
+    """
+    told = told.withColumnRenamed(key, "_qm_key")
+    often = F.col("n") * 256 > total
+    hot, cold = told.where(often), told.where(~often)
+    kept = rows.join(F.broadcast(hot.select("_qm_key")), F.col(key) == F.col("_qm_key"), "left_anti")
+    out = rows.join(F.broadcast(hot), F.col(key) == F.col("_qm_key")).unionByName(kept.join(cold, F.col(key) == F.col("_qm_key"), "left" if outer else "inner"))
+    return out.drop("_qm_key", "n")
+
+
 def words_of(text: Column) -> Column:
     """Array of the words of a text, empty for null; JVM only."""
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WORD), F.lit(0))

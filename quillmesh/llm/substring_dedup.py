@@ -8,8 +8,9 @@ touch grow into the runs in which repeats can lie.  Windows in these runs are th
 maximal exact repeats.
 
 The earlier of two windows is that in the smaller doc_id, then the one that starts first.  Rows
-that repeat a doc_id come in the order of their texts.  Null doc_id comes before all others, null
-texts have no words, and only ``doc_id``, ``text`` and the columns named in ``carry`` are read.
+that repeat a doc_id come in the order of a digest of their texts, and null doc_id before all
+others.  Null and blank texts have no words and are kept as empty ones; texts are read whole, and
+one that is longer than a chunk is a chunk of its own; no rows give no rows.
 """
 
 from __future__ import annotations
@@ -43,9 +44,10 @@ def _probes(chunk: Loaded, block: int, buckets: int):
 
 
 def remove_repeats(docs: DataFrame, window: int = 20, carry: list[str] | None = None, least: int | None = None) -> DataFrame:
-    """doc_id, *carry, n_words, n_removed, kept_text (the words left, joined by one space)."""
+    """doc_id, *carry, n_words, n_removed, kept_text (the words left, joined by one space); carried columns of these names are replaced."""
     if window < 2:
         raise ValueError("window must have two words at least")
+    carry = [c for c in carry or [] if c not in ("n_words", "n_removed", "kept_text")]
     chunks = Chunks(docs, carry, **({"least": least} if least else {}))
     buckets, block, carried = chunks.n, window // 2, chunks.carry
     reach = window - block + 1

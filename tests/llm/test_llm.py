@@ -10,8 +10,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillmesh.llm import bpe, chat, fingerprints, mixing, quality_rules, queries, sharding, toxicity, warc
-from quillmesh.llm.chunks import Chunks, place_among
-from quillmesh.llm.jaccard_join import Product, jaccard_components
+from quillmesh.llm.chunks import Chunks
+from quillmesh.llm.jaccard_join import Product, first_of_groups, jaccard_components
+from quillmesh.llm.ranges import Ranges, key_of, place_among
 from quillmesh.llm.shared import scratch
 from quillmesh.llm.substring_dedup import remove_repeats
 
@@ -60,7 +61,7 @@ def test_bpe_matches_library(spark):
 @pytest.mark.parametrize("bounds", [[], [4], [-3, 0, 4, 9, 10, 50], list(range(0, 600, 3))])
 def test_place_among(spark, bounds):
     values = [None, *range(-10, 620)]
-    out = spark.createDataFrame([(v,) for v in values], "v long").select("v", place_among(F.col("v"), bounds).alias("at")).collect()
+    out = spark.createDataFrame([(v,) for v in values], "v long").select("v", place_among(F.col("v"), F.array(*map(F.lit, bounds)), len(bounds)).alias("at")).collect()
     assert {r["v"]: r["at"] for r in out} == {v: 0 if v is None else sum(b <= v for b in bounds) for v in values}
 
 
@@ -69,7 +70,7 @@ def test_substring_dedup(spark, least):
     rows = corpus()
     got = Counter((r["doc_id"], r["n_words"], r["n_removed"], r["kept_text"]) for r in remove_repeats(documents(spark, rows), 20, ["source", "_extra"], least).collect())
     seen, want = set(), Counter()
-    for i, t in sorted(rows, key=lambda x: (x[0] is not None, x[0] or 0, (x[1] or "").encode())):
+    for i, t in sorted(rows, key=lambda x: (x[0] is not None, x[0] or 0, hashlib.md5((x[1] or "").encode()).digest())):
         w = (t or "").encode().split()
         gone = [False] * len(w)
         for a in range(len(w) - 19):
@@ -82,53 +83,115 @@ def test_substring_dedup(spark, least):
     assert remove_repeats(documents(spark, []), 20).count() == 0
 
 
-def brute_components(rows, n, percent):
-    sets = defaultdict(set)
-    for k, (_, t) in enumerate(rows):
+def brute_groups(rows, n, percent):
+    """For each row its set's size, its number of links, and the row that stands for its component; by all pairs."""
+    sets = []
+    for _, t in rows:
         w = (t or "").encode().lower().split()
-        sets[k] = {tuple(w[a : a + n]) for a in range(len(w) - n + 1)} if len(w) >= n else ({tuple(w)} if w else set())
-    group = {k: k for k in sets}
+        sets.append({tuple(w[a : a + n]) for a in range(len(w) - n + 1)} if len(w) >= n else ({tuple(w)} if w else set()))
+    group, links = list(range(len(rows))), [0] * len(rows)
 
     def find(x):
         while group[x] != x:
             x = group[x]
         return x
 
-    for a in sets:
+    for a in range(len(sets)):
         for b in range(a):
-            same = rows[a][0] is not None and rows[a][0] == rows[b][0]
             common = len(sets[a] & sets[b])
-            if (sets[a] and sets[b] and 100 * common >= percent * (len(sets[a]) + len(sets[b]) - common)) or (same and sets[a] and sets[b]):
+            if common and 100 * common >= percent * (len(sets[a]) + len(sets[b]) - common):
                 group[find(a)] = find(b)
-    least = defaultdict(list)
-    for k in sets:
-        least[find(k)].append(rows[k][0])
-    return Counter((rows[k][0], len(sets[k]), min((i for i in least[find(k)] if i is not None), default=None)) for k in sets)
+                links[a] += 1
+                links[b] += 1
+    return [(len(sets[k]), links[k], find(k)) for k in range(len(rows))]
+
+
+def brute_components(rows, n, percent):
+    found, least = brute_groups(rows, n, percent), defaultdict(list)
+    for (i, _), (_, _, g) in zip(rows, found, strict=True):
+        least[g].append(i)
+    return Counter((i, size, min((x for x in least[g] if x is not None), default=None), links) for (i, _), (size, links, g) in zip(rows, found, strict=True))
+
+
+def tangle():
+    """Null and repeated ids of near copies, ids at both ends of 64 bits, a chain through a null id, and a long text."""
+    r = random.Random(12)
+    body = [f"t{r.randrange(500)}" for _ in range(200)]
+    step = lambda k: " ".join(w if j % 40 >= k else f"c{j}" for j, w in enumerate(body))
+    rows = [(-(2**63), step(0)), (None, step(1)), (2**63 - 1, step(2)), (None, step(2)), (None, step(2)), (7, step(1)), (7, "quite another text it is"), (8, "quite another text it is"), (7, None), (None, "")]
+    return rows + [(9, " ".join(f"u{k % 7919}" for k in range(400_000))), (10, " ".join(f"u{k % 7919}" for k in range(390_000)))] + [(None, f"null {k} " * 3) for k in range(60)] + [(11, f"eleven {k} " * 9) for k in range(60)]
 
 
 @pytest.mark.parametrize("kw", [{}, {"least": 2000, "tile": 300}])
-def test_jaccard_components(spark, kw):
-    rows = corpus()
+@pytest.mark.parametrize("make", [corpus, tangle])
+def test_jaccard_components(spark, make, kw):
+    rows = make()
     got = Counter(tuple(r) for r in jaccard_components(documents(spark, rows), 4, 85, **kw).collect())
     assert got == brute_components(rows, 4, 85)
 
 
+def test_jaccard_large_class(spark):
+    """A class of many tiles, all of one size, and one of many sizes: each link is counted once."""
+    r = random.Random(13)
+    body = [f"b{k}" for k in range(60)]
+    rows = [(k, " ".join(f"x{k}" if j == k % 60 else w for j, w in enumerate(body))) for k in range(150)]
+    rows += [(1000 + k, " ".join(body[: r.randint(35, 60)]) + " tail") for k in range(100)] + [(2000 + k, rows[0][1]) for k in range(30)]
+    got = Counter(tuple(x) for x in jaccard_components(documents(spark, rows), 4, 70, least=3000, tile=400).collect())
+    assert got == brute_components(rows, 4, 70) and max(x[3] for x in got) > 100
+
+
+def test_first_of_groups(spark):
+    for rows in (corpus(), tangle()):
+        got, found = first_of_groups(documents(spark, rows), 4, 85), brute_groups(rows, 4, 85)
+        assert got.columns == documents(spark, []).columns
+        groups, want = defaultdict(list), Counter()
+        for (i, t), (size, _, g) in zip(rows, found, strict=True):
+            if size:
+                groups[g].append((i is None, i or 0, hashlib.md5(t.encode()).hexdigest(), t))
+            else:
+                want[i, t] += 1
+        want += Counter((None if none else i, t) for none, i, _, t in map(min, groups.values()))
+        assert Counter((x["doc_id"], x["text"]) for x in got.collect()) == want
+
+
 def test_jaccard_empty(spark):
-    assert jaccard_components(documents(spark, []), 4, 85).count() == 0
+    assert jaccard_components(documents(spark, []), 4, 85).count() == 0 == first_of_groups(documents(spark, [])).count()
 
 
 def test_product_finds_all_links():
     r = np.random.default_rng(1)
     base = [np.unique(r.integers(0, 60, 25).astype(np.uint64)) for _ in range(60)]
     base += [np.unique(np.r_[b[1:], r.integers(0, 60, 1).astype(np.uint64)]) for b in base]
-    group = list(range(len(base)))
-    for a in range(len(base)):
-        for b in range(a):
-            o = len(np.intersect1d(base[a], base[b]))
-            if 100 * o >= 70 * (len(base[a]) + len(base[b]) - o):
-                x, y = group[a], group[b]
-                group = [min(x, y) if g in (x, y) else g for g in group]
-    assert {(a, b) for a, b in Product(base, 70).links()} == {(k, g) for k, g in enumerate(group) if k != g}
+    weights, right = np.arange(1, 121), np.arange(120) % 7 < 3
+    for sides in (None, right):
+        group, many = list(range(len(base))), np.zeros(120, np.int64)
+        for a in range(len(base)):
+            for b in range(a):
+                o = len(np.intersect1d(base[a], base[b]))
+                if 100 * o >= 70 * (len(base[a]) + len(base[b]) - o) and (sides is None or right[a] != right[b]):
+                    many[a] += weights[b]
+                    many[b] += weights[a]
+                    x, y = group[a], group[b]
+                    group = [min(x, y) if g in (x, y) else g for g in group]
+        links, counts = Product(base, 70, weights, sides).links()
+        assert dict(links) == {k: g for k, g in enumerate(group) if k != g} and counts.tolist() == many.tolist() and many.any()
+
+
+def test_ranges(spark):
+    """Ranges rise with doc_id and digest, are even, and cut an id that most rows share."""
+    r = random.Random(14)
+    ids = [None] * 300 + [5] * 400 + [r.choice([-1, 1]) * r.getrandbits(r.choice([4, 30, 62])) for _ in range(500)] + [-(2**63), 2**63 - 1, 2**62, 2**62 + 1]
+    rows = [(i, f"{k} " * r.randint(1, 60)) for k, i in enumerate(ids)]
+    docs = documents(spark, rows).repartition(7)
+    ranges = Ranges(docs, "text", 4000)
+    out = [(x["key"], x["n"], x["text"]) for x in ranges.with_number(docs.select("doc_id", "text", key_of(F.col("doc_id"), F.col("text")).alias("key")), "text", "n").collect()]
+    order = sorted(rows, key=lambda x: (x[0] is not None, x[0] or 0, hashlib.md5(x[1].encode()).hexdigest()))
+    assert [x[2] for x in sorted(out)] == [t for _, t in order] and [x[1] for x in sorted(out)] == sorted(x[1] for x in out)
+    held = Counter()
+    for _, n, t in out:
+        held[n] += len(t)
+    assert ranges.n > 8 and max(held) == ranges.n - 1 and max(held.values()) <= 8000 + 300 and len({n for k, n, _ in out if k.startswith("-")}) > 2
+    assert Ranges(docs.limit(0), "text", 10).n == 1
 
 
 def test_quality_measures_and_bound(spark):
@@ -255,7 +318,7 @@ def test_fingerprints(spark):
     r = spark.range(1).select(fingerprints.containment(part, whole).alias("c"), (fingerprints.merge(part, whole) == whole).alias("m")).first()
     assert r["c"] == 1.0 and r["m"]
     following = {(r["doc_id"], r["text"]): r["next"] for r in fingerprints.with_next(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), "text", 3000).collect()}
-    order = sorted(((i, t or "") for i, t in rows), key=lambda x: (-x[0], x[1]))
+    order = sorted(((i, t or "") for i, t in rows), key=lambda x: (x[0], hashlib.md5(x[1].encode()).hexdigest()), reverse=True)
     for a, b in zip(order, [*order[1:], order[0]], strict=True):
         assert following[a] == b[1] or a == b
 
