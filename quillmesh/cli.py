@@ -56,7 +56,7 @@ def main(argv: list[str] | None = None) -> int:
             return 0
         suffix, found = ".html", lint.lint_html(files, a.paths)
     found = found.cache()
-    for r in report.diagnostic_lines(lint.ordered(found)).orderBy("path", "line", "code").toLocalIterator():
+    for r in report.diagnostic_lines(lint.ordered(found)).toLocalIterator():
         print(r["text"], file=sys.stderr)
     print(f"{targets(files, a.paths or roots, suffix).count()} files, {found.count()} findings")
     return report.exit_status(found)

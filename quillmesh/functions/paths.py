@@ -21,6 +21,13 @@ def normalize(path: Column) -> Column:
     return F.when(text == "", ".").otherwise(text)
 
 
+def tidy(path: Column) -> Column:
+    """Without empty parts and ``.``, but with each ``..`` as it is."""
+    parts = F.filter(F.split(path, "/"), lambda x: ~x.isin("", "."))
+    text = F.concat(F.when(path.startswith("/"), "/").otherwise(""), F.array_join(parts, "/"))
+    return F.when(text == "", ".").otherwise(text)
+
+
 def resolve(parent: Column, target: Column) -> Column:
     return normalize(F.when(target.startswith("/"), target).otherwise(F.concat_ws("/", parent, target)))
 

@@ -1,7 +1,10 @@
-"""Scalar functions on link targets, values and lines, as Column expressions."""
+"""Scalar functions on link targets, values and lines: Column expressions, and plain ones for what is found with offsets."""
 
 from __future__ import annotations
 
+import re
+from urllib.parse import unquote
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,6 +16,7 @@ PAGE_PLACEHOLDER = r"\{\{[^}\n]*\}\}"
 PROVENANCE = r"^(\S+) (\d{4}-\d{2}-\d{2})\n?$"
 
 _SCHEME = r"^[A-Za-z][A-Za-z0-9+.\-]*:"
+_SUFFIX = r"[^/.][^/]*(\.[^./]+)/*$"
 #: Where a text is cut into lines that may end in other ways than by a line feed.
 LINE_END = "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
 
@@ -26,10 +30,6 @@ def trim(value: Column) -> Column:
     return F.regexp_replace(value, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
 
 
-def line_feeds(text: Column) -> Column:
-    return F.regexp_replace(text, "\r\n?", "\n")
-
-
 def split_lines(text: Column) -> Column:
     """Lines at any line end; a last empty one is none."""
     parts = F.split(text, LINE_END)
@@ -54,11 +54,6 @@ def external_in_wiki(target: Column) -> Column:
     return target.startswith("#") | target.startswith("//") | has_scheme(target)
 
 
-def external_for_image(target: Column) -> Column:
-    """``//host/x`` and ``file:`` count as local here."""
-    return (target == "") | target.startswith("#") | (has_scheme(target) & ~F.lower(target).startswith("file:"))
-
-
 def external_in_html(target: Column) -> Column:
     return target.startswith("//") | has_scheme(target)
 
@@ -79,22 +74,26 @@ def needs_normalization(target: Column) -> Column:
 
 def path_suffix(path: Column) -> Column:
     """With its dot; names that begin or end with their only dot have none."""
-    return F.regexp_extract(path, r"[^/.][^/]*(\.[^./]+)/*$", 1)
-
-
-def is_image(target: Column) -> Column:
-    return F.lower(path_suffix(percent_decode(target))).isin(*(f".{s}" for s in IMAGE_SUFFIXES))
-
-
-def markdown_target(raw: Column, strip_titles: bool = False) -> Column:
-    """Angle brackets and fragment go.  A title stays part of the target unless strip_titles is set."""
-    t = trim(raw)
-    inner = F.when(t.startswith("<") & t.endswith(">"), trim(F.substring(t, F.lit(2), F.length(t) - 2))).otherwise(F.regexp_replace(t, "\\s+['\"(].*$", "") if strip_titles else t)
-    return strip_fragment(inner)
-
-
-def obsidian_target(raw: Column) -> Column:
-    return strip_fragment(trim(F.substring_index(raw, "|", 1)))
+    return F.regexp_extract(path, _SUFFIX, 1)
+
+
+def raw_target(raw: str, kind: str) -> str:
+    """The target in an image's raw text: alias, angle brackets and fragment go, a title stays part of it."""
+    if kind == "obsidian":
+        raw = raw.partition("|")[0]
+    t = raw.strip()
+    if kind == "markdown" and t.startswith("<") and t.endswith(">"):
+        t = t[1:-1].strip()
+    return t.partition("#")[0]
+
+
+def local_image(target: str) -> bool:
+    """Whether a target names an image file here; ``//host/x`` and ``file:`` do, other schemes do not."""
+    scheme = re.match(_SCHEME, target)
+    if not target or (scheme and scheme[0].lower() != "file:"):
+        return False
+    suffix = re.search(_SUFFIX, unquote(target))
+    return bool(suffix) and suffix[1][1:].lower() in IMAGE_SUFFIXES
 
 
 def spellings(target: Column) -> Column:

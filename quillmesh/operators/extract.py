@@ -5,7 +5,6 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
-from urllib.parse import unquote
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -24,24 +23,32 @@ IMAGE = re.compile(r"!\[[^\]\n]*\]\(([^)\n]+)\)")
 EMBED = re.compile(r"!\[\[([^\]\n]+)\]\]")
 
 
+_BARE = r"[\t\x1f \xa0\u1680\u2000-\u200a\u202f\u205f\u3000]*---[\t\x1f \xa0\u1680\u2000-\u200a\u202f\u205f\u3000]*"
+#: A text's first line, and all lines up to the first like it after that.
+OPENING, HEAD = rf"^{_BARE}(?:{fn.LINE_END}|\z)", rf"(?s)^({_BARE}(?:{fn.LINE_END})(?:.*?(?:{fn.LINE_END}))??){_BARE}(?:{fn.LINE_END}|\z)"
+
+
 def frontmatter(files: DataFrame) -> DataFrame:
-    """path, status (ok, missing or unterminated), entries: array of (key, line, value), last of a key only."""
-    lines = fn.split_lines(F.coalesce("text", F.lit("")))
-    rows = files.select("path", lines.alias("lines")).withColumn("bare", F.transform("lines", fn.trim))
-    rows = rows.withColumn("close", F.array_position(F.slice("bare", F.lit(2), F.greatest(F.size("bare"), F.lit(1))), F.lit("---")))
-    first = F.coalesce(F.get("bare", F.lit(0)), F.lit(""))
-    status = F.when(first != "---", "missing").when(F.col("close") == 0, "unterminated").otherwise("ok")
-    head = F.slice("bare", F.lit(2), (F.col("close") - 1).cast("int"))
+    """path, status (ok, missing or unterminated), entries: array of (key, line, value), last of a key only.
+
+    Only the head is cut out of the text and split into lines.
+    """
+    text = F.coalesce("text", F.lit(""))
+    rows = files.select("path", text.rlike(OPENING).alias("opens"), F.regexp_extract(text, HEAD, 1).alias("head"))
+    status = F.when(~F.col("opens"), "missing").when(F.col("head") == "", "unterminated").otherwise("ok")
 
     def entry(line: Column, i: Column) -> Column:
-        return F.struct(fn.trim(F.substring_index(line, ":", 1)).alias("key"), (i + 2).alias("line"), fn.unquote_value(F.substring(line, F.instr(line, ":") + 1, F.length(line))).alias("value"), (~line.startswith("#") & line.contains(":")).alias("kept"))
+        return F.struct(fn.trim(F.substring_index(line, ":", 1)).alias("key"), (i + 1).alias("line"), fn.unquote_value(F.substring(line, F.instr(line, ":") + 1, F.length(line))).alias("value"), (~line.startswith("#") & line.contains(":")).alias("kept"))
 
     def last_of_keys(found: Column) -> Column:
-        return F.filter(found, lambda e, i: ~F.exists(F.slice(found, i + 2, F.size(found)), lambda o: o["key"] == e["key"]))
+        by_key = F.array_sort(F.transform(found, lambda e: F.struct(e["key"].alias("key"), e["line"].alias("line"), e["value"].alias("value"))))
+        last = fn.once(by_key, lambda s: F.filter(s, lambda e, i: F.coalesce(F.get(s, i + 1)["key"] != e["key"], F.lit(True))))
+        by_line = F.array_sort(F.transform(last, lambda e: F.struct(e["line"].alias("line"), e["key"].alias("key"), e["value"].alias("value"))))
+        return F.transform(by_line, lambda e: F.struct(e["key"].alias("key"), e["line"].alias("line"), e["value"].alias("value")))
 
-    found = F.filter(F.transform(head, entry), lambda e: e["kept"])
-    entries = F.transform(fn.once(found, last_of_keys), lambda e: F.struct(e["key"].alias("key"), e["line"].alias("line"), e["value"].alias("value")))
-    return rows.select("path", status.alias("status"), F.when(status == "ok", entries).otherwise(F.array().cast("array<struct<key:string,line:int,value:string>>")).alias("entries"))
+    found = F.filter(F.transform(F.transform(fn.split_lines(F.col("head")), fn.trim), entry), lambda e: e["kept"])
+    none = F.array().cast("array<struct<key:string,line:int,value:string>>")
+    return rows.select("path", status.alias("status"), F.when(status == "ok", last_of_keys(found)).otherwise(none).alias("entries"))
 
 
 def frontmatter_entries(files: DataFrame) -> DataFrame:
@@ -121,20 +128,9 @@ def image_links_of(text: str) -> list[tuple]:
     found = []
     for pattern, kind in ((IMAGE, "markdown"), (EMBED, "obsidian")):
         for m in pattern.finditer(text):
-            raw = m[1]
-            if kind == "markdown":
-                t = raw.strip()
-                if t.startswith("<") and t.endswith(">"):
-                    t = t[1:-1].strip()
-            else:
-                t = raw.split("|", 1)[0].strip()
-            t = t.split("#", 1)[0]
-            scheme = re.match(r"([A-Za-z][A-Za-z0-9+.\-]*):", t)
-            if not t or (scheme and scheme[1].lower() != "file"):
-                continue
-            suffix = re.search(r"[^/.][^/]*\.([^./]+)/*$", unquote(t))
-            if suffix and suffix[1].lower() in fn.IMAGE_SUFFIXES:
-                found.append((m.start(), m.end(), text.count("\n", 0, m.start()) + 1, raw, t, m.start(1), m.end(1), kind))
+            target = fn.raw_target(m[1], kind)
+            if fn.local_image(target):
+                found.append((m.start(), m.end(), text.count("\n", 0, m.start()) + 1, m[1], target, m.start(1), m.end(1), kind))
     return sorted(found)
 
 

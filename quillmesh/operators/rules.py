@@ -1,4 +1,8 @@
-"""The 21 rules.  Each takes extracted relations and returns diagnostics: path, line, code, message, warning."""
+"""The 21 rules.  Each takes extracted relations and returns diagnostics: path, line, code, message, warning, place.
+
+``place`` is an array of integers: findings of one line are reported in its order, which is the
+order in which a file's rules look at its keys, links and elements.
+"""
 
 from __future__ import annotations
 
@@ -24,9 +28,10 @@ URL_ATTRIBUTES = ["src", "href", "poster", "data"]
 STYLESHEET, SCRIPT = "html/assets/style.css", "html/assets/theme.js"
 
 
-def found(rows: DataFrame, code: str, line: Column | int, message: Column | str, warning: bool = False) -> DataFrame:
+def found(rows: DataFrame, code: str, line: Column | int, message: Column | str, place: list[Column | int], warning: bool = False) -> DataFrame:
     as_column = lambda x: x if isinstance(x, Column) else F.lit(x)
-    return rows.select("path", as_column(line).cast("int").alias("line"), F.lit(code).alias("code"), as_column(message).alias("message"), F.lit(warning).alias("warning"))
+    order = F.array(*[as_column(x).cast("int") for x in place]).alias("place")
+    return rows.select("path", as_column(line).cast("int").alias("line"), F.lit(code).alias("code"), as_column(message).alias("message"), F.lit(warning).alias("warning"), order)
 
 
 def _quoted(text: str, value: str) -> Column:
@@ -37,55 +42,55 @@ def _quoted(text: str, value: str) -> Column:
 
 
 def src001(heads: DataFrame) -> DataFrame:
-    return found(heads.where("status = 'missing'"), "SRC001", 1, "the text does not start with a `---` line")
+    return found(heads.where("status = 'missing'"), "SRC001", 1, "the text does not start with a `---` line", [0])
 
 
 def src002(heads: DataFrame) -> DataFrame:
-    return found(heads.where("status = 'unterminated'"), "SRC002", 1, "no closing `---` line")
+    return found(heads.where("status = 'unterminated'"), "SRC002", 1, "no closing `---` line", [0])
 
 
 def _checked(heads: DataFrame, required: list[str]) -> DataFrame:
     """A row each file and key to be checked, with the entry or null; a required optional key comes twice."""
     keys = F.array(*map(F.lit, required)) if required else F.array().cast("array<string>")
     present = F.array_intersect(F.array(*[F.lit(k) for k in sorted(OPTIONAL)]), F.transform("entries", lambda e: e["key"]))
-    rows = heads.where("status = 'ok'").select("path", "entries", F.explode(F.concat(keys, present)).alias("key"))
+    rows = heads.where("status = 'ok'").select("path", "entries", F.posexplode(F.concat(keys, present)).alias("turn", "key"))
     entry = F.get(F.filter("entries", lambda e: e["key"] == F.col("key")), F.lit(0))
-    return rows.select("path", "key", entry.alias("entry"))
+    return rows.select("path", "turn", "key", entry.alias("entry"))
 
 
 def src003(heads: DataFrame, required: list[str] = REQUIRED) -> DataFrame:
-    return found(_checked(heads, required).where("entry IS NULL"), "SRC003", 1, _quoted("`%s` is absent", "key"))
+    return found(_checked(heads, required).where("entry IS NULL"), "SRC003", 1, _quoted("`%s` is absent", "key"), [0, F.col("turn"), 0])
 
 
 def src004(heads: DataFrame, required: list[str] = REQUIRED) -> DataFrame:
-    return found(_checked(heads, required).where("entry.value = ''"), "SRC004", F.col("entry.line"), _quoted("`%s` is empty", "key"))
+    return found(_checked(heads, required).where("entry.value = ''"), "SRC004", F.col("entry.line"), _quoted("`%s` is empty", "key"), [0, F.col("turn"), 0])
 
 
 def src005(heads: DataFrame, required: list[str] = REQUIRED) -> DataFrame:
     rows = _checked(heads, required).where(F.col("entry.value").rlike(fn.VALUE_PLACEHOLDER))
-    return found(rows, "SRC005", F.col("entry.line"), _quoted("`%s` holds an unexpanded placeholder", "key"))
+    return found(rows, "SRC005", F.col("entry.line"), _quoted("`%s` holds an unexpanded placeholder", "key"), [0, F.col("turn"), 1])
 
 
 def src006(heads: DataFrame) -> DataFrame:
     rows = heads.where(F.col("status") == "ok").where(~paths.name(F.col("path")).rlike(fn.FILE_NAME))
-    return found(rows, "SRC006", 1, "the file name is not `YYYY-MM-DD_slug.md`")
+    return found(rows, "SRC006", 1, "the file name is not `YYYY-MM-DD_slug.md`", [1])
 
 
 def src007(heads: DataFrame) -> DataFrame:
     name = paths.name(F.col("path"))
     rows = heads.where((F.col("status") == "ok") & name.rlike(fn.FILE_NAME)).select("path", F.inline("entries"), F.regexp_extract(name, fn.FILE_NAME, 1).alias("day"))
-    return found(rows.where("key = 'created' AND value <> day"), "SRC007", F.col("line"), "`created` is not the file name's date")
+    return found(rows.where("key = 'created' AND value <> day"), "SRC007", F.col("line"), "`created` is not the file name's date", [1])
 
 
 # Images: ``links`` is resolve.image_targets.
 
 
 def img001(links: DataFrame) -> DataFrame:
-    return found(links.where("resolved IS NULL"), "IMG001", F.col("line"), _quoted("image `%s` does not exist", "target"))
+    return found(links.where("resolved IS NULL"), "IMG001", F.col("line"), _quoted("image `%s` does not exist", "target"), [F.col("start"), 1])
 
 
 def img002(links: DataFrame) -> DataFrame:
-    return found(links.where(fn.needs_normalization(F.col("target"))), "IMG002", F.col("line"), _quoted("image target `%s` is not canonical", "target"))
+    return found(links.where(fn.needs_normalization(F.col("target"))), "IMG002", F.col("line"), _quoted("image target `%s` is not canonical", "target"), [F.col("start"), 0])
 
 
 # Wiki: ``links`` is resolve.wiki_targets of all pages.
@@ -100,26 +105,26 @@ def wiki001(files: DataFrame, links: DataFrame, wiki: str = "wiki") -> DataFrame
     index = f"{wiki}/index.md"
     linked = links.where((F.col("path") == index) & F.col("resolved").isNotNull()).select(F.col("resolved").alias("path"))
     pages = files.where(_under(wiki) & ~paths.name(F.col("path")).isin(*SPECIAL_PAGES)).select("path")
-    there = files.where(F.col("path") == index).select(F.lit(wiki).alias("root")).limit(1)
+    there = files.where((F.col("path") == index) & ~F.col("is_dir")).select(F.lit(wiki).alias("root")).limit(1)
     pages = pages.withColumn("root", F.lit(wiki)).join(there, "root", "left_semi")
-    return found(pages.join(linked, "path", "left_anti"), "WIKI001", 1, "the index has no link to this page")
+    return found(pages.join(linked, "path", "left_anti"), "WIKI001", 1, "the index has no link to this page", [1])
 
 
 def wiki002(links: DataFrame) -> DataFrame:
-    return found(links.where("resolved IS NULL"), "WIKI002", F.col("line"), _quoted("link target `%s` does not exist", "target"))
+    return found(links.where("resolved IS NULL"), "WIKI002", F.col("line"), _quoted("link target `%s` does not exist", "target"), [2, F.col("ord")])
 
 
 def wiki003(links: DataFrame) -> DataFrame:
     to = F.col("resolved")
     emphasis = F.col("label").contains("*") | F.col("label").contains("\\_")
     rows = links.where(to.isNotNull() & (fn.path_suffix(paths.name(to)) == ".md") & paths.stem(to).contains("_") & emphasis)
-    return found(rows, "WIKI003", F.col("line"), "the label reads as emphasis; write spaces for the file name's underscores")
+    return found(rows, "WIKI003", F.col("line"), "the label reads as emphasis; write spaces for the file name's underscores", [3, F.col("ord")])
 
 
 def wiki004(files: DataFrame, links: DataFrame, wiki: str = "wiki", sources: str = "sources") -> DataFrame:
     linked = links.where(F.col("path").startswith(f"{wiki}/") & F.col("resolved").isNotNull()).select(F.col("resolved").alias("path"))
     notes = files.where(_under(sources)).select("path")
-    return found(notes.join(linked, "path", "left_anti"), "WIKI004", 1, "no wiki page links to this note")
+    return found(notes.join(linked, "path", "left_anti"), "WIKI004", 1, "no wiki page links to this note", [4])
 
 
 # Pages: ``elements`` is extract.html_elements.
@@ -130,55 +135,55 @@ def _resolves_to(target: Column, asset: str) -> Column:
 
 
 def html001(elements: DataFrame) -> DataFrame:
-    rows = elements.where(F.col("tag").isin(*RESOURCE_TAGS)).select("path", "line", F.explode(F.array(*map(attribute, URL_ATTRIBUTES))).alias("target"))
-    return found(rows.where((F.col("target") != "") & fn.external_in_html(F.col("target"))), "HTML001", F.col("line"), _quoted("external resource `%s`", "target"))
+    rows = elements.where(F.col("tag").isin(*RESOURCE_TAGS)).select("path", "ord", "line", F.posexplode(F.array(*map(attribute, URL_ATTRIBUTES))).alias("turn", "target"))
+    return found(rows.where((F.col("target") != "") & fn.external_in_html(F.col("target"))), "HTML001", F.col("line"), _quoted("external resource `%s`", "target"), [0, F.col("ord"), F.col("turn") + 2])
 
 
 def html002(elements: DataFrame) -> DataFrame:
     src = attribute("src")
     shared = (src != "") & ~fn.external_in_html(src) & _resolves_to(src, SCRIPT)
-    return found(elements.where((F.col("tag") == "script") & ~shared), "HTML002", F.col("line"), "only the shared script may be loaded")
+    return found(elements.where((F.col("tag") == "script") & ~shared), "HTML002", F.col("line"), "only the shared script may be loaded", [0, F.col("ord"), 0])
 
 
 def html003(elements: DataFrame) -> DataFrame:
-    return found(elements.where("tag = 'iframe'"), "HTML003", F.col("line"), "iframe is not allowed")
+    return found(elements.where("tag = 'iframe'"), "HTML003", F.col("line"), "iframe is not allowed", [0, F.col("ord"), 1])
 
 
 def html004(pages: DataFrame, elements: DataFrame) -> DataFrame:
     href = attribute("href")
     sheets = elements.where((F.col("tag") == "link") & F.lower(attribute("rel")).contains("stylesheet") & ~fn.external_in_html(href))
-    wrong = found(sheets.where(~_resolves_to(href, STYLESHEET)), "HTML004", F.col("line"), F.format_string("stylesheet `%s` is not the shared one", href))
+    wrong = found(sheets.where(~_resolves_to(href, STYLESHEET)), "HTML004", F.col("line"), F.format_string("stylesheet `%s` is not the shared one", href), [1, F.col("ord")])
     none = pages.select("path").join(sheets.select("path"), "path", "left_anti")
-    return wrong.unionByName(found(none, "HTML004", 1, "the shared stylesheet is absent"))
+    return wrong.unionByName(found(none, "HTML004", 1, "the shared stylesheet is absent", [1, 0]))
 
 
 def html005(pages: DataFrame, declared: DataFrame) -> DataFrame:
-    wrong = found(declared.where("src_path IS NULL"), "HTML005", F.col("line"), _quoted("wiki-source `%s` is not `<path> <YYYY-MM-DD>`", "content"))
+    wrong = found(declared.where("src_path IS NULL"), "HTML005", F.col("line"), _quoted("wiki-source `%s` is not `<path> <YYYY-MM-DD>`", "content"), [2, F.col("ord")])
     none = pages.where(paths.name(F.col("path")) != "index.html").select("path").join(declared.select("path"), "path", "left_anti")
-    return wrong.unionByName(found(none, "HTML005", 1, "no wiki-source meta"))
+    return wrong.unionByName(found(none, "HTML005", 1, "no wiki-source meta", [2, 0]))
 
 
 def html_targets(elements: DataFrame) -> DataFrame:
-    """path, line, target, resolved: the local targets of any tag."""
-    rows = elements.select("path", "line", F.explode(F.array(*map(attribute, URL_ATTRIBUTES))).alias("target"))
+    """path, ord, line, turn, target, resolved: the local targets of any tag."""
+    rows = elements.select("path", "ord", "line", F.posexplode(F.array(*map(attribute, URL_ATTRIBUTES))).alias("turn", "target"))
     rows = rows.where((F.col("target") != "") & ~fn.external_in_html(F.col("target")) & ~F.col("target").startswith("#"))
     local = rows.withColumn("local", fn.strip_fragment(fn.percent_decode(F.col("target")))).where("local <> ''")
-    return local.select("path", "line", "target", paths.resolve(paths.parent(F.col("path")), F.col("local")).alias("resolved"))
+    return local.select("path", "ord", "line", "turn", "target", paths.resolve(paths.parent(F.col("path")), F.col("local")).alias("resolved"))
 
 
 def html006(elements: DataFrame, declared: DataFrame, inventory: DataFrame) -> DataFrame:
     there = inventory.select(F.col("path").alias("resolved"))
     links = html_targets(elements).join(there, "resolved", "left_anti")
     sources = declared.where("src_path IS NOT NULL").withColumn("resolved", paths.normalize(F.col("src_path"))).join(there, "resolved", "left_anti")
-    gone = found(sources, "HTML006", F.col("line"), _quoted("wiki-source `%s` does not exist", "src_path"))
-    return found(links, "HTML006", F.col("line"), _quoted("link target `%s` does not exist", "target")).unionByName(gone)
+    gone = found(sources, "HTML006", F.col("line"), _quoted("wiki-source `%s` does not exist", "src_path"), [4, F.col("ord")])
+    return found(links, "HTML006", F.col("line"), _quoted("link target `%s` does not exist", "target"), [3, F.col("ord"), F.col("turn")]).unionByName(gone)
 
 
 def html007(placeholders: DataFrame) -> DataFrame:
-    return found(placeholders, "HTML007", F.col("line"), _quoted("unexpanded placeholder `%s`", "placeholder"))
+    return found(placeholders, "HTML007", F.col("line"), _quoted("unexpanded placeholder `%s`", "placeholder"), [5, F.col("ord")])
 
 
 def html008(declared: DataFrame, files: DataFrame) -> DataFrame:
     now = files.select(F.col("path").alias("resolved"), fn.page_updated(F.col("text")).alias("now"))
     rows = declared.where("src_path IS NOT NULL").withColumn("resolved", paths.normalize(F.col("src_path"))).join(now, "resolved")
-    return found(rows.where("now <> declared"), "HTML008", F.col("line"), F.format_string("`%s` was updated on %s, after %s", "src_path", "now", "declared"), True)
+    return found(rows.where("now <> declared"), "HTML008", F.col("line"), F.format_string("`%s` was updated on %s, after %s", "src_path", "now", "declared"), [4, F.col("ord")], True)

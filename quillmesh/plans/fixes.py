@@ -18,21 +18,24 @@ from pyspark.sql import functions as F
 from ..functions import paths
 from ..functions import text as fn
 from ..operators import extract, resolve
+from ..scratch import stage
 from ..sources.vault import inventory, targets
 
 EDITS = "path string, new_text string, fixed boolean, normalized_links int, removed_links int"
 
 
 def rename_plan(links: DataFrame, there: DataFrame) -> DataFrame:
-    """source, destination of each file to be renamed; links is resolve.image_targets."""
+    """source, destination of each file to be renamed, no two to one place; links is resolve.image_targets."""
     new = fn.canonical_target(F.col("target"))
     rows = links.where(fn.needs_normalization(F.col("target")) & F.col("resolved").isNotNull()).select("path", "start", "target", "resolved", new.alias("new"))
     taken = rows.select("path", "start", F.explode(resolve.image_candidates(F.col("path"), F.col("new"))).alias("p")).join(there.select(F.col("path").alias("p")), "p")
     rows = rows.join(taken.select("path", "start"), ["path", "start"], "left_anti")
-    single = ~fn.percent_decode(F.col("target")).contains("/")
+    single = F.size(F.filter(F.split(fn.percent_decode(F.col("target")), "/"), lambda x: ~x.isin("", "."))) == 1
     beside = paths.resolve(paths.parent(F.col("resolved")), paths.name(F.col("new")))
     to: Column = F.when(F.col("new").startswith("/"), F.col("new")).when(single, beside).otherwise(paths.resolve(paths.parent(F.col("path")), F.col("new")))
-    return rows.select(F.col("resolved").alias("source"), to.alias("destination")).where("source <> destination").groupBy("source").agg(F.min("destination").alias("destination"))
+    moves = rows.select(F.col("resolved").alias("source"), to.alias("destination")).where("source <> destination")
+    once = moves.groupBy("source").agg(F.min("destination").alias("destination"))
+    return once.groupBy("destination").agg(F.min("source").alias("source")).select("source", "destination")
 
 
 def rewritten(raw: str, new: str, kind: str) -> str:
@@ -45,8 +48,9 @@ def rewritten(raw: str, new: str, kind: str) -> str:
     before, after = raw[: len(raw) - len(raw.lstrip())], raw[len(raw.rstrip()) :]
     if body.startswith("<") and ">" in body:
         return f"{before}<{new}>{body[body.index('>') + 1 :]}{after}"
-    title = re.search(r"\s+['\"(]", body)
-    return f"{before}{new}{body[title.start() :] if title and title.start() else ''}{after}"
+    path = re.match(r"\S+", body)
+    rest = body[path.end() :] if path else ""
+    return f"{before}{new}{rest if re.match(r'\s+[\'\"(]', rest) else ''}{after}"
 
 
 def _splice(text: str, edits: list[tuple[int, int, str]]) -> str:
@@ -92,17 +96,33 @@ def plan(files: DataFrame, chosen: list[str] | None = None) -> tuple[DataFrame,
 
 
 def apply(root: str, renames: DataFrame, edits: DataFrame) -> dict[str, int]:
-    """Carries out a plan on a directory: renames first, then the texts that change."""
-    moved, written, links, removed = 0, 0, 0, 0
-    pairs, texts = [tuple(r) for r in renames.collect()], edits.where("fixed").collect()
-    for source, destination in pairs:
-        to = os.path.join(root, destination)
-        if not os.path.exists(to):
-            os.makedirs(os.path.dirname(to), exist_ok=True)
-            os.rename(os.path.join(root, source), to)
-            moved += 1
-    for r in texts:
-        with open(os.path.join(root, r["path"]), "w", encoding="utf-8") as f:
-            f.write(r["new_text"])
-        written, links, removed = written + 1, links + r["normalized_links"], removed + r["removed_links"]
-    return {"fixed_files": written, "normalized_links": links, "renamed_files": moved, "removed_links": removed}
+    """Carries out a plan on a directory that all executors reach: renames first, then the texts that change.
+
+    The plan is written down before, as it would look at files that have moved; files are moved
+    and written where their rows are, and only counts come back.
+    """
+    moves, texts = stage(renames, "renames"), stage(edits.where("fixed"), "edits")
+
+    def move(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            done = 0
+            for source, destination in zip(b.column("source").to_pylist(), b.column("destination").to_pylist(), strict=True):
+                to = os.path.join(root, destination)
+                if not os.path.exists(to):
+                    os.makedirs(os.path.dirname(to), exist_ok=True)
+                    os.rename(os.path.join(root, source), to)
+                    done += 1
+            yield pa.RecordBatch.from_arrays([pa.array([done], pa.int64())], names=["n"])
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for path, text in zip(b.column("path").to_pylist(), b.column("new_text").to_pylist(), strict=True):
+                with open(os.path.join(root, path), "w", encoding="utf-8") as f:
+                    f.write(text)
+            sums = [b.num_rows, *(sum(b.column(c).to_pylist()) for c in ("normalized_links", "removed_links"))]
+            yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in sums], names=["files", "links", "removed"])
+
+    moved = moves.mapInArrow(move, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    sums = [F.coalesce(F.sum(c), F.lit(0)) for c in ("files", "links", "removed")]
+    files, links, removed = texts.mapInArrow(write, "files long, links long, removed long").agg(*sums).first()
+    return {"fixed_files": files, "normalized_links": links, "renamed_files": moved, "removed_links": removed}

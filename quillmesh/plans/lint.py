@@ -59,7 +59,8 @@ def lint_html(files: DataFrame, chosen: list[str] | None = None) -> DataFrame:
 
 
 def ordered(diagnostics: DataFrame) -> DataFrame:
-    return diagnostics.orderBy("path", "line", "code", "message")
+    """By path and line, then as the rules come."""
+    return diagnostics.orderBy("path", "line", "place", "code", "message")
 
 
 def summary(diagnostics: DataFrame) -> DataFrame:
@@ -83,7 +84,8 @@ def candidates(files: DataFrame, least_sources: int = 3, least_bytes: int = 30_0
     declared = declared.withColumn("resolved", paths.normalize(F.col("src_path")))
     now = files.select(F.col("path").alias("resolved"), fn.page_updated(F.col("text")).alias("now"))
     stale = declared.join(now, "resolved", "left").groupBy("path").agg(F.bool_or(F.coalesce(F.col("now") != F.col("declared"), F.lit(False))).alias("stale"))
-    pages = declared.join(stale, "path").groupBy(F.col("resolved").alias("path")).agg(F.sort_array(F.collect_list(F.struct(paths.order_key(F.col("path")).alias("k"), "ord", "path"))).alias("p"), F.bool_or("stale").alias("stale"))
+    # a declaration is of the page that it names as written: one that climbs with .. names no page of the listing
+    pages = declared.join(stale, "path").groupBy(paths.tidy(F.col("src_path")).alias("path")).agg(F.sort_array(F.collect_list(F.struct(paths.order_key(F.col("path")).alias("k"), "ord", "path"))).alias("p"), F.bool_or("stale").alias("stale"))
     state = F.when(F.col("p").isNull(), "missing").when(F.col("stale"), "stale").otherwise("current")
     html = F.coalesce(F.transform("p", lambda x: x["path"]), F.array().cast("array<string>"))
     return kept.join(pages, "path", "left").select(F.col("path").alias("page"), "source_count", "total_bytes", state.alias("state"), html.alias("html_pages"))

@@ -9,7 +9,7 @@ from ..functions import text as fn
 
 
 def diagnostic_lines(diagnostics: DataFrame) -> DataFrame:
-    return diagnostics.select("path", "line", "code", F.format_string("%s%s:%d: [%s] %s", F.when(F.col("warning"), "warning: ").otherwise(""), "path", "line", "code", "message").alias("text"))
+    return diagnostics.select("path", "line", "code", F.format_string("%s:%d: [%s] %s%s", "path", "line", "code", F.when(F.col("warning"), "warning: ").otherwise(""), "message").alias("text"))
 
 
 def exit_status(diagnostics: DataFrame) -> int:

@@ -3,4 +3,3 @@
 FILE = "path string, is_dir boolean, size bigint, text string"
 ELEMENT = "path string, ord int, tag string, attrs map<string,string>, line int"
 IMAGE_LINK = "path string, start int, end int, line int, raw_target string, target string, target_start int, target_end int, kind string"
-DIAGNOSTIC = "path string, line int, code string, message string, warning boolean"

@@ -15,42 +15,58 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from .. import schemas
-from ..functions import paths
 
 
 class Part(InputPartition):
-    def __init__(self, names: list[tuple[str, bool]]):
-        self.names = names
+    """Directories, and whether all below each belongs to it or only its own files."""
+
+    def __init__(self, units: list[tuple[str, bool]]):
+        self.units = units
 
 
 class VaultReader(DataSourceReader):
     def __init__(self, options: dict[str, str]):
         self.root = options["path"].removeprefix("file://")
         self.suffixes = tuple(s.strip() for s in options.get("suffixes", ".md,.html").split(","))
-        self.count = int(options.get("partitions", "16"))
+        self.count = int(options.get("partitions", "64"))
+
+    def _folders(self, name: str) -> list[str]:
+        with os.scandir(os.path.join(self.root, name)) as found:
+            return sorted(os.path.normpath(os.path.join(name, e.name)) for e in found if e.is_dir(follow_symlinks=False))
 
     def partitions(self) -> list[Part]:
-        names = [(".", True)]
-        for top, folders, files in os.walk(self.root):
-            for kind, found in ((True, folders), (False, files)):
-                names += [(os.path.relpath(os.path.join(top, f), self.root), kind) for f in found]
-        names.sort()
-        n = max(1, min(self.count, len(names)))
-        return [Part(names[i::n]) for i in range(n)]
+        """The driver opens directories, the widest levels first, until there are enough for the tasks, which walk what is below."""
+        opened, waiting = [], ["."]
+        while waiting and len(opened) + len(waiting) < 4 * self.count:
+            opened += waiting
+            waiting = [f for name in waiting for f in self._folders(name)]
+        units = [(name, False) for name in opened] + [(name, True) for name in waiting]
+        return [Part(units[i :: self.count]) for i in range(min(self.count, len(units)))]
 
     def read(self, partition: Part) -> Iterator[tuple]:
-        for name, is_dir in partition.names:
-            full = os.path.join(self.root, name)
-            text, size = None, 0
-            if not is_dir:
-                try:
-                    size = os.path.getsize(full)
-                    if name.endswith(self.suffixes):
-                        with open(full, encoding="utf-8") as f:
-                            text = f.read()
-                except (OSError, UnicodeDecodeError):
-                    text = None
-            yield name, is_dir, size, text
+        for unit, whole in partition.units:
+            for top, folders, files in os.walk(os.path.join(self.root, unit)):
+                here = os.path.relpath(top, self.root)
+                yield here, True, 0, None
+                for f in files:
+                    yield self._file(os.path.normpath(os.path.join(here, f)))
+                # directories that are links are listed and not entered
+                for f in folders:
+                    if os.path.islink(os.path.join(top, f)):
+                        yield os.path.normpath(os.path.join(here, f)), True, 0, None
+                if not whole:
+                    break
+
+    def _file(self, name: str) -> tuple:
+        full, text, size = os.path.join(self.root, name), None, 0
+        try:
+            size = os.path.getsize(full)
+            if name.endswith(self.suffixes):
+                with open(full, encoding="utf-8") as f:
+                    text = f.read()
+        except (OSError, UnicodeDecodeError):
+            text = None
+        return name, False, size, text
 
 
 class Vault(DataSource):
@@ -86,7 +102,3 @@ def inventory(files: DataFrame) -> DataFrame:
     each = files.select("path", "is_dir", F.explode(F.array_union(made, F.array(F.lit(".")))).alias("p"))
     return each.groupBy(F.col("p").alias("path")).agg(F.bool_and((F.col("p") != F.col("path")) | F.col("is_dir")).alias("is_dir"))
 
-
-def with_names(files: DataFrame) -> DataFrame:
-    p = F.col("path")
-    return files.withColumns({"parent": paths.parent(p), "name": paths.name(p), "stem": paths.stem(p)})
