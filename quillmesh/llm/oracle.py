@@ -160,21 +160,47 @@ WITH RECURSIVE w AS (
   SELECT doc_id, {_words("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS words FROM documents),
 s AS MATERIALIZED (
   SELECT doc_id, CASE WHEN len(words) >= 4 THEN list_sort(list_distinct({_runs("words", 4)})) WHEN len(words) > 0 THEN [array_to_string(words, ' ')] ELSE [] END AS grams FROM w),
-r AS MATERIALIZED (SELECT grams, len(grams) AS n, min(doc_id) AS rep FROM s WHERE len(grams) > 0 GROUP BY grams),
+r AS MATERIALIZED (SELECT *, row_number() OVER () AS rep FROM (SELECT grams, len(grams) AS n, min(doc_id) AS least, count(*) AS many FROM s WHERE len(grams) > 0 GROUP BY grams)),
 e AS MATERIALIZED (SELECT rep, n, unnest(grams) AS gram FROM r),
 l AS MATERIALIZED (
   SELECT a.rep AS a, b.rep AS b FROM e a JOIN e b ON a.gram = b.gram AND a.rep < b.rep AND 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n)
   GROUP BY a.rep, b.rep, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
 both_ways AS MATERIALIZED (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
 reach(node, other) AS (SELECT rep, rep FROM r UNION SELECT both_ways.b, reach.other FROM reach JOIN both_ways ON both_ways.a = reach.node),
-least_of AS (SELECT node, min(other) AS component FROM reach GROUP BY node)
-SELECT s.doc_id, CAST(len(s.grams) AS BIGINT) AS n_shingles, coalesce(component, s.doc_id) AS component_id
-FROM s LEFT JOIN r ON s.grams = r.grams LEFT JOIN least_of ON node = rep"""
+least_of AS (SELECT node, min(least) AS component FROM reach JOIN r ON rep = other GROUP BY node),
+linked AS (SELECT a, sum(many) AS more FROM both_ways JOIN r ON rep = b GROUP BY a)
+SELECT s.doc_id, CAST(len(s.grams) AS BIGINT) AS n_shingles, CASE WHEN rep IS NULL THEN s.doc_id ELSE component END AS component_id,
+  CAST(CASE WHEN rep IS NULL THEN 0 ELSE many - 1 + coalesce(more, 0) END AS BIGINT) AS n_links
+FROM s LEFT JOIN r ON s.grams = r.grams LEFT JOIN least_of ON node = rep LEFT JOIN linked ON a = rep"""
+
+_SHARDS = 24
+#: The 256 remainders of the polynomial that CRC-32 divides by, bits in reverse.
+_REMAINDERS = "list_transform(range(0, 256), lambda b: list_reduce([CAST(b AS UBIGINT)] || list_transform(range(0, 8), lambda k: CAST(0 AS UBIGINT)), lambda c, z: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384::UBIGINT) ELSE c // 2 END))"
+
+
+def _best_of(shards: int) -> str:
+    """Shard of the largest draw, by a digest of the key and the shard."""
+    draw = "substr(md5(key || '/' || CAST(i AS VARCHAR)), 1, 13)"
+    return f"(SELECT arg_max(i, ({draw}, -i)) FROM range(0, {shards}) t(i))"
+
+
+SHARDING = f"""
+WITH d AS (
+  SELECT doc_id, coalesce(CAST(doc_id AS VARCHAR), 'null') AS key, encode(coalesce(text, '')) AS raw, coalesce(text, '') AS text FROM documents),
+placed AS (
+  SELECT *, {_best_of(_SHARDS)} AS shard, {_best_of(_SHARDS + 1)} AS grown, octet_length(raw) + 8 AS size,
+    xor(list_reduce([4294967295::UBIGINT] || list_transform(range(0, octet_length(raw)), lambda i: CAST(('0x' || substr(hex(raw), 1 + 2 * i, 2)) AS UBIGINT)),
+      lambda c, b: xor({_REMAINDERS}[1 + CAST(xor(c, b) % 256 AS INTEGER)], c // 256)), 4294967295::UBIGINT) AS crc
+  FROM d)
+SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(crc AS BIGINT) AS text_crc32, 'key' AS law, CAST(shard AS INTEGER) AS shard,
+  row_number() OVER (PARTITION BY shard ORDER BY substr(md5(key || '/' || size || '/' || crc), 1, 2), doc_id NULLS FIRST, size, crc) - 1 AS slot, CAST(grown AS INTEGER) AS grown_shard
+FROM placed"""
 
 ORACLE_SQL: dict[str, str] = {
     "op2_substring_dedup": SUBSTRING_DEDUP,
     "op3_quality_rules": QUALITY_RULES,
     "op4_chat_format": CHAT_FORMAT,
+    "op5_sharding": SHARDING,
     "op7_mixing": MIXING,
     "op8_warc": WARC,
     "op9_ngram_jaccard": NGRAM_JACCARD,

@@ -4,7 +4,11 @@ Each shard draws a number for the key; the shard whose draw, scaled by its weigh
 the record.  A shard that is added can only win records for itself, so no record moves between
 the others.  Only the key and the shards decide; a null key is a key like any other (all of its
 rows share a shard).  Places within a shard are numbered in two steps, counts of many small
-cells first, so that no task ever orders a whole shard.
+cells first, so that no task ever orders a whole shard.  A row's cell comes from a digest of its
+key and of the columns carried, so rows of one frequent key are dealt over all cells.
+
+Repeated rows each get a slot; keys of any type that casts to text will do; input columns called
+shard, slot or grown_shard are replaced; no rows give no rows.
 """
 
 from __future__ import annotations
@@ -12,10 +16,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Hexadecimal digits of a row's digest that name its cell.
+CELL_DIGITS = 2
+
+
+def _text_of(key: Column) -> Column:
+    return F.coalesce(key.cast("string"), F.lit("null"))
+
 
 def _draw(key: Column, shard: int) -> Column:
-    """Uniform in 0 to 1, from 60 bits of a digest."""
-    digest = F.md5(F.concat_ws("/", F.coalesce(key.cast("string"), F.lit("null")), F.lit(str(shard))))
+    """Uniform in 0 to 1, from 52 bits of a digest."""
+    digest = F.md5(F.concat_ws("/", _text_of(key), F.lit(str(shard))))
     return (F.conv(F.substring(digest, 1, 13), 16, 10).cast("long").cast("double") + 0.5) / float(1 << 52)
 
 
@@ -27,9 +38,9 @@ def shard_of(key: Column, weights: list[float]) -> Column:
     return (-(F.greatest(*entries) if len(entries) > 1 else entries[0])["shard"]).cast("int")
 
 
-def with_slots(rows: DataFrame, key: str, shard: str = "shard", cells: int = 256, ties: list[str] | None = None) -> DataFrame:
-    """Adds ``slot``, gapless from 0 within each shard; rows of equal key stand together, ordered by ties."""
-    cell = F.pmod(F.xxhash64(F.col(key)), F.lit(cells)).cast("int")
+def with_slots(rows: DataFrame, key: str, shard: str = "shard", ties: list[str] | None = None) -> DataFrame:
+    """Adds ``slot``, gapless from 0 within each shard: by the cell, then by key and ties."""
+    cell = F.substring(F.md5(F.concat_ws("/", *[_text_of(F.col(c)) for c in [key, *(ties or [])]])), 1, CELL_DIGITS)
     rows = rows.drop("slot").withColumn("_qm_cell", cell)
     counts = rows.groupBy(shard, "_qm_cell").agg(F.count(F.lit(1)).alias("_qm_n"))
     before = Window.partitionBy(shard).orderBy("_qm_cell").rowsBetween(Window.unboundedPreceding, -1)
@@ -46,7 +57,3 @@ def assign_shards(docs: DataFrame, key: str, weights: list[float], carry: list[s
     rows = docs.select(key, *carry, shard_of(F.col(key), weights).alias("shard"), grown.alias("grown_shard"))
     return with_slots(rows, key, ties=carry)
 
-
-def write_shards(docs: DataFrame, key: str, weights: list[float], path: str) -> None:
-    """Whole rows as Parquet, a folder a shard."""
-    docs.withColumn("shard", shard_of(F.col(key), weights)).write.partitionBy("shard").parquet(path)

@@ -3,26 +3,33 @@
 Each class models a word letter by letter, with contexts of up to ``ORDER - 1`` letters from the
 word's start.  A class's counts are discounted and fall back on one Kneser-Ney distribution that
 both share, counted over the words of all documents, to which ``BELIEF`` further counts of every
-context go, so where a class has seen little the two say the same and cancel: for a letter that neither saw after a context, the ratio
-of the two models is that of their backoff weights alone.  New forms of a toxic stem are therefore
-found by the stem.  A document counts a word once, so a long or repetitive one weighs no more.
+context go, so where a class has seen little the two say the same and cancel: for a letter that
+neither saw after a context, the ratio of the two models is that of their backoff weights alone.
+New forms of a toxic stem are therefore found by the stem.  A document counts a word once, so a
+long or repetitive one weighs no more.
 
 The text's words give log-likelihood ratios.  Their means, that is length-normalised, over the
-whole text and over its most toxic windows of one word and of four are the inputs of a logistic curve,
-fitted on labelled rows scored by models that have not seen them (one for each fold).  Every word of every text is scored.
+whole text and over its most toxic windows of one word and of four are the inputs of a logistic
+curve.  It is fitted on labelled rows scored by models whose class counts leave out their fold; the
+shared backoff knows no labels and has seen their words, as it has those of any document scored.
+Every word of every text is scored.  Learning and scoring cut words by the same function.
 
 The class counts and the curve are fitted on at most ``rows`` labelled documents of each label
 (those of the lowest hashed id); all their letter sequences are kept.  The shared counts stay in
 Spark; those of sequences that neither class has seen cancel and are not fetched.  Nulls and texts
 without words score as no evidence; rows without a label, or with a null one, are not learnt from.
-Repeated rows score alike, and only ``doc_id`` and ``text`` are read.
+Of rows that repeat a labelled doc_id one is learnt from, the first by digest.  Repeated texts
+score alike; only ``doc_id`` and ``text`` are read, so other columns cannot clash.  Where no row is
+labelled toxic no document is taken for it, and without documents there are no rows.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections import defaultdict
+import sys
+import unicodedata
+from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
@@ -32,13 +39,30 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .ranges import digest
 from .shared import batches_of, lean, release, stage
 
 ORDER, DISCOUNT, WINDOWS, FOLDS = 6, 0.75, (1, 4), 4
 #: Counts of every context that are taken to follow the shared backoff.
 BELIEF = 100.0
-_TOKEN = re.compile(r"[^\W_]+")
-TOKEN_SQL = r"(?U)[^\W_]+"
+#: Words that a task counts before it sends the counts on.
+HELD = 200_000
+
+
+def _marks() -> str:
+    """A pattern's ranges of all combining marks, which belong to the word they stand in."""
+    codes = [c for c in range(sys.maxunicode + 1) if unicodedata.category(chr(c))[0] == "M"]
+    starts = [c for k, c in enumerate(codes) if not k or codes[k - 1] < c - 1]
+    ends = [c for k, c in enumerate(codes) if k + 1 == len(codes) or codes[k + 1] > c + 1]
+    return "".join(f"{chr(a)}-{chr(b)}" for a, b in zip(starts, ends, strict=True))
+
+
+_TOKEN = re.compile(rf"[\w{_marks()}]+")
+
+
+def words_in(text: str | None) -> list[str]:
+    """Lower-cased runs of letters, marks and digits."""
+    return _TOKEN.findall((text or "").lower().replace("_", " "))
 
 
 def grams_of(word: str) -> list[str]:
@@ -53,6 +77,8 @@ class Spelling:
     ratio: dict[str, float]
     weight: dict[str, float]
     curve: list[float] = field(default_factory=lambda: [0.0] * (2 + len(WINDOWS)))
+    #: Mean log loss of the labelled rows, each scored without its fold.
+    loss: float = math.nan
     known: dict[str, float] = field(default_factory=dict, repr=False)
 
     def word(self, word: str) -> float:
@@ -70,7 +96,7 @@ class Spelling:
 
     def inputs(self, text: str | None) -> list[float]:
         """Mean ratio a word: of the whole text, and of its most toxic window of each length."""
-        words = _TOKEN.findall((text or "").lower())
+        words = words_in(text)
         if not words:
             return [0.0] * (1 + len(WINDOWS))
         known = self.known
@@ -84,6 +110,29 @@ class Spelling:
         return 1 / (1 + math.exp(-min(50.0, max(-50.0, at))))
 
 
+def count_words(rows: DataFrame) -> DataFrame:
+    """(fold, toxic, text) -> fold, toxic, word, n: partial counts of the documents that hold each word."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: dict[tuple, Counter] = defaultdict(Counter)
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            for (fold, toxic), own in counts.items():
+                n = len(own)
+                yield pa.RecordBatch.from_arrays([pa.array([fold] * n, pa.int32()), pa.array([toxic] * n, pa.int32()), pa.array(list(own), pa.string()), pa.array(list(own.values()), pa.int64())], names=["fold", "toxic", "word", "n"])
+            counts.clear()
+
+        for batch in batches:
+            for b in batches_of(batch, 256):
+                for fold, toxic, text in zip(*(b.column(c).to_pylist() for c in ("fold", "toxic", "text")), strict=True):
+                    counts[fold, toxic].update(set(words_in(text)))
+                if sum(map(len, counts.values())) > HELD:
+                    yield from flush()
+        yield from flush()
+
+    return rows.select("fold", "toxic", "text").mapInArrow(lean(run), "fold int, toxic int, word string, n long")
+
+
 def sequences(words: DataFrame, cells: list[str]) -> DataFrame:
     """words(word, n, *cells) -> gram, *cells, n, others, kinds: what Kneser-Ney needs to know of each sequence of ``cells``.
 
@@ -144,7 +193,7 @@ def fit_curve(inputs: np.ndarray, labels: np.ndarray, weights: np.ndarray, steps
     x = np.c_[np.ones(len(inputs)), inputs]
     b = np.zeros(x.shape[1])
     if not len(x) or not 0 < labels.sum() < len(labels):
-        b[0] = 0.0 if not len(x) else (3.0 if labels.all() else -3.0)
+        b[0] = 3.0 if len(x) and labels.all() else -3.0
         return b.tolist()
     pull = np.diag([1e-3, *[1e-2] * (x.shape[1] - 1)])
     for _ in range(steps):
@@ -169,11 +218,12 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = 10_000) -> Spelling:
         kept.append(own.orderBy("_qm_turn").limit(rows))
     sample = kept[0].unionByName(kept[1]).withColumn("fold", F.pmod(F.col("_qm_turn"), F.lit(FOLDS)).cast("int"))
     # the sample has 2 * rows short rows at most, so every executor can hold it
-    texts = docs.select("doc_id", F.lower(F.coalesce("text", F.lit(""))).alias("text")).join(F.broadcast(sample.select("doc_id", "toxic", "fold")), "doc_id", "left")
-    chosen = stage(texts.where("toxic IS NOT NULL").select("toxic", "fold", "text"), "labelled")
+    texts = docs.select("doc_id", "text").join(F.broadcast(sample.select("doc_id", "toxic", "fold")), "doc_id")
+    chosen = stage(texts.groupBy("doc_id", "toxic", "fold").agg(F.min_by("text", digest(F.col("text"))).alias("text")), "labelled")
     cells = [((F.col("fold") == k) & (F.col("toxic") == y), f"n{k}_{y}") for k in range(FOLDS) for y in (1, 0)]
-    words = texts.select("toxic", "fold", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(TOKEN_SQL), F.lit(0)))).alias("word"))
-    words = words.groupBy("word").agg(F.count(F.lit(1)).alias("n"), *(F.count_if(c).alias(name) for c, name in cells))
+    every = count_words(docs.select(F.lit(None).cast("int").alias("fold"), F.lit(None).cast("int").alias("toxic"), "text"))
+    words = every.unionByName(count_words(chosen.select("fold", "toxic", "text"))).groupBy("word")
+    words = words.agg(F.coalesce(F.sum(F.when(F.col("fold").isNull(), F.col("n"))), F.lit(0)).alias("n"), *(F.coalesce(F.sum(F.when(c, F.col("n"))), F.lit(0)).alias(name) for c, name in cells))
     names = [name for _, name in cells]
     found = sequences(words, names)
     rows_of = found.toArrow()
@@ -207,6 +257,9 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = 10_000) -> Spelling:
     w = np.where(y > 0, share[1] / seen_of[1], share[0] / seen_of[0])
     x = np.array(seen["inputs"].tolist(), float).reshape(len(seen), 1 + len(WINDOWS))
     model.curve = fit_curve(x, y, w)
+    if len(x):
+        p = 1 / (1 + np.exp(-np.clip(model.curve[0] + x @ np.array(model.curve[1:]), -50, 50)))
+        model.loss = float(-(w * np.log(np.where(y > 0, p, 1 - p))).sum() / w.sum())
     return model
 
 

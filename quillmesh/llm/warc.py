@@ -1,8 +1,10 @@
 """WARC archives with a two-level capture index.
 
-Records are gzip members of their own, in files that tasks write to a folder all executors share.
-Of equal payloads one record is the response, the others revisit it.  The index sorts captures by
-reversed-host URL key (then page_id) into compressed blocks; a sparse directory has the first key,
+Records are gzip members of their own, in files that tasks write to a folder all executors share;
+each file begins with a warcinfo record.  Of equal payloads one record is the response, the others
+revisit it and name its record, date and URI.  A record's id comes from its page, URL, payload and
+how many equal rows came before it, so it is its own and the same in every run.  The index sorts
+captures by reversed-host URL key (then page_id, null first) into compressed blocks; a sparse directory has the first key,
 file, place and length of each block.  It is in parts, one for each task that wrote a part of the
 index, and the list of the parts is as long as there were tasks.  A look-up searches the parts
 and then a part's blocks by bisection, reads the block's range, and then the record's range.
@@ -10,6 +12,10 @@ and then a part's blocks by bisection, reads the block's range, and then the rec
 Files get their names from the task attempt and are listed by what the tasks return, so a task
 that ran twice leaves a spare file but no second record.  Folders are ``file:`` paths, or any
 that ``pyarrow.fs`` opens on the executors.
+
+A null payload is an empty one; null URLs and ids are kept as such, URLs that are no valid URI beside
+an encoded form; payloads of any length are one record; repeated rows are a record each; no rows
+make no records and an empty index.  Only page_id, url and html are read, so other columns cannot clash.
 """
 
 from __future__ import annotations
@@ -22,21 +28,22 @@ import uuid
 import zlib
 from bisect import bisect_left
 from collections.abc import Iterator
-from urllib.parse import urlsplit
+from urllib.parse import quote, urlsplit
 
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import stage
+from .shared import join_counted, stage
 
 FILE_BYTES, BLOCK_LINES = 32 << 20, 300
+#: Captures whose index one task writes, and bytes of records that one reads back.
+CAPTURES_A_TASK, READ_BYTES = 500_000, 8 << 20
 _WHEN = "2024-01-01T00:00:00Z"  # pages have no capture time
 
 CAPTURES = "page_id long, url string, urlkey string, file string, offset long, length long"
 PARTS = "first array<string>, last array<string>, file string, offset long, length long, n long"
-_NULL = -(2**63)
 
 
 def place(folder: str) -> tuple[fs.FileSystem, str]:
@@ -63,28 +70,54 @@ def digest_of(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers: tuple[int | None, str | None] | None) -> bytes:
-    """One record, uncompressed.  A revisit has the response's head, which tells the payload's length, and no payload."""
+def record_id(page_id: int | None, url: str | None, digest: str, turn: int) -> str:
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, json.dumps([page_id, url, digest, turn]))}>"
+
+
+def uri(url: str | None) -> str:
+    """The URL with what no header or URI may hold percent-encoded."""
+    return quote(url or "", safe="%/:?#[]@!$&'()*+,;=-._~")
+
+
+def packed(lines: list[str], body: bytes) -> bytes:
+    head = "\r\n".join(["WARC/1.1", *lines, f"Content-Length: {len(body)}"]).encode()
+    return gzip.compress(head + b"\r\n\r\n" + body + b"\r\n\r\n", 5, mtime=0)
+
+
+def info(name: str) -> bytes:
+    """The record that describes a file."""
+    kind = ["WARC-Type: warcinfo", f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, name)}>", f"WARC-Date: {_WHEN}", f"WARC-Filename: {name}", "Content-Type: application/warc-fields"]
+    return packed(kind, b"software: quillmesh\r\nformat: WARC File Format 1.1\r\n")
+
+
+def record(page_id: int | None, url: str | None, payload: bytes, turn: int = 1, refers: tuple[int | None, str | None] | None = None) -> bytes:
+    """One record.  A revisit has the response's head, which tells the payload's length, and no payload."""
+    digest = digest_of(payload)
     head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
-    body = head if refers else head + payload
     lines = [
-        "WARC/1.1",
         f"WARC-Type: {'revisit' if refers else 'response'}",
-        f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page_id}/{url}')}>",
-        f"WARC-Target-URI: {json.dumps(url)[1:-1] if url else ''}",
+        f"WARC-Record-ID: {record_id(page_id, url, digest, turn)}",
+        f"WARC-Target-URI: {uri(url)}",
         f"WARC-Date: {_WHEN}",
         f"WARC-Page-ID: {'' if page_id is None else page_id}",
         f"WARC-Payload-Digest: sha1:{digest}",
     ]
+    if url is None or uri(url) != url:
+        lines.append(f"WARC-Page-URL: {json.dumps(url)}")
     if refers:
-        lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To-Page-ID: {'' if refers[0] is None else refers[0]}", f"WARC-Refers-To-Target-URI: {json.dumps(refers[1])[1:-1] if refers[1] else ''}"]
-    lines += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(body)}"]
-    return "\r\n".join(lines).encode() + b"\r\n\r\n" + body + b"\r\n\r\n"
+        lines += [
+            "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest",
+            f"WARC-Refers-To: {record_id(*refers, digest, 1)}",
+            f"WARC-Refers-To-Target-URI: {uri(refers[1])}",
+            f"WARC-Refers-To-Date: {_WHEN}",
+            f"WARC-Refers-To-Page-ID: {'' if refers[0] is None else refers[0]}",
+        ]
+    return packed([*lines, "Content-Type: application/http; msgtype=response"], head if refers else head + payload)
 
 
-def read_record(packed: bytes) -> dict:
+def read_record(member: bytes) -> dict:
     """A record's fields, from its gzip member; raises if lengths or digest don't hold."""
-    raw = gzip.decompress(packed)
+    raw = gzip.decompress(member)
     top, _, rest = raw.partition(b"\r\n\r\n")
     version, *lines = top.decode().split("\r\n")
     fields = dict(x.split(": ", 1) if ": " in x else (x.rstrip(":"), "") for x in lines)
@@ -98,31 +131,32 @@ def read_record(packed: bytes) -> dict:
         raise ValueError("payload does not match its length or digest")
     number = lambda s: int(s) if s else None
     return {
-        "page_id": number(fields["WARC-Page-ID"]), "url": json.loads(f'"{fields["WARC-Target-URI"]}"'), "record_type": fields["WARC-Type"],
+        "page_id": number(fields["WARC-Page-ID"]), "url": json.loads(fields["WARC-Page-URL"]) if "WARC-Page-URL" in fields else fields["WARC-Target-URI"], "record_type": fields["WARC-Type"],
+        "record_id": fields["WARC-Record-ID"], "refers_to_record": fields.get("WARC-Refers-To"),
         "payload": payload if fields["WARC-Type"] == "response" else None, "payload_bytes": declared, "payload_digest": digest,
         "refers_to": number(fields.get("WARC-Refers-To-Page-ID", "")),
     }
 
 
 def with_roles(pages: DataFrame, least: int = 0) -> DataFrame:
-    """pages(page_id, url, html) -> page_id, url, html, refers (null for a response; else page_id and url).
+    """pages(page_id, url, html) -> page_id, url, html, turn (among equal rows), refers (null for a response; else page_id and url).
 
     The response is the largest page_id of its payload (null the smallest), then the largest url.
     Rows that repeat both are one response and revisits.  Payloads of fewer bytes than ``least``
-    are all responses.  A popular payload is a hot key of the grouping and the join, but the
-    grouping combines before it shuffles, and only ids, urls and digests are joined by it.
+    are all responses.  Payloads that many rows share are combined before they are shuffled, and
+    what is told of the most frequent goes to all executors.
     """
     html = F.coalesce("html", F.lit(""))
     own = F.sha1(F.to_json(F.struct("page_id", "url", F.sha1(html).alias("d"))))
     key = F.struct(F.col("page_id").isNotNull().alias("k"), "page_id", F.col("url").isNotNull().alias("u"), "url", "own")
-    small = pages.select("page_id", "url", own.alias("own"), F.sha1(html).alias("digest"), F.octet_length(html).alias("size")).where(F.col("size") >= least)
-    best = small.groupBy("digest").agg(F.max(key).alias("best"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    late = small.select("own", "digest").distinct().join(best, "digest").select("own", "best")
-    full = pages.select("page_id", "url", html.alias("html"), own.alias("own"))
+    small = stage(pages.select("page_id", "url", own.alias("own"), F.sha1(html).alias("digest"), F.octet_length(html).alias("size")).where(F.col("size") >= least), "payloads")
+    best = stage(small.groupBy("digest").agg(F.max(key).alias("best"), F.count(F.lit(1)).alias("n")).where("n > 1"), "best")
+    late = join_counted(small.select("own", "digest"), best, "digest", best.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]).select(F.col("own").alias("_own"), "best").distinct()
     turn = F.row_number().over(Window.partitionBy("own").orderBy(F.lit(1)))
-    joined = full.withColumn("_turn", turn).join(late, "own", "left")
-    other = F.col("best").isNotNull() & ((F.col("own") != F.col("best.own")) | (F.col("_turn") > 1))
-    return joined.select("page_id", "url", "html", F.when(other, F.struct("best.page_id", "best.url")).alias("refers"))
+    full = pages.select("page_id", "url", html.alias("html"), own.alias("own")).withColumn("turn", turn)
+    joined = full.join(late, F.col("own") == F.col("_own"), "left")
+    other = F.col("best").isNotNull() & ((F.col("own") != F.col("best.own")) | (F.col("turn") > 1))
+    return joined.select("page_id", "url", "html", "turn", F.when(other, F.struct("best.page_id", "best.url")).alias("refers"))
 
 
 class _Writer:
@@ -137,6 +171,10 @@ class _Writer:
             self.files.create_dir(self.root, recursive=True)
             self.name, self.at = f"{self.kind}-{uuid.uuid4().hex}", 0
             self.out = self.files.open_output_stream(f"{self.root}/{self.name}")
+            if "warc" in self.kind:
+                opening = info(self.name)
+                self.out.write(opening)
+                self.at = len(opening)
         self.out.write(packed)
         got = (self.name, self.at, len(packed))
         self.at += len(packed)
@@ -174,18 +212,16 @@ def write_archive(roles: DataFrame, folder: str) -> DataFrame:
         try:
             for b in batches:
                 got = []
-                for page, url, html, refers in zip(*(b.column(c).to_pylist() for c in ("page_id", "url", "html", "refers")), strict=True):
-                    payload = html.encode()
-                    digest = digest_of(payload)
+                for page, url, html, turn, refers in zip(*(b.column(c).to_pylist() for c in ("page_id", "url", "html", "turn", "refers")), strict=True):
                     to = (refers["page_id"], refers["url"]) if refers else None
-                    got.append((page, url, url_key(url), *out.add(gzip.compress(record(page, url, payload, digest, to), 5, mtime=0))))
+                    got.append((page, url, url_key(url), *out.add(record(page, url, html.encode(), turn, to))))
                 if got:
                     kinds = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64()]
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*got, strict=True), kinds, strict=True)], names=names)
         finally:
             out.close()
 
-    return roles.select("page_id", "url", "html", "refers").mapInArrow(run, CAPTURES)
+    return roles.select("page_id", "url", "html", "turn", "refers").mapInArrow(run, CAPTURES)
 
 
 def write_index(captures: DataFrame, folder: str) -> DataFrame:
@@ -196,12 +232,12 @@ def write_index(captures: DataFrame, folder: str) -> DataFrame:
 
         def flush() -> None:
             lines = "\n".join(json.dumps(x) for x in block).encode()
-            blocks.append((block[0][:2], block[-1][:2], *out.add(zlib.compress(lines, 6)), len(block)))
+            blocks.append((block[0][:3], block[-1][:3], *out.add(zlib.compress(lines, 6)), len(block)))
             block.clear()
 
         try:
             for b in batches:
-                for row in zip(*(b.column(c).to_pylist() for c in ("urlkey", "id", "file", "offset", "length")), strict=True):
+                for row in zip(*(b.column(c).to_pylist() for c in ("urlkey", "known", "id", "file", "offset", "length")), strict=True):
                     block.append(row)
                     if len(block) >= BLOCK_LINES:
                         flush()
@@ -213,20 +249,23 @@ def write_index(captures: DataFrame, folder: str) -> DataFrame:
             directory = _Writer(folder, "directory.gz")
             at = directory.add(zlib.compress("\n".join(json.dumps(x) for x in blocks).encode(), 6))
             directory.close()
-            ends = [[k, str(i)] for k, i in (blocks[0][0], blocks[-1][1])]
+            ends = [list(map(str, key)) for key in (blocks[0][0], blocks[-1][1])]
             columns = [[ends[0]], [ends[1]], [at[0]], [at[1]], [at[2]], [len(blocks)]]
             kinds = [pa.list_(pa.string())] * 2 + [pa.string(), pa.int64(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["first", "last", "file", "offset", "length", "n"])
 
-    rows = captures.select("urlkey", F.coalesce("page_id", F.lit(_NULL)).alias("id"), "file", "offset", "length")
-    return rows.repartitionByRange("urlkey", "id").sortWithinPartitions("urlkey", "id").mapInArrow(run, PARTS)
+    known = F.col("page_id").isNotNull().cast("int")
+    rows = captures.select("urlkey", known.alias("known"), F.coalesce("page_id", F.lit(0)).alias("id"), "file", "offset", "length")
+    keys, tasks = ["urlkey", "known", "id"], 1 + captures.count() // CAPTURES_A_TASK
+    return rows.repartitionByRange(tasks, *keys).sortWithinPartitions(*keys).mapInArrow(run, PARTS)
 
 
 class Index:
     """The parts of the directory, and look-ups through them; the last part and block read are kept."""
 
     def __init__(self, folder: str, parts: list[tuple]):
-        self.parts = sorted(((f[0], int(f[1])), (l[0], int(l[1])), *at) for f, l, *at in parts)
+        key = lambda k: [k[0], int(k[1]), int(k[2])]
+        self.parts = sorted((key(first), key(last), *at) for first, last, *at in parts)
         self.reader = _Reader(folder)
         self.kept: dict[str, tuple] = {}
 
@@ -240,34 +279,35 @@ class Index:
     @staticmethod
     def _over(entries: list, low: list, high: list) -> Iterator:
         """Those of entries, sorted by their first keys, that overlap low to high."""
-        at = bisect_left(entries, low, key=lambda e: list(e[1]))
-        while at < len(entries) and list(entries[at][0]) <= high:
+        at = bisect_left(entries, low, key=lambda e: e[1])
+        while at < len(entries) and entries[at][0] <= high:
             yield entries[at]
             at += 1
 
     def find(self, urlkey: str, page_id: int | None = -1, every: bool = False) -> Iterator[list]:
         """Captures of a URL key and page, or of every page of the key."""
-        number = _NULL if page_id is None else page_id
-        low, high = ([urlkey, _NULL], [urlkey, 2**63 - 1]) if every else ([urlkey, number], [urlkey, number])
+        own = [urlkey, int(page_id is not None), page_id or 0]
+        low, high = ([urlkey, 0, 0], [urlkey, 2, 0]) if every else (own, own)
         for part in self._over(self.parts, low, high):
             for entry in self._over(self._lines("part", part), low, high):
                 block = self._lines("block", entry)
-                at = bisect_left(block, low, key=lambda c: c[:2])
-                while at < len(block) and block[at][:2] <= high:
+                at = bisect_left(block, low, key=lambda c: c[:3])
+                while at < len(block) and block[at][:3] <= high:
                     yield block[at]
                     at += 1
 
     def read(self, capture: list) -> dict:
-        return read_record(self.reader.range(*capture[2:5]))
+        return read_record(self.reader.range(*capture[3:6]))
 
 
 READ = "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long"
 
 
 def read_back(wanted: DataFrame, parts: DataFrame, folder: str) -> DataFrame:
-    """The record of each capture of ``wanted`` (urlkey, page_id; repeats count once), by way of the index.
+    """The record of each capture of ``wanted`` (urlkey, page_id, length; repeats count once), by way of the index.
 
-    What is wanted is sorted, so a task reads few blocks, each once.  Only the list of the
+    What is wanted is sorted and dealt by number into tasks of about READ_BYTES of records, so a
+    task reads few blocks, each once.  Only the list of the
     directory's parts, a row for each task that wrote the index, goes to all executors.
     """
     names = ["page_id", "url", "record_type", "payload_bytes", "payload_digest", "refers_to"]
@@ -285,8 +325,9 @@ def read_back(wanted: DataFrame, parts: DataFrame, folder: str) -> DataFrame:
             if got:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*got, strict=True), kinds, strict=True)], names=names)
 
-    own = wanted.select("urlkey", "page_id").distinct()
-    return own.repartitionByRange("urlkey", "page_id").sortWithinPartitions("urlkey", "page_id").mapInArrow(run, READ)
+    own = wanted.groupBy("urlkey", "page_id").agg(F.sum("length").alias("length"))
+    tasks = 1 + (wanted.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0] // READ_BYTES)
+    return own.select("urlkey", "page_id").repartitionByRange(tasks, "urlkey", "page_id").sortWithinPartitions("urlkey", "page_id").mapInArrow(run, READ)
 
 
 def archive(pages: DataFrame, folder: str, least: int = 0) -> tuple[DataFrame, DataFrame]:

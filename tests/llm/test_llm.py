@@ -1,4 +1,5 @@
 import base64
+import gzip
 import hashlib
 import random
 import zlib
@@ -324,17 +325,23 @@ def test_fingerprints(spark):
 
 
 def test_warc(spark, tmp_path):
-    rows = [(1, "http://www.B.com/x?q=1", "same"), (2, "https://a.org", "same"), (3, "http://a.org/z", None), (4, None, "é\r\n\r\nx"), (None, "http://[", ""), (5, "http://c.net", "same"), (5, "http://c.net", "same")]
+    rows = [(1, "http://www.B.com/x?q=1", "same"), (2, "https://a.org", "same"), (3, "http://a.org/z", None), (4, None, "é\r\n\r\nx"), (None, "http://[", ""), (5, "http://c.net", "same"), (5, "http://c.net", "same"), (None, "http://d.net", "x0"), (-(2**63), "http://d.net", "x1"), (2**63 - 1, "http://d.net/\n é%20", "x" * 3_000_000)]
     pages = spark.createDataFrame([(*r, "x") for r in rows] + [(100 + i, f"http://h{i % 9}.com/{i}", f"p{i}", "x") for i in range(700)], "page_id long, url string, html string, digest string")
     folder = f"{scratch(spark)}/warc-test-{random.getrandbits(60)}"
     captures, parts = warc.archive(pages, folder)
     got = Counter((r["page_id"], r["payload_bytes"], r["record_type"], r["refers_to"]) for r in warc.read_back(captures, parts, folder).collect())
-    want = Counter({(1, 4, "revisit", 5): 1, (2, 4, "revisit", 5): 1, (3, 0, "response", None): 1, (4, 7, "response", None): 1, (None, 0, "revisit", 3): 1, (5, 4, "response", None): 1, (5, 4, "revisit", 5): 1})
+    want = Counter({(None, 2, "response", None): 1, (-(2**63), 2, "response", None): 1, (2**63 - 1, 3_000_000, "response", None): 1, (1, 4, "revisit", 5): 1, (2, 4, "revisit", 5): 1, (3, 0, "response", None): 1, (4, 7, "response", None): 1, (None, 0, "revisit", 3): 1, (5, 4, "response", None): 1, (5, 4, "revisit", 5): 1})
     assert got == want + Counter((100 + i, len(f"p{i}"), "response", None) for i in range(700))
     index = warc.Index(folder, [tuple(r) for r in parts.collect()])
     found = [index.read(c) for c in index.find("com,b)/x?q=1", every=True)]
     assert [(f["page_id"], f["payload_digest"]) for f in found] == [(1, base64.b32encode(hashlib.sha1(b"same").digest()).decode())]
     assert not list(index.find("com,none)/", every=True))
+    read = [index.read(c) for r in captures.select("urlkey", "page_id").distinct().collect() for c in index.find(*r)]
+    assert Counter((x["page_id"], x["url"]) for x in read) == Counter((r["page_id"], r["url"]) for r in pages.collect())
+    responses = {x["record_id"]: x["page_id"] for x in read if x["record_type"] == "response"}
+    assert len({x["record_id"] for x in read}) == len(read) and all(responses[x["refers_to_record"]] == x["refers_to"] for x in read if x["record_type"] == "revisit")
+    name = captures.first()["file"]
+    assert b"WARC-Type: warcinfo" in gzip.open(f"{folder.removeprefix('file://')}/{name}").read(400)
 
 
 def test_toxicity(spark):
