@@ -2,46 +2,54 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmesh.llm import bpe, mixing, toxicity
-from quillmesh.llm.jaccard_join import jaccard_components
+from quillmesh.llm.jaccard_join import first_of_groups
 from quillmesh.llm.shared import stage, table, words_of
 from quillmesh.llm.substring_dedup import remove_repeats
 
+_REST = "_qm_rest"
+
+
+def _packed(docs: DataFrame) -> DataFrame:
+    """doc_id, text, and all other columns in one, so that no name of theirs meets one that an operator makes."""
+    return docs.select("doc_id", "text", F.struct(*[c for c in docs.columns if c not in ("doc_id", "text")]).alias(_REST))
+
+
+def _unpacked(rows: DataFrame, columns: list[str], **made: Column) -> DataFrame:
+    """The columns of documents again, those in ``made`` as they say."""
+    own = {"doc_id": F.col("doc_id"), "text": F.col("text")} | made
+    return rows.select(*[own.get(c, F.col(_REST)[c]).alias(c) for c in columns])
+
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scored 0.5 or more go; the model learns from all labels."""
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    columns = [c for c in docs.columns if c not in ("doc_id", "score")]
-    return toxicity.score(docs, model, columns).where("score < 0.5").select(*docs.columns)
+    return _unpacked(toxicity.score(_packed(docs), model, ["text", _REST]).where("score < 0.5"), docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of five-word Jaccard 0.8 the document of the smallest id stays.
 
-    Rows that repeat a doc_id leave one, the first by text; rows of null doc_id all stay.
+    A null id comes last, and of an id's texts the first by digest.  Documents without words all
+    stay, and so do rows that share an id but not their words.
     """
-    found = jaccard_components(docs, n=5, percent=80)
-    first = found.where("doc_id = component_id").select(F.col("doc_id").alias("_qm_first"))
-    turn = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
-    known = docs.where("doc_id IS NOT NULL").withColumn("_qm_turn", turn).where("_qm_turn = 1")
-    return known.join(first, F.col("doc_id") == F.col("_qm_first"), "left_semi").select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
+    return first_of_groups(docs, n=5, percent=80)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later copies of passages of 20 words are cut; texts become their words left, documents all stay."""
-    out = remove_repeats(docs, window=20, carry=docs.columns)
     text = F.col("kept_text")
-    made = {"text": text.alias("text"), "n_chars": F.length(text).cast("long").alias("n_chars")}
-    return out.select(*[made.get(c, F.col(c)) for c in docs.columns])
+    made = {"n_chars": F.length(text).cast("long")} if "n_chars" in docs.columns else {}
+    return _unpacked(remove_repeats(_packed(docs), window=20, carry=[_REST]), docs.columns, text=text, **made)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as its source's rate says."""
-    sized = docs.withColumn("size", F.size(words_of(F.col("text"))).cast("long"))
-    return mixing.emit(mixing.mix(sized)).select(*docs.columns)
+    sized = _packed(docs).withColumns({"source": F.col(_REST)["source"], "size": F.size(words_of(F.col("text"))).cast("long")})
+    return _unpacked(mixing.emit(mixing.mix(sized)), docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
