@@ -2,11 +2,13 @@
 
 ``documents`` hold no Markdown, so a vault is derived from them: SQL that Spark and DuckDB both
 run makes notes, wiki pages, an index and images' inventory out of every document, with faults
-that its id decides.  ``pages`` are used as they are.
+that its id decides.  The raw web pages of ``pages`` get a head of our own by the same means, which
+trips every rule in some of them.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -42,13 +44,35 @@ SELECT doc_id, 'wiki/p' || CAST(doc_id % 5 AS VARCHAR(9)) || '/page_' || {_ID} |
 FROM documents"""
 
 
+_PAGE = "CAST(page_id AS VARCHAR(20))"
+PAGES_SQL = f"""
+SELECT page_id, 'html/' || {_PAGE} || '.html' AS path,
+  '<!DOCTYPE html>' || {_NL}
+  || CASE page_id % 3 WHEN 0 THEN '<link rel="stylesheet" href="assets/style.css">' WHEN 1 THEN '<link rel="stylesheet" href="assets/other.css">' ELSE '<link rel="stylesheet" href="https://cdn.example/x.css">' END || {_NL}
+  || CASE page_id % 5 WHEN 0 THEN '<meta name="wiki-source" content="wiki/w' || {_PAGE} || '.md 2024-03-01">' WHEN 1 THEN '<meta name="wiki-source" content="wiki/w.md  2024">' ELSE '' END || {_NL}
+  || CASE page_id % 7 WHEN 0 THEN '<script src="assets/theme.js"></script>' WHEN 1 THEN '<script src="//cdn.example/' || {_PAGE} || '.js"></script>'
+       WHEN 2 THEN '<iframe src="' || {_PAGE} || '.html"></iframe>' WHEN 3 THEN '<p>{{{{title}}}}</p>' || {_NL} || '<p>{{{{title}}}} {{{{day}}}}</p>'
+       WHEN 4 THEN '<a href="gone%20' || {_PAGE} || '.html#x">x</a><a href="#top">y</a>' WHEN 5 THEN '<video src="assets/theme.js" poster="https://cdn.example/p.png"></video>' ELSE '' END || {_NL}
+  || coalesce(html, '') AS text
+FROM pages"""
+#: Wiki pages that some of the pages name, each fourth of them changed since.
+NAMED_SQL = f"""
+SELECT page_id, 'wiki/w' || {_PAGE} || '.md' AS path, '---' || {_NL} || 'updated: ' || CASE WHEN page_id % 40 = 0 THEN '2024-04-01' ELSE '"2024-03-01"' END || {_NL} || '---' || {_NL} AS text
+FROM pages WHERE page_id % 10 = 0"""
+_ASSETS = ["html/assets/style.css", "html/assets/theme.js"]
+
+
 def _tables(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def _derived(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
-    _tables(spark, sf_dir, "documents").createOrReplaceTempView("_quillmesh_documents")
-    return spark.sql(sql.replace("FROM documents", "FROM _quillmesh_documents")).drop("doc_id")
+    name = re.search(r"FROM (\w+)", sql)[1]
+    return spark.sql(sql.replace("{", "{{").replace("}", "}}").replace(f"FROM {name}", f"FROM {{{name}}}"), **{name: _tables(spark, sf_dir, name)}).drop("doc_id", "page_id")
+
+
+def _files(rows: DataFrame) -> DataFrame:
+    return rows.select("path", F.lit(False).alias("is_dir"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint").alias("size"), "text")
 
 
 def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,16 +84,20 @@ def vault(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _tables(spark, sf_dir, "documents").select("doc_id")
     wiki = _derived(spark, sf_dir, WIKI_SQL)
     page = F.format_string("p%d/page_%d.md", F.col("doc_id") % 5, F.col("doc_id"))
-    index = docs.where("doc_id % 4 <> 1").agg(F.concat_ws("\n", F.collect_list(F.concat(F.lit("- [p]("), page, F.lit(")")))).alias("text")).select(F.lit("wiki/index.md").alias("path"), "text")
+    index = docs.where("doc_id % 4 <> 1").agg(F.concat_ws("\n", F.transform(F.array_sort(F.collect_list(F.struct("doc_id", F.concat(F.lit("- [p]("), page, F.lit(")")).alias("row")))), lambda x: x["row"])).alias("text")).select(F.lit("wiki/index.md").alias("path"), "text")
     images = docs.where("doc_id % 2 = 0").select(F.format_string("wiki/p%d/img %d.png", F.col("doc_id") % 5, F.col("doc_id")).alias("path"), F.lit(None).cast("string").alias("text"))
     files = notes(spark, sf_dir).unionByName(wiki).unionByName(index).unionByName(images)
-    return files.select("path", F.lit(False).alias("is_dir"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint").alias("size"), "text")
+    return _files(files)
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _tables(spark, sf_dir, "pages")
-    path = F.concat(F.lit("html/"), F.col("page_id").cast("string"), F.lit(".html"))
-    return rows.select(path.alias("path"), F.lit(False).alias("is_dir"), F.octet_length("html").cast("bigint").alias("size"), F.col("html").alias("text"))
+    return _files(_derived(spark, sf_dir, PAGES_SQL))
+
+
+def site(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages, the wiki pages that they name, and the two shared assets."""
+    assets = spark.range(1).select(F.explode(F.array(*map(F.lit, _ASSETS))).alias("path"), F.lit("").alias("text"))
+    return pages(spark, sf_dir).unionByName(_files(_derived(spark, sf_dir, NAMED_SQL).unionByName(assets)))
 
 
 def _heads(rule) -> Callable[[SparkSession, str], DataFrame]:
@@ -96,7 +124,7 @@ def _images(rule) -> Callable[[SparkSession, str], DataFrame]:
 def _html(rule) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, d: str) -> DataFrame:
         files = pages(spark, d)
-        return rule(files, extract.html_elements(files)).select("path", "line", "code")
+        return rule(files, extract.html_elements(files), lambda: site(spark, d)).select("path", "line", "code")
 
     return run
 
@@ -111,8 +139,8 @@ def _targets_normalized(spark: SparkSession, d: str) -> DataFrame:
     return links.select("path", "line", "target", fn.external_in_wiki(t).alias("external"), fn.percent_decode(fn.strip_fragment(t)).alias("decoded"), fn.canonical_target(t).alias("canonical"), paths.resolve(paths.parent(F.col("path")), fn.strip_fragment(t)).alias("resolved"))
 
 
-def _tag_counts(spark: SparkSession, d: str) -> DataFrame:
-    return extract.html_elements(pages(spark, d)).groupBy("tag").agg(F.count(F.lit(1)).alias("n"))
+def _elements(spark: SparkSession, d: str) -> DataFrame:
+    return extract.html_elements(pages(spark, d)).select("path", "ord", "line", "tag", extract.attribute("href").alias("href"), F.size("attrs").alias("n_attrs"))
 
 
 def _candidates(spark: SparkSession, d: str) -> DataFrame:
@@ -124,7 +152,7 @@ def _images_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def page_summary(spark: SparkSession, d: str) -> DataFrame:
-    return lint.summary(lint.lint_html(pages(spark, d))).select("code", "findings", "files")
+    return lint.summary(lint.lint_html(site(spark, d))).select("code", "findings", "files")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -136,11 +164,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "wiki001": _wiki(lambda files, links: rules.wiki001(files, links)),
     "wiki002": _wiki(lambda files, links: rules.wiki002(links)), "wiki003": _wiki(lambda files, links: rules.wiki003(links)), "wiki004": _wiki(rules.wiki004),
     "img001": _images(rules.img001), "img002": _images(rules.img002),
-    "html001": _html(lambda f, e: rules.html001(e)), "html002": _html(lambda f, e: rules.html002(e)), "html003": _html(lambda f, e: rules.html003(e)),
-    "html004": _html(rules.html004), "html005": _html(lambda f, e: rules.html005(f, extract.provenance(e))),
-    "html006": _html(lambda f, e: rules.html006(e, extract.provenance(e), inventory(f))), "html007": _html(lambda f, e: rules.html007(extract.placeholders(f))),
-    "html008": _html(lambda f, e: rules.html008(extract.provenance(e), f)),
-    "elements": _tag_counts, "candidates": _candidates, "diagnostic_summary": page_summary,
+    "html001": _html(lambda f, e, _: rules.html001(e)), "html002": _html(lambda f, e, _: rules.html002(e)), "html003": _html(lambda f, e, _: rules.html003(e)),
+    "html004": _html(lambda f, e, _: rules.html004(f, e)), "html005": _html(lambda f, e, _: rules.html005(f, extract.provenance(e))),
+    "html006": _html(lambda f, e, files: rules.html006(e, extract.provenance(e), inventory(files()))), "html007": _html(lambda f, e, _: rules.html007(extract.placeholders(f))),
+    "html008": _html(lambda f, e, files: rules.html008(extract.provenance(e), files())),
+    "elements": _elements, "candidates": _candidates, "diagnostic_summary": page_summary,
     "source_report": lambda s, d: report.diagnostic_lines(rules.src006(extract.frontmatter(notes(s, d)))),
     "rename_plan": lambda s, d: fixes.plan(vault(s, d))[0], "fix_plan": lambda s, d: fixes.plan(vault(s, d))[1],
 }
@@ -148,12 +176,62 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 _OK = "n.doc_id % 13 <> 5 AND n.doc_id % 17 <> 4"
 _N = f"({NOTES_SQL}) n"
 _STEM = "regexp_extract(path, '([^/]*)$', 1)"
-_HTML = "'html/' || CAST(page_id AS VARCHAR) || '.html'"
 _LINKS = f"""(SELECT path, doc_id, CAST(line AS INTEGER) AS line, unnest(regexp_extract_all(row, '(!?)\\[([^\\[\\]]*)\\]\\(([^)\\s]+)\\)', 1)) AS bang,
   unnest(regexp_extract_all(row, '(!?)\\[([^\\[\\]]*)\\]\\(([^)\\s]+)\\)', 2)) AS label, unnest(regexp_extract_all(row, '(!?)\\[([^\\[\\]]*)\\]\\(([^)\\s]+)\\)', 3)) AS target
   FROM (SELECT path, doc_id, unnest(string_split(text, chr(10))) AS row, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM ({WIKI_SQL}) w) WHERE contains(row, ']('))"""
 
-ORACLE_SQL: dict[str, str] = {
+# A tag's row of text, in the order of the text; pages have no tag within a script or a comment.
+_TAG = "<([a-zA-Z][a-zA-Z0-9]*)([^>]*)>"
+_TAGS = f"""(SELECT page_id, path, CAST(line AS INTEGER) AS line, lower(regexp_extract(raw, '{_TAG}', 1)) AS tag, regexp_extract(raw, '{_TAG}', 2) AS attrs,
+    CAST(row_number() OVER (PARTITION BY page_id ORDER BY line, turn) - 1 AS INTEGER) AS ord
+  FROM (SELECT page_id, path, line, unnest(tags) AS raw, generate_subscripts(tags, 1) AS turn FROM (
+    SELECT page_id, path, line, regexp_extract_all(row, '{_TAG}') AS tags FROM (
+      SELECT page_id, path, unnest(string_split(text, chr(10))) AS row, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM ({PAGES_SQL}) p))))"""
+
+
+def _attribute(name: str) -> str:
+    return f"regexp_extract(attrs, '(?:^|\\s){name}=\"([^\"]*)\"', 1)"
+
+
+_OUTSIDE = "(starts_with({0}, '//') OR regexp_matches({0}, '^[A-Za-z][A-Za-z0-9+.-]*:'))"
+_TARGETS = f"""(SELECT page_id, path, line, ord, tag, unnest([{", ".join(_attribute(a) for a in rules.URL_ATTRIBUTES)}]) AS target FROM {_TAGS})"""
+_META = f"""(SELECT page_id, path, line, {_attribute("content")} AS content, regexp_matches({_attribute("content")}, '^\\S+ \\d{{4}}-\\d{{2}}-\\d{{2}}$') AS good
+  FROM {_TAGS} WHERE tag = 'meta' AND {_attribute("name")} = 'wiki-source')"""
+_THERE = f"SELECT path FROM ({PAGES_SQL}) p0 UNION ALL SELECT path FROM ({NAMED_SQL}) n0 UNION ALL SELECT unnest({_ASSETS})"
+_SHEETS = f"(SELECT * FROM (SELECT *, {_attribute('href')} AS href FROM {_TAGS}) WHERE tag = 'link' AND contains(lower({_attribute('rel')}), 'stylesheet') AND NOT {_OUTSIDE.format('href')})"
+_RESOURCES = ", ".join(f"'{t}'" for t in rules.RESOURCE_TAGS)
+
+HTML_SQL = {
+    "html001": f"SELECT path, line, 'HTML001' AS code FROM {_TARGETS} WHERE tag IN ({_RESOURCES}) AND target <> '' AND {_OUTSIDE.format('target')}",
+    "html002": f"SELECT path, line, 'HTML002' AS code FROM {_TAGS} WHERE tag = 'script' AND {_attribute('src')} <> 'assets/theme.js'",
+    "html003": f"SELECT path, line, 'HTML003' AS code FROM {_TAGS} WHERE tag = 'iframe'",
+    "html004": f"""SELECT path, line, 'HTML004' AS code FROM {_SHEETS} WHERE href <> 'assets/style.css'
+      UNION ALL SELECT path, 1, 'HTML004' FROM ({PAGES_SQL}) p1 WHERE path NOT IN (SELECT path FROM {_SHEETS})""",
+    "html005": f"""SELECT path, line, 'HTML005' AS code FROM {_META} WHERE NOT good
+      UNION ALL SELECT path, 1, 'HTML005' FROM ({PAGES_SQL}) p1 WHERE path NOT IN (SELECT path FROM {_META})""",
+    "html006": f"""SELECT path, line, 'HTML006' AS code FROM (
+        SELECT path, line, CASE WHEN starts_with(target, '/') THEN target ELSE 'html/' || split_part(url_decode(target), '#', 1) END AS file
+        FROM {_TARGETS} WHERE target <> '' AND NOT starts_with(target, '#') AND NOT {_OUTSIDE.format('target')}
+        UNION ALL SELECT path, line, split_part(content, ' ', 1) FROM {_META} WHERE good) WHERE file NOT IN ({_THERE})""",
+    "html007": f"""SELECT path, CAST(len(string_split(split_part(text, mark, 1), chr(10))) AS INTEGER) AS line, 'HTML007' AS code
+      FROM (SELECT path, text, unnest(regexp_extract_all(text, '\\{{\\{{[^}}\\n]*\\}}\\}}')) AS mark FROM ({PAGES_SQL}) p1)""",
+    "html008": f"""SELECT m.path, line, 'HTML008' AS code FROM {_META} m JOIN ({NAMED_SQL}) n ON split_part(content, ' ', 1) = n.path
+      WHERE good AND split_part(content, ' ', 2) <> regexp_extract(n.text, 'updated: "?([0-9-]+)', 1)""",
+}
+_EVERY_FINDING = " UNION ALL ".join(f"SELECT path, code FROM ({sql}) f{i}" for i, sql in enumerate(HTML_SQL.values()))
+
+# Images: the markdown ones and the embedded ones of a text's lines, with the page's folder.
+_DECODED = "url_decode(target)"
+_IMAGES = f"""(SELECT path, doc_id, CAST(line AS INTEGER) AS line, regexp_replace(path, '/[^/]*$', '') AS folder, target, kind FROM (
+    SELECT path, doc_id, line, 'markdown' AS kind, unnest(regexp_extract_all(row, '!\\[[^\\]]*\\]\\(([^)]+)\\)', 1)) AS target FROM rows_of
+    UNION ALL SELECT path, doc_id, line, 'obsidian', split_part(unnest(regexp_extract_all(row, '!\\[\\[([^\\]]+)\\]\\]', 1)), '|', 1) FROM rows_of)
+  WHERE ends_with(target, '.png'))""".replace("rows_of", f"(SELECT path, doc_id, unnest(string_split(text, chr(10))) AS row, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM ({WIKI_SQL}) w)")
+_PICTURES = "SELECT 'wiki/p' || (doc_id % 5) || '/img ' || doc_id || '.png' FROM documents WHERE doc_id % 2 = 0"
+_CANONICAL = f"replace({_DECODED}, ' ', '_')"
+_MISSING = " AND ".join(f"folder || '{below}/' || {t} NOT IN ({_PICTURES})" for below in ("", "/images") for t in (_DECODED, "target", _CANONICAL))
+_HEAD_LINES = f"(SELECT path, unnest(string_split(text, chr(10))[2:4]) AS row, unnest([2, 3, 4]) AS line FROM {_N} WHERE {_OK})"
+
+ORACLE_SQL: dict[str, str] = HTML_SQL | {
     "src001": f"SELECT path, 1 AS line, 'SRC001' AS code FROM {_N} WHERE trim(string_split(text, chr(10))[1]) <> '---'",
     "src002": f"SELECT path, 1 AS line, 'SRC002' AS code FROM {_N} WHERE starts_with(text, '---') AND NOT regexp_matches(text, '\\n[ \\t]*---[ \\t]*(\\n|$)')",
     "src003": f"SELECT path, 1 AS line, 'SRC003' AS code FROM {_N} WHERE {_OK} AND NOT contains(text, chr(10) || 'created:')",
@@ -161,17 +239,31 @@ ORACLE_SQL: dict[str, str] = {
     "src005": f"SELECT path, 2 AS line, 'SRC005' AS code FROM {_N} WHERE {_OK} AND regexp_matches(string_split(text, chr(10))[2], '\\{{\\{{[^}}]+\\}}\\}}')",
     "src006": f"SELECT path, 1 AS line, 'SRC006' AS code FROM {_N} WHERE {_OK} AND NOT regexp_matches({_STEM}, '^\\d{{4}}-\\d{{2}}-\\d{{2}}_.+\\.md$')",
     "src007": f"SELECT path, 3 AS line, 'SRC007' AS code FROM {_N} WHERE {_OK} AND regexp_matches({_STEM}, '^\\d{{4}}-') AND starts_with(string_split(text, chr(10))[3], 'created: ') AND string_split(text, chr(10))[3] <> 'created: ' || substr({_STEM}, 1, 10)",
+    "frontmatter_entries": f"""SELECT path, trim(split_part(row, ':', 1)) AS key, CAST(line AS INTEGER) AS line, regexp_replace(trim(substr(row, strpos(row, ':') + 1)), '^"(.*)"$', '\\1') AS value
+      FROM {_HEAD_LINES} WHERE contains(row, ':') AND NOT starts_with(row, '#')""",
     "links": f"SELECT path, line, label, target FROM {_LINKS} WHERE bang = ''",
+    "link_targets_normalized": f"""SELECT path, line, target, starts_with(target, '#') OR {_OUTSIDE.format("target")} AS external, url_decode(split_part(target, '#', 1)) AS decoded, {_CANONICAL} AS canonical,
+      regexp_replace(CASE WHEN starts_with(target, '../../') THEN substr(target, 7) ELSE regexp_replace(path, '/[^/]*$', '') || '/' || split_part(target, '#', 1) END, '/+', '/', 'g') AS resolved FROM {_LINKS} WHERE bang = ''""",
+    "image_links": f"SELECT path, line, target, kind FROM {_IMAGES}",
+    "img001": f"SELECT path, line, 'IMG001' AS code FROM {_IMAGES} WHERE {_MISSING}",
+    "img002": f"SELECT path, line, 'IMG002' AS code FROM {_IMAGES} WHERE target <> {_CANONICAL}",
+    "rename_plan": f"""SELECT DISTINCT folder || '/' || {_DECODED} AS source, folder || '/' || {_CANONICAL} AS destination FROM {_IMAGES}
+      WHERE target <> {_CANONICAL} AND folder || '/' || {_DECODED} IN ({_PICTURES})""",
+    "fix_plan": f"""SELECT path, new_text, new_text <> text AS fixed, CAST(changed AS INTEGER) AS normalized_links, CAST(gone AS INTEGER) AS removed_links FROM (
+        SELECT path, text, CASE WHEN doc_id % 10 = 6 THEN 0 ELSE 1 END AS changed, CASE WHEN doc_id % 10 = 6 OR doc_id % 2 = 0 THEN 0 ELSE 2 END AS gone,
+          CASE WHEN doc_id % 2 = 0 THEN replace(text, '(img%20' || doc_id || '.png)', '(img_' || doc_id || '.png)')
+            ELSE replace(replace(text, '![i](img%20' || doc_id || '.png)', ''), '![[img_' || doc_id || '.png|30]]', '') END AS new_text FROM ({WIKI_SQL}) w
+        UNION ALL SELECT path, text, 0, 0, text FROM {_N}
+        UNION ALL SELECT 'wiki/index.md', text, 0, 0, text FROM (SELECT string_agg('- [p](p' || (doc_id % 5) || '/page_' || doc_id || '.md)', chr(10) ORDER BY doc_id) AS text FROM documents WHERE doc_id % 4 <> 1))""",
     "wiki001": "SELECT 'wiki/p' || (doc_id % 5) || '/page_' || doc_id || '.md' AS path, 1 AS line, 'WIKI001' AS code FROM documents WHERE doc_id % 4 = 1",
     "wiki002": f"SELECT path, line, 'WIKI002' AS code FROM {_LINKS} WHERE bang = '' AND starts_with(target, 'missing')",
     "wiki003": f"SELECT path, line, 'WIKI003' AS code FROM {_LINKS} WHERE bang = '' AND contains(label, '*')",
     "wiki004": f"SELECT path, 1 AS line, 'WIKI004' AS code FROM {_N} WHERE path NOT IN (SELECT substr(target, 7) FROM {_LINKS} WHERE bang = '' AND starts_with(target, '../../'))",
-    "html001": "SELECT '' AS path, 0 AS line, '' AS code FROM pages WHERE false",
-    "html003": "SELECT '' AS path, 0 AS line, '' AS code FROM pages WHERE false",
-    "html004": f"SELECT {_HTML} AS path, 1 AS line, 'HTML004' AS code FROM pages WHERE NOT contains(html, 'stylesheet')",
-    "html005": f"SELECT {_HTML} AS path, 1 AS line, 'HTML005' AS code FROM pages WHERE NOT contains(html, 'wiki-source')",
-    "html007": f"SELECT {_HTML} AS path, 0 AS line, 'HTML007' AS code FROM pages WHERE contains(html, '{{{{')",
+    "elements": f"SELECT path, ord, line, tag, {_attribute('href')} AS href, CAST(len(regexp_extract_all(attrs, '=\"')) AS INTEGER) AS n_attrs FROM {_TAGS}",
+    "diagnostic_summary": f"SELECT code, count(*) AS findings, count(DISTINCT path) AS files FROM ({_EVERY_FINDING}) GROUP BY code",
     "candidates": f"""SELECT w.path AS page, 1::BIGINT AS source_count, CAST(strlen(n.text) AS BIGINT) AS total_bytes, 'missing' AS state
       FROM ({WIKI_SQL}) w JOIN {_N} USING (doc_id) WHERE strlen(n.text) >= 3000""",
     "source_items": f"SELECT path, '../../' || {_NOTE} AS item FROM ({WIKI_SQL} ) w0 JOIN (SELECT doc_id AS d FROM documents) k ON w0.doc_id = k.d",
+    "source_report": f"""SELECT path, 1 AS line, 'SRC006' AS code, path || ':1: [SRC006] the file name is not `YYYY-MM-DD_slug.md`' AS text
+      FROM {_N} WHERE {_OK} AND NOT regexp_matches({_STEM}, '^\\d{{4}}-\\d{{2}}-\\d{{2}}_.+\\.md$')""",
 }
