@@ -2,9 +2,14 @@ import os
 import random
 import re
 
+import duckdb
+import pytest
+
+from quillmesh import catalog, cli
 from quillmesh.operators import extract
 from quillmesh.plans import fixes, lint, report
-from quillmesh.sources.vault import scan
+from quillmesh.sources.vault import VaultReader, scan
+from quillmesh.streaming import incremental
 
 GOOD = '---\ntitle: "a"\ncreated: 2024-01-02\nupdated: 2024-01-02\n---\nbody'
 PAGE = '<html><head><meta name="wiki-source" content="{src}"><link rel="stylesheet" href="assets/style.css"><script src="assets/theme.js"></script></head>{body}</html>'
@@ -100,3 +105,124 @@ def test_candidates(spark, tmp_path):
     rows = lint.candidates(scan(spark, root))
     assert sorted((r["page"], r["source_count"], r["total_bytes"], r["state"], r["html_pages"]) for r in rows.collect()) == [("wiki/three.md", 3, 30, "stale", ["html/t.html"]), ("wiki/two.md", 2, 30_000, "missing", [])]
     assert report.candidate_lines(rows).orderBy("page").first()["text"] == "wiki/three.md\tstale\tsources=3\ttotal=0.0KB\thtml=html/t.html"
+
+
+def lines_of(found):
+    return [r["text"] for r in report.diagnostic_lines(lint.ordered(found)).collect()]
+
+
+def test_findings_come_in_rule_order(spark, tmp_path):
+    """Of one line: by key, link or element, and for each by rule; IMG002 before IMG001."""
+    root = make(tmp_path, {
+        "sources/x.md": "---\nmodel:\ntitle: {{a}}\nupdated: \n---\n", "wiki/p.md": "![](b%20c.png) ![[d.png]] ![](a%20b.png)",
+        "html/p.html": "<iframe src='//x/y'></iframe><script></script><link rel=stylesheet href=o.css><meta name=wiki-source content='wiki/none.md 2024-01-01'><a href=gone.html>{{q}}</a>",
+    })
+    files = scan(spark, root)
+    short = lambda found: [re.search(r":(\d+): \[(\w+)\]", x).groups() for x in lines_of(found)]
+    assert short(lint.lint_images(files)) == [("1", c) for c in ("IMG002", "IMG001", "IMG001", "IMG002", "IMG001")]
+    assert short(lint.lint_html(files)) == [("1", c) for c in ("HTML003", "HTML001", "HTML002", "HTML004", "HTML006", "HTML006", "HTML006", "HTML007")]
+    assert short(lint.lint_sources(files)) == [("1", "SRC003"), ("1", "SRC006"), ("2", "SRC004"), ("3", "SRC005"), ("4", "SRC004")]
+
+
+def test_warnings_are_marked_after_the_code(spark, tmp_path):
+    root = make(tmp_path, {"wiki/a.md": "---\nupdated: 2024-02-02\n---\n", "html/index.html": "<link rel=stylesheet href=assets/style.css><meta name=wiki-source content='wiki/a.md 2024-01-01'>", "html/assets/style.css": ""})
+    assert lines_of(lint.lint_html(scan(spark, root))) == ["html/index.html:1: [HTML008] warning: `wiki/a.md` was updated on 2024-02-02, after 2024-01-01"]
+
+
+def test_frontmatter(spark):
+    head = "\u3000---\r\n# c\r\nk: 'v'\r\n  a:b: c\x0bk:\tw \u2028\t--- \x85k: later"
+    cases = [("whole", head), ("at once", "---\n---\nk: v"), ("open", "---\nk: v\n----\n"), ("none", "k: v\n---"), ("four", "----\n---"), ("empty", ""), ("null", None), ("long", "---\nk: v\n---\n" + "x\n" * 400_000), ("unclosed", "---\n" + "y: z\n" * 200_000)]
+    got = {r["path"]: (r["status"], [tuple(e) for e in r["entries"]]) for r in extract.frontmatter(spark.createDataFrame(cases, "path string, text string")).collect()}
+    assert got == {
+        "whole": ("ok", [("a", 4, "b: c"), ("k", 5, "w")]), "at once": ("ok", []), "open": ("unterminated", []), "none": ("missing", []), "four": ("missing", []), "empty": ("missing", []),
+        "null": ("missing", []), "long": ("ok", [("k", 2, "v")]), "unclosed": ("unterminated", []),
+    }
+
+
+def test_index_must_be_a_file(spark, tmp_path):
+    root = make(tmp_path, {"wiki/index.md/a.md": "x", "wiki/b.md": "y"})
+    assert codes(lint.lint_wiki(scan(spark, root))) == []
+
+
+def test_declaration_counts_as_written(spark, tmp_path):
+    listing = "---\nupdated: 2024-01-01\nsources:\n" + "  - ../sources/s.md\n" * 3 + "---\n"
+    page = '<meta name="wiki-source" content="{} 2024-01-01">'
+    root = make(tmp_path, {"sources/s.md": "s", "wiki/a.md": listing, "wiki/b.md": listing, "wiki/x/c.md": "", "html/a.html": page.format("wiki/x/../a.md"), "html/b.html": page.format("./wiki//b.md")})
+    assert sorted((r["page"], r["state"], r["html_pages"]) for r in lint.candidates(scan(spark, root)).collect()) == [("wiki/a.md", "missing", []), ("wiki/b.md", "current", ["html/b.html"])]
+
+
+def test_rename_stays_beside_its_file(spark, tmp_path):
+    root = make(tmp_path, {"wiki/p.md": "![](./a%20b.png) ![](sub/c%20d.png) ![[e f.png#h|9]] ![](g%20h.png (t))", "wiki/images/a b.png": "", "wiki/sub/c d.png": "", "wiki/images/e f.png": "", "wiki/g h.png": ""})
+    renames, edits = fixes.plan(scan(spark, root))
+    moved = {tuple(r) for r in renames.collect()}
+    assert moved == {("wiki/images/a b.png", "wiki/images/a_b.png"), ("wiki/sub/c d.png", "wiki/sub/c_d.png"), ("wiki/images/e f.png", "wiki/images/e_f.png")}
+    assert fixes.rewritten("g%20h.png (t)", "g_h.png", "markdown") == "g_h.png (t)" and fixes.rewritten(" a b c ", "n", "markdown") == " n "
+    counts = fixes.apply(root, *fixes.plan(scan(spark, root)))
+    assert counts["renamed_files"] == 3 and os.path.exists(os.path.join(root, "wiki/images/a_b.png"))
+    with open(os.path.join(root, "wiki/p.md"), encoding="utf-8") as f:
+        assert f.read().startswith("![](a_b.png) ![](sub/c_d.png) ![[e_f.png#h|9]]".replace("a_b", "./a_b"))
+
+
+def test_vault_reader(spark, tmp_path):
+    """However few tasks there are, each file and directory comes once."""
+    names = [f"d{i}/e{j}/f{k}.md" for i in range(6) for j in range(5) for k in range(3)] + ["top.txt", "d0/bad.md"]
+    root = make(tmp_path, dict.fromkeys(names, "é\r\nx"))
+    with open(os.path.join(root, "d0/bad.md"), "wb") as f:
+        f.write(b"\xff\xfe")
+    os.makedirs(os.path.join(root, "hollow/inner"))
+    os.symlink(os.path.join(root, "d1"), os.path.join(root, "link"))
+    want = {*names, ".", "hollow", "hollow/inner", "link", *(f"d{i}" for i in range(6)), *(f"d{i}/e{j}" for i in range(6) for j in range(5))}
+    for n in (1, 3, 64):
+        rows = scan(spark, root, partitions=str(n)).collect()
+        assert sorted(r["path"] for r in rows) == sorted(want)
+        held = {r["path"]: r for r in rows}
+        assert held["d1/e1/f1.md"]["text"] == "é\nx" and held["d0/bad.md"]["text"] is None and held["top.txt"]["text"] is None and held["link"]["is_dir"] and held["d0/bad.md"]["size"] == 2
+        assert len(VaultReader({"path": root, "partitions": str(n)}).partitions()) <= n
+
+
+def test_command_line(spark, tmp_path, capsys, monkeypatch):
+    monkeypatch.setattr(spark, "stop", lambda: None)
+    root = make(tmp_path, {
+        "_template/source.md": "---\ntitle:\n---\n", "sources/2024-01-02_a.md": "---\ntitle:\n---\n", "wiki/index.md": "[a](a.md)", "wiki/a.md": "![](b%20c.png)", "wiki/b c.png": "",
+        "html/assets/style.css": "", "html/index.html": "<link rel=stylesheet href=assets/style.css>",
+    })
+    run = lambda *a: (cli.main(["--root", root, *a]), capsys.readouterr())
+    status, said = run("sources")
+    assert status == 1 and said.err.strip() == "sources/2024-01-02_a.md:2: [SRC004] `title` is empty" and said.out.strip() == "1 files, 1 findings"
+    assert run("wiki")[0] == 0 and run("wiki", "--check-unreferenced")[0] == 1 and run("html")[0] == 0
+    assert run("images")[0] == 1
+    status, said = run("images", "--fix")
+    assert status == 0 and "renamed_files 1" in said.out and os.path.exists(os.path.join(root, "wiki/b_c.png"))
+    status, said = run("html", "--candidates")
+    assert status == 0 and said.out.strip() == "0 pending of 0"
+
+
+def test_stream(spark, tmp_path):
+    """Files that arrive in two batches give what all of them give at once."""
+    texts = [(f"sources/2024-01-0{k}_x.md", t) for k, t in enumerate([GOOD, "", "---\nx", GOOD.replace("title", "other")], 1)]
+    pages = [("html/a.html", "<script></script>{{x}}"), ("html/b.html", "<iframe></iframe>")]
+    for k in range(2):
+        spark.createDataFrame([*texts[2 * k : 2 * k + 2], pages[k]], "path string, text string").write.parquet(f"{tmp_path}/in/{k}")
+    arriving = spark.readStream.schema("path string, text string").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
+    for make_plan, name, rows in ((incremental.stream_sources, "found_sources", texts), (incremental.stream_elements, "found_pages", pages)):
+        kept = arriving.where("path LIKE 'sources/%'" if rows is texts else "path LIKE 'html/%'")
+        query = make_plan(kept).writeStream.format("memory").queryName(name).trigger(availableNow=True).start()
+        query.awaitTermination()
+        whole = make_plan(spark.createDataFrame(rows, "path string, text string"))
+        assert codes(spark.table(name)) == codes(whole) != []
+
+
+@pytest.mark.parametrize("name", sorted(catalog.QUERIES))
+def test_queries_equal_sql(spark, name):
+    folder = "/root/testdata/sf0.001"
+    if not os.path.isdir(folder):
+        pytest.skip("no test tables")
+    con = duckdb.connect()
+    for table in ("documents", "pages"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{folder}/{table}.parquet'")
+    got = catalog.QUERIES[name](spark, folder)
+    want = con.execute(catalog.ORACLE_SQL[name])
+    names = [c[0] for c in want.description]
+    assert sorted(names) == sorted(got.columns)
+    rows = sorted(map(repr, want.fetchall()))
+    assert sorted(repr(tuple(r)) for r in got.select(*names).collect()) == rows and rows
