@@ -2,11 +2,7 @@
 
 from __future__ import annotations
 
-import atexit
 import ctypes
-import shutil
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -15,6 +11,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..scratch import scratch as scratch
+from ..scratch import stage as stage
+
 #: A word is a longest run without ASCII white space; ``bytes.split()`` cuts at the same places.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -23,29 +22,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch(spark: SparkSession) -> str:
-    """The shared folder that the session names in ``spark.checkpoint.dir``.
-
-    Only a local session may lack it; that gets a temporary folder, which goes at exit.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if base:
-        return base.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    base = tempfile.mkdtemp(prefix="quillmesh-")
-    atexit.register(shutil.rmtree, base, True)
-    spark.conf.set("spark.checkpoint.dir", f"file://{base}")
-    return f"file://{base}"
-
-
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it again: computed once, and safe from lost executors."""
-    path = f"{scratch(df.sparkSession)}/quillmesh/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def join_counted(rows: DataFrame, told: DataFrame, key: str, total: int, outer: bool = False) -> DataFrame:
     """rows with what ``told`` (key, n, ...: one row a key that n of ``total`` rows have) says of their key; outer keeps rows it does not name.
 

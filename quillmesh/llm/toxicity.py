@@ -43,8 +43,8 @@ from .ranges import digest
 from .shared import batches_of, lean, release, stage
 
 ORDER, DISCOUNT, WINDOWS, FOLDS = 6, 0.75, (1, 4), 4
-#: Counts of every context that are taken to follow the shared backoff.
-BELIEF = 100.0
+#: Counts of every context that are taken to follow the shared backoff: of 3 to 800, that of the least log loss on the folds of the learning rows.
+BELIEF = 60.0
 #: Words that a task counts before it sends the counts on.
 HELD = 200_000
 
@@ -168,7 +168,7 @@ def shared_backoff(rows: Iterable[tuple[str, int, int, int]]) -> dict[str, float
     return p
 
 
-def spelling_model(counts: list[tuple[str, int, int]], below: dict[str, float]) -> Spelling:
+def spelling_model(counts: list[tuple[str, int, int]], below: dict[str, float], belief: float = BELIEF) -> Spelling:
     """From (letter sequence, count in toxic words, count in ordinary words) and the shared backoff."""
     total: list[dict[str, float]] = [defaultdict(float), defaultdict(float)]
     kinds: list[dict[str, int]] = [defaultdict(int), defaultdict(int)]
@@ -178,12 +178,12 @@ def spelling_model(counts: list[tuple[str, int, int]], below: dict[str, float])
             if n[k]:
                 total[k][h] += n[k]
                 kinds[k][h] += 1
-    backs = [{h: (DISCOUNT * kinds[k][h] + BELIEF) / (n + BELIEF) for h, n in total[k].items()} for k in (0, 1)]
+    backs = [{h: (DISCOUNT * kinds[k][h] + belief) / (n + belief) for h, n in total[k].items()} for k in (0, 1)]
     weight = {h: math.log(backs[0].get(h, 1.0) / backs[1].get(h, 1.0)) for h in total[0].keys() | total[1].keys()}
     ratio = {}
     for g, *n in counts:
         h, p = g[:-1], below[g]
-        toxic, ordinary = ((max(n[k] - DISCOUNT, 0.0) / (total[k][h] + BELIEF) if n[k] else 0.0) + backs[k].get(h, 1.0) * p for k in (0, 1))
+        toxic, ordinary = ((max(n[k] - DISCOUNT, 0.0) / (total[k][h] + belief) if n[k] else 0.0) + backs[k].get(h, 1.0) * p for k in (0, 1))
         ratio[g] = math.log(toxic / ordinary)
     return Spelling(ratio, weight)
 
@@ -207,7 +207,27 @@ def fit_curve(inputs: np.ndarray, labels: np.ndarray, weights: np.ndarray, steps
     return b.tolist()
 
 
-def fit(docs: DataFrame, labels: DataFrame, rows: int = 10_000) -> Spelling:
+def log_loss(curve: list[float], inputs: np.ndarray, labels: np.ndarray, weights: np.ndarray) -> float:
+    p = 1 / (1 + np.exp(-np.clip(curve[0] + inputs @ np.array(curve[1:]), -50, 50)))
+    return float(-(weights * np.log(np.where(labels > 0, p, 1 - p))).sum() / weights.sum())
+
+
+@dataclass
+class Evidence:
+    """What models are made of: letter sequences with counts by fold and label, the shared backoff, and the sample."""
+
+    spellings: list[str]
+    n: np.ndarray
+    below: dict[str, float]
+    chosen: DataFrame
+    weights: dict[int, float]
+
+    def without(self, fold: int | None, belief: float = BELIEF) -> Spelling:
+        left = self.n.sum(1) - (self.n[:, fold] if fold is not None else 0)
+        return spelling_model([(g, t, o) for g, t, o in zip(self.spellings, left[:, 0].tolist(), left[:, 1].tolist(), strict=True) if t or o], self.below, belief)
+
+
+def gather(docs: DataFrame, labels: DataFrame, rows: int = 10_000) -> Evidence:
     """docs(doc_id, text) and labels(doc_id, toxic), of learning rows only."""
     marked = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max((F.col("toxic") > 0).cast("int")).alias("toxic"))
     marked = marked.withColumn("_qm_turn", F.xxhash64(F.lit("toxicity"), "doc_id"))
@@ -234,32 +254,33 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = 10_000) -> Spelling:
     del rows_of
     release()
 
-    def without(fold: int | None) -> Spelling:
-        left = n.sum(1) - (n[:, fold] if fold is not None else 0)
-        return spelling_model([(g, t, o) for g, t, o in zip(spellings, left[:, 0].tolist(), left[:, 1].tolist(), strict=True) if t or o], below)
+    return Evidence(spellings, n, below, chosen, {y: share[y] / max(1, min(rows, share[y])) for y in (0, 1)})
+
+
+def fit(docs: DataFrame, labels: DataFrame, rows: int = 10_000) -> Spelling:
+    """The model of ``gather`` and its curve, from rows scored without their fold."""
+    known = gather(docs, labels, rows)
 
     def inputs_of(fold: int) -> pa.Table:
-        sent = docs.sparkSession.sparkContext.broadcast(without(fold))
+        sent = docs.sparkSession.sparkContext.broadcast(known.without(fold))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 got = [sent.value.inputs(t) for t in b.column("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays([b.column("toxic"), pa.array(got, pa.list_(pa.float64()))], names=["toxic", "inputs"])
 
-        out = chosen.where(F.col("fold") == fold).mapInArrow(lean(run), "toxic int, inputs array<double>").toArrow()
+        out = known.chosen.where(F.col("fold") == fold).mapInArrow(lean(run), "toxic int, inputs array<double>").toArrow()
         sent.destroy()
         return out
 
     seen = pa.concat_tables([inputs_of(k) for k in range(FOLDS)]).to_pandas()
-    model = without(None)
+    model = known.without(None)
     y = seen["toxic"].to_numpy(float)
-    seen_of = {label: max(1, min(rows, share[label])) for label in (0, 1)}
-    w = np.where(y > 0, share[1] / seen_of[1], share[0] / seen_of[0])
+    w = np.where(y > 0, known.weights[1], known.weights[0])
     x = np.array(seen["inputs"].tolist(), float).reshape(len(seen), 1 + len(WINDOWS))
     model.curve = fit_curve(x, y, w)
     if len(x):
-        p = 1 / (1 + np.exp(-np.clip(model.curve[0] + x @ np.array(model.curve[1:]), -50, 50)))
-        model.loss = float(-(w * np.log(np.where(y > 0, p, 1 - p))).sum() / w.sum())
+        model.loss = log_loss(model.curve, x, y, w)
     return model
 
 

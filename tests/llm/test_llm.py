@@ -364,16 +364,21 @@ def test_toxicity(spark):
     assert toxicity.score(docs, toxicity.fit(docs.limit(0), labels.limit(0))).count() == docs.count()
 
 
-def backoff_by_hand(words):
-    """Kneser-Ney over a Counter of words, all of it in memory."""
+def gram_counts(words, ends=True):
+    """Counts of the sequences of words and, for their ends, of the letters that come before."""
     counts = defaultdict(int)
     for word, n in words.items():
         for g in toxicity.grams_of(word):
             counts[g] += n
-    for k in range(toxicity.ORDER, 1, -1):
+    for k in range(toxicity.ORDER, 1, -1) if ends else ():
         for g in [g for g in counts if len(g) == k]:
             counts[g[1:]] += 1
-    after = defaultdict(list)
+    return counts
+
+
+def backoff_by_hand(words):
+    """Kneser-Ney over a Counter of words, all of it in memory."""
+    counts, after = gram_counts(words), defaultdict(list)
     for g, n in counts.items():
         after[g[:-1]].append(n)
     p = {"": 1 / (1 + len(after[""]))}
@@ -399,6 +404,40 @@ def test_toxicity_backoff_counts_all_documents(spark):
     assert got.ratio == pytest.approx(want.ratio) and got.weight == pytest.approx(want.weight)
 
 
+def test_toxicity_probabilities_sum_to_one():
+    """After each context, over all letters and one that no word has: of the shared backoff, and of a class over it."""
+    r = random.Random(8)
+    words = Counter("".join(r.choices("abc", k=r.randint(1, 7))) for _ in range(400))
+    p, after = backoff_by_hand(words), defaultdict(list)
+    counts = gram_counts(words)
+    for g, n in counts.items():
+        after[g[:-1]].append(n)
+    letters = [*(g for g in p if len(g) == 1), "?"]
+    own = gram_counts(dict(list(words.items())[::3]), ends=False)
+
+    def chance(h, x):
+        if h + x in p:
+            return p[h + x]
+        lower = chance(h[1:], x) if h else p[""]
+        return toxicity.DISCOUNT * len(after[h]) * lower / sum(after[h]) if h in after else lower
+
+    def of_class(h, x):
+        seen = [own[h + y] for y in letters if own.get(h + y)]
+        share = (toxicity.DISCOUNT * len(seen) + toxicity.BELIEF) / (sum(seen) + toxicity.BELIEF)
+        return max(own.get(h + x, 0) - toxicity.DISCOUNT, 0) / (sum(seen) + toxicity.BELIEF) + share * chance(h, x)
+
+    for h in list(after):
+        if len(h) < toxicity.ORDER:
+            assert sum(chance(h, x) for x in letters) == pytest.approx(1) == sum(of_class(h, x) for x in letters)
+
+
+def test_toxicity_learns_one_text_of_a_repeated_id(spark):
+    texts = [(1, "bad zyxo"), (2, "fine text")] + [(1, f"copy {k} zz") for k in range(50)]
+    known = toxicity.gather(documents(spark, texts), spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, toxic int"))
+    assert known.chosen.count() == 2
+    assert toxicity.words_in("_A_b हिन्दी cafe\u0301 x\u200by") == ["a", "b", "हिन्दी", "cafe\u0301", "x", "y"]
+
+
 def test_toxicity_keeps_all_sequences(spark):
     r = random.Random(7)
     texts = [(i, " ".join("".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=20)) for _ in range(80))) for i in range(200)]
