@@ -103,6 +103,7 @@ SELECT CAST(conv_id AS BIGINT) AS conv_id, CAST(n AS BIGINT) AS n_turns, sha256(
   sha256(learnt) AS loss_sha256, CAST(chars AS BIGINT) AS formatted_chars
 FROM joined"""
 
+
 def _draw(key: str) -> str:
     return f"CAST('0x' || substr(md5('mix/' || coalesce(CAST({key} AS VARCHAR), 'null')), 1, 13) AS BIGINT) / 4503599627370496.0::DOUBLE"
 
@@ -174,8 +175,21 @@ SELECT s.doc_id, CAST(len(s.grams) AS BIGINT) AS n_shingles, CASE WHEN rep IS NU
 FROM s LEFT JOIN r ON s.grams = r.grams LEFT JOIN least_of ON node = rep LEFT JOIN linked ON a = rep"""
 
 _SHARDS = 24
-#: The 256 remainders of the polynomial that CRC-32 divides by, bits in reverse.
-_REMAINDERS = "list_transform(range(0, 256), lambda b: list_reduce([CAST(b AS UBIGINT)] || list_transform(range(0, 8), lambda k: CAST(0 AS UBIGINT)), lambda c, z: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384::UBIGINT) ELSE c // 2 END))"
+
+
+def _remainder(nibble: int) -> int:
+    """Of four bits divided by CRC-32's polynomial, bits in reverse."""
+    for _ in range(4):
+        nibble = nibble >> 1 ^ (0xEDB88320 if nibble & 1 else 0)
+    return nibble
+
+
+_REMAINDERS = "[" + ", ".join(f"{_remainder(k)}::UBIGINT" for k in range(16)) + "]"
+
+
+def _crc_step(crc: str, bits: str) -> str:
+    """The register after four more bits."""
+    return f"xor({_REMAINDERS}[1 + CAST(xor({crc}, {bits}) % 16 AS INTEGER)], {crc} // 16)"
 
 
 def _best_of(shards: int) -> str:
@@ -186,11 +200,11 @@ def _best_of(shards: int) -> str:
 
 SHARDING = f"""
 WITH d AS (
-  SELECT doc_id, coalesce(CAST(doc_id AS VARCHAR), 'null') AS key, encode(coalesce(text, '')) AS raw, coalesce(text, '') AS text FROM documents),
+  SELECT doc_id, coalesce(CAST(doc_id AS VARCHAR), 'null') AS key, encode(coalesce(text, '')) AS raw, hex(encode(coalesce(text, ''))) AS digits FROM documents),
 placed AS (
   SELECT *, {_best_of(_SHARDS)} AS shard, {_best_of(_SHARDS + 1)} AS grown, octet_length(raw) + 8 AS size,
-    xor(list_reduce([4294967295::UBIGINT] || list_transform(range(0, octet_length(raw)), lambda i: CAST(('0x' || substr(hex(raw), 1 + 2 * i, 2)) AS UBIGINT)),
-      lambda c, b: xor({_REMAINDERS}[1 + CAST(xor(c, b) % 256 AS INTEGER)], c // 256)), 4294967295::UBIGINT) AS crc
+    xor(list_reduce([4294967295::UBIGINT] || list_transform(range(0, octet_length(raw)), lambda i: CAST(('0x' || substr(digits, 1 + 2 * i, 2)) AS UBIGINT)),
+      lambda c, b: {_crc_step(_crc_step("c", "b"), "(b // 16)")}), 4294967295::UBIGINT) AS crc
   FROM d)
 SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(crc AS BIGINT) AS text_crc32, 'key' AS law, CAST(shard AS INTEGER) AS shard,
   row_number() OVER (PARTITION BY shard ORDER BY substr(md5(key || '/' || size || '/' || crc), 1, 2), doc_id NULLS FIRST, size, crc) - 1 AS slot, CAST(grown AS INTEGER) AS grown_shard
