@@ -7,8 +7,10 @@ file names no decoder.
 
 The file's normalizer must be NFC, white space to one space, lower case; its pre-tokenizer the
 split by pattern and the byte-level map; words end in a suffix.  Other files are refused.
-Null text encodes as the empty text.  A token file's usual form is kept: ``ids`` is binary,
-unsigned 32-bit little-endian.
+Null text encodes as the empty text, which has no ids; texts of any length are encoded whole;
+repeated rows encode alike; of pairs of equal rank the first in the text merges; no rows give no
+rows.  A token file's usual form is kept: ``ids`` is binary, unsigned 32-bit little-endian.  Input
+columns called ids or decoded are replaced where they are made, all others are carried.
 """
 
 from __future__ import annotations

@@ -8,7 +8,8 @@ the tokens of each assistant text, and the mask is what a token and that text ha
 where a token reaches over a text's end, only the part inside is under the mask.
 
 Turns come in the order of turn (null first), then role, then text.  A null role or text is the
-empty one; a null conv_id is a conversation like any other.  A conversation is one row of the
+empty one; a null conv_id is a conversation like any other; repeated rows are a turn each; no rows
+give no rows; columns but those four are not read.  A conversation, however long, is one row of the
 output and is built by one task, which holds no other one meanwhile.
 """
 
