@@ -273,12 +273,12 @@ def test_queries_on_odd_tables(spark, tmp_path, name):
     spark.createDataFrame([(i, k % 2, (k // 2) % 2, "t") for k, (i, _) in enumerate(rows)], SCHEMAS["labels"]).write.parquet(f"{tmp_path}/labels.parquet")
     out = queries.QUERIES[name](spark, str(tmp_path)).collect()
     assert Counter(x["doc_id"] for x in out) == Counter(i for i, _ in rows)
-    if name in ("op9_ngram_jaccard", "op2_substring_dedup"):
-        con = duckdb.connect()
-        con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
-        got = con.execute(queries.ORACLE_SQL[name])
-        names = [c[0] for c in got.description]
-        assert bag(x.asDict() for x in out) == bag(dict(zip(names, x, strict=True)) for x in got.fetchall())
+    if name == "op9_ngram_jaccard":
+        assert Counter((x["doc_id"], x["n_shingles"], x["component_id"], x["n_links"]) for x in out) == brute_components(rows, 4, 85)
+    if name == "op2_substring_dedup":
+        assert next(x["n_removed"] for x in out if x["doc_id"] == 2**63 - 1) == 1_000_000 - 1
+    if name == "op5_sharding":
+        assert all(sorted(x["slot"] for x in out if x["shard"] == s) == list(range(sum(x["shard"] == s for x in out))) for s in range(24))
 
 
 def test_pipeline_empty(spark, folders):
