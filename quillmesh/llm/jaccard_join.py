@@ -140,7 +140,47 @@ class Product:
         return [(x, top) for x in range(self.k) if (top := root(x)) != x], many
 
 
-def _multiply(percent: int):
+def search(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """(set, first set of its component) of each that has a partner, without all links: a set found once is met no more."""
+    k = len(sets)
+    sizes = np.array([len(s) for s in sets], np.int64)
+    docs, ends = np.repeat(np.arange(k), sizes), np.cumsum(sizes)
+    _, grams, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    own = [grams[end - size : end] for size, end in zip(sizes, ends, strict=True)]
+    waiting = np.ones(k, bool)
+
+    def postings() -> tuple[np.ndarray, np.ndarray]:
+        held = np.flatnonzero(waiting[docs])
+        order = held[np.argsort(grams[held], kind="stable")]
+        return np.r_[0, np.cumsum(np.bincount(grams[held], minlength=len(counts)))], docs[order]
+
+    starts, posting = postings()
+    left = listed = k
+    found = []
+    for root in range(k):
+        if not waiting[root]:
+            continue
+        waiting[root] = False
+        left -= 1
+        queue = [root]
+        while queue and left:
+            if 2 * left < listed:
+                (starts, posting), listed = postings(), left
+            a = queue.pop()
+            first, many = starts[own[a]], starts[own[a] + 1] - starts[own[a]]
+            total = int(many.sum())
+            if not total:
+                continue
+            others, overlap = np.unique(posting[np.repeat(first - np.r_[0, np.cumsum(many)[:-1]], many) + np.arange(total)], return_counts=True)
+            near = others[waiting[others] & (100 * overlap >= percent * (sizes[a] + sizes[others] - overlap))]
+            waiting[near] = False
+            left -= len(near)
+            found += [(int(b), root) for b in near]
+            queue += near.tolist()
+    return found
+
+
+def _multiply(percent: int, count: bool):
     def run(rows: pa.Table) -> pa.Table:
         nodes, weights = rows["node"].to_numpy(), rows["many"].to_numpy()
         classes, right = rows["class"].to_numpy(), rows["right_side"].to_numpy(zero_copy_only=False)
@@ -150,7 +190,9 @@ def _multiply(percent: int):
         cuts = np.flatnonzero(np.r_[True, classes[order][1:] != classes[order][:-1]])
         out = []
         for own in np.split(order, cuts[1:]):
-            if len(own) > 1:
+            if len(own) > 1 and not count:
+                out += [(int(nodes[own[x]]), int(nodes[own[y]]), 0) for x, y in search([np.frombuffer(sets[i], np.uint64) for i in own], percent)]
+            elif len(own) > 1:
                 links, many = Product([np.frombuffer(sets[i], np.uint64) for i in own], percent, weights[own], right[own] if cross else None).links()
                 tied = dict(links)
                 out += [(int(nodes[own[x]]), int(nodes[own[tied.get(x, x)]]), int(many[x])) for x in np.flatnonzero(many)]
@@ -160,10 +202,11 @@ def _multiply(percent: int):
     return run
 
 
-def jaccard_groups(docs: DataFrame, n: int = 5, percent: int = 80, tile: int = TILE, least: int | None = None) -> DataFrame:
+def jaccard_groups(docs: DataFrame, n: int = 5, percent: int = 80, tile: int = TILE, least: int | None = None, count: bool = True) -> DataFrame:
     """doc_id, digest (of the text), n_shingles, n_links (other documents that it links with), component (a number, null without words).
 
-    Two documents link when 100 * overlap >= percent * union.
+    Two documents link when 100 * overlap >= percent * union.  Without ``count`` n_links is null, and sets known to
+    belong together are not compared any more, so that a class of near copies costs in proportion to its size.
     """
     chunks = Chunks(docs, **({"least": least} if least else {}))
     buckets = chunks.n
@@ -230,13 +273,13 @@ def jaccard_groups(docs: DataFrame, n: int = 5, percent: int = 80, tile: int = T
     sized = alive.select("node", "size").join(classes.withColumnsRenamed({"node": "_qm_node", "component": "class"}), F.col("node") == F.col("_qm_node")).drop("_qm_node")
     sized = stage(sized.join(firsts.select(F.col("node").alias("_qm_node"), "many"), F.col("node") == F.col("_qm_node")).drop("_qm_node"), "sized")
     blocks = _blocks(sized, percent, tile).join(alive.select(F.col("node").alias("_qm_node"), "grams"), F.col("node") == F.col("_qm_node")).drop("_qm_node")
-    links = stage(blocks.groupBy("_qm_bin").applyInArrow(lean_group(_multiply(percent)), "a long, b long, links long"), "links")
+    links = stage(blocks.groupBy("_qm_bin").applyInArrow(lean_group(_multiply(percent, count)), "a long, b long, links long"), "links")
     linked = connected_components(links.select("a", "b")).withColumnRenamed("node", "_qm_node")
     counts = links.groupBy(F.col("a").alias("_qm_a")).agg(F.sum("links").alias("links"))
     found = firsts.select("mark", "node", F.col("many").alias("n")).join(linked, F.col("node") == F.col("_qm_node"), "left").join(counts, F.col("node") == F.col("_qm_a"), "left")
-    found = stage(found.select("mark", "n", F.coalesce("component", "node").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links")), "found")
+    found = stage(found.select("mark", "n", F.coalesce("component", "node").alias("component"), ((F.coalesce("links", F.lit(0)) + F.col("n") - 1) if count else F.lit(None).cast("long")).alias("n_links")), "found")
     out = join_counted(held.select("doc_id", "digest", "n_shingles", "mark"), found, "mark", found.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
-    none = signed.where("mark IS NULL").select("doc_id", "digest", "n_shingles", F.lit(None).cast("long").alias("component"), F.lit(0).cast("long").alias("n_links"))
+    none = signed.where("mark IS NULL").select("doc_id", "digest", "n_shingles", F.lit(None).cast("long").alias("component"), F.lit(0 if count else None).cast("long").alias("n_links"))
     return out.drop("mark").unionByName(none).select("doc_id", "digest", "n_shingles", "n_links", "component")
 
 
@@ -280,12 +323,12 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, tile: int
     return out.unionByName(lone).select("doc_id", "n_shingles", "component_id", "n_links")
 
 
-def first_of_groups(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
+def first_of_groups(docs: DataFrame, n: int = 5, percent: int = 80, tile: int = TILE, least: int | None = None) -> DataFrame:
     """Rows of docs, of each component one: that of the smallest doc_id, null last, and then digest.
 
     Rows without words all stay.
     """
-    found = stage(jaccard_groups(docs, n, percent), "groups")
+    found = stage(jaccard_groups(docs, n, percent, tile, least, count=False), "groups")
     best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("digest").alias("digest")))
     kept = found.where("component IS NOT NULL").groupBy("component").agg(best.alias("b")).select(F.col("b.id").alias("_qm_id"), F.col("b.digest").alias("_qm_digest"))
     blank = ~F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from quillmesh.llm import bpe, chat, fingerprints, mixing, quality_rules, queries, sharding, toxicity, warc
 from quillmesh.llm.chunks import Chunks
-from quillmesh.llm.jaccard_join import Product, first_of_groups, jaccard_components
+from quillmesh.llm.jaccard_join import Product, first_of_groups, jaccard_components, search
 from quillmesh.llm.ranges import Ranges, key_of, place_among
 from quillmesh.llm.shared import scratch
 from quillmesh.llm.substring_dedup import remove_repeats
@@ -142,8 +142,8 @@ def test_jaccard_large_class(spark):
 
 
 def test_first_of_groups(spark):
-    for rows in (corpus(), tangle()):
-        got, found = first_of_groups(documents(spark, rows), 4, 85), brute_groups(rows, 4, 85)
+    for rows, kw in ((corpus(), {"least": 2000, "tile": 300}), (tangle(), {})):
+        got, found = first_of_groups(documents(spark, rows), 4, 85, **kw), brute_groups(rows, 4, 85)
         assert got.columns == documents(spark, []).columns
         groups, want = defaultdict(list), Counter()
         for (i, t), (size, _, g) in zip(rows, found, strict=True):
@@ -176,6 +176,7 @@ def test_product_finds_all_links():
                     group = [min(x, y) if g in (x, y) else g for g in group]
         links, counts = Product(base, 70, weights, sides).links()
         assert dict(links) == {k: g for k, g in enumerate(group) if k != g} and counts.tolist() == many.tolist() and many.any()
+        assert sides is not None or dict(search(base, 70)) == dict(links)
 
 
 def test_ranges(spark):
