@@ -27,18 +27,19 @@ from pyspark.sql import functions as F
 from .shared import stage
 
 #: Documents of a source that toss one after the other, and halvings that find one of them.
-LARGEST, HALVINGS = 1000, 10
+LARGEST, HALVINGS = 400, 9
 
 
-def draw(seed: str, key: Column) -> Column:
-    """Uniform in 0 to 1, from 52 bits of a digest; null is a key like any other."""
+def _number(key: Column, seed: str, start: int, digits: int) -> Column:
+    """Some hexadecimal digits of a key's digest; null is a key like any other."""
     digest = F.md5(F.concat_ws("/", F.lit(seed), F.coalesce(key.cast("string"), F.lit("null"))))
-    return F.conv(F.substring(digest, 1, 13), 16, 10).cast("long").cast("double") / float(1 << 52)
+    return F.conv(F.substring(digest, start, digits), 16, 10).cast("long")
 
 
 def _place(size: Column, key: Column, seed: str) -> Column:
-    """Falling size, then the hash."""
-    return F.struct((-F.coalesce(size, F.lit(0))).alias("size"), draw(seed, key).alias("drawn"))
+    """Falling size, then a number that the coin knows nothing of; and the coin's, uniform in 0 to 1."""
+    drawn = _number(key, seed, 1, 13).cast("double") / float(1 << 52)
+    return F.struct((-F.coalesce(size, F.lit(0))).alias("size"), _number(key, seed, 14, 8).alias("tie"), drawn.alias("drawn"))
 
 
 def _chances(largest: Column, whole: Column, part: Column) -> Column:

@@ -104,8 +104,12 @@ SELECT CAST(conv_id AS BIGINT) AS conv_id, CAST(n AS BIGINT) AS n_turns, sha256(
 FROM joined"""
 
 
+def _digits(key: str, start: int, many: int) -> str:
+    return f"CAST('0x' || substr(md5('mix/' || coalesce(CAST({key} AS VARCHAR), 'null')), {start}, {many}) AS BIGINT)"
+
+
 def _draw(key: str) -> str:
-    return f"CAST('0x' || substr(md5('mix/' || coalesce(CAST({key} AS VARCHAR), 'null')), 1, 13) AS BIGINT) / 4503599627370496.0::DOUBLE"
+    return f"{_digits(key, 1, 13)} / 4503599627370496.0::DOUBLE"
 
 
 #: The level rises source by source: each round gives those over their cap the cap, and the rest is shared again.
@@ -128,8 +132,8 @@ targets AS MATERIALIZED (
 rated AS MATERIALIZED (
   SELECT *, CASE WHEN source_size > 0 THEN least(target / source_size, 3.0::DOUBLE) ELSE 0.0::DOUBLE END AS rate FROM targets),
 drawn AS MATERIALIZED (
-  SELECT *, dense_rank() OVER (PARTITION BY source ORDER BY size DESC, drawn) AS place, row_number() OVER (PARTITION BY source ORDER BY size DESC, drawn) AS turn
-  FROM (SELECT *, {_draw("doc_id")} AS drawn FROM docs)),
+  SELECT *, dense_rank() OVER (PARTITION BY source ORDER BY size DESC, tie, drawn) AS place, row_number() OVER (PARTITION BY source ORDER BY size DESC, tie, drawn) AS turn
+  FROM (SELECT *, {_draw("doc_id")} AS drawn, {_digits("doc_id", 14, 8)} AS tie FROM docs)),
 largest AS MATERIALIZED (
   SELECT source, place, drawn, CAST(size * count(*) AS DOUBLE) AS words FROM drawn WHERE turn <= {LARGEST} GROUP BY source, place, drawn, size),
 tossed(source, place, whole, chance) AS (

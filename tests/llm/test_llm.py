@@ -293,11 +293,19 @@ def test_mixing_chances_are_the_fractions(spark):
     for own in (rows, [r for r in rows if r[2] == 50]):
         out = mixing.mix(spark.createDataFrame(own, "doc_id long, source string, size long")).collect()
         for weight in (1, 2, 3):
+            # of the two alike in size, too, whichever tosses first
             for j in {r[0] % 100 for r in own}:
                 taken = [x["copies"] for x in out if x["doc_id"] % 100 == j and int(x["source"][1:]) % 3 + 1 == weight]
                 assert len(taken) == 400 and sum(taken) / 400 == pytest.approx(weight / 2, abs=0.1)
 
 
+def test_mixing_chances_past_the_largest(spark):
+    """Many documents of one size: those that toss in turn and those after them take the same share."""
+    out = mixing.mix(spark.createDataFrame([(i, f"s{i % 3}", 10) for i in range(9000)], "doc_id long, source string, size long")).collect()
+    for k, rate in enumerate((0.5, 1.0, 1.5)):
+        assert sum(x["copies"] for x in out if x["source"] == f"s{k}") == pytest.approx(3000 * rate, rel=0.05)
+
+
 def test_mixing_comes_near_the_target(spark):
     r = random.Random(1)
     rows = [(i, f"s{i % 6}", int(r.paretovariate(1.1) * 20) if i % 6 else r.randint(1, 400)) for i in range(3000)]
