@@ -214,6 +214,75 @@ SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(crc AS BIGINT) AS text_crc32,
   row_number() OVER (PARTITION BY shard ORDER BY substr(md5(key || '/' || size || '/' || crc), 1, 2), doc_id NULLS FIRST, size, crc) - 1 AS slot, CAST(grown AS INTEGER) AS grown_shard
 FROM placed"""
 
+
+
+def _crc(digits: str) -> str:
+    """CRC-32 of the bytes that hexadecimal digits stand for."""
+    byte = f"CAST(('0x' || substr({digits}, 1 + 2 * i, 2)) AS UBIGINT)"
+    step = _crc_step(_crc_step("c", "b"), "(b // 16)")
+    return f"xor(list_reduce([4294967295::UBIGINT] || list_transform(range(0, length({digits}) // 2), lambda i: {byte}), lambda c, b: {step}), 4294967295::UBIGINT)"
+
+
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+#: Each node is met with all its ancestors, by way of its smallest member.
+PREFIX_TRIE = f"""
+WITH t AS (
+  SELECT conv_id, turn, text, md5(octet_length(encode(role)) || ':' || role || text) AS digest
+  FROM (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL)),
+o AS MATERIALIZED (SELECT conv_id, digest, len({_words()}) AS words, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, digest) AS i FROM t),
+c AS MATERIALIZED (SELECT conv_id, conv_id - conv_id % 20 AS leader, {_crc("digits")} % 4 AS h FROM (SELECT DISTINCT conv_id, hex(encode(CAST(conv_id AS VARCHAR))) AS digits FROM t)),
+r AS (
+  SELECT c.conv_id, i, digest, words FROM c JOIN o ON o.conv_id = c.leader AND i <= h
+  UNION ALL SELECT c.conv_id, i, digest, words FROM c JOIN o ON o.conv_id = c.conv_id AND i > h),
+m AS MATERIALIZED (
+  SELECT conv_id, row_number() OVER w AS depth, string_agg(digest, ',') OVER w AS path, words FROM r WINDOW w AS (PARTITION BY conv_id ORDER BY i)
+  UNION ALL SELECT conv_id, 0, '', 0 FROM c),
+n AS MATERIALIZED (SELECT depth, path, min(conv_id) AS conv_id, count(*) AS n_convs, min(words) AS words FROM m GROUP BY depth, path),
+kids AS MATERIALIZED (
+  SELECT up.path, count(*) AS n_children FROM n JOIN m up ON up.conv_id = n.conv_id AND up.depth = n.depth - 1 GROUP BY up.path),
+below AS (
+  SELECT up.path, count(*) FILTER (kids.path IS NULL) AS n_leaves, sum((n_convs - 1) * n.words) AS saved
+  FROM n LEFT JOIN kids USING (path) JOIN m up ON up.conv_id = n.conv_id AND up.depth <= n.depth GROUP BY up.path),
+ended AS (
+  SELECT path, string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) AS ids
+  FROM m JOIN (SELECT conv_id, max(depth) AS depth FROM m GROUP BY conv_id) USING (conv_id, depth) GROUP BY path)
+SELECT n.conv_id, CAST(n.depth AS BIGINT) AS depth, up.conv_id AS parent_conv_id, n.n_convs, coalesce(n_children, 0) AS n_children, n_leaves,
+  CAST(saved AS BIGINT) AS saved_tokens, sha256(coalesce(ids, '')) AS ends_sha256
+FROM n LEFT JOIN kids USING (path) JOIN below USING (path) LEFT JOIN ended USING (path)
+LEFT JOIN (SELECT m.conv_id AS own, m.depth + 1 AS depth, n.conv_id FROM m JOIN n USING (path)) up ON up.own = n.conv_id AND up.depth = n.depth"""
+
+LINE_DEDUP = f"""
+WITH d AS (SELECT row_number() OVER () AS d, doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+l AS MATERIALIZED (
+  SELECT d, doc_id, i, line, {_LOWER.format("regexp_replace(line, '^[\\x20\\x09-\\x0D]+|[\\x20\\x09-\\x0D]+$', '', 'g')")} AS key
+  FROM (SELECT d, doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS i FROM d)),
+f AS (SELECT key, max(doc_id) AS last FROM l WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT coalesce(CAST(doc_id AS VARCHAR), 'null')) >= 3)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
+FROM (SELECT l.*, f.key IS NOT NULL AND l.doc_id IS DISTINCT FROM last AS gone FROM l LEFT JOIN f USING (key)) GROUP BY d, doc_id"""
+
+_PLAIN = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
+
+IMPORTANCE = f"""
+WITH w AS MATERIALIZED (
+  SELECT row_number() OVER () AS d, doc_id, target, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, {_PLAIN}) AS words
+  FROM (SELECT doc_id, text, false AS target FROM documents UNION ALL SELECT NULL, text, true FROM benchmark)),
+g AS MATERIALIZED (
+  SELECT d, target, gram, count(*) AS n FROM (SELECT d, target, unnest({_runs("words", 1)} || {_runs("words", 2)} || {_runs("words", 3)}) AS gram FROM w) GROUP BY d, target, gram),
+dictionary AS MATERIALIZED (
+  SELECT gram, s, t, CAST({_crc("digits")} % 10000 AS INTEGER) AS bucket
+  FROM (SELECT gram, hex(encode(gram)) AS digits, coalesce(sum(n) FILTER (NOT target), 0) AS s, coalesce(sum(n) FILTER (target), 0) AS t FROM g GROUP BY gram)),
+sums AS (SELECT bucket, sum(s)::DOUBLE AS s, sum(t)::DOUBLE AS t FROM dictionary GROUP BY bucket),
+gains AS (SELECT bucket, floor(1000 * ln((t + 1) * (all_s + 10000) / ((s + 1) * (all_t + 10000)))) AS gain FROM sums, (SELECT sum(s) AS all_s, sum(t) AS all_t FROM sums)),
+weights AS (SELECT d, sum(n) AS n_features, sum(n * gain) AS weight FROM g JOIN dictionary USING (gram) JOIN gains USING (bucket) WHERE NOT target GROUP BY d),
+scored AS (
+  SELECT d, doc_id, len(words) AS n_words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+    coalesce(weight, 0) + floor(-1000 * ln(-ln((CAST(('0x' || substr(sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 8)) AS BIGINT) + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS score
+  FROM w LEFT JOIN weights USING (d) WHERE NOT target),
+placed AS (SELECT d, row_number() OVER (ORDER BY score DESC, doc_id NULLS FIRST) AS rank, count(*) OVER () AS n FROM scored WHERE n_words >= 20)
+SELECT doc_id, CAST(n_features AS BIGINT) AS n_features, CAST(weight AS BIGINT) AS weight, CAST(score AS BIGINT) AS score, CASE WHEN rank <= 5 * n // 100 THEN rank END AS rank
+FROM scored LEFT JOIN placed USING (d)"""
+
 ORACLE_SQL: dict[str, str] = {
     "op2_substring_dedup": SUBSTRING_DEDUP,
     "op3_quality_rules": QUALITY_RULES,
@@ -222,4 +291,7 @@ ORACLE_SQL: dict[str, str] = {
     "op7_mixing": MIXING,
     "op8_warc": WARC,
     "op9_ngram_jaccard": NGRAM_JACCARD,
+    "op11_prefix_trie": PREFIX_TRIE,
+    "op12_line_dedup": LINE_DEDUP,
+    "op13_importance": IMPORTANCE,
 }

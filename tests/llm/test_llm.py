@@ -456,7 +456,7 @@ def test_toxicity_keeps_all_sequences(spark):
 
 
 def test_queries_are_registered():
-    assert sorted(int(k[2:].split("_")[0]) for k in queries.QUERIES) == list(range(1, 11))
+    assert sorted(int(k[2:].split("_")[0]) for k in queries.QUERIES) == list(range(1, 14))
 
 
 def test_no_text_is_long_enough(spark):
