@@ -2,11 +2,11 @@
 
 Features are the runs of 1 to ``N`` words of a text.  The steps, each a Spark job:
 
-1. Texts are read once and kept as chunks of word numbers with a sorted vocabulary each.
-2. Each chunk sends its distinct features, as sorted packed strings with their counts, to the
-   dictionary's parts, dealt by a mix of their words' hashes.  A part merges the strings of all
+1. Texts are read once and kept as chunks of word numbers with a vocabulary each.
+2. Each chunk sends its distinct features with their counts to the dictionary's parts, dealt by a mix of
+   their words' hashes, as packed strings.  A part merges the features of all
    chunks, so it counts each distinct string globally, hashes it once, and sums the counts of
-   each bucket.  It answers each chunk with the buckets of the strings that it sent, in their order.
+   each bucket.  It answers each chunk with the buckets of the features that it sent, in their order.
 3. The gain of a bucket follows from the sums, a table of ``BUCKETS`` rows.
 4. Chunks and answers meet again: the feature counts of each document are joined with the gains.
 5. Documents are ranked by weight plus seeded Gumbel noise, in ranges, without one global sort.
@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from .shared import lean, lean_group, lean_pair, stage
 
 N, BUCKETS = 3, 10_000
-CHUNK, PART_ROWS = 1 << 21, 1 << 19
+CHUNK, PART_ROWS = 3 << 19, 1 << 19
 CHUNKS = "chunk long, target boolean, row array<long>, doc_id array<long>, n_words array<long>, length array<int>, starts array<int>, vocabulary binary, ids binary"
 #: A-Z become small, ASCII letters and digits and all other bytes from 128 on stay, the rest becomes a space.
 _CLEAN = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
@@ -57,6 +57,11 @@ def _unpack(data: bytes, kind) -> np.ndarray:
     return np.ascontiguousarray(planes.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
 
 
+def _data(strings: pa.Array) -> bytes:
+    """What a whole array of strings holds, one after the other."""
+    return bytes(strings.buffers()[2] or b"") if len(strings) else b""
+
+
 def _strings(data: bytes, stop: int) -> pa.Array:
     """The strings of a buffer, each with the byte that ends it."""
     ends = np.flatnonzero(np.frombuffer(data, np.uint8) == stop) + 1
@@ -80,14 +85,15 @@ class _Chunk:
         self.size += len(words)
 
     def packed(self, chunk: int, target: bool) -> pa.RecordBatch:
+        """A row of CHUNKS; words are numbered from the most frequent on."""
         coded = _strings(b"".join(self.texts), 32).dictionary_encode()
-        order = pc.sort_indices(coded.dictionary).to_numpy()
-        place = np.empty(len(order), np.uint32)
-        place[order] = np.arange(len(order), dtype=np.uint32)
-        vocabulary = b"".join(coded.dictionary.take(pa.array(order)).to_pylist())
+        places = coded.indices.to_numpy()
+        order = np.argsort(-np.bincount(places, minlength=len(coded.dictionary)), kind="stable")
+        rank = np.empty(len(order), np.uint32)
+        rank[order] = np.arange(len(order), dtype=np.uint32)
+        vocabulary = _data(coded.dictionary.take(pa.array(order)))
         kinds = [pa.int64(), pa.bool_(), *[pa.list_(pa.int64())] * 3, *[pa.list_(pa.int32())] * 2, pa.binary(), pa.binary()]
-        ids = place[coded.indices.to_numpy()] if len(order) else place
-        values = [chunk, target, self.rows, self.ids, self.words, self.lengths, self.starts, vocabulary, _pack(ids)]
+        values = [chunk, target, self.rows, self.ids, self.words, self.lengths, self.starts, vocabulary, _pack(rank[places])]
         return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds, strict=True)], names=[c.split()[0] for c in CHUNKS.split(", ")])
 
 
@@ -113,101 +119,132 @@ def chunks_of(docs: DataFrame, words: int, target: bool = False) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(run), CHUNKS)
 
 
+def _coded(columns: list[np.ndarray], base: int) -> np.ndarray:
+    """A number for each row of word numbers below base, equal for equal rows and rising with the first column."""
+    code, room = columns[0].astype(np.int64), base
+    for column in columns[1:]:
+        if room * base >= 1 << 62:
+            distinct, code = np.unique(code, return_inverse=True)
+            room = len(distinct)
+        code, room = code * base + column, room * base
+    return code
+
+
+def _groups(code: np.ndarray, inverse: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
+    """A place of each distinct code, by code, how often it comes, and if asked for which code each place has."""
+    order = np.argsort(code)
+    new = np.empty(len(code), bool)
+    new[:1] = True
+    held = code[order]
+    np.not_equal(held[1:], held[:-1], out=new[1:])
+    starts = np.flatnonzero(new)
+    counts = np.diff(np.append(starts, len(code)))
+    which = None
+    if inverse:
+        which = np.empty(len(code), np.int32)
+        which[order] = np.cumsum(new, dtype=np.int32) - 1
+    return order[starts], counts, which
+
+
 class _Features:
-    """The distinct features of a chunk, in order of their parts, then of length, then as strings."""
+    """The distinct features of a chunk: by length, then by the part of the dictionary, then by their words' numbers."""
 
     def __init__(self, row: dict, parts: int):
-        self.vocabulary = _strings(row["vocabulary"], 32)
-        words = [w[:-1] for w in self.vocabulary.to_pylist()]
-        self.words = pa.array(words, pa.large_binary())
-        hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
-        ids = _unpack(row["ids"], np.uint32).astype(np.int64)
+        self.parts, self.words = parts, row["vocabulary"].split(b" ")[:-1]
+        self.hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, self.words), np.uint64, len(self.words))
+        self.ids = _unpack(row["ids"], np.uint32).astype(np.int32)
         lengths, starts = (np.array(row[c], np.int64) for c in ("length", "starts"))
         ends = np.cumsum(lengths)
         self.firsts = ends - lengths
-        place = np.arange(len(ids))
-        end, own = np.repeat(ends, lengths), np.repeat(self.firsts + starts, lengths)
-        self.base, self.at, self.inverse, self.counts, self.grams, owners = max(1, len(words)), [], [], [], [], []
+        #: words up to the end of the text from each place on, 0 where another piece has it
+        self.left = np.repeat(ends, lengths) - np.arange(len(self.ids))
+        self.left[np.arange(len(self.ids)) >= np.repeat(self.firsts + starts, lengths)] = 0
+
+    def of(self, n: int, inverse: bool = False) -> tuple[np.ndarray, list[np.ndarray], np.ndarray, np.ndarray, np.ndarray, np.ndarray | None]:
+        """Places, then of the distinct features the words, counts, parts and the order in which they are sent; which feature each place has."""
+        at = np.flatnonzero(self.left >= n)
+        columns = [self.ids[at + j] for j in range(n)]
+        first, counts, which = _groups(_coded(columns, max(1, len(self.words))), inverse)
+        grams = [c[first] for c in columns]
+        mixed = np.zeros(len(counts), np.uint64)
+        for g, m in zip(grams, _MIX, strict=False):
+            mixed += self.hashes[g] * np.uint64(m)
+        owners = ((mixed ^ mixed >> np.uint64(29)) % np.uint64(self.parts)).astype(np.int32)
+        return at, grams, counts, owners, np.argsort(owners, kind="stable"), which
+
+    def sent(self) -> Iterator[tuple[int, bytes, bytes]]:
+        """(part, strings with line feeds, counts): of one word, then of two, then of three, each in the order of its words' numbers."""
+        held, binary = [], pa.large_binary()
+        words = pa.array(self.words, binary)
+        ended = pc.binary_join_element_wise(words, pa.scalar(b"", binary), pa.scalar(b"\n", binary))
         for n in range(1, N + 1):
-            at = np.flatnonzero((place + n <= end) & (place < own))
-            code = np.zeros(len(at), np.int64)
-            for j in range(n):
-                code = code * self.base + ids[at + j]
-            distinct, inverse, counts = np.unique(code, return_inverse=True, return_counts=True)
-            grams = []
-            for _ in range(n):
-                grams.insert(0, distinct % self.base)
-                distinct = distinct // self.base
-            mixed = sum((hashes[g] * np.uint64(m) for g, m in zip(grams, _MIX, strict=False)), np.zeros(len(counts), np.uint64))
-            owners.append(((mixed ^ mixed >> np.uint64(29)) % np.uint64(parts)).astype(np.int64))
-            self.at.append(at)
-            self.inverse.append(inverse)
-            self.counts.append(counts)
-            self.grams.append(grams)
-        self.owners = np.concatenate(owners)
-        #: places of the features, n by n, in the order in which they are sent
-        self.order = np.argsort(self.owners, kind="stable")
-
-    def sent(self) -> Iterator[tuple[int, bytes, np.ndarray]]:
-        """(part, strings with line feeds, counts)."""
-        ended = pc.binary_join_element_wise(self.words, pa.scalar(b"", pa.large_binary()), pa.scalar(b"\n", pa.large_binary()))
-        made = []
-        for grams in self.grams:
-            taken = [self.words.take(pa.array(g)) for g in grams[:-1]] + [ended.take(pa.array(grams[-1]))]
-            made.append(pc.binary_join_element_wise(*taken, pa.scalar(b" ", pa.large_binary())) if len(taken) > 1 else taken[0])
-        strings = pa.concat_arrays(made).take(pa.array(self.order))
-        offsets, data = np.frombuffer(strings.buffers()[1], np.int64), strings.buffers()[2]
-        counts = np.concatenate(self.counts)[self.order].astype(np.uint32)
-        owners = self.owners[self.order]
-        cuts = np.flatnonzero(np.r_[True, owners[1:] != owners[:-1]]) if len(owners) else []
-        for a, b in zip(cuts, [*cuts[1:], len(owners)], strict=True):
-            yield int(owners[a]), data.slice(offsets[a], offsets[b] - offsets[a]), counts[a:b]
-
-    def sums(self, gains: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Number of features and sum of gains of each document; gains are in the order of sending."""
-        by_place = np.empty(len(gains), np.int64)
-        by_place[self.order] = gains
-        many, total, begin = np.zeros(len(self.firsts), np.int64), np.zeros(len(self.firsts), np.int64), 0
-        for at, inverse, counts in zip(self.at, self.inverse, self.counts, strict=True):
-            upto = np.concatenate([[0], np.cumsum(by_place[begin : begin + len(counts)][inverse])])
+            _, grams, counts, owners, order, _ = self.of(n)
+            taken = [(words if k < n - 1 else ended).take(pa.array(g[order])) for k, g in enumerate(grams)]
+            strings = pc.binary_join_element_wise(*taken, pa.scalar(b" ", binary)) if n > 1 else taken[0]
+            cuts = np.searchsorted(owners[order], np.arange(self.parts + 1))
+            ends = np.frombuffer(strings.buffers()[1], np.int64)[cuts] if len(strings) else np.zeros(self.parts + 1, np.int64)
+            held.append((memoryview(strings.buffers()[2] or b""), ends, counts[order].astype(np.uint32), cuts))
+        for part in range(self.parts):
+            counts = np.concatenate([c[cuts[part] : cuts[part + 1]] for _, _, c, cuts in held])
+            if len(counts):
+                strings = b"".join([data[ends[part] : ends[part + 1]] for data, ends, _, _ in held])
+                yield part, len(strings).to_bytes(8, "little") + pa.compress(strings, "zstd", asbytes=True), _pack(counts)
+
+    def sums(self, told: list[tuple[int, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        """Number of features and sum of gains of each document, from the gains of each part's features in the order of sending."""
+        many, total = np.zeros(len(self.firsts), np.int64), np.zeros(len(self.firsts), np.int64)
+        used = dict.fromkeys((part for part, _ in told), 0)
+        for n in range(1, N + 1):
+            at, _, counts, owners, order, which = self.of(n, True)
+            sizes = np.bincount(owners, minlength=self.parts)
+            own = [gains[used[part] : used[part] + sizes[part]] for part, gains in told]
+            for part in used:
+                used[part] += sizes[part]
+            gains = np.empty(len(counts), np.int64)
+            gains[order] = np.concatenate(own) if own else []
+            upto = np.concatenate([[0], np.cumsum(gains[which])])
             cut = np.append(np.searchsorted(at, self.firsts), len(at))
             many += cut[1:] - cut[:-1]
             total += upto[cut[1:]] - upto[cut[:-1]]
-            begin += len(counts)
         return many, total
 
 
+def _merged(rows: list[dict]) -> tuple[np.ndarray, list[bytes]]:
+    """Sums of the buckets, of corpus and target, and the buckets of each row's features in their order."""
+    texts = [pa.decompress(r["strings"][8:], int.from_bytes(r["strings"][:8], "little"), codec="zstd", asbytes=True) for r in rows]
+    counts = [_unpack(r["counts"], np.uint32) for r in rows]
+    coded = _strings(b"".join(texts), 10).dictionary_encode()
+    del texts
+    distinct, places = coded.dictionary, coded.indices.to_numpy()
+    # each distinct string is hashed once
+    strings = _data(distinct).split(b"\n")[:-1]
+    bucket = (np.fromiter(map(crc32, strings), np.uint32, len(strings)) % BUCKETS).astype(np.uint16)
+    held, at, answers = np.zeros((2, len(strings)), np.int64), 0, []
+    for r, own in zip(rows, counts, strict=True):
+        where = places[at : at + len(own)]
+        held[int(r["target"]), where] += own  # a chunk sends no string twice
+        answers.append(_pack(bucket[where]))
+        at += len(own)
+    return np.stack([np.bincount(bucket, side, BUCKETS).astype(np.int64) for side in held]), answers
+
+
 def dictionary(chunks: DataFrame, parts: int) -> DataFrame:
-    """(chunk, part, buckets, target): each chunk's answer of each part, and a row with the sums of its buckets, of chunk null."""
+    """(chunk, part, buckets, target): each part's answer to each chunk, and a row with the sums of its buckets, of chunk null."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [pa.int64(), pa.bool_(), pa.int32(), pa.binary(), pa.binary()]
         for b in batches:
             for row in b.to_pylist():
                 for part, strings, counts in _Features(row, parts).sent():
-                    data = len(strings).to_bytes(8, "little") + pa.compress(strings, "zstd", asbytes=True)
-                    values = [row["chunk"], row["target"], part, data, _pack(counts)]
-                    yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, (pa.int64(), pa.bool_(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["chunk", "target", "part", "strings", "counts"])
+                    values = [row["chunk"], row["target"], part, strings, counts]
+                    yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds, strict=True)], names=["chunk", "target", "part", "strings", "counts"])
 
     def merge(rows: pa.Table) -> pa.Table:
-        data = [pa.decompress(s[8:], int.from_bytes(s[:8], "little"), codec="zstd", asbytes=True) for s in rows["strings"].to_pylist()]
-        counts = [_unpack(c, np.uint32) for c in rows["counts"].to_pylist()]
-        coded = _strings(b"".join(data), 10).dictionary_encode()
-        strings, places = coded.dictionary, coded.indices.to_numpy()
-        # each distinct string is hashed once
-        bucket = np.fromiter((crc32(s[:-1]) % BUCKETS for s in strings.to_pylist()), np.uint16, len(strings))
-        sums, at, answers = np.zeros((2, BUCKETS), np.int64), 0, []
-        held = np.zeros((2, len(strings)), np.int64)
-        for target, own in zip(rows["target"].to_pylist(), counts, strict=True):
-            where = places[at : at + len(own)]
-            held[int(target), where] += own  # a chunk sends no string twice
-            answers.append(_pack(bucket[where]))
-            at += len(own)
-        for k in range(2):
-            np.add.at(sums[k], bucket, held[k])
-        part = rows["part"][0].as_py()
+        held = rows.to_pylist()
+        sums, answers = _merged(held)
         return pa.table({
-            "chunk": pa.array([*rows["chunk"].to_pylist(), None], pa.int64()), "target": pa.array([*rows["target"].to_pylist(), None], pa.bool_()),
-            "part": pa.array([part] * (len(answers) + 1), pa.int32()), "buckets": pa.array([*answers, _pack(sums.ravel())], pa.binary()),
+            "chunk": pa.array([*(r["chunk"] for r in held), None], pa.int64()), "target": pa.array([*(r["target"] for r in held), None], pa.bool_()),
+            "part": pa.array([held[0]["part"]] * (len(held) + 1), pa.int32()), "buckets": pa.array([*answers, _pack(sums.ravel())], pa.binary()),
         })
 
     sent = chunks.mapInArrow(lean(send), "chunk long, target boolean, part int, strings binary, counts binary")
@@ -239,8 +276,7 @@ def weights_of(chunks: DataFrame, answers: DataFrame, gains: list[int], parts: i
     def run(rows: pa.Table, told: pa.Table) -> pa.Table:
         out = [pa.table({c: pa.array([], pa.int64()) for c in ("row", "doc_id", "n_words", "n_features", "weight")})]
         told = told.sort_by("part")
-        buckets = [_unpack(b, np.uint16) for b in told["buckets"].to_pylist()]
-        own = table[np.concatenate(buckets)] if buckets else np.empty(0, np.int64)
+        own = [(part, table[_unpack(b, np.uint16)]) for part, b in zip(told["part"].to_pylist(), told["buckets"].to_pylist(), strict=True)]
         for row in rows.to_pylist():
             many, total = _Features(row, parts).sums(own)
             out.append(pa.table({"row": pa.array(row["row"], pa.int64()), "doc_id": pa.array(row["doc_id"], pa.int64()), "n_words": pa.array(row["n_words"], pa.int64()), "n_features": pa.array(many), "weight": pa.array(total)}))
@@ -257,7 +293,7 @@ def weigh(docs: DataFrame, target: DataFrame, chunk: int = CHUNK) -> DataFrame:
     chunk = max(chunk, math.isqrt(6000 * (size // 6)))
     theirs = chunks_of(target.select(F.lit(None).cast("long").alias("doc_id"), "text"), chunk, True).withColumn("chunk", -1 - F.col("chunk"))
     chunks = stage(chunks_of(docs, chunk).unionByName(theirs), "chunks")
-    parts = max(1, -(-size // (3 * chunk)))
+    parts = max(1, -(-size // (4 * chunk)))
     answers = stage(dictionary(chunks, parts), "answers")
     return weights_of(chunks, answers, gains_of(answers), parts)
 
