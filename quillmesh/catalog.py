@@ -101,30 +101,33 @@ def site(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _heads(rule) -> Callable[[SparkSession, str], DataFrame]:
-    return lambda spark, d: rule(extract.frontmatter(notes(spark, d))).select("path", "line", "code")
+    return lambda spark, d: rules.emit(extract.frontmatter(notes(spark, d)), rule()).select("path", "line", "code")
 
 
 def _wiki(rule) -> Callable[[SparkSession, str], DataFrame]:
-    def run(spark: SparkSession, d: str) -> DataFrame:
-        files = vault(spark, d)
-        links = resolve.wiki_targets(extract.markdown_links(files.where("path LIKE 'wiki/%' AND text IS NOT NULL")), inventory(files))
-        return rule(files, links).select("path", "line", "code")
-
-    return run
+    return lambda spark, d: rule(*lint.wiki_relations(vault(spark, d))[:2]).select("path", "line", "code")
 
 
 def _images(rule) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, d: rules.emit(lint.image_relations(vault(spark, d))[1], rule()).select("path", "line", "code")
+
+
+def _html(*parts, lists=None) -> Callable[[SparkSession, str], DataFrame]:
+    """Rules on pages that need no other file."""
+
     def run(spark: SparkSession, d: str) -> DataFrame:
-        files = vault(spark, d)
-        return rule(resolve.image_targets(extract.image_links(files), inventory(files))).select("path", "line", "code")
+        rows = rules.page_rows(extract.parse(pages(spark, d), ["elements", "placeholders"], ["path"]))
+        return rules.emit(rows, *[r() for r in parts], lists=lists() if lists else None).select("path", "line", "code")
 
     return run
 
 
-def _html(rule) -> Callable[[SparkSession, str], DataFrame]:
+def _html_settled(rule) -> Callable[[SparkSession, str], DataFrame]:
+    """Rules on pages that other files decide."""
+
     def run(spark: SparkSession, d: str) -> DataFrame:
-        files = pages(spark, d)
-        return rule(files, extract.html_elements(files), lambda: site(spark, d)).select("path", "line", "code")
+        held = lint.parsed(site(spark, d), ["elements", "placeholders"], F.col("path").endswith(".html"), dates=True)
+        return rules.settle(rules.emit(rules.page_rows(held.where("wanted")), rule()), lint.facts(held)).select("path", "line", "code")
 
     return run
 
@@ -155,22 +158,24 @@ def page_summary(spark: SparkSession, d: str) -> DataFrame:
     return lint.summary(lint.lint_html(site(spark, d))).select("code", "findings", "files")
 
 
+def _fix_plan(spark: SparkSession, d: str) -> DataFrame:
+    return fixes.plan(vault(spark, d))[1].select("path", "new_text", "fixed", "normalized_links", "removed_links")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "src001": _heads(rules.src001), "src002": _heads(rules.src002), "src003": _heads(rules.src003), "src004": _heads(rules.src004),
     "src005": _heads(rules.src005), "src006": _heads(rules.src006), "src007": _heads(rules.src007),
     "frontmatter_entries": lambda s, d: extract.frontmatter_entries(notes(s, d)),
     "links": _page_links, "link_targets_normalized": _targets_normalized, "image_links": _images_found,
     "source_items": lambda s, d: extract.source_items(vault(s, d).where("path LIKE 'wiki/p%'")).select("path", "item"),
-    "wiki001": _wiki(lambda files, links: rules.wiki001(files, links)),
-    "wiki002": _wiki(lambda files, links: rules.wiki002(links)), "wiki003": _wiki(lambda files, links: rules.wiki003(links)), "wiki004": _wiki(rules.wiki004),
+    "wiki001": _wiki(rules.wiki001), "wiki002": _wiki(lambda _, targets: rules.emit(targets, rules.wiki002())),
+    "wiki003": _wiki(lambda _, targets: rules.emit(targets, rules.wiki003())), "wiki004": _wiki(rules.wiki004),
     "img001": _images(rules.img001), "img002": _images(rules.img002),
-    "html001": _html(lambda f, e, _: rules.html001(e)), "html002": _html(lambda f, e, _: rules.html002(e)), "html003": _html(lambda f, e, _: rules.html003(e)),
-    "html004": _html(lambda f, e, _: rules.html004(f, e)), "html005": _html(lambda f, e, _: rules.html005(f, extract.provenance(e))),
-    "html006": _html(lambda f, e, files: rules.html006(e, extract.provenance(e), inventory(files()))), "html007": _html(lambda f, e, _: rules.html007(extract.placeholders(f))),
-    "html008": _html(lambda f, e, files: rules.html008(extract.provenance(e), files())),
+    "html001": _html(rules.html001), "html002": _html(rules.html002), "html003": _html(rules.html003), "html004": _html(rules.html004),
+    "html005": _html(rules.html005), "html006": _html_settled(rules.html006), "html007": _html(lists=rules.html007), "html008": _html_settled(rules.html008),
     "elements": _elements, "candidates": _candidates, "diagnostic_summary": page_summary,
-    "source_report": lambda s, d: report.diagnostic_lines(rules.src006(extract.frontmatter(notes(s, d)))),
-    "rename_plan": lambda s, d: fixes.plan(vault(s, d))[0], "fix_plan": lambda s, d: fixes.plan(vault(s, d))[1],
+    "source_report": lambda s, d: report.diagnostic_lines(rules.only(rules.emit(extract.frontmatter(notes(s, d)), rules.src006()))),
+    "rename_plan": lambda s, d: fixes.plan(vault(s, d))[0].select("source", "destination"), "fix_plan": _fix_plan,
 }
 
 _OK = "n.doc_id % 13 <> 5 AND n.doc_id % 17 <> 4"

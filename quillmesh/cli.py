@@ -3,14 +3,19 @@
 from __future__ import annotations
 
 import argparse
+import glob
+import shutil
 import sys
+import uuid
+from typing import TextIO
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import paths
 from .plans import fixes, lint, report
-from .sources.vault import scan, targets
+from .scratch import scratch, stage
+from .sources.vault import chosen_files, recover, scan
 
 
 def main(argv: list[str] | None = None) -> int:
@@ -33,7 +38,8 @@ def main(argv: list[str] | None = None) -> int:
             k.add_argument("--candidates", action="store_true")
     a = p.parse_args(argv)
     spark = SparkSession.builder.master(f"local[{a.jobs}]").config("spark.sql.shuffle.partitions", "8").config("spark.ui.enabled", "false").getOrCreate()
-    files = scan(spark, a.root)
+    recover(a.root)
+    files = scan(spark, a.root, suffixes=".md,.html" if a.kind == "html" else ".md")
     suffix, roots = ".md", {"images": ["sources", "wiki"]}.get(a.kind, [a.kind])
     if a.kind == "sources":
         with open(f"{a.root}/{a.template}", encoding="utf-8") as f:
@@ -43,23 +49,38 @@ def main(argv: list[str] | None = None) -> int:
     elif a.kind == "images":
         if a.fix:
             renames, edits = fixes.plan(files, a.paths)
+            edits = stage(edits, "plan")
             print(", ".join(f"{k} {v}" for k, v in fixes.apply(a.root, renames, edits).items()))
-            files = scan(spark, a.root)
-        found = lint.lint_images(files, a.paths)
+            found = fixes.remaining(edits)
+        else:
+            found = lint.lint_images(files, a.paths)
     else:
         if a.candidates:
-            rows = lint.candidates(files).cache()
-            for r in report.candidate_lines(rows).orderBy(paths.order_key(F.col("page"))).toLocalIterator():
-                print(r["text"])
+            rows = stage(lint.candidates(files), "candidates")
+            print_lines(report.candidate_lines(rows).orderBy(paths.order_key(F.col("page"))), sys.stdout)
             n = report.pending(rows).first()
             print(f"{n['pending']} pending of {n['candidates']}")
             return 0
         suffix, found = ".html", lint.lint_html(files, a.paths)
-    found = found.cache()
-    for r in report.diagnostic_lines(lint.ordered(found)).toLocalIterator():
-        print(r["text"], file=sys.stderr)
-    print(f"{targets(files, a.paths or roots, suffix).count()} files, {found.count()} findings")
-    return report.exit_status(found)
+    folder = f"{scratch(spark)}/quillmesh/report-{uuid.uuid4().hex}"
+    counts = report.write(found, folder)
+    copy_lines(folder, sys.stderr)
+    checked = scan(spark, a.root, columns=["path", "is_dir"]).where(chosen_files(a.paths or roots, suffix, any_file=a.kind in ("sources", "wiki"))).count()
+    print(f"{checked} files, {counts['findings']} findings")
+    return int(counts["errors"] > 0)
+
+
+def print_lines(rows: DataFrame, to: TextIO) -> None:
+    folder = f"{scratch(rows.sparkSession)}/quillmesh/lines-{uuid.uuid4().hex}"
+    rows.select("text").write.text(folder)
+    copy_lines(folder, to)
+
+
+def copy_lines(folder: str, to: TextIO) -> None:
+    """The part files of a local folder, one after the other."""
+    for name in sorted(glob.glob(f"{folder.removeprefix('file://')}/part-*")):
+        with open(name, encoding="utf-8") as part:
+            shutil.copyfileobj(part, to)
 
 
 if __name__ == "__main__":

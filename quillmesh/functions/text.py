@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import cache
 from urllib.parse import unquote
 
 from pyspark.sql import Column
@@ -10,15 +11,47 @@ from pyspark.sql import functions as F
 
 # Fixed values.
 IMAGE_SUFFIXES = ["avif", "bmp", "gif", "jpeg", "jpg", "png", "svg", "webp"]
-FILE_NAME = r"(?s)^(\d{4}-\d{2}-\d{2})_(.+)\.md$"
 VALUE_PLACEHOLDER = r"\{\{[^}]+\}\}"
 PAGE_PLACEHOLDER = r"\{\{[^}\n]*\}\}"
-PROVENANCE = r"^(\S+) (\d{4}-\d{2}-\d{2})\n?$"
 
-_SCHEME = r"^[A-Za-z][A-Za-z0-9+.\-]*:"
 _SUFFIX = r"[^/.][^/]*(\.[^./]+)/*$"
 #: Where a text is cut into lines that may end in other ways than by a line feed.
 LINE_END = "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
+#: A scheme as URL parsing finds it: leading control characters and spaces are no part of it, tabs and line ends nowhere count.
+_SCHEME = r"^[\x00-\x20]*[A-Za-z](?:[A-Za-z0-9+.\-]|[\t\r\n])*:"
+_HOST = r"^[\x00-\x20]*/[\t\r\n]*/[\t\r\n]*[^/?#\t\r\n]"
+
+
+@cache
+def members(kind: str, inverted: bool = False) -> str:
+    """Java's character class of the code points that Python's ``\\s`` or ``\\d`` holds, found by asking Python about each."""
+    every = "".join(map(chr, range(0x110000)))
+    held = [ord(c) for c in re.findall(kind, every)]
+    cuts = [i for i, c in enumerate(held) if i == 0 or held[i - 1] != c - 1]
+    ranges = [(held[a], held[b - 1]) for a, b in zip(cuts, [*cuts[1:], len(held)], strict=True)]
+    return f"[{'^' if inverted else ''}{''.join(rf'\x{{{a:x}}}-\x{{{b:x}}}' for a, b in ranges)}]"
+
+
+def java(pattern: str) -> str:
+    """A pattern as Python reads it, for Java: ``\\s``, ``\\S`` and ``\\d`` hold the same code points, ``.`` all but the line feed.
+
+    ``^`` and ``$`` are taken as Python does without flags: the whole text's start, its end and the place before a last line feed;
+    for lines write ``(?<![^\\n])`` and ``(?![^\\n])``.
+    """
+    known = {r"\s": lambda: members(r"\s"), r"\S": lambda: members(r"\s", True), r"\d": lambda: members(r"\d"), ".": lambda: r"[^\n]", "$": lambda: r"(?=\n?\z)", "^": lambda: r"\A"}
+    parts = re.findall(r"\\.|\[(?:\\.|[^\]\\])*\]|\(\?<?[=!:]|.", pattern, re.DOTALL)
+    return "".join(known[p]() if p in known else p for p in parts)
+
+
+@cache
+def file_name() -> str:
+    """A note's file name; its date is the first group.  Nothing may follow, not even a line feed."""
+    return rf"\A({java(r'\d{4}-\d{2}-\d{2}')})_[^\n]+\.md\z"
+
+
+@cache
+def provenance() -> str:
+    return java(r"^(\S+) (\d{4}-\d{2}-\d{2})$")
 
 
 def once(value: Column, use) -> Column:
@@ -27,7 +60,8 @@ def once(value: Column, use) -> Column:
 
 
 def trim(value: Column) -> Column:
-    return F.regexp_replace(value, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
+    space = members(r"\s")
+    return F.regexp_replace(value, rf"\A{space}+|{space}+\z", "")
 
 
 def split_lines(text: Column) -> Column:
@@ -51,7 +85,8 @@ def has_scheme(target: Column) -> Column:
 
 
 def external_in_wiki(target: Column) -> Column:
-    return target.startswith("#") | target.startswith("//") | has_scheme(target)
+    """In-page anchors, schemes and hosts; ``//`` without a host is a path."""
+    return target.startswith("#") | has_scheme(target) | target.rlike(_HOST)
 
 
 def external_in_html(target: Column) -> Column:
@@ -90,7 +125,7 @@ def raw_target(raw: str, kind: str) -> str:
 def local_image(target: str) -> bool:
     """Whether a target names an image file here; ``//host/x`` and ``file:`` do, other schemes do not."""
     scheme = re.match(_SCHEME, target)
-    if not target or (scheme and scheme[0].lower() != "file:"):
+    if not target or (scheme and re.sub(r"[\x00-\x20]", "", scheme[0]).lower() != "file:"):
         return False
     suffix = re.search(_SUFFIX, unquote(target))
     return bool(suffix) and suffix[1][1:].lower() in IMAGE_SUFFIXES
@@ -101,17 +136,12 @@ def spellings(target: Column) -> Column:
     return F.array_distinct(F.array(percent_decode(target), target, canonical_target(target)))
 
 
-def line_of(text: Column, needle: Column) -> Column:
-    """Line of the first occurrence, else 1."""
-    at = F.instr(text, needle)
-    return F.when(at > 0, F.size(F.split(F.substring(text, F.lit(1), at - 1), "\n"))).otherwise(1)
-
-
 def page_updated(text: Column) -> Column:
     """The first bare or double-quoted date of ``updated:`` in the head; null without one."""
     rest = F.substring(text, 4, 2**31 - 1)
-    closed = F.when(text.startswith("---") & rest.contains("\n---"), F.substring_index(rest, "\n---", 1))
-    return F.nullif(F.regexp_extract(closed, r"(?m)^updated:\s*\"?(\d{4}-\d{2}-\d{2})\"?\s*$", 1), F.lit(""))
+    closed = F.when(text.startswith("---") & rest.contains("\n---"), F.concat(F.lit("---"), F.substring_index(rest, "\n---", 1)))
+    line = java(r"(?<![^\n])updated:\s*\"?(\d{4}-\d{2}-\d{2})\"?\s*(?![^\n])")
+    return F.nullif(F.regexp_extract(closed, line, 1), F.lit(""))
 
 
 def kilobytes(size: Column) -> Column:

@@ -1,40 +1,42 @@
-"""Generators: one document in, rows of its parts out."""
+"""Generators: one document in, rows of its parts out.
+
+``parse`` reads each text once, for as many kinds of parts as are asked for; the generators of single
+kinds are ``parse`` and an explode.
+"""
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from bisect import bisect_left, bisect_right
+from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import schemas
 from ..functions import text as fn
 
-#: A link's label and its target, with angle brackets or without; line by line.
-LINK = r"(?<!!)\[((?:[^\[\]\\\n]++|\\|\\[\[\]]|\[[^\[\]\n]*\])*)\]\((?:<([^>\n]+)>|([^)\s\n]+))\)"
-#: Lines of more backslashes go to ``scan_links``, as the pattern's going back over them would not end.
-BACKSLASHES = 24
-
 # The two ways to embed an image.
 IMAGE = re.compile(r"!\[[^\]\n]*\]\(([^)\n]+)\)")
 EMBED = re.compile(r"!\[\[([^\]\n]+)\]\]")
 
+_MARKS, _STOPS = re.compile(r"[\[\]\\]"), re.compile(r"[)\s]")
 
 _BARE = r"[\t\x1f \xa0\u1680\u2000-\u200a\u202f\u205f\u3000]*---[\t\x1f \xa0\u1680\u2000-\u200a\u202f\u205f\u3000]*"
 #: A text's first line, and all lines up to the first like it after that.
 OPENING, HEAD = rf"^{_BARE}(?:{fn.LINE_END}|\z)", rf"(?s)^({_BARE}(?:{fn.LINE_END})(?:.*?(?:{fn.LINE_END}))??){_BARE}(?:{fn.LINE_END}|\z)"
 
 
-def frontmatter(files: DataFrame) -> DataFrame:
-    """path, status (ok, missing or unterminated), entries: array of (key, line, value), last of a key only.
+def frontmatter(files: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """path, *keep, status (ok, missing or unterminated), entries: array of (key, line, value), last of a key only.
 
     Only the head is cut out of the text and split into lines.
     """
     text = F.coalesce("text", F.lit(""))
-    rows = files.select("path", text.rlike(OPENING).alias("opens"), F.regexp_extract(text, HEAD, 1).alias("head"))
+    keep = ["path", *(keep or [])]
+    rows = files.select(*keep, text.rlike(OPENING).alias("opens"), F.regexp_extract(text, HEAD, 1).alias("head"))
     status = F.when(~F.col("opens"), "missing").when(F.col("head") == "", "unterminated").otherwise("ok")
 
     def entry(line: Column, i: Column) -> Column:
@@ -48,7 +50,7 @@ def frontmatter(files: DataFrame) -> DataFrame:
 
     found = F.filter(F.transform(F.transform(fn.split_lines(F.col("head")), fn.trim), entry), lambda e: e["kept"])
     none = F.array().cast("array<struct<key:string,line:int,value:string>>")
-    return rows.select("path", status.alias("status"), F.when(status == "ok", last_of_keys(found)).otherwise(none).alias("entries"))
+    return rows.select(*keep, status.alias("status"), F.when(status == "ok", last_of_keys(found)).otherwise(none).alias("entries"))
 
 
 def frontmatter_entries(files: DataFrame) -> DataFrame:
@@ -56,150 +58,197 @@ def frontmatter_entries(files: DataFrame) -> DataFrame:
     return frontmatter(files).select("path", F.inline("entries"))
 
 
-def scan_links(line: str | None) -> list[tuple[str, str, str]] | None:
-    """(label, target in angle brackets, bare target) of each match of LINK in a line, in time that grows with its length.
+def scan_links(line: str) -> list[tuple[str, str]]:
+    """(label, target) of each link of a line, in time that grows with its length.
 
-    Whether a label can go on from a place does not depend on where it began, so ``close`` has,
-    from the right to the left, the place where a label that has come so far ends, or -1.
+    A label is made of characters that are no brackets, of backslashes that make the next bracket
+    one of these, and of bracketed parts without further brackets; a target stands between angle brackets, or is free of
+    white space.  Where a label that has come so far ends does not depend on where it began, so ``ends``
+    has that place for each bracket and backslash, found from the right to the left; -1 if there is none.
     """
-    if line is None:
-        return None
-    n = len(line)
-    # the next bracket or backslash, bracket, end of a bare target and ``>`` at or after each place
-    special, bracket, stop, angle = ([n] * (n + 1) for _ in range(4))
-    close = [-1] * (n + 3)
-    for i in range(n - 1, -1, -1):
-        c = line[i]
-        special[i] = i if c in "[]\\" else special[i + 1]
-        bracket[i] = i if c in "[]" else bracket[i + 1]
-        stop[i] = i if c in ") \t\n\x0b\f\r" else stop[i + 1]
-        angle[i] = i if c == ">" else angle[i + 1]
-
-    def target(i: int) -> tuple[int, str, str] | None:
+    marks = [m.start() for m in _MARKS.finditer(line)]
+    brackets = [i for i in marks if line[i] != "\\"]
+    stops, angles = [m.start() for m in _STOPS.finditer(line)], [m.start() for m in re.finditer(">", line)]
+    ends = [-1] * (len(marks) + 1)
+
+    def end_from(place: int) -> int:
+        return ends[bisect_left(marks, place)]
+
+    def target(i: int) -> tuple[int, str] | None:
         """Place after the closing parenthesis, and the target that begins at i."""
-        if line.startswith("<", i) and i + 1 < angle[i] < n and line.startswith(")", angle[i] + 1):
-            return angle[i] + 2, line[i + 1 : angle[i]], ""
-        if i < n and i < stop[i] < n and line[stop[i]] == ")":
-            return stop[i] + 1, "", line[i : stop[i]]
+        if line.startswith("<", i):
+            k = bisect_left(angles, i)
+            if k < len(angles) and angles[k] > i + 1 and line.startswith(")", angles[k] + 1):
+                return angles[k] + 2, line[i + 1 : angles[k]]
+        k = bisect_left(stops, i)
+        if k < len(stops) and stops[k] > i and line[stops[k]] == ")":
+            return stops[k] + 1, line[i : stops[k]]
         return None
 
-    for i in range(n - 1, -1, -1):
-        c = line[i]
-        if c == "]":
-            close[i] = i if line.startswith("(", i + 1) and target(i + 2) else -1
-        elif c == "[":
-            j = bracket[i + 1]
-            close[i] = close[j + 1] if j < n and line[j] == "]" else -1
-        elif c == "\\":
-            close[i] = close[i + 1]
-            if close[i] < 0 and i + 1 < n and line[i + 1] in "[]":
-                close[i] = close[i + 2]
-        else:
-            close[i] = close[special[i]]
-    found, i = [], line.find("[")
-    while i >= 0:
-        end = close[i + 1]
-        if end >= 0 and not line.startswith("!", i - 1, i):
-            after, angled, bare = target(end + 2)
-            found.append((line[i + 1 : end], angled, bare))
-            i = line.find("[", after)
+    for k in range(len(marks) - 1, -1, -1):
+        i = marks[k]
+        if line[i] == "]":
+            ends[k] = i if line.startswith("(", i + 1) and target(i + 2) else -1
+        elif line[i] == "[":
+            j = bisect_right(brackets, i)
+            ends[k] = end_from(brackets[j] + 1) if j < len(brackets) and line[brackets[j]] == "]" else -1
         else:
-            i = line.find("[", i + 1)
+            ends[k] = ends[k + 1]
+            if ends[k] < 0 and line[i + 1 : i + 2] in ("[", "]"):
+                ends[k] = end_from(i + 2)
+    found, after = [], 0
+    for i in brackets:
+        if i >= after and line[i] == "[" and not line.startswith("!", i - 1, i) and (end := end_from(i + 1)) >= 0:
+            after, aim = target(end + 2)
+            found.append((line[i + 1 : end], aim))
     return found
 
 
-def markdown_links(files: DataFrame) -> DataFrame:
-    """path, ord, line, label, target: in the order of the text."""
-    lines = files.select("path", F.posexplode(F.split("text", "\n")).alias("at", "row")).where(F.col("row").contains("]("))
-    slashes = F.length("row") - F.length(F.replace("row", F.lit("\\"), F.lit("")))
-
-    scan = F.udf(scan_links, "array<struct<label:string,angled:string,bare:string>>", useArrow=True)
+def links_of(text: str) -> list[tuple]:
+    """(ord, line, label, target) of a text's links."""
+    rows = [(i, label, aim.strip()) for i, line in enumerate(text.split("\n"), 1) if "](" in line for label, aim in scan_links(line)]
+    return [(k, *row) for k, row in enumerate(rows)]
 
-    def groups(k: int) -> Column:
-        return F.regexp_extract_all(F.when(slashes <= BACKSLASHES, F.col("row")), F.lit(LINK), F.lit(k))
 
-    zipped = F.coalesce(F.arrays_zip(groups(1).alias("label"), groups(2).alias("angled"), groups(3).alias("bare")), scan(F.when(slashes > BACKSLASHES, F.col("row"))))
-    rows = lines.select("path", (F.col("at") + 1).alias("line"), F.posexplode(zipped).alias("ord", "z"))
-    return rows.select("path", "ord", "line", F.col("z.label").alias("label"), F.when(F.col("z.angled") != "", F.col("z.angled")).otherwise(F.col("z.bare")).alias("target"))
+def _line_starts(text: str) -> list[int]:
+    return [0, *(m.end() for m in re.finditer("\n", text))]
 
 
 def image_links_of(text: str) -> list[tuple]:
     """(start, end, line, raw, target, target start and end, kind) of a text's local image links, by start."""
-    found = []
+    found, starts = [], _line_starts(text) if "![" in text else []
     for pattern, kind in ((IMAGE, "markdown"), (EMBED, "obsidian")):
         for m in pattern.finditer(text):
             target = fn.raw_target(m[1], kind)
             if fn.local_image(target):
-                found.append((m.start(), m.end(), text.count("\n", 0, m.start()) + 1, m[1], target, m.start(1), m.end(1), kind))
+                found.append((m.start(), m.end(), bisect_right(starts, m.start()), m[1], target, m.start(1), m.end(1), kind))
     return sorted(found)
 
 
-def image_links(files: DataFrame) -> DataFrame:
-    """Rows as in schemas.IMAGE_LINK; offsets are in code points."""
-    names = ["path", "start", "end", "line", "raw_target", "target", "target_start", "target_end", "kind"]
-    kinds = [pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string()]
+class _Tags(HTMLParser):
+    def __init__(self) -> None:
+        super().__init__()
+        self.rows: list[tuple] = []
+
+    def handle_starttag(self, tag, attrs) -> None:
+        self.rows.append((len(self.rows), tag, list({k: v or "" for k, v in attrs}.items()), self.getpos()[0]))
+
+
+def elements_of(text: str) -> list[tuple]:
+    """(ord, tag, attrs, line) of each start tag."""
+    parser = _Tags()
+    parser.feed(text)
+    return parser.rows
+
+
+def placeholders_of(text: str) -> list[tuple]:
+    """(ord, line, placeholder): each occurrence, at the line of the first like it."""
+    first, starts, found = {}, _line_starts(text) if "{{" in text else [], []
+    for m in re.finditer(fn.PAGE_PLACEHOLDER, text):
+        line = first.setdefault(m[0], bisect_right(starts, m.start()))
+        found.append((len(found), line, m[0]))
+    return found
+
+
+#: Kind of parts: how they are found, their struct, and what a text must contain to have any.
+PARTS: dict[str, tuple[Callable, list[tuple], str]] = {
+    "links": (links_of, [("ord", pa.int32()), ("line", pa.int32()), ("label", pa.string()), ("target", pa.string())], "]("),
+    "images": (image_links_of, [("start", pa.int32()), ("end", pa.int32()), ("line", pa.int32()), ("raw_target", pa.string()), ("target", pa.string()), ("target_start", pa.int32()), ("target_end", pa.int32()), ("kind", pa.string())], "!["),
+    "elements": (elements_of, [("ord", pa.int32()), ("tag", pa.string()), ("attrs", pa.map_(pa.string(), pa.string())), ("line", pa.int32())], "<"),
+    "placeholders": (placeholders_of, [("ord", pa.int32()), ("line", pa.int32()), ("placeholder", pa.string())], "{{"),
+}
+
+
+def parts_array(kinds: list[str], texts: list[str | None]) -> list[pa.Array]:
+    """For each kind an array of lists, one a text."""
+    lists = []
+    for kind in kinds:
+        find, fields, needed = PARTS[kind]
+        lists.append(pa.array([find(t) if t and needed in t else [] for t in texts], pa.list_(pa.struct(fields))))
+    return lists
+
+
+def parse(files: DataFrame, kinds: list[str], keep: list[str], wanted: Column | None = None) -> DataFrame:
+    """keep, and an array for each kind of parts of the texts of the files wanted: one pass over the texts.
+
+    Texts without anything that begins a part never leave the JVM.
+    """
+    some = F.lit(False)
+    for kind in kinds:
+        some = some | F.col("text").contains(PARTS[kind][2])
+    rows = files.select(*keep, F.when(some if wanted is None else some & wanted, F.col("text")).alias("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [(p, *link) for p, t in zip(b.column("path").to_pylist(), b.column("text").to_pylist(), strict=True) for link in image_links_of(t or "")]
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+            for at in range(0, b.num_rows, 256):
+                part = b.slice(at, 256)
+                made = parts_array(kinds, part.column("_text").to_pylist())
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), *made], names=[*keep, *kinds])
 
-    return files.where(F.col("text").contains("![")).select("path", "text").mapInArrow(run, schemas.IMAGE_LINK)
+    types = {f.name: f.dataType.simpleString() for f in rows.schema}
+    return rows.mapInArrow(run, ", ".join([f"`{c}` {types[c]}" for c in keep] + [f"{k} {schemas.PARTS[k]}" for k in kinds]))
 
 
-class _Tags(HTMLParser):
-    def __init__(self) -> None:
-        super().__init__()
-        self.rows: list[tuple[str, list[tuple[str, str]], int]] = []
+def _single(files: DataFrame, kind: str) -> DataFrame:
+    return parse(files.where(F.col("text").contains(PARTS[kind][2])), [kind], ["path"]).select("path", F.inline(kind))
 
-    def handle_starttag(self, tag, attrs) -> None:
-        self.rows.append((tag, list({k: v or "" for k, v in attrs}.items()), self.getpos()[0]))
+
+def markdown_links(files: DataFrame) -> DataFrame:
+    """path, ord, line, label, target: in the order of the text."""
+    return _single(files, "links")
+
+
+def image_links(files: DataFrame) -> DataFrame:
+    """Rows as in schemas.IMAGE_LINK; offsets are in code points."""
+    return _single(files, "images")
 
 
 def html_elements(files: DataFrame) -> DataFrame:
     """Rows as in schemas.ELEMENT: a start tag each, in order."""
-    names = ["path", "ord", "tag", "attrs", "line"]
-    kinds = [pa.string(), pa.int32(), pa.string(), pa.map_(pa.string(), pa.string()), pa.int32()]
+    return _single(files, "elements")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = []
-            for p, t in zip(b.column("path").to_pylist(), b.column("text").to_pylist(), strict=True):
-                parser = _Tags()
-                parser.feed(t or "")
-                rows += [(p, i, *row) for i, row in enumerate(parser.rows)]
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
-    return files.select("path", "text").mapInArrow(run, schemas.ELEMENT)
+def placeholders(files: DataFrame) -> DataFrame:
+    """path, ord, line, placeholder: each occurrence, at the line of the first like it."""
+    return _single(files, "placeholders")
 
 
 def attribute(name: str) -> Column:
     return F.coalesce(F.col("attrs")[name], F.lit(""))
 
 
+def declared(content: Column) -> tuple[Column, Column]:
+    """Path and date of a wiki-source declaration; null if it is malformed."""
+    good = content.rlike(fn.provenance())
+    return F.when(good, F.regexp_extract(content, fn.provenance(), 1)), F.when(good, F.regexp_extract(content, fn.provenance(), 2))
+
+
 def provenance(elements: DataFrame) -> DataFrame:
     """path, ord, line, content, src_path, declared: a row each wiki-source meta; the last two null if malformed."""
-    content = attribute("content")
-    good = content.rlike(fn.PROVENANCE)
+    source, day = declared(attribute("content"))
     rows = elements.where((F.col("tag") == "meta") & (attribute("name") == "wiki-source"))
-    return rows.select("path", "ord", "line", content.alias("content"), F.when(good, F.regexp_extract(content, fn.PROVENANCE, 1)).alias("src_path"), F.when(good, F.regexp_extract(content, fn.PROVENANCE, 2)).alias("declared"))
+    return rows.select("path", "ord", "line", attribute("content").alias("content"), source.alias("src_path"), day.alias("declared"))
 
 
-def placeholders(files: DataFrame) -> DataFrame:
-    """path, ord, line, placeholder: each occurrence, at the line of the first like it."""
-    rows = files.where(F.col("text").contains("{{")).select("path", "text", F.posexplode(F.regexp_extract_all("text", F.lit(fn.PAGE_PLACEHOLDER), F.lit(0))).alias("ord", "placeholder"))
-    return rows.select("path", "ord", fn.line_of(F.col("text"), F.col("placeholder")).alias("line"), "placeholder")
+def source_list(text: Column) -> Column:
+    """The block list under a bare ``sources:`` in the head; a line that is no item ends it."""
+    rest = F.substring(text, 4, 2**31 - 1)
+    head = F.when(text.startswith("---") & rest.contains("\n---"), F.concat(F.lit("---"), F.substring_index(rest, "\n---", 1)))
+    opening, item = fn.java(r"^sources:\s*$"), fn.java(r"^\s+-\s*\"?([^\"]+?)\"?\s*$")
+
+    def told(line: Column) -> Column:
+        """1 where the list opens, 0 for an item, - for what ends it."""
+        return F.struct(F.when(line.rlike(opening), "1").when(line.rlike(item), "0").otherwise("-").alias("kind"), F.regexp_extract(line, item, 1).alias("item"))
+
+    def listed(lines: Column) -> Column:
+        # all items that follow an opening, one match after the other
+        marks = F.regexp_replace(F.array_join(F.transform(lines, lambda x: x["kind"]), ""), r"(1|(?!\A)\G)0", "$1x")
+        kept = F.zip_with(lines, F.split(marks, ""), lambda x, mark: F.when(mark == "x", x["item"]))
+        return F.filter(kept, lambda x: x.isNotNull())
+
+    return fn.once(F.transform(fn.split_lines(head), told), listed)
 
 
 def source_items(files: DataFrame) -> DataFrame:
-    """path, ord, item: the block list under a bare ``sources:`` in the head."""
-    rest = F.substring("text", 4, 2**31 - 1)
-    head = F.when(F.col("text").startswith("---") & rest.contains("\n---"), F.substring_index(rest, "\n---", 1))
-    rows = files.select("path", F.posexplode(fn.split_lines(head)).alias("ord", "row"))
-    opens, item = F.col("row").rlike(r"^sources:\s*$"), r"^\s+-\s*\"?([^\"]+?)\"?\s*$"
-    rows = rows.select("path", "ord", "row", opens.alias("opens"), (~opens & F.col("row").rlike(item)).alias("item"))
-    upto = Window.partitionBy("path").orderBy("ord")
-    rows = rows.withColumn("by", F.last(F.when(~F.col("item"), F.col("opens")), ignorenulls=True).over(upto))
-    return rows.where("item AND by").select("path", "ord", F.regexp_extract("row", item, 1).alias("item"))
+    """path, ord, item of the source lists."""
+    return files.select("path", F.posexplode(source_list(F.col("text"))).alias("ord", "item"))

@@ -1,4 +1,9 @@
-"""The 21 rules.  Each takes extracted relations and returns diagnostics: path, line, code, message, warning, place.
+"""The 21 rules.
+
+A rule is a list of Columns over a row of what is judged (a head, a link, an element): each is a
+finding, or null where it does not hold; ``emit`` evaluates any number of rules in one pass over the rows.  A
+finding is line, code, message, warning, place, and for those that other files decide ``needs``, the
+path that is looked up, and ``stamp``, the date that it should have; ``settle`` decides them all in one join.
 
 ``place`` is an array of integers: findings of one line are reported in its order, which is the
 order in which a file's rules look at its keys, links and elements.
@@ -11,7 +16,8 @@ from pyspark.sql import functions as F
 
 from ..functions import paths
 from ..functions import text as fn
-from .extract import attribute
+from . import resolve
+from .extract import attribute, declared
 
 # Fixed values.
 RULES = {
@@ -28,162 +34,226 @@ URL_ATTRIBUTES = ["src", "href", "poster", "data"]
 STYLESHEET, SCRIPT = "html/assets/style.css", "html/assets/theme.js"
 
 
-def found(rows: DataFrame, code: str, line: Column | int, message: Column | str, place: list[Column | int], warning: bool = False) -> DataFrame:
+DIAGNOSTIC = ["path", "line", "code", "message", "warning", "place"]
+
+
+def _quoted(text: str, *values: Column | str) -> Column:
+    return F.format_string(text, *[F.col(v) if isinstance(v, str) else v for v in values])
+
+
+def finding(holds: Column, code: str, line: Column | int, message: Column | str, place: list[Column | int], warning: bool = False, needs: Column | None = None, stamp: Column | None = None) -> Column:
+    """A finding where ``holds``, else null."""
     as_column = lambda x: x if isinstance(x, Column) else F.lit(x)
-    order = F.array(*[as_column(x).cast("int") for x in place]).alias("place")
-    return rows.select("path", as_column(line).cast("int").alias("line"), F.lit(code).alias("code"), as_column(message).alias("message"), F.lit(warning).alias("warning"), order)
+    none = F.lit(None).cast("string")
+    order = F.array(*[as_column(x).cast("int") for x in place])
+    made = F.struct(
+        as_column(line).cast("int").alias("line"), F.lit(code).alias("code"), as_column(message).alias("message"), F.lit(warning).alias("warning"), order.alias("place"),
+        (none if needs is None else needs).alias("needs"), (none if stamp is None else stamp).alias("stamp"),
+    )
+    return F.when(holds, made)
+
+
+def emit(rows: DataFrame, *rules: list[Column], lists: Column | None = None) -> DataFrame:
+    """path and the findings of all rules, and of an array of findings, in one pass; columns needs and stamp are still to be settled."""
+    each = F.filter(F.array(*[c for rule in rules for c in rule]), lambda f: f.isNotNull()) if rules else None
+    if lists is not None:
+        lists = F.coalesce(lists, F.array())
+        each = lists if each is None else F.concat(each, lists)
+    return rows.select("path", F.inline(each))
+
+
+def only(found: DataFrame) -> DataFrame:
+    """Findings that need no other file."""
+    return found.select(*DIAGNOSTIC)
 
 
-def _quoted(text: str, value: str) -> Column:
-    return F.format_string(text, F.col(value))
+def settle(found: DataFrame, facts: DataFrame, links: DataFrame | None = None) -> DataFrame:
+    """Findings that remain when what they need is looked up in facts (path, updated): in one left join.
 
+    Without a stamp, a finding stands if the path is not there; with one, if the path has another date.
+    Findings that need nothing stand, and meet nothing, each file's at a key of its own.
+    """
+    rows = resolve.follow(found, "needs", links)
+    told = facts.select(F.col("path").alias("_key"), F.lit(True).alias("_there"), F.col("updated").alias("_now"))
+    rows = rows.withColumn("_key", F.coalesce("needs", F.concat(F.lit("\0"), F.col("path")))).join(told, "_key", "left")
+    stamped = F.col("stamp").isNotNull()
+    stands = F.when(stamped, F.coalesce(F.col("_now") != F.col("stamp"), F.lit(False))).otherwise(F.col("_there").isNull())
+    message = F.when(stamped, F.format_string("%s was updated on %s, after %s", "message", "_now", "stamp")).otherwise(F.col("message"))
+    return rows.where(stands).withColumn("message", message).select(*DIAGNOSTIC)
 
-# Source notes: ``heads`` is extract.frontmatter of the notes.
 
+# Source notes: rows are extract.frontmatter of the notes.
 
-def src001(heads: DataFrame) -> DataFrame:
-    return found(heads.where("status = 'missing'"), "SRC001", 1, "the text does not start with a `---` line", [0])
 
+def src001() -> list[Column]:
+    return [finding(F.col("status") == "missing", "SRC001", 1, "the text does not start with a `---` line", [0])]
 
-def src002(heads: DataFrame) -> DataFrame:
-    return found(heads.where("status = 'unterminated'"), "SRC002", 1, "no closing `---` line", [0])
 
+def src002() -> list[Column]:
+    return [finding(F.col("status") == "unterminated", "SRC002", 1, "no closing `---` line", [0])]
 
-def _checked(heads: DataFrame, required: list[str]) -> DataFrame:
-    """A row each file and key to be checked, with the entry or null; a required optional key comes twice."""
-    keys = F.array(*map(F.lit, required)) if required else F.array().cast("array<string>")
-    present = F.array_intersect(F.array(*[F.lit(k) for k in sorted(OPTIONAL)]), F.transform("entries", lambda e: e["key"]))
-    rows = heads.where("status = 'ok'").select("path", "entries", F.posexplode(F.concat(keys, present)).alias("turn", "key"))
-    entry = F.get(F.filter("entries", lambda e: e["key"] == F.col("key")), F.lit(0))
-    return rows.select("path", "turn", "key", entry.alias("entry"))
 
+def _checked(required: list[str]) -> list[tuple[int, str, Column, Column]]:
+    """(turn, key, whether it is checked, its entry or null); an optional key that is required comes twice."""
+    ok = F.col("status") == "ok"
+    entry = lambda key: F.get(F.filter("entries", lambda e: e["key"] == F.lit(key)), F.lit(0))
+    keys = [(key, False) for key in required] + [(key, True) for key in sorted(OPTIONAL)]
+    return [(turn, key, ok & entry(key).isNotNull() if optional else ok, entry(key)) for turn, (key, optional) in enumerate(keys)]
 
-def src003(heads: DataFrame, required: list[str] = REQUIRED) -> DataFrame:
-    return found(_checked(heads, required).where("entry IS NULL"), "SRC003", 1, _quoted("`%s` is absent", "key"), [0, F.col("turn"), 0])
 
+def src003(required: list[str] = REQUIRED) -> list[Column]:
+    return [finding(due & e.isNull(), "SRC003", 1, f"`{key}` is absent", [0, turn, 0]) for turn, key, due, e in _checked(required)]
 
-def src004(heads: DataFrame, required: list[str] = REQUIRED) -> DataFrame:
-    return found(_checked(heads, required).where("entry.value = ''"), "SRC004", F.col("entry.line"), _quoted("`%s` is empty", "key"), [0, F.col("turn"), 0])
 
+def src004(required: list[str] = REQUIRED) -> list[Column]:
+    return [finding(due & (e["value"] == ""), "SRC004", e["line"], f"`{key}` is empty", [0, turn, 0]) for turn, key, due, e in _checked(required)]
 
-def src005(heads: DataFrame, required: list[str] = REQUIRED) -> DataFrame:
-    rows = _checked(heads, required).where(F.col("entry.value").rlike(fn.VALUE_PLACEHOLDER))
-    return found(rows, "SRC005", F.col("entry.line"), _quoted("`%s` holds an unexpanded placeholder", "key"), [0, F.col("turn"), 1])
 
+def src005(required: list[str] = REQUIRED) -> list[Column]:
+    return [finding(due & e["value"].rlike(fn.VALUE_PLACEHOLDER), "SRC005", e["line"], f"`{key}` holds an unexpanded placeholder", [0, turn, 1]) for turn, key, due, e in _checked(required)]
 
-def src006(heads: DataFrame) -> DataFrame:
-    rows = heads.where(F.col("status") == "ok").where(~paths.name(F.col("path")).rlike(fn.FILE_NAME))
-    return found(rows, "SRC006", 1, "the file name is not `YYYY-MM-DD_slug.md`", [1])
 
+def _named() -> Column:
+    return paths.name(F.col("path")).rlike(fn.file_name())
 
-def src007(heads: DataFrame) -> DataFrame:
-    name = paths.name(F.col("path"))
-    rows = heads.where((F.col("status") == "ok") & name.rlike(fn.FILE_NAME)).select("path", F.inline("entries"), F.regexp_extract(name, fn.FILE_NAME, 1).alias("day"))
-    return found(rows.where("key = 'created' AND value <> day"), "SRC007", F.col("line"), "`created` is not the file name's date", [1])
 
+def src006() -> list[Column]:
+    return [finding((F.col("status") == "ok") & ~_named(), "SRC006", 1, "the file name is not `YYYY-MM-DD_slug.md`", [1])]
 
-# Images: ``links`` is resolve.image_targets.
 
+def src007() -> list[Column]:
+    day = F.regexp_extract(paths.name(F.col("path")), fn.file_name(), 1)
+    created = F.get(F.filter("entries", lambda e: e["key"] == "created"), F.lit(0))
+    return [finding((F.col("status") == "ok") & _named() & (created["value"] != day), "SRC007", created["line"], "`created` is not the file name's date", [1])]
 
-def img001(links: DataFrame) -> DataFrame:
-    return found(links.where("resolved IS NULL"), "IMG001", F.col("line"), _quoted("image `%s` does not exist", "target"), [F.col("start"), 1])
 
+def sources(required: list[str] = REQUIRED) -> list[list[Column]]:
+    """All rules on notes."""
+    return [src001(), src002(), src003(required), src004(required), src005(required), src006(), src007()]
 
-def img002(links: DataFrame) -> DataFrame:
-    return found(links.where(fn.needs_normalization(F.col("target"))), "IMG002", F.col("line"), _quoted("image target `%s` is not canonical", "target"), [F.col("start"), 0])
 
+# Images: rows are resolve.image_targets.
 
-# Wiki: ``links`` is resolve.wiki_targets of all pages.
+
+def img001() -> list[Column]:
+    return [finding(F.col("resolved").isNull(), "IMG001", F.col("line"), _quoted("image `%s` does not exist", "target"), [F.col("start"), 1])]
+
+
+def img002() -> list[Column]:
+    return [finding(fn.needs_normalization(F.col("target")), "IMG002", F.col("line"), _quoted("image target `%s` is not canonical", "target"), [F.col("start"), 0])]
+
+
+# Wiki: rows are resolve.wiki_targets of all pages.
 
 
 def _under(root: str) -> Column:
     return F.col("path").startswith(f"{root}/") & F.col("path").endswith(".md")
 
 
-def wiki001(files: DataFrame, links: DataFrame, wiki: str = "wiki") -> DataFrame:
-    """Nothing if the index does not exist."""
+def wiki001(files: DataFrame, targets: DataFrame, wiki: str = "wiki", links: DataFrame | None = None) -> DataFrame:
+    """Diagnostics of pages that the index does not link; nothing if the index does not exist."""
     index = f"{wiki}/index.md"
-    linked = links.where((F.col("path") == index) & F.col("resolved").isNotNull()).select(F.col("resolved").alias("path"))
-    pages = files.where(_under(wiki) & ~paths.name(F.col("path")).isin(*SPECIAL_PAGES)).select("path")
+    linked = targets.where((F.col("path") == index) & F.col("resolved").isNotNull()).select(F.col("resolved").alias("real"))
+    pages = files.where(_under(wiki) & ~paths.name(F.col("path")).isin(*SPECIAL_PAGES)).select("path", F.col("path").alias("real"))
     there = files.where((F.col("path") == index) & ~F.col("is_dir")).select(F.lit(wiki).alias("root")).limit(1)
-    pages = pages.withColumn("root", F.lit(wiki)).join(there, "root", "left_semi")
-    return found(pages.join(linked, "path", "left_anti"), "WIKI001", 1, "the index has no link to this page", [1])
+    pages = resolve.follow(pages, "real", links).withColumn("root", F.lit(wiki)).join(there, "root", "left_semi")
+    return only(emit(pages.join(linked, "real", "left_anti"), [finding(F.lit(True), "WIKI001", 1, "the index has no link to this page", [1])]))
 
 
-def wiki002(links: DataFrame) -> DataFrame:
-    return found(links.where("resolved IS NULL"), "WIKI002", F.col("line"), _quoted("link target `%s` does not exist", "target"), [2, F.col("ord")])
+def wiki002() -> list[Column]:
+    return [finding(F.col("resolved").isNull(), "WIKI002", F.col("line"), _quoted("link target `%s` does not exist", "target"), [2, F.col("ord")])]
 
 
-def wiki003(links: DataFrame) -> DataFrame:
+def wiki003() -> list[Column]:
     to = F.col("resolved")
     emphasis = F.col("label").contains("*") | F.col("label").contains("\\_")
-    rows = links.where(to.isNotNull() & (fn.path_suffix(paths.name(to)) == ".md") & paths.stem(to).contains("_") & emphasis)
-    return found(rows, "WIKI003", F.col("line"), "the label reads as emphasis; write spaces for the file name's underscores", [3, F.col("ord")])
+    holds = to.isNotNull() & (fn.path_suffix(paths.name(to)) == ".md") & paths.stem(to).contains("_") & emphasis
+    return [finding(holds, "WIKI003", F.col("line"), "the label reads as emphasis; write spaces for the file name's underscores", [3, F.col("ord")])]
 
 
-def wiki004(files: DataFrame, links: DataFrame, wiki: str = "wiki", sources: str = "sources") -> DataFrame:
-    linked = links.where(F.col("path").startswith(f"{wiki}/") & F.col("resolved").isNotNull()).select(F.col("resolved").alias("path"))
-    notes = files.where(_under(sources)).select("path")
-    return found(notes.join(linked, "path", "left_anti"), "WIKI004", 1, "no wiki page links to this note", [4])
+def wiki004(files: DataFrame, targets: DataFrame, wiki: str = "wiki", sources: str = "sources", links: DataFrame | None = None) -> DataFrame:
+    """Diagnostics of notes that no wiki page links."""
+    linked = targets.where(F.col("path").startswith(f"{wiki}/") & F.col("resolved").isNotNull()).select(F.col("resolved").alias("real"))
+    notes = resolve.follow(files.where(_under(sources)).select("path", F.col("path").alias("real")), "real", links)
+    return only(emit(notes.join(linked, "real", "left_anti"), [finding(F.lit(True), "WIKI004", 1, "no wiki page links to this note", [4])]))
 
 
-# Pages: ``elements`` is extract.html_elements.
+# Pages: rows are ``page_rows``: a row each element, and before them one of the page itself, whose tag is empty.
+
+
+def page_rows(pages: DataFrame) -> DataFrame:
+    """pages(path, elements, placeholders) -> path, ord, tag, attrs, line, marks, has_sheet, has_meta."""
+    at = lambda e, name: F.coalesce(e["attrs"][name], F.lit(""))
+    sheet = F.exists("elements", lambda e: (e["tag"] == "link") & F.lower(at(e, "rel")).contains("stylesheet") & ~fn.external_in_html(at(e, "href")))
+    meta = F.exists("elements", lambda e: (e["tag"] == "meta") & (at(e, "name") == "wiki-source"))
+    own = F.struct(F.lit(-1).alias("ord"), F.lit("").alias("tag"), F.create_map().cast("map<string,string>").alias("attrs"), F.lit(1).alias("line"))
+    rows = pages.select("path", "placeholders", sheet.alias("has_sheet"), meta.alias("has_meta"), F.explode(F.concat(F.array(own), "elements")).alias("e"))
+    marks = F.when(F.col("e.tag") == "", F.col("placeholders"))
+    return rows.select("path", "e.*", marks.alias("marks"), "has_sheet", "has_meta")
 
 
 def _resolves_to(target: Column, asset: str) -> Column:
     return paths.resolve(paths.parent(F.col("path")), fn.percent_decode(target)) == asset
 
 
-def html001(elements: DataFrame) -> DataFrame:
-    rows = elements.where(F.col("tag").isin(*RESOURCE_TAGS)).select("path", "ord", "line", F.posexplode(F.array(*map(attribute, URL_ATTRIBUTES))).alias("turn", "target"))
-    return found(rows.where((F.col("target") != "") & fn.external_in_html(F.col("target"))), "HTML001", F.col("line"), _quoted("external resource `%s`", "target"), [0, F.col("ord"), F.col("turn") + 2])
+def html001() -> list[Column]:
+    resource = F.col("tag").isin(*RESOURCE_TAGS)
+    return [finding(resource & (attribute(a) != "") & fn.external_in_html(attribute(a)), "HTML001", F.col("line"), _quoted("external resource `%s`", attribute(a)), [0, F.col("ord"), turn + 2]) for turn, a in enumerate(URL_ATTRIBUTES)]
 
 
-def html002(elements: DataFrame) -> DataFrame:
+def html002() -> list[Column]:
     src = attribute("src")
     shared = (src != "") & ~fn.external_in_html(src) & _resolves_to(src, SCRIPT)
-    return found(elements.where((F.col("tag") == "script") & ~shared), "HTML002", F.col("line"), "only the shared script may be loaded", [0, F.col("ord"), 0])
+    return [finding((F.col("tag") == "script") & ~shared, "HTML002", F.col("line"), "only the shared script may be loaded", [0, F.col("ord"), 0])]
 
 
-def html003(elements: DataFrame) -> DataFrame:
-    return found(elements.where("tag = 'iframe'"), "HTML003", F.col("line"), "iframe is not allowed", [0, F.col("ord"), 1])
+def html003() -> list[Column]:
+    return [finding(F.col("tag") == "iframe", "HTML003", F.col("line"), "iframe is not allowed", [0, F.col("ord"), 1])]
 
 
-def html004(pages: DataFrame, elements: DataFrame) -> DataFrame:
+def html004() -> list[Column]:
     href = attribute("href")
-    sheets = elements.where((F.col("tag") == "link") & F.lower(attribute("rel")).contains("stylesheet") & ~fn.external_in_html(href))
-    wrong = found(sheets.where(~_resolves_to(href, STYLESHEET)), "HTML004", F.col("line"), F.format_string("stylesheet `%s` is not the shared one", href), [1, F.col("ord")])
-    none = pages.select("path").join(sheets.select("path"), "path", "left_anti")
-    return wrong.unionByName(found(none, "HTML004", 1, "the shared stylesheet is absent", [1, 0]))
+    sheet = (F.col("tag") == "link") & F.lower(attribute("rel")).contains("stylesheet") & ~fn.external_in_html(href)
+    return [
+        finding(sheet & ~_resolves_to(href, STYLESHEET), "HTML004", F.col("line"), _quoted("stylesheet `%s` is not the shared one", href), [1, F.col("ord")]),
+        finding((F.col("tag") == "") & ~F.col("has_sheet"), "HTML004", 1, "the shared stylesheet is absent", [1, 0]),
+    ]
+
+
+def _meta() -> tuple[Column, Column, Column]:
+    return (F.col("tag") == "meta") & (attribute("name") == "wiki-source"), *declared(attribute("content"))
 
 
-def html005(pages: DataFrame, declared: DataFrame) -> DataFrame:
-    wrong = found(declared.where("src_path IS NULL"), "HTML005", F.col("line"), _quoted("wiki-source `%s` is not `<path> <YYYY-MM-DD>`", "content"), [2, F.col("ord")])
-    none = pages.where(paths.name(F.col("path")) != "index.html").select("path").join(declared.select("path"), "path", "left_anti")
-    return wrong.unionByName(found(none, "HTML005", 1, "no wiki-source meta", [2, 0]))
+def html005() -> list[Column]:
+    meta, source, _ = _meta()
+    return [
+        finding(meta & source.isNull(), "HTML005", F.col("line"), _quoted("wiki-source `%s` is not `<path> <YYYY-MM-DD>`", attribute("content")), [2, F.col("ord")]),
+        finding((F.col("tag") == "") & ~F.col("has_meta") & (paths.name(F.col("path")) != "index.html"), "HTML005", 1, "no wiki-source meta", [2, 0]),
+    ]
 
 
-def html_targets(elements: DataFrame) -> DataFrame:
-    """path, ord, line, turn, target, resolved: the local targets of any tag."""
-    rows = elements.select("path", "ord", "line", F.posexplode(F.array(*map(attribute, URL_ATTRIBUTES))).alias("turn", "target"))
-    rows = rows.where((F.col("target") != "") & ~fn.external_in_html(F.col("target")) & ~F.col("target").startswith("#"))
-    local = rows.withColumn("local", fn.strip_fragment(fn.percent_decode(F.col("target")))).where("local <> ''")
-    return local.select("path", "ord", "line", "turn", "target", paths.resolve(paths.parent(F.col("path")), F.col("local")).alias("resolved"))
+def html006() -> list[Column]:
+    out = []
+    for turn, a in enumerate(URL_ATTRIBUTES):
+        target = attribute(a)
+        local = fn.strip_fragment(fn.percent_decode(target))
+        holds = (target != "") & ~fn.external_in_html(target) & ~target.startswith("#") & (local != "")
+        out.append(finding(holds, "HTML006", F.col("line"), _quoted("link target `%s` does not exist", target), [3, F.col("ord"), turn], needs=paths.resolve(paths.parent(F.col("path")), local)))
+    meta, source, _ = _meta()
+    return [*out, finding(meta & source.isNotNull(), "HTML006", F.col("line"), _quoted("wiki-source `%s` does not exist", source), [4, F.col("ord")], needs=paths.normalize(source))]
 
 
-def html006(elements: DataFrame, declared: DataFrame, inventory: DataFrame) -> DataFrame:
-    there = inventory.select(F.col("path").alias("resolved"))
-    links = html_targets(elements).join(there, "resolved", "left_anti")
-    sources = declared.where("src_path IS NOT NULL").withColumn("resolved", paths.normalize(F.col("src_path"))).join(there, "resolved", "left_anti")
-    gone = found(sources, "HTML006", F.col("line"), _quoted("wiki-source `%s` does not exist", "src_path"), [4, F.col("ord")])
-    return found(links, "HTML006", F.col("line"), _quoted("link target `%s` does not exist", "target"), [3, F.col("ord"), F.col("turn")]).unionByName(gone)
+def html007() -> Column:
+    """An array of findings, at the row of the page itself."""
+    made = lambda m: finding(F.lit(True), "HTML007", m["line"], _quoted("unexpanded placeholder `%s`", m["placeholder"]), [F.lit(5), m["ord"]])
+    return F.transform("marks", made)
 
 
-def html007(placeholders: DataFrame) -> DataFrame:
-    return found(placeholders, "HTML007", F.col("line"), _quoted("unexpanded placeholder `%s`", "placeholder"), [5, F.col("ord")])
+def html008() -> list[Column]:
+    meta, source, day = _meta()
+    return [finding(meta & source.isNotNull(), "HTML008", F.col("line"), _quoted("`%s`", source), [4, F.col("ord")], True, needs=paths.normalize(source), stamp=day)]
 
 
-def html008(declared: DataFrame, files: DataFrame) -> DataFrame:
-    now = files.select(F.col("path").alias("resolved"), fn.page_updated(F.col("text")).alias("now"))
-    rows = declared.where("src_path IS NOT NULL").withColumn("resolved", paths.normalize(F.col("src_path"))).join(now, "resolved")
-    return found(rows.where("now <> declared"), "HTML008", F.col("line"), F.format_string("`%s` was updated on %s, after %s", "src_path", "now", "declared"), [4, F.col("ord")], True)
+def pages() -> list[list[Column]]:
+    """All rules on pages but html007, which is an array."""
+    return [html001(), html002(), html003(), html004(), html005(), html006(), html008()]

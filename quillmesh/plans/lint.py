@@ -1,16 +1,22 @@
-"""The four linters, as plans over a file relation: path, is_dir, size, text."""
+"""The four linters, as plans over a file relation: path, is_dir, size, text, and if they are known link and error.
+
+Each path comes once.  A linter scans the files once: one pass over the texts leaves a table of what
+they hold, and all rules, the inventory and the look-ups read that table.  Files that cannot be read
+are findings of the code UNREADABLE, and no rule looks at them.
+"""
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import paths
 from ..functions import text as fn
 from ..operators import extract, resolve, rules
-from ..sources.vault import inventory, targets
+from ..scratch import stage
+from ..sources.vault import chosen_files, inventory
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:
@@ -26,36 +32,81 @@ def required_keys(template: str) -> list[str]:
     return list(dict.fromkeys(x.partition(":")[0].strip() for x in head if x and not x.startswith("#") and ":" in x))
 
 
+def whole(files: DataFrame) -> DataFrame:
+    """files with link and error, null where the relation has none."""
+    for name in ("link", "error"):
+        if name not in files.columns:
+            files = files.withColumn(name, F.lit(None).cast("string"))
+    return files
+
+
+def parsed(files: DataFrame, kinds: list[str], wanted: Column, dates: bool = False) -> DataFrame:
+    """path, is_dir, size, link, error, wanted, (updated,) and the parts of the texts of those wanted, written to a table: the only scan of the files."""
+    rows = whole(files).withColumn("wanted", wanted & F.col("error").isNull())
+    keep = ["path", "is_dir", "size", "link", "error", "wanted"]
+    if dates:
+        keep.append("updated")
+        rows = rows.withColumn("updated", F.when(~F.col("is_dir"), fn.page_updated(F.col("text"))))
+    return stage(extract.parse(rows, kinds, keep, F.col("wanted")), "parsed")
+
+
+def unreadable(files: DataFrame, wanted: Column) -> DataFrame:
+    rows = files.where(wanted & F.col("error").isNotNull())
+    return rules.only(rules.emit(rows, [rules.finding(F.lit(True), "UNREADABLE", 1, F.col("error"), [0])]))
+
+
 def lint_sources(files: DataFrame, chosen: list[str] | None = None, template: str | None = None) -> DataFrame:
+    """One pass, nothing is written: no rule on notes looks at another file."""
     keys = required_keys(template) if template is not None else rules.REQUIRED
-    heads = extract.frontmatter(targets(files, chosen or ["sources"], ".md", any_file=True))
-    return _union([rules.src001(heads), rules.src002(heads), rules.src003(heads, keys), rules.src004(heads, keys), rules.src005(heads, keys), rules.src006(heads), rules.src007(heads)])
+    notes = whole(files).where(chosen_files(chosen or ["sources"], ".md", any_file=True))
+    bad = F.col("error").isNotNull()
+    heads = extract.frontmatter(notes, keep=["error"]).withColumn("status", F.when(bad, "unreadable").otherwise(F.col("status")))
+    return rules.only(rules.emit(heads, [rules.finding(bad, "UNREADABLE", 1, F.col("error"), [0])], *rules.sources(keys)))
+
+
+def wiki_relations(files: DataFrame, chosen: list[str] | None = None, wiki: str = "wiki") -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """(files without texts, links with their targets, symbolic links): both tables written, one scan.
+
+    Links have ``chosen`` where their file was asked for, and are also those of all pages of the wiki.
+    """
+    asked, page = chosen_files(chosen or [wiki], ".md", any_file=True), chosen_files([wiki], ".md")
+    held = parsed(files, ["links"], asked | page)
+    links = resolve.link_table(held)
+    rows = held.select("path", asked.alias("chosen"), page.alias("page"), F.inline("links"))
+    return held.drop("links"), stage(resolve.wiki_targets(rows, inventory(held), links), "targets"), links
 
 
 def lint_wiki(files: DataFrame, chosen: list[str] | None = None, wiki: str = "wiki", sources: str = "sources", check_unreferenced: bool = False) -> DataFrame:
     """chosen narrows the rules on links only, not those on the index and on notes."""
-    there = inventory(files)
-    links = resolve.wiki_targets(extract.markdown_links(targets(files, chosen or [wiki], ".md", any_file=True)), there)
-    whole = links if not chosen else resolve.wiki_targets(extract.markdown_links(targets(files, [wiki], ".md")), there)
-    parts = [rules.wiki002(links), rules.wiki003(links), rules.wiki001(files, whole, wiki)]
+    held, targets, links = wiki_relations(files, chosen, wiki)
+    whole = targets.where("page")
+    parts = [rules.only(rules.emit(targets.where("chosen"), rules.wiki002(), rules.wiki003())), rules.wiki001(held, whole, wiki, links)]
     if check_unreferenced:
-        parts.append(rules.wiki004(files, whole, wiki, sources))
-    return _union(parts)
+        parts.append(rules.wiki004(held, whole, wiki, sources, links))
+    return _union([*parts, unreadable(held, chosen_files(chosen or [wiki], ".md", any_file=True))])
+
+
+def image_relations(files: DataFrame, chosen: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(files without texts, written; image links with their targets)."""
+    held = parsed(files, ["images"], chosen_files(chosen or ["sources", "wiki"], ".md"))
+    return held.drop("images"), resolve.image_targets(held.select("path", F.inline("images")), inventory(held), resolve.link_table(held))
 
 
 def lint_images(files: DataFrame, chosen: list[str] | None = None) -> DataFrame:
-    links = resolve.image_targets(extract.image_links(targets(files, chosen or ["sources", "wiki"], ".md")), inventory(files))
-    return _union([rules.img002(links), rules.img001(links)])
+    held, targets = image_relations(files, chosen)
+    return _union([rules.only(rules.emit(targets, rules.img002(), rules.img001())), unreadable(held, chosen_files(chosen or ["sources", "wiki"], ".md"))])
+
+
+def facts(held: DataFrame) -> DataFrame:
+    """path, updated of all files and directories."""
+    return inventory(held, F.max(F.when(F.col("p") == F.col("path"), F.col("updated"))).alias("updated"), keep=["updated"])
 
 
 def lint_html(files: DataFrame, chosen: list[str] | None = None) -> DataFrame:
-    pages = targets(files, chosen or ["html"], ".html")
-    elements = extract.html_elements(pages)
-    declared = extract.provenance(elements)
-    return _union([
-        rules.html001(elements), rules.html002(elements), rules.html003(elements), rules.html004(pages, elements), rules.html005(pages, declared),
-        rules.html006(elements, declared, inventory(files)), rules.html008(declared, files), rules.html007(extract.placeholders(pages)),
-    ])
+    wanted = chosen_files(chosen or ["html"], ".html")
+    held = parsed(files, ["elements", "placeholders"], wanted, dates=True)
+    found = rules.emit(rules.page_rows(held.where("wanted")), *rules.pages(), lists=rules.html007())
+    return rules.settle(found, facts(held), resolve.link_table(held)).unionByName(unreadable(held, wanted))
 
 
 def ordered(diagnostics: DataFrame) -> DataFrame:
@@ -74,18 +125,31 @@ def candidates(files: DataFrame, least_sources: int = 3, least_bytes: int = 30_0
 
     A source named twice counts twice, and so does a page that declares twice.
     """
-    wiki = files.where(~F.col("is_dir") & F.col("path").startswith("wiki/") & F.col("path").endswith(".md") & ~paths.name(F.col("path")).isin(*rules.SPECIAL_PAGES))
-    items = extract.source_items(wiki).withColumn("resolved", paths.resolve(paths.parent(F.col("path")), fn.percent_decode(F.col("item"))))
-    sizes = files.where(~F.col("is_dir")).select(F.col("path").alias("resolved"), "size")
+    special = paths.name(F.col("path")).isin(*rules.SPECIAL_PAGES)
+    wiki = ~F.col("is_dir") & F.col("path").startswith("wiki/") & F.col("path").endswith(".md") & ~special
+    rows = files.withColumn("items", F.when(wiki, extract.source_list(F.col("text"))))
+    held = _candidate_parts(rows)
+    links = resolve.link_table(held)
+    items = held.where("items IS NOT NULL").select("path", F.explode("items").alias("item"))
+    items = resolve.follow(items.withColumn("resolved", paths.resolve(paths.parent(F.col("path")), fn.percent_decode(F.col("item")))), "resolved", links)
+    sizes = held.where(~F.col("is_dir")).select(F.col("path").alias("resolved"), "size")
     sums = items.join(sizes, "resolved").groupBy("path").agg(F.count(F.lit(1)).alias("source_count"), F.sum("size").alias("total_bytes"))
-    sums = wiki.select("path").join(sums, "path", "left").na.fill(0, ["source_count", "total_bytes"])
+    sums = held.where("items IS NOT NULL").select("path").join(sums, "path", "left").na.fill(0, ["source_count", "total_bytes"])
     kept = sums.where((F.col("source_count") >= least_sources) | (F.col("total_bytes") >= least_bytes))
-    declared = extract.provenance(extract.html_elements(targets(files, ["html"], ".html"))).where("src_path IS NOT NULL")
-    declared = declared.withColumn("resolved", paths.normalize(F.col("src_path")))
-    now = files.select(F.col("path").alias("resolved"), fn.page_updated(F.col("text")).alias("now"))
-    stale = declared.join(now, "resolved", "left").groupBy("path").agg(F.bool_or(F.coalesce(F.col("now") != F.col("declared"), F.lit(False))).alias("stale"))
+    declared = extract.provenance(held.select("path", F.inline("elements"))).where("src_path IS NOT NULL")
+    declared = resolve.follow(declared.withColumn("resolved", paths.normalize(F.col("src_path"))), "resolved", links)
+    now = held.select(F.col("path").alias("resolved"), F.col("updated").alias("now"))
+    stale = F.coalesce(F.col("now") != F.col("declared"), F.lit(False))
     # a declaration is of the page that it names as written: one that climbs with .. names no page of the listing
-    pages = declared.join(stale, "path").groupBy(paths.tidy(F.col("src_path")).alias("path")).agg(F.sort_array(F.collect_list(F.struct(paths.order_key(F.col("path")).alias("k"), "ord", "path"))).alias("p"), F.bool_or("stale").alias("stale"))
+    told = declared.join(now, "resolved", "left").select("path", "ord", paths.tidy(F.col("src_path")).alias("page"), stale.alias("stale"))
+    told = told.groupBy("path").agg(F.bool_or("stale").alias("stale"), F.collect_list(F.struct("ord", "page")).alias("d")).select("path", "stale", F.inline("d"))
+    pages = told.groupBy(F.col("page").alias("path")).agg(F.sort_array(F.collect_list(F.struct(paths.order_key(F.col("path")).alias("k"), "ord", "path"))).alias("p"), F.bool_or("stale").alias("stale"))
     state = F.when(F.col("p").isNull(), "missing").when(F.col("stale"), "stale").otherwise("current")
     html = F.coalesce(F.transform("p", lambda x: x["path"]), F.array().cast("array<string>"))
     return kept.join(pages, "path", "left").select(F.col("path").alias("page"), "source_count", "total_bytes", state.alias("state"), html.alias("html_pages"))
+
+
+def _candidate_parts(files: DataFrame) -> DataFrame:
+    """path, is_dir, size, link, items, updated, elements, written: the only scan of the files."""
+    rows = whole(files).withColumn("updated", F.when(~F.col("is_dir"), fn.page_updated(F.col("text"))))
+    return stage(extract.parse(rows, ["elements"], ["path", "is_dir", "size", "link", "items", "updated"], chosen_files(["html"], ".html")), "parsed")

@@ -9,14 +9,11 @@ from ..operators import extract, rules
 
 def stream_sources(files: DataFrame) -> DataFrame:
     """Diagnostics of the source-note rules for a stream of files (path, text); no state is kept."""
-    heads = extract.frontmatter(files)
-    out = rules.src001(heads)
-    for part in (rules.src002(heads), rules.src003(heads), rules.src004(heads), rules.src005(heads), rules.src006(heads), rules.src007(heads)):
-        out = out.unionByName(part)
-    return out
+    return rules.only(rules.emit(extract.frontmatter(files), *rules.sources()))
 
 
 def stream_elements(files: DataFrame) -> DataFrame:
-    """Diagnostics of the page rules that need no other file."""
-    elements = extract.html_elements(files)
-    return rules.html001(elements).unionByName(rules.html002(elements)).unionByName(rules.html003(elements)).unionByName(rules.html007(extract.placeholders(files)))
+    """Diagnostics of the page rules that need no other file, from one pass over each text."""
+    pages = extract.parse(files, ["elements", "placeholders"], ["path"])
+    local = [rules.html001(), rules.html002(), rules.html003(), rules.html004(), rules.html005()]
+    return rules.only(rules.emit(rules.page_rows(pages), *local, lists=rules.html007()))
