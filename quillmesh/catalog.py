@@ -18,6 +18,7 @@ from .functions import paths
 from .functions import text as fn
 from .operators import extract, resolve, rules
 from .plans import fixes, lint, report
+from .scratch import spread
 from .sources.vault import inventory
 
 _DAY = "'2024-01-' || lpad(CAST(1 + doc_id % 28 AS VARCHAR(9)), 2, '0')"
@@ -63,7 +64,7 @@ _ASSETS = ["html/assets/style.css", "html/assets/theme.js"]
 
 
 def _tables(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def _derived(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
@@ -112,12 +113,12 @@ def _images(rule) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, d: rules.emit(lint.image_relations(vault(spark, d))[1], rule()).select("path", "line", "code")
 
 
-def _html(*parts, lists=None) -> Callable[[SparkSession, str], DataFrame]:
+def _html(*parts) -> Callable[[SparkSession, str], DataFrame]:
     """Rules on pages that need no other file."""
 
     def run(spark: SparkSession, d: str) -> DataFrame:
         rows = rules.page_rows(extract.parse(pages(spark, d), ["elements", "placeholders"], ["path"]))
-        return rules.emit(rows, *[r() for r in parts], lists=lists() if lists else None).select("path", "line", "code")
+        return rules.emit(rows, *[r() for r in parts]).select("path", "line", "code")
 
     return run
 
@@ -172,7 +173,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "wiki003": _wiki(lambda _, targets: rules.emit(targets, rules.wiki003())), "wiki004": _wiki(rules.wiki004),
     "img001": _images(rules.img001), "img002": _images(rules.img002),
     "html001": _html(rules.html001), "html002": _html(rules.html002), "html003": _html(rules.html003), "html004": _html(rules.html004),
-    "html005": _html(rules.html005), "html006": _html_settled(rules.html006), "html007": _html(lists=rules.html007), "html008": _html_settled(rules.html008),
+    "html005": _html(rules.html005), "html006": _html_settled(rules.html006), "html007": _html(rules.html007), "html008": _html_settled(rules.html008),
     "elements": _elements, "candidates": _candidates, "diagnostic_summary": page_summary,
     "source_report": lambda s, d: report.diagnostic_lines(rules.only(rules.emit(extract.frontmatter(notes(s, d)), rules.src006()))),
     "rename_plan": lambda s, d: fixes.plan(vault(s, d))[0].select("source", "destination"), "fix_plan": _fix_plan,

@@ -1,7 +1,7 @@
 """The 21 rules.
 
-A rule is a list of Columns over a row of what is judged (a head, a link, an element): each is a
-finding, or null where it does not hold; ``emit`` evaluates any number of rules in one pass over the rows.  A
+A rule is a Column over a row of what is judged (a head, a link, an element): an array of findings, each
+null where it does not hold; ``emit`` evaluates any number of rules in one pass over the rows.  A
 finding is line, code, message, warning, place, and for those that other files decide ``needs``, the
 path that is looked up, and ``stamp``, the date that it should have; ``settle`` decides them all in one join.
 
@@ -53,13 +53,9 @@ def finding(holds: Column, code: str, line: Column | int, message: Column | str,
     return F.when(holds, made)
 
 
-def emit(rows: DataFrame, *rules: list[Column], lists: Column | None = None) -> DataFrame:
-    """path and the findings of all rules, and of an array of findings, in one pass; columns needs and stamp are still to be settled."""
-    each = F.filter(F.array(*[c for rule in rules for c in rule]), lambda f: f.isNotNull()) if rules else None
-    if lists is not None:
-        lists = F.coalesce(lists, F.array())
-        each = lists if each is None else F.concat(each, lists)
-    return rows.select("path", F.inline(each))
+def emit(rows: DataFrame, *rules: Column) -> DataFrame:
+    """path and the findings of all rules, in one pass; columns needs and stamp are still to be settled."""
+    return rows.select("path", F.inline(F.filter(F.concat(*rules), lambda f: f.isNotNull())))
 
 
 def only(found: DataFrame) -> DataFrame:
@@ -85,12 +81,12 @@ def settle(found: DataFrame, facts: DataFrame, links: DataFrame | None = None) -
 # Source notes: rows are extract.frontmatter of the notes.
 
 
-def src001() -> list[Column]:
-    return [finding(F.col("status") == "missing", "SRC001", 1, "the text does not start with a `---` line", [0])]
+def src001() -> Column:
+    return F.array(finding(F.col("status") == "missing", "SRC001", 1, "the text does not start with a `---` line", [0]))
 
 
-def src002() -> list[Column]:
-    return [finding(F.col("status") == "unterminated", "SRC002", 1, "no closing `---` line", [0])]
+def src002() -> Column:
+    return F.array(finding(F.col("status") == "unterminated", "SRC002", 1, "no closing `---` line", [0]))
 
 
 def _checked(required: list[str]) -> list[tuple[int, str, Column, Column]]:
@@ -101,33 +97,33 @@ def _checked(required: list[str]) -> list[tuple[int, str, Column, Column]]:
     return [(turn, key, ok & entry(key).isNotNull() if optional else ok, entry(key)) for turn, (key, optional) in enumerate(keys)]
 
 
-def src003(required: list[str] = REQUIRED) -> list[Column]:
-    return [finding(due & e.isNull(), "SRC003", 1, f"`{key}` is absent", [0, turn, 0]) for turn, key, due, e in _checked(required)]
+def src003(required: list[str] = REQUIRED) -> Column:
+    return F.array(*[finding(due & e.isNull(), "SRC003", 1, f"`{key}` is absent", [0, turn, 0]) for turn, key, due, e in _checked(required)])
 
 
-def src004(required: list[str] = REQUIRED) -> list[Column]:
-    return [finding(due & (e["value"] == ""), "SRC004", e["line"], f"`{key}` is empty", [0, turn, 0]) for turn, key, due, e in _checked(required)]
+def src004(required: list[str] = REQUIRED) -> Column:
+    return F.array(*[finding(due & (e["value"] == ""), "SRC004", e["line"], f"`{key}` is empty", [0, turn, 0]) for turn, key, due, e in _checked(required)])
 
 
-def src005(required: list[str] = REQUIRED) -> list[Column]:
-    return [finding(due & e["value"].rlike(fn.VALUE_PLACEHOLDER), "SRC005", e["line"], f"`{key}` holds an unexpanded placeholder", [0, turn, 1]) for turn, key, due, e in _checked(required)]
+def src005(required: list[str] = REQUIRED) -> Column:
+    return F.array(*[finding(due & e["value"].rlike(fn.VALUE_PLACEHOLDER), "SRC005", e["line"], f"`{key}` holds an unexpanded placeholder", [0, turn, 1]) for turn, key, due, e in _checked(required)])
 
 
 def _named() -> Column:
     return paths.name(F.col("path")).rlike(fn.file_name())
 
 
-def src006() -> list[Column]:
-    return [finding((F.col("status") == "ok") & ~_named(), "SRC006", 1, "the file name is not `YYYY-MM-DD_slug.md`", [1])]
+def src006() -> Column:
+    return F.array(finding((F.col("status") == "ok") & ~_named(), "SRC006", 1, "the file name is not `YYYY-MM-DD_slug.md`", [1]))
 
 
-def src007() -> list[Column]:
+def src007() -> Column:
     day = F.regexp_extract(paths.name(F.col("path")), fn.file_name(), 1)
     created = F.get(F.filter("entries", lambda e: e["key"] == "created"), F.lit(0))
-    return [finding((F.col("status") == "ok") & _named() & (created["value"] != day), "SRC007", created["line"], "`created` is not the file name's date", [1])]
+    return F.array(finding((F.col("status") == "ok") & _named() & (created["value"] != day), "SRC007", created["line"], "`created` is not the file name's date", [1]))
 
 
-def sources(required: list[str] = REQUIRED) -> list[list[Column]]:
+def sources(required: list[str] = REQUIRED) -> list[Column]:
     """All rules on notes."""
     return [src001(), src002(), src003(required), src004(required), src005(required), src006(), src007()]
 
@@ -135,12 +131,12 @@ def sources(required: list[str] = REQUIRED) -> list[list[Column]]:
 # Images: rows are resolve.image_targets.
 
 
-def img001() -> list[Column]:
-    return [finding(F.col("resolved").isNull(), "IMG001", F.col("line"), _quoted("image `%s` does not exist", "target"), [F.col("start"), 1])]
+def img001() -> Column:
+    return F.array(finding(F.col("resolved").isNull(), "IMG001", F.col("line"), _quoted("image `%s` does not exist", "target"), [F.col("start"), 1]))
 
 
-def img002() -> list[Column]:
-    return [finding(fn.needs_normalization(F.col("target")), "IMG002", F.col("line"), _quoted("image target `%s` is not canonical", "target"), [F.col("start"), 0])]
+def img002() -> Column:
+    return F.array(finding(fn.needs_normalization(F.col("target")), "IMG002", F.col("line"), _quoted("image target `%s` is not canonical", "target"), [F.col("start"), 0]))
 
 
 # Wiki: rows are resolve.wiki_targets of all pages.
@@ -157,25 +153,25 @@ def wiki001(files: DataFrame, targets: DataFrame, wiki: str = "wiki", links: Dat
     pages = files.where(_under(wiki) & ~paths.name(F.col("path")).isin(*SPECIAL_PAGES)).select("path", F.col("path").alias("real"))
     there = files.where((F.col("path") == index) & ~F.col("is_dir")).select(F.lit(wiki).alias("root")).limit(1)
     pages = resolve.follow(pages, "real", links).withColumn("root", F.lit(wiki)).join(there, "root", "left_semi")
-    return only(emit(pages.join(linked, "real", "left_anti"), [finding(F.lit(True), "WIKI001", 1, "the index has no link to this page", [1])]))
+    return only(emit(pages.join(linked, "real", "left_anti"), F.array(finding(F.lit(True), "WIKI001", 1, "the index has no link to this page", [1]))))
 
 
-def wiki002() -> list[Column]:
-    return [finding(F.col("resolved").isNull(), "WIKI002", F.col("line"), _quoted("link target `%s` does not exist", "target"), [2, F.col("ord")])]
+def wiki002() -> Column:
+    return F.array(finding(F.col("resolved").isNull(), "WIKI002", F.col("line"), _quoted("link target `%s` does not exist", "target"), [2, F.col("ord")]))
 
 
-def wiki003() -> list[Column]:
+def wiki003() -> Column:
     to = F.col("resolved")
     emphasis = F.col("label").contains("*") | F.col("label").contains("\\_")
     holds = to.isNotNull() & (fn.path_suffix(paths.name(to)) == ".md") & paths.stem(to).contains("_") & emphasis
-    return [finding(holds, "WIKI003", F.col("line"), "the label reads as emphasis; write spaces for the file name's underscores", [3, F.col("ord")])]
+    return F.array(finding(holds, "WIKI003", F.col("line"), "the label reads as emphasis; write spaces for the file name's underscores", [3, F.col("ord")]))
 
 
 def wiki004(files: DataFrame, targets: DataFrame, wiki: str = "wiki", sources: str = "sources", links: DataFrame | None = None) -> DataFrame:
     """Diagnostics of notes that no wiki page links."""
     linked = targets.where(F.col("path").startswith(f"{wiki}/") & F.col("resolved").isNotNull()).select(F.col("resolved").alias("real"))
     notes = resolve.follow(files.where(_under(sources)).select("path", F.col("path").alias("real")), "real", links)
-    return only(emit(notes.join(linked, "real", "left_anti"), [finding(F.lit(True), "WIKI004", 1, "no wiki page links to this note", [4])]))
+    return only(emit(notes.join(linked, "real", "left_anti"), F.array(finding(F.lit(True), "WIKI004", 1, "no wiki page links to this note", [4]))))
 
 
 # Pages: rows are ``page_rows``: a row each element, and before them one of the page itself, whose tag is empty.
@@ -196,64 +192,69 @@ def _resolves_to(target: Column, asset: str) -> Column:
     return paths.resolve(paths.parent(F.col("path")), fn.percent_decode(target)) == asset
 
 
-def html001() -> list[Column]:
-    resource = F.col("tag").isin(*RESOURCE_TAGS)
-    return [finding(resource & (attribute(a) != "") & fn.external_in_html(attribute(a)), "HTML001", F.col("line"), _quoted("external resource `%s`", attribute(a)), [0, F.col("ord"), turn + 2]) for turn, a in enumerate(URL_ATTRIBUTES)]
+def _targets() -> Column:
+    """What the attributes that name something name, with their turns."""
+    return F.array(*[F.struct(F.lit(turn).alias("turn"), attribute(a).alias("target")) for turn, a in enumerate(URL_ATTRIBUTES)])
 
 
-def html002() -> list[Column]:
+def html001() -> Column:
+    made = lambda t: finding((t["target"] != "") & fn.external_in_html(t["target"]), "HTML001", F.col("line"), _quoted("external resource `%s`", t["target"]), [F.lit(0), F.col("ord"), t["turn"] + 2])
+    return F.when(F.col("tag").isin(*RESOURCE_TAGS), F.transform(_targets(), made)).otherwise(F.array())
+
+
+def html002() -> Column:
     src = attribute("src")
     shared = (src != "") & ~fn.external_in_html(src) & _resolves_to(src, SCRIPT)
-    return [finding((F.col("tag") == "script") & ~shared, "HTML002", F.col("line"), "only the shared script may be loaded", [0, F.col("ord"), 0])]
+    return F.array(finding((F.col("tag") == "script") & ~shared, "HTML002", F.col("line"), "only the shared script may be loaded", [0, F.col("ord"), 0]))
 
 
-def html003() -> list[Column]:
-    return [finding(F.col("tag") == "iframe", "HTML003", F.col("line"), "iframe is not allowed", [0, F.col("ord"), 1])]
+def html003() -> Column:
+    return F.array(finding(F.col("tag") == "iframe", "HTML003", F.col("line"), "iframe is not allowed", [0, F.col("ord"), 1]))
 
 
-def html004() -> list[Column]:
+def html004() -> Column:
     href = attribute("href")
     sheet = (F.col("tag") == "link") & F.lower(attribute("rel")).contains("stylesheet") & ~fn.external_in_html(href)
-    return [
+    return F.array(
         finding(sheet & ~_resolves_to(href, STYLESHEET), "HTML004", F.col("line"), _quoted("stylesheet `%s` is not the shared one", href), [1, F.col("ord")]),
         finding((F.col("tag") == "") & ~F.col("has_sheet"), "HTML004", 1, "the shared stylesheet is absent", [1, 0]),
-    ]
+    )
 
 
 def _meta() -> tuple[Column, Column, Column]:
     return (F.col("tag") == "meta") & (attribute("name") == "wiki-source"), *declared(attribute("content"))
 
 
-def html005() -> list[Column]:
+def html005() -> Column:
     meta, source, _ = _meta()
-    return [
+    return F.array(
         finding(meta & source.isNull(), "HTML005", F.col("line"), _quoted("wiki-source `%s` is not `<path> <YYYY-MM-DD>`", attribute("content")), [2, F.col("ord")]),
         finding((F.col("tag") == "") & ~F.col("has_meta") & (paths.name(F.col("path")) != "index.html"), "HTML005", 1, "no wiki-source meta", [2, 0]),
-    ]
+    )
+
 
+def html006() -> Column:
+    def made(t: Column) -> Column:
+        local = fn.strip_fragment(fn.percent_decode(t["target"]))
+        holds = (t["target"] != "") & ~fn.external_in_html(t["target"]) & ~t["target"].startswith("#") & (local != "")
+        return finding(holds, "HTML006", F.col("line"), _quoted("link target `%s` does not exist", t["target"]), [F.lit(3), F.col("ord"), t["turn"]], needs=paths.resolve(paths.parent(F.col("path")), local))
 
-def html006() -> list[Column]:
-    out = []
-    for turn, a in enumerate(URL_ATTRIBUTES):
-        target = attribute(a)
-        local = fn.strip_fragment(fn.percent_decode(target))
-        holds = (target != "") & ~fn.external_in_html(target) & ~target.startswith("#") & (local != "")
-        out.append(finding(holds, "HTML006", F.col("line"), _quoted("link target `%s` does not exist", target), [3, F.col("ord"), turn], needs=paths.resolve(paths.parent(F.col("path")), local)))
     meta, source, _ = _meta()
-    return [*out, finding(meta & source.isNotNull(), "HTML006", F.col("line"), _quoted("wiki-source `%s` does not exist", source), [4, F.col("ord")], needs=paths.normalize(source))]
+    gone = finding(meta & source.isNotNull(), "HTML006", F.col("line"), _quoted("wiki-source `%s` does not exist", source), [4, F.col("ord")], needs=paths.normalize(source))
+    return F.concat(F.transform(_targets(), made), F.array(gone))
 
 
 def html007() -> Column:
-    """An array of findings, at the row of the page itself."""
+    """At the row of the page itself."""
     made = lambda m: finding(F.lit(True), "HTML007", m["line"], _quoted("unexpanded placeholder `%s`", m["placeholder"]), [F.lit(5), m["ord"]])
-    return F.transform("marks", made)
+    return F.coalesce(F.transform("marks", made), F.array())
 
 
-def html008() -> list[Column]:
+def html008() -> Column:
     meta, source, day = _meta()
-    return [finding(meta & source.isNotNull(), "HTML008", F.col("line"), _quoted("`%s`", source), [4, F.col("ord")], True, needs=paths.normalize(source), stamp=day)]
+    return F.array(finding(meta & source.isNotNull(), "HTML008", F.col("line"), _quoted("`%s`", source), [4, F.col("ord")], True, needs=paths.normalize(source), stamp=day))
 
 
-def pages() -> list[list[Column]]:
-    """All rules on pages but html007, which is an array."""
-    return [html001(), html002(), html003(), html004(), html005(), html006(), html008()]
+def pages() -> list[Column]:
+    """All rules on pages."""
+    return [html001(), html002(), html003(), html004(), html005(), html006(), html007(), html008()]

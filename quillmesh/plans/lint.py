@@ -52,7 +52,7 @@ def parsed(files: DataFrame, kinds: list[str], wanted: Column, dates: bool = Fal
 
 def unreadable(files: DataFrame, wanted: Column) -> DataFrame:
     rows = files.where(wanted & F.col("error").isNotNull())
-    return rules.only(rules.emit(rows, [rules.finding(F.lit(True), "UNREADABLE", 1, F.col("error"), [0])]))
+    return rules.only(rules.emit(rows, F.array(rules.finding(F.lit(True), "UNREADABLE", 1, F.col("error"), [0]))))
 
 
 def lint_sources(files: DataFrame, chosen: list[str] | None = None, template: str | None = None) -> DataFrame:
@@ -61,7 +61,7 @@ def lint_sources(files: DataFrame, chosen: list[str] | None = None, template: st
     notes = whole(files).where(chosen_files(chosen or ["sources"], ".md", any_file=True))
     bad = F.col("error").isNotNull()
     heads = extract.frontmatter(notes, keep=["error"]).withColumn("status", F.when(bad, "unreadable").otherwise(F.col("status")))
-    return rules.only(rules.emit(heads, [rules.finding(bad, "UNREADABLE", 1, F.col("error"), [0])], *rules.sources(keys)))
+    return rules.only(rules.emit(heads, F.array(rules.finding(bad, "UNREADABLE", 1, F.col("error"), [0])), *rules.sources(keys)))
 
 
 def wiki_relations(files: DataFrame, chosen: list[str] | None = None, wiki: str = "wiki") -> tuple[DataFrame, DataFrame, DataFrame | None]:
@@ -105,7 +105,7 @@ def facts(held: DataFrame) -> DataFrame:
 def lint_html(files: DataFrame, chosen: list[str] | None = None) -> DataFrame:
     wanted = chosen_files(chosen or ["html"], ".html")
     held = parsed(files, ["elements", "placeholders"], wanted, dates=True)
-    found = rules.emit(rules.page_rows(held.where("wanted")), *rules.pages(), lists=rules.html007())
+    found = rules.emit(rules.page_rows(held.where("wanted")), *rules.pages())
     return rules.settle(found, facts(held), resolve.link_table(held)).unionByName(unreadable(held, wanted))
 
 

@@ -31,3 +31,9 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     path = f"{scratch(df.sparkSession)}/quillmesh/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df, dealt over all cores if it is read in fewer parts than there are; a large table has more, and is not shuffled."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)

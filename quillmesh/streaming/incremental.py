@@ -15,5 +15,5 @@ def stream_sources(files: DataFrame) -> DataFrame:
 def stream_elements(files: DataFrame) -> DataFrame:
     """Diagnostics of the page rules that need no other file, from one pass over each text."""
     pages = extract.parse(files, ["elements", "placeholders"], ["path"])
-    local = [rules.html001(), rules.html002(), rules.html003(), rules.html004(), rules.html005()]
-    return rules.only(rules.emit(rules.page_rows(pages), *local, lists=rules.html007()))
+    local = [rules.html001(), rules.html002(), rules.html003(), rules.html004(), rules.html005(), rules.html007()]
+    return rules.only(rules.emit(rules.page_rows(pages), *local))
