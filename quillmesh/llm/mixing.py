@@ -4,19 +4,15 @@ Sizes are summed a source; targets share the whole by weight and stop at ``most`
 source has, the excess going to the others by weight until none is above.  That is a water level:
 with sources in the order of cap over weight, those whose cap lies under the level keep the cap.
 
-A document is then taken floor(rate) times and once more by a coin that its key and a seed decide,
-so a rerun, or a lost executor, takes the same.  Over the seeds each coin comes up with a
-probability of exactly the rate's fraction.  The ``LARGEST`` documents of a source toss in the order
-of size, and what one takes or leaves lowers or raises the chances of all that follow, by as much as
-brings the sum of the source back to its target while the mean of each one's chance stays the
-fraction.  A long document in a small source would else move its sum far from the target; it still
-does where it alone is larger than all that is asked for.  The documents after them, each small
-beside the rest, toss with the chance that is left, on their own.
-
-Only the largest documents' sizes and hashes are gathered, in one list a source; documents are
-never sorted or shuffled.  Null sources are a source of their own, null sizes count as 0, a null
-doc_id is a key like any other, rows that repeat a doc_id and size toss the same coin, and no rows
-give no rows.
+A document is then taken floor(rate) times and once more by a coin of its own, which its key and a seed decide
+and which comes up with a probability of exactly the rate's fraction; a rerun, or a lost executor, takes
+the same.  No document changes another's chance.  So a source's sum has its target as its mean, and a
+standard deviation of the root of the sum of size ** 2 * fraction * (1 - fraction): little beside the target where documents are many, and
+much where a few long ones are most of a source.
+
+Only sums are shuffled, a row a source; documents stay where they are.  Null sources are a source of
+their own, null sizes count as 0, a null doc_id is a key like any other, rows that repeat a doc_id
+toss the same coin, and no rows give no rows.
 """
 
 from __future__ import annotations
@@ -26,59 +22,11 @@ from pyspark.sql import functions as F
 
 from .shared import stage
 
-#: Documents of a source that toss one after the other, and halvings that find one of them.
-LARGEST, HALVINGS = 400, 9
-
-
-def _number(key: Column, seed: str, start: int, digits: int) -> Column:
-    """Some hexadecimal digits of a key's digest; null is a key like any other."""
+def coin(key: Column, rate: Column, seed: str) -> Column:
+    """Whether a document is taken once more: 52 bits of its key's digest, uniform in 0 to 1, against the rate's fraction."""
     digest = F.md5(F.concat_ws("/", F.lit(seed), F.coalesce(key.cast("string"), F.lit("null"))))
-    return F.conv(F.substring(digest, start, digits), 16, 10).cast("long")
-
-
-def _place(size: Column, key: Column, seed: str) -> Column:
-    """Falling size, then a number that the coin knows nothing of; and the coin's, uniform in 0 to 1."""
-    drawn = _number(key, seed, 1, 13).cast("double") / float(1 << 52)
-    return F.struct((-F.coalesce(size, F.lit(0))).alias("size"), _number(key, seed, 14, 8).alias("tie"), drawn.alias("drawn"))
-
-
-def _chances(largest: Column, whole: Column, part: Column) -> Column:
-    """Chance of each of the largest documents, in order, and of all others at the end."""
-
-    def after(s: Column, x: Column) -> Column:
-        now, words = s["chance"], (-x["place"]["size"] * x["n"]).cast("double")
-        left = s["left"] - words
-        none = F.greatest(F.lit(0.0), (now * s["left"] - words) / left)
-        # chances after a miss, then after a hit, whose mean is the chance now
-        missed = F.when(now < 1, F.least(F.lit(1.0), now * (1 - none) / (1 - now))).otherwise(1.0)
-        hit = F.when(now > 0, F.greatest(F.lit(0.0), (now - (1 - now) * missed) / now)).otherwise(0.0)
-        chance = F.when(left <= 0, now).when(x["place"]["drawn"] < now, hit).otherwise(missed)
-        return F.struct(left.alias("left"), chance.alias("chance"), F.concat(s["all"], F.array(chance)).alias("all"))
-
-    start = F.struct(whole.cast("double").alias("left"), part.alias("chance"), F.array(part).alias("all"))
-    return F.aggregate(largest, start, after, lambda s: s["all"])
-
-
-def _with_chances(sizes: DataFrame, plan: DataFrame, seed: str) -> DataFrame:
-    """plan with ``_qm_places``, in order, and ``_qm_chances``, one more."""
-    rows = sizes.select(F.col("source").alias("_qm_s"), _place(F.col("size"), F.col("doc_id"), seed).alias("place"))
-    turn = F.row_number().over(Window.partitionBy("_qm_s").orderBy("place"))
-    top = rows.withColumn("turn", turn).where(F.col("turn") <= LARGEST).groupBy("_qm_s", "place").agg(F.count(F.lit(1)).alias("n"))
-    listed = top.groupBy("_qm_s").agg(F.array_sort(F.collect_list(F.struct("place", "n"))).alias("largest"))
-    own = plan.join(listed, F.col("_qm_source").eqNullSafe(F.col("_qm_s")))
-    chances = _chances(F.col("largest"), F.col("_qm_size"), F.col("_qm_rate") - F.floor("_qm_rate"))
-    return own.select(*plan.columns, F.transform("largest", lambda x: x["place"]).alias("_qm_places"), chances.alias("_qm_chances"))
-
-
-def coin(size: Column, key: Column, seed: str) -> Column:
-    """Whether a document is taken once more, from its source's row of the plan."""
-    steps = F.array(*[F.lit(1 << k) for k in reversed(range(HALVINGS))])
-
-    def toss(own: Column) -> Column:
-        at = F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get("_qm_places", at + step - 1) <= own, at + step).otherwise(at))
-        return F.transform(F.array(at), lambda at: own["drawn"] < F.when(F.get("_qm_places", at - 1) == own, F.get("_qm_chances", at - 1)).otherwise(F.element_at("_qm_chances", -1)))[0]
-
-    return F.transform(F.array(_place(size, key, seed)), toss)[0]
+    drawn = F.conv(F.substring(digest, 1, 13), 16, 10).cast("long").cast("double") / float(1 << 52)
+    return drawn < rate - F.floor(rate)
 
 
 def cyclic_weights(sources: DataFrame, cycle: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
@@ -120,11 +68,11 @@ def mix(sized: DataFrame, most: int = 3, seed: str = "mix") -> DataFrame:
     sums = sizes.groupBy("source").agg(F.coalesce(F.sum("size"), F.lit(0)).cast("long").alias("source_size"))
     plan = targets(cyclic_weights(sums), most).withColumnsRenamed({"source": "_qm_source", "source_size": "_qm_size", "target": "_qm_target", "rate": "_qm_rate"}).drop("weight")
     # written, so that its size is known when the join is planned, and documents are not shuffled if it is small
-    plan = stage(_with_chances(sizes, plan, seed), "plan")
+    plan = stage(plan, "plan")
     rows = sizes.select(sized.columns) if set(sized.columns) == set(sizes.columns) else sized
     joined = rows.join(plan, F.col("source").eqNullSafe(F.col("_qm_source")))
-    more = coin(F.col("size"), F.col("doc_id"), seed).cast("long")
-    return joined.select(*sized.columns, F.col("_qm_size").alias("source_size"), F.col("_qm_target").alias("target"), (F.floor("_qm_rate") + more).alias("copies"))
+    copies = F.floor("_qm_rate") + coin(F.col("doc_id"), F.col("_qm_rate"), seed).cast("long")
+    return joined.select(*sized.columns, F.col("_qm_size").alias("source_size"), F.col("_qm_target").alias("target"), copies.alias("copies"))
 
 
 def emit(mixed: DataFrame) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from .mixing import LARGEST
 from .quality_rules import PARTS as LABEL_PARTS
 from .quality_rules import STEPS, SYMBOLS
 
@@ -104,14 +103,6 @@ SELECT CAST(conv_id AS BIGINT) AS conv_id, CAST(n AS BIGINT) AS n_turns, sha256(
 FROM joined"""
 
 
-def _digits(key: str, start: int, many: int) -> str:
-    return f"CAST('0x' || substr(md5('mix/' || coalesce(CAST({key} AS VARCHAR), 'null')), {start}, {many}) AS BIGINT)"
-
-
-def _draw(key: str) -> str:
-    return f"{_digits(key, 1, 13)} / 4503599627370496.0::DOUBLE"
-
-
 #: The level rises source by source: each round gives those over their cap the cap, and the rest is shared again.
 MIXING = f"""
 WITH RECURSIVE docs AS MATERIALIZED (SELECT row_number() OVER () AS d, doc_id, source, CAST(len({_words()}) AS BIGINT) AS size FROM documents),
@@ -131,25 +122,9 @@ targets AS MATERIALIZED (
   FROM levelled),
 rated AS MATERIALIZED (
   SELECT *, CASE WHEN source_size > 0 THEN least(target / source_size, 3.0::DOUBLE) ELSE 0.0::DOUBLE END AS rate FROM targets),
-drawn AS MATERIALIZED (
-  SELECT *, dense_rank() OVER (PARTITION BY source ORDER BY size DESC, tie, drawn) AS place, row_number() OVER (PARTITION BY source ORDER BY size DESC, tie, drawn) AS turn
-  FROM (SELECT *, {_draw("doc_id")} AS drawn, {_digits("doc_id", 14, 8)} AS tie FROM docs)),
-largest AS MATERIALIZED (
-  SELECT source, place, drawn, CAST(size * count(*) AS DOUBLE) AS words FROM drawn WHERE turn <= {LARGEST} GROUP BY source, place, drawn, size),
-tossed(source, place, whole, chance) AS (
-  SELECT source, CAST(1 AS BIGINT), CAST(source_size AS DOUBLE), rate - floor(rate) FROM rated
-  UNION ALL
-  SELECT source, place + 1, whole - words,
-    CASE WHEN whole - words <= 0 THEN chance
-      WHEN drawn < chance THEN CASE WHEN chance > 0 THEN greatest(0, (chance - (1 - chance) * missed) / chance) ELSE 0 END ELSE missed END
-  FROM (
-    SELECT t.source, t.place, whole, chance, drawn, words, CASE WHEN chance < 1 THEN least(1.0::DOUBLE, chance * (1 - greatest(0.0::DOUBLE, (chance * whole - words) / (whole - words))) / (1 - chance)) ELSE 1.0::DOUBLE END AS missed
-    FROM tossed t JOIN largest l ON t.source IS NOT DISTINCT FROM l.source AND t.place = l.place)),
-last AS (SELECT source, arg_max(chance, place) AS rest FROM tossed GROUP BY source)
-SELECT doc_id, size, source_size, target, (CAST(floor(rate) AS BIGINT) + CASE WHEN drawn < CASE WHEN l.place IS NULL THEN rest ELSE chance END THEN 1 ELSE 0 END) * size AS taken
-FROM (SELECT d.*, EXISTS (SELECT 1 FROM largest l WHERE l.source IS NOT DISTINCT FROM d.source AND l.place = d.place) AS is_large FROM drawn d) d
-JOIN rated ON d.source IS NOT DISTINCT FROM rated.source JOIN last ON d.source IS NOT DISTINCT FROM last.source
-LEFT JOIN tossed l ON is_large AND d.source IS NOT DISTINCT FROM l.source AND d.place = l.place"""
+drawn AS (SELECT *, CAST('0x' || substr(md5('mix/' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 13) AS BIGINT) / 4503599627370496.0::DOUBLE AS drawn FROM docs)
+SELECT doc_id, size, source_size, target, (CAST(floor(rate) AS BIGINT) + CASE WHEN drawn < rate - floor(rate) THEN 1 ELSE 0 END) * size AS taken
+FROM drawn d JOIN rated ON d.source IS NOT DISTINCT FROM rated.source"""
 
 _BASE32 = "array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST(('0b' || substr(bits, 1 + 5 * i, 5)) AS INTEGER), 1)), '')"
 

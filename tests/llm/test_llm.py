@@ -299,22 +299,30 @@ def test_mixing_chances_are_the_fractions(spark):
                 assert len(taken) == 400 and sum(taken) / 400 == pytest.approx(weight / 2, abs=0.1)
 
 
-def test_mixing_chances_past_the_largest(spark):
-    """Many documents of one size: those that toss in turn and those after them take the same share."""
+def test_mixing_of_many_alike(spark):
     out = mixing.mix(spark.createDataFrame([(i, f"s{i % 3}", 10) for i in range(9000)], "doc_id long, source string, size long")).collect()
     for k, rate in enumerate((0.5, 1.0, 1.5)):
         assert sum(x["copies"] for x in out if x["source"] == f"s{k}") == pytest.approx(3000 * rate, rel=0.05)
 
 
 def test_mixing_comes_near_the_target(spark):
+    """Within four standard deviations of independent coins; no document's copies depend on another."""
     r = random.Random(1)
     rows = [(i, f"s{i % 6}", int(r.paretovariate(1.1) * 20) if i % 6 else r.randint(1, 400)) for i in range(3000)]
     rows += [(None, "s1", 5)] * 3 + [(5000 + i, "s5", 30) for i in range(2000)]
     out = mixing.mix(spark.createDataFrame([(*x, 1.0, 2, 3) for x in rows], "doc_id long, source string, size long, rate double, copy int, _extra int")).collect()
     for s in {x["source"] for x in out}:
         own = [x for x in out if x["source"] == s]
-        assert sum(x["size"] * x["copies"] for x in own) == pytest.approx(own[0]["target"], rel=0.03) and own[0]["rate"] == 1.0 and own[0]["copy"] == 2
+        fraction = own[0]["target"] / own[0]["source_size"] % 1
+        spread = sum(x["size"] ** 2 * fraction * (1 - fraction) for x in own) ** 0.5
+        assert abs(sum(x["size"] * x["copies"] for x in own) - own[0]["target"]) <= 4 * spread + 1e-6 and own[0]["rate"] == 1.0 and own[0]["copy"] == 2
     assert len({x["copies"] for x in out if x["doc_id"] is None}) == 1
+    halves = [(i, "a" if i < 500 else "b", 1 + i % 7) for i in range(1000)]
+    whole = {x["doc_id"]: x["copies"] for x in mixing.mix(spark.createDataFrame(halves, "doc_id long, source string, size long")).collect()}
+    swapped = [(i, s, 8 - n) for i, s, n in halves]
+    rates = {x["source"]: x["target"] / x["source_size"] for x in mixing.mix(spark.createDataFrame(swapped, "doc_id long, source string, size long")).collect()}
+    other = {x["doc_id"]: x["copies"] for x in mixing.mix(spark.createDataFrame(swapped, "doc_id long, source string, size long")).collect()}
+    assert rates and sum(whole[i] != other[i] for i in whole) <= 60
 
 
 def test_fingerprints(spark):
