@@ -8,7 +8,9 @@ trips every rule in some of them.
 
 from __future__ import annotations
 
+import os
 import re
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,13 +20,17 @@ from .functions import paths
 from .functions import text as fn
 from .operators import extract, resolve, rules
 from .plans import fixes, lint, report
-from .scratch import spread
-from .sources.vault import inventory
+from .scratch import scratch, spread
+from .sources.vault import scan, write
 
 _DAY = "'2024-01-' || lpad(CAST(1 + doc_id % 28 AS VARCHAR(9)), 2, '0')"
 _ID = "CAST(doc_id AS VARCHAR(20))"
 _NL = "chr(10)"
-_NOTE = f"'sources/c' || CAST(doc_id % 7 AS VARCHAR(9)) || '/' || CASE WHEN doc_id % 11 = 3 THEN 'note-' ELSE {_DAY} || '_n' END || {_ID} || '.md'"
+_ARABIC = "'0123456789', '٠١٢٣٤٥٦٧٨٩'"
+_NOTE = f"'sources/c' || CAST(doc_id % 7 AS VARCHAR(9)) || '/' || CASE WHEN doc_id % 11 = 3 THEN 'note-' WHEN doc_id % 31 = 8 THEN translate({_DAY}, {_ARABIC}) || '_n' ELSE {_DAY} || '_n' END || {_ID} || '.md'"
+#: What a page's list of sources names: its own note, and for some two others', of which one may be its own again.
+_OTHERS = [_NOTE.replace("doc_id", f"(doc_id - doc_id % {k})") for k in (10, 100)]
+_INDENT = "CASE WHEN doc_id % 9 = 2 THEN '\u00a0\u2003' ELSE '  ' END"
 _BODY = "coalesce(text, '')"
 
 NOTES_SQL = f"""
@@ -38,19 +44,29 @@ SELECT doc_id, {_NOTE} AS path,
 FROM documents"""
 WIKI_SQL = f"""
 SELECT doc_id, 'wiki/p' || CAST(doc_id % 5 AS VARCHAR(9)) || '/page_' || {_ID} || '.md' AS path,
-  '---' || {_NL} || 'sources:' || {_NL} || '  - ../../' || {_NOTE} || {_NL} || '---' || {_NL} || {_BODY} || {_NL}
+  '---' || {_NL} || 'updated: "2024-05-0' || CAST(1 + doc_id % 2 AS VARCHAR(9)) || '"' || {_NL} || 'sources:' || {_NL} || {_INDENT} || '- ../../' || {_NOTE} || {_NL}
+  || CASE WHEN doc_id % 8 = 0 THEN {_INDENT} || '- "../../' || {_OTHERS[0]} || '"' || {_NL} || '   -  ../../' || {_OTHERS[1]} || ' ' || {_NL} ELSE '' END
+  || '---' || {_NL} || {_BODY} || {_NL}
   || CASE WHEN doc_id % 3 = 0 THEN 'see [note](../../' || {_NOTE} || ')' ELSE 'see ![a](b.md)' END || {_NL}
   || CASE WHEN doc_id % 9 = 4 THEN '[gone](missing%20page.md#top) and [out](https://example.org/x)' ELSE '[self](page_' || {_ID} || '.md)' END || {_NL}
-  || CASE WHEN doc_id % 10 = 6 THEN '[page*' || {_ID} || '*](page_' || {_ID} || '.md)' ELSE '![i](img%20' || {_ID} || '.png) ![[img_' || {_ID} || '.png|30]]' END AS text
+  || CASE WHEN doc_id % 10 = 6 THEN '[page*' || {_ID} || '*](page_' || {_ID} || '.md)'
+       WHEN doc_id % 7 = 3 THEN '![i](img%20' || {_ID} || '.png) ![[img ' || {_ID} || '.png#f|30]]' ELSE '![i](img%20' || {_ID} || '.png) ![[img_' || {_ID} || '.png|30]]' END AS text
 FROM documents"""
 
+#: Pages that declare a third of the wiki pages; some of these are declared twice, with a date long gone.
+DECLARED_SQL = f"""
+SELECT doc_id, 'html/' || CASE WHEN turn = 1 THEN 'a' ELSE 'b' END || {_ID} || '.html' AS path,
+  '<meta name="wiki-source" content="wiki/p' || CAST(doc_id % 5 AS VARCHAR(9)) || '/page_' || {_ID} || '.md ' || CASE WHEN turn = 1 THEN '2024-05-01' ELSE '2023-05-01' END || '">' AS text
+FROM documents CROSS JOIN (SELECT 1 AS turn UNION ALL SELECT 2) turns WHERE doc_id % 3 = 0 AND (turn = 1 OR doc_id % 12 = 0)"""
+
 
 _PAGE = "CAST(page_id AS VARCHAR(20))"
 PAGES_SQL = f"""
 SELECT page_id, 'html/' || {_PAGE} || '.html' AS path,
   '<!DOCTYPE html>' || {_NL}
   || CASE page_id % 3 WHEN 0 THEN '<link rel="stylesheet" href="assets/style.css">' WHEN 1 THEN '<link rel="stylesheet" href="assets/other.css">' ELSE '<link rel="stylesheet" href="https://cdn.example/x.css">' END || {_NL}
-  || CASE page_id % 5 WHEN 0 THEN '<meta name="wiki-source" content="wiki/w' || {_PAGE} || '.md 2024-03-01">' WHEN 1 THEN '<meta name="wiki-source" content="wiki/w.md  2024">' ELSE '' END || {_NL}
+  || CASE page_id % 5 WHEN 0 THEN '<meta name="wiki-source" content="wiki/w' || {_PAGE} || '.md 2024-03-01">' WHEN 1 THEN '<meta name="wiki-source" content="wiki/w.md  2024">'
+       WHEN 2 THEN '<meta name="wiki-source" content="wiki/w\u00a0' || {_PAGE} || '.md 2024-03-01">' WHEN 3 THEN '<meta name="wiki-source" content="wiki/w' || {_PAGE} || '.md ٢٠٢٤-٠٣-٠١">' ELSE '' END || {_NL}
   || CASE page_id % 7 WHEN 0 THEN '<script src="assets/theme.js"></script>' WHEN 1 THEN '<script src="//cdn.example/' || {_PAGE} || '.js"></script>'
        WHEN 2 THEN '<iframe src="' || {_PAGE} || '.html"></iframe>' WHEN 3 THEN '<p>{{{{title}}}}</p>' || {_NL} || '<p>{{{{title}}}} {{{{day}}}}</p>'
        WHEN 4 THEN '<a href="gone%20' || {_PAGE} || '.html#x">x</a><a href="#top">y</a>' WHEN 5 THEN '<video src="assets/theme.js" poster="https://cdn.example/p.png"></video>' ELSE '' END || {_NL}
@@ -58,7 +74,7 @@ SELECT page_id, 'html/' || {_PAGE} || '.html' AS path,
 FROM pages"""
 #: Wiki pages that some of the pages name, each fourth of them changed since.
 NAMED_SQL = f"""
-SELECT page_id, 'wiki/w' || {_PAGE} || '.md' AS path, '---' || {_NL} || 'updated: ' || CASE WHEN page_id % 40 = 0 THEN '2024-04-01' ELSE '"2024-03-01"' END || {_NL} || '---' || {_NL} AS text
+SELECT page_id, 'wiki/w' || {_PAGE} || '.md' AS path, '---' || {_NL} || 'updated:' || CASE WHEN page_id % 40 = 0 THEN '\u00a02024-04-01' ELSE ' ' || '"2024-03-01"' END || {_NL} || '---' || {_NL} AS text
 FROM pages WHERE page_id % 10 = 0"""
 _ASSETS = ["html/assets/style.css", "html/assets/theme.js"]
 
@@ -148,13 +164,22 @@ def _elements(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _candidates(spark: SparkSession, d: str) -> DataFrame:
-    return lint.candidates(vault(spark, d), least_sources=3, least_bytes=3_000).select("page", "source_count", "total_bytes", "state")
+    files = vault(spark, d).unionByName(_files(_derived(spark, d, DECLARED_SQL)))
+    return lint.candidates(files).select("page", "source_count", "total_bytes", "state", F.size("html_pages").alias("n_pages"))
 
 
 def _images_found(spark: SparkSession, d: str) -> DataFrame:
     return extract.image_links(vault(spark, d)).select("path", "line", "target", "kind")
 
 
+def _vault_files(spark: SparkSession, d: str) -> DataFrame:
+    """The pages written as files to a vault in the shared folder, and read again."""
+    root = f"{scratch(spark)}/quillmesh/vault-{uuid.uuid4().hex}".removeprefix("file://")
+    os.makedirs(root)
+    write(pages(spark, d).select("path", "text", F.lit(None).cast("string").alias("source")), root)
+    return scan(spark, root).where("path LIKE 'html/%'").select("path", "size", F.sha2("text", 256).alias("text_sha256"))
+
+
 def page_summary(spark: SparkSession, d: str) -> DataFrame:
     return lint.summary(lint.lint_html(site(spark, d))).select("code", "findings", "files")
 
@@ -177,6 +202,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "elements": _elements, "candidates": _candidates, "diagnostic_summary": page_summary,
     "source_report": lambda s, d: report.diagnostic_lines(rules.only(rules.emit(extract.frontmatter(notes(s, d)), rules.src006()))),
     "rename_plan": lambda s, d: fixes.plan(vault(s, d))[0].select("source", "destination"), "fix_plan": _fix_plan,
+    "vault_files": _vault_files,
 }
 
 _OK = "n.doc_id % 13 <> 5 AND n.doc_id % 17 <> 4"
@@ -201,7 +227,7 @@ def _attribute(name: str) -> str:
 
 _OUTSIDE = "(starts_with({0}, '//') OR regexp_matches({0}, '^[A-Za-z][A-Za-z0-9+.-]*:'))"
 _TARGETS = f"""(SELECT page_id, path, line, ord, tag, unnest([{", ".join(_attribute(a) for a in rules.URL_ATTRIBUTES)}]) AS target FROM {_TAGS})"""
-_META = f"""(SELECT page_id, path, line, {_attribute("content")} AS content, regexp_matches({_attribute("content")}, '^\\S+ \\d{{4}}-\\d{{2}}-\\d{{2}}$') AS good
+_META = f"""(SELECT page_id, path, line, {_attribute("content")} AS content, regexp_matches({_attribute("content")}, '^[^\\s\\x{{A0}}]+ \\p{{Nd}}{{4}}-\\p{{Nd}}{{2}}-\\p{{Nd}}{{2}}$') AS good
   FROM {_TAGS} WHERE tag = 'meta' AND {_attribute("name")} = 'wiki-source')"""
 _THERE = f"SELECT path FROM ({PAGES_SQL}) p0 UNION ALL SELECT path FROM ({NAMED_SQL}) n0 UNION ALL SELECT unnest({_ASSETS})"
 _SHEETS = f"(SELECT * FROM (SELECT *, {_attribute('href')} AS href FROM {_TAGS}) WHERE tag = 'link' AND contains(lower({_attribute('rel')}), 'stylesheet') AND NOT {_OUTSIDE.format('href')})"
@@ -222,7 +248,7 @@ HTML_SQL = {
     "html007": f"""SELECT path, CAST(len(string_split(split_part(text, mark, 1), chr(10))) AS INTEGER) AS line, 'HTML007' AS code
       FROM (SELECT path, text, unnest(regexp_extract_all(text, '\\{{\\{{[^}}\\n]*\\}}\\}}')) AS mark FROM ({PAGES_SQL}) p1)""",
     "html008": f"""SELECT m.path, line, 'HTML008' AS code FROM {_META} m JOIN ({NAMED_SQL}) n ON split_part(content, ' ', 1) = n.path
-      WHERE good AND split_part(content, ' ', 2) <> regexp_extract(n.text, 'updated: "?([0-9-]+)', 1)""",
+      WHERE good AND split_part(content, ' ', 2) <> regexp_extract(n.text, 'updated:[ \\x{{A0}}]"?([0-9-]+)', 1)""",
 }
 _EVERY_FINDING = " UNION ALL ".join(f"SELECT path, code FROM ({sql}) f{i}" for i, sql in enumerate(HTML_SQL.values()))
 
@@ -230,21 +256,24 @@ _EVERY_FINDING = " UNION ALL ".join(f"SELECT path, code FROM ({sql}) f{i}" for i
 _DECODED = "url_decode(target)"
 _IMAGES = f"""(SELECT path, doc_id, CAST(line AS INTEGER) AS line, regexp_replace(path, '/[^/]*$', '') AS folder, target, kind FROM (
     SELECT path, doc_id, line, 'markdown' AS kind, unnest(regexp_extract_all(row, '!\\[[^\\]]*\\]\\(([^)]+)\\)', 1)) AS target FROM rows_of
-    UNION ALL SELECT path, doc_id, line, 'obsidian', split_part(unnest(regexp_extract_all(row, '!\\[\\[([^\\]]+)\\]\\]', 1)), '|', 1) FROM rows_of)
+    UNION ALL SELECT path, doc_id, line, 'obsidian', split_part(split_part(unnest(regexp_extract_all(row, '!\\[\\[([^\\]]+)\\]\\]', 1)), '|', 1), '#', 1) FROM rows_of)
   WHERE ends_with(target, '.png'))""".replace("rows_of", f"(SELECT path, doc_id, unnest(string_split(text, chr(10))) AS row, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM ({WIKI_SQL}) w)")
 _PICTURES = "SELECT 'wiki/p' || (doc_id % 5) || '/img ' || doc_id || '.png' FROM documents WHERE doc_id % 2 = 0"
 _CANONICAL = f"replace({_DECODED}, ' ', '_')"
 _MISSING = " AND ".join(f"folder || '{below}/' || {t} NOT IN ({_PICTURES})" for below in ("", "/images") for t in (_DECODED, "target", _CANONICAL))
 _HEAD_LINES = f"(SELECT path, unnest(string_split(text, chr(10))[2:4]) AS row, unnest([2, 3, 4]) AS line FROM {_N} WHERE {_OK})"
 
+_ITEMS = f"""(SELECT doc_id AS d, '../../' || {_NOTE} AS item FROM documents
+  UNION ALL SELECT doc_id, '../../' || {_OTHERS[0]} FROM documents WHERE doc_id % 8 = 0 UNION ALL SELECT doc_id, '../../' || {_OTHERS[1]} FROM documents WHERE doc_id % 8 = 0)"""
+
 ORACLE_SQL: dict[str, str] = HTML_SQL | {
     "src001": f"SELECT path, 1 AS line, 'SRC001' AS code FROM {_N} WHERE trim(string_split(text, chr(10))[1]) <> '---'",
     "src002": f"SELECT path, 1 AS line, 'SRC002' AS code FROM {_N} WHERE starts_with(text, '---') AND NOT regexp_matches(text, '\\n[ \\t]*---[ \\t]*(\\n|$)')",
     "src003": f"SELECT path, 1 AS line, 'SRC003' AS code FROM {_N} WHERE {_OK} AND NOT contains(text, chr(10) || 'created:')",
     "src004": f"SELECT path, 2 AS line, 'SRC004' AS code FROM {_N} WHERE starts_with(text, '---' || chr(10) || 'title: \"\"') ",
     "src005": f"SELECT path, 2 AS line, 'SRC005' AS code FROM {_N} WHERE {_OK} AND regexp_matches(string_split(text, chr(10))[2], '\\{{\\{{[^}}]+\\}}\\}}')",
-    "src006": f"SELECT path, 1 AS line, 'SRC006' AS code FROM {_N} WHERE {_OK} AND NOT regexp_matches({_STEM}, '^\\d{{4}}-\\d{{2}}-\\d{{2}}_.+\\.md$')",
-    "src007": f"SELECT path, 3 AS line, 'SRC007' AS code FROM {_N} WHERE {_OK} AND regexp_matches({_STEM}, '^\\d{{4}}-') AND starts_with(string_split(text, chr(10))[3], 'created: ') AND string_split(text, chr(10))[3] <> 'created: ' || substr({_STEM}, 1, 10)",
+    "src006": f"SELECT path, 1 AS line, 'SRC006' AS code FROM {_N} WHERE {_OK} AND NOT regexp_matches({_STEM}, '^\\p{{Nd}}{{4}}-\\p{{Nd}}{{2}}-\\p{{Nd}}{{2}}_.+\\.md$')",
+    "src007": f"SELECT path, 3 AS line, 'SRC007' AS code FROM {_N} WHERE {_OK} AND regexp_matches({_STEM}, '^\\p{{Nd}}{{4}}-') AND starts_with(string_split(text, chr(10))[3], 'created: ') AND string_split(text, chr(10))[3] <> 'created: ' || substr({_STEM}, 1, 10)",
     "frontmatter_entries": f"""SELECT path, trim(split_part(row, ':', 1)) AS key, CAST(line AS INTEGER) AS line, regexp_replace(trim(substr(row, strpos(row, ':') + 1)), '^"(.*)"$', '\\1') AS value
       FROM {_HEAD_LINES} WHERE contains(row, ':') AND NOT starts_with(row, '#')""",
     "links": f"SELECT path, line, label, target FROM {_LINKS} WHERE bang = ''",
@@ -256,9 +285,9 @@ ORACLE_SQL: dict[str, str] = HTML_SQL | {
     "rename_plan": f"""SELECT DISTINCT folder || '/' || {_DECODED} AS source, folder || '/' || {_CANONICAL} AS destination FROM {_IMAGES}
       WHERE target <> {_CANONICAL} AND folder || '/' || {_DECODED} IN ({_PICTURES})""",
     "fix_plan": f"""SELECT path, new_text, new_text <> text AS fixed, CAST(changed AS INTEGER) AS normalized_links, CAST(gone AS INTEGER) AS removed_links FROM (
-        SELECT path, text, CASE WHEN doc_id % 10 = 6 THEN 0 ELSE 1 END AS changed, CASE WHEN doc_id % 10 = 6 OR doc_id % 2 = 0 THEN 0 ELSE 2 END AS gone,
-          CASE WHEN doc_id % 2 = 0 THEN replace(text, '(img%20' || doc_id || '.png)', '(img_' || doc_id || '.png)')
-            ELSE replace(replace(text, '![i](img%20' || doc_id || '.png)', ''), '![[img_' || doc_id || '.png|30]]', '') END AS new_text FROM ({WIKI_SQL}) w
+        SELECT path, text, CASE WHEN doc_id % 10 = 6 THEN 0 WHEN doc_id % 7 = 3 THEN 2 ELSE 1 END AS changed, CASE WHEN doc_id % 10 = 6 OR doc_id % 2 = 0 THEN 0 ELSE 2 END AS gone,
+          CASE WHEN doc_id % 2 = 0 THEN replace(replace(text, '(img%20' || doc_id || '.png)', '(img_' || doc_id || '.png)'), '[[img ' || doc_id || '.png#f', '[[img_' || doc_id || '.png#f')
+            ELSE replace(replace(replace(text, '![i](img%20' || doc_id || '.png)', ''), '![[img_' || doc_id || '.png|30]]', ''), '![[img ' || doc_id || '.png#f|30]]', '') END AS new_text FROM ({WIKI_SQL}) w
         UNION ALL SELECT path, text, 0, 0, text FROM {_N}
         UNION ALL SELECT 'wiki/index.md', text, 0, 0, text FROM (SELECT string_agg('- [p](p' || (doc_id % 5) || '/page_' || doc_id || '.md)', chr(10) ORDER BY doc_id) AS text FROM documents WHERE doc_id % 4 <> 1))""",
     "wiki001": "SELECT 'wiki/p' || (doc_id % 5) || '/page_' || doc_id || '.md' AS path, 1 AS line, 'WIKI001' AS code FROM documents WHERE doc_id % 4 = 1",
@@ -267,9 +296,13 @@ ORACLE_SQL: dict[str, str] = HTML_SQL | {
     "wiki004": f"SELECT path, 1 AS line, 'WIKI004' AS code FROM {_N} WHERE path NOT IN (SELECT substr(target, 7) FROM {_LINKS} WHERE bang = '' AND starts_with(target, '../../'))",
     "elements": f"SELECT path, ord, line, tag, {_attribute('href')} AS href, CAST(len(regexp_extract_all(attrs, '=\"')) AS INTEGER) AS n_attrs FROM {_TAGS}",
     "diagnostic_summary": f"SELECT code, count(*) AS findings, count(DISTINCT path) AS files FROM ({_EVERY_FINDING}) GROUP BY code",
-    "candidates": f"""SELECT w.path AS page, 1::BIGINT AS source_count, CAST(strlen(n.text) AS BIGINT) AS total_bytes, 'missing' AS state
-      FROM ({WIKI_SQL}) w JOIN {_N} USING (doc_id) WHERE strlen(n.text) >= 3000""",
-    "source_items": f"SELECT path, '../../' || {_NOTE} AS item FROM ({WIKI_SQL} ) w0 JOIN (SELECT doc_id AS d FROM documents) k ON w0.doc_id = k.d",
+    "candidates": f"""SELECT page, count(size) AS source_count, CAST(coalesce(sum(size), 0) AS BIGINT) AS total_bytes,
+        CASE WHEN doc_id % 3 <> 0 THEN 'missing' WHEN doc_id % 2 = 1 OR doc_id % 12 = 0 THEN 'stale' ELSE 'current' END AS state,
+        CAST(CASE WHEN doc_id % 3 <> 0 THEN 0 WHEN doc_id % 12 = 0 THEN 2 ELSE 1 END AS INTEGER) AS n_pages
+      FROM (SELECT w.doc_id, w.path AS page, strlen(n.text) AS size FROM ({WIKI_SQL}) w JOIN {_ITEMS} i ON i.d = w.doc_id LEFT JOIN {_N} ON n.path = substr(i.item, 7))
+      GROUP BY doc_id, page HAVING source_count >= 3 OR total_bytes >= 30000""",
+    "vault_files": f"SELECT path, CAST(strlen(text) AS BIGINT) AS size, sha256(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10))) AS text_sha256 FROM ({PAGES_SQL}) p",
+    "source_items": f"SELECT path, item FROM ({WIKI_SQL}) w0 JOIN {_ITEMS} i ON w0.doc_id = i.d",
     "source_report": f"""SELECT path, 1 AS line, 'SRC006' AS code, path || ':1: [SRC006] the file name is not `YYYY-MM-DD_slug.md`' AS text
-      FROM {_N} WHERE {_OK} AND NOT regexp_matches({_STEM}, '^\\d{{4}}-\\d{{2}}-\\d{{2}}_.+\\.md$')""",
+      FROM {_N} WHERE {_OK} AND NOT regexp_matches({_STEM}, '^\\p{{Nd}}{{4}}-\\p{{Nd}}{{2}}-\\p{{Nd}}{{2}}_.+\\.md$')""",
 }
