@@ -1,8 +1,8 @@
 """Queries of the lint operators over the test tables, with their SQL.
 
-``documents`` hold no Markdown, so a vault is derived from them: SQL that Spark and DuckDB both
-run makes notes, wiki pages, an index and images' inventory out of every document, with faults
-that its id decides.  The raw web pages of ``pages`` get a head of our own by the same means, which
+``documents`` hold no Markdown, so vaults are derived from them, one of each hundred: SQL that Spark and
+DuckDB both run makes notes, wiki pages, an index and images' inventory out of every document, with
+faults that its id decides.  The raw web pages of ``pages`` get a head of our own by the same means, which
 trips every rule in some of them.
 """
 
@@ -13,7 +13,7 @@ import re
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import paths
@@ -23,6 +23,8 @@ from .plans import fixes, lint, report
 from .scratch import scratch, spread
 from .sources.vault import scan, write
 
+_HOME = "'v' || CAST(CAST(floor(doc_id / 100) AS BIGINT) AS VARCHAR(20)) || '/'"
+HOME = r"v\d+/"
 _DAY = "'2024-01-' || lpad(CAST(1 + doc_id % 28 AS VARCHAR(9)), 2, '0')"
 _ID = "CAST(doc_id AS VARCHAR(20))"
 _NL = "chr(10)"
@@ -34,7 +36,7 @@ _INDENT = "CASE WHEN doc_id % 9 = 2 THEN '\u00a0\u2003' ELSE '  ' END"
 _BODY = "coalesce(text, '')"
 
 NOTES_SQL = f"""
-SELECT doc_id, {_NOTE} AS path,
+SELECT doc_id, {_HOME} || {_NOTE} AS path,
   CASE WHEN doc_id % 13 = 5 THEN {_BODY}
        WHEN doc_id % 17 = 4 THEN '---' || {_NL} || 'title: open' || {_NL} || {_BODY}
        ELSE '---' || {_NL}
@@ -43,7 +45,7 @@ SELECT doc_id, {_NOTE} AS path,
          || 'updated: ' || {_DAY} || {_NL} || '---' || {_NL} || {_BODY} END AS text
 FROM documents"""
 WIKI_SQL = f"""
-SELECT doc_id, 'wiki/p' || CAST(doc_id % 5 AS VARCHAR(9)) || '/page_' || {_ID} || '.md' AS path,
+SELECT doc_id, {_HOME} || 'wiki/p' || CAST(doc_id % 5 AS VARCHAR(9)) || '/page_' || {_ID} || '.md' AS path,
   '---' || {_NL} || 'updated: "2024-05-0' || CAST(1 + doc_id % 2 AS VARCHAR(9)) || '"' || {_NL} || 'sources:' || {_NL} || {_INDENT} || '- ../../' || {_NOTE} || {_NL}
   || CASE WHEN doc_id % 8 = 0 THEN {_INDENT} || '- "../../' || {_OTHERS[0]} || '"' || {_NL} || '   -  ../../' || {_OTHERS[1]} || ' ' || {_NL} ELSE '' END
   || '---' || {_NL} || {_BODY} || {_NL}
@@ -55,7 +57,7 @@ FROM documents"""
 
 #: Pages that declare a third of the wiki pages; some of these are declared twice, with a date long gone.
 DECLARED_SQL = f"""
-SELECT doc_id, 'html/' || CASE WHEN turn = 1 THEN 'a' ELSE 'b' END || {_ID} || '.html' AS path,
+SELECT doc_id, {_HOME} || 'html/' || CASE WHEN turn = 1 THEN 'a' ELSE 'b' END || {_ID} || '.html' AS path,
   '<meta name="wiki-source" content="wiki/p' || CAST(doc_id % 5 AS VARCHAR(9)) || '/page_' || {_ID} || '.md ' || CASE WHEN turn = 1 THEN '2024-05-01' ELSE '2023-05-01' END || '">' AS text
 FROM documents CROSS JOIN (SELECT 1 AS turn UNION ALL SELECT 2) turns WHERE doc_id % 3 = 0 AND (turn = 1 OR doc_id % 12 = 0)"""
 
@@ -97,12 +99,13 @@ def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def vault(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Notes, wiki pages, an index that links every fourth page by its id, and images of some pages."""
-    docs = _tables(spark, sf_dir, "documents").select("doc_id")
+    """Notes, wiki pages, in each vault an index that links every fourth page by its id, and images of some pages."""
+    docs = _tables(spark, sf_dir, "documents").select("doc_id", F.expr(_HOME).alias("home"))
     wiki = _derived(spark, sf_dir, WIKI_SQL)
-    page = F.format_string("p%d/page_%d.md", F.col("doc_id") % 5, F.col("doc_id"))
-    index = docs.where("doc_id % 4 <> 1").agg(F.concat_ws("\n", F.transform(F.array_sort(F.collect_list(F.struct("doc_id", F.concat(F.lit("- [p]("), page, F.lit(")")).alias("row")))), lambda x: x["row"])).alias("text")).select(F.lit("wiki/index.md").alias("path"), "text")
-    images = docs.where("doc_id % 2 = 0").select(F.format_string("wiki/p%d/img %d.png", F.col("doc_id") % 5, F.col("doc_id")).alias("path"), F.lit(None).cast("string").alias("text"))
+    entry = F.format_string("- [p](p%d/page_%d.md)", F.col("doc_id") % 5, F.col("doc_id"))
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("doc_id", entry.alias("row")))), lambda x: x["row"])
+    index = docs.where("doc_id % 4 <> 1").groupBy("home").agg(F.concat_ws("\n", listed).alias("text")).select(F.concat("home", F.lit("wiki/index.md")).alias("path"), "text")
+    images = docs.where("doc_id % 2 = 0").select(F.format_string("%swiki/p%d/img %d.png", "home", F.col("doc_id") % 5, F.col("doc_id")).alias("path"), F.lit(None).cast("string").alias("text"))
     files = notes(spark, sf_dir).unionByName(wiki).unionByName(index).unionByName(images)
     return _files(files)
 
@@ -122,11 +125,11 @@ def _heads(rule) -> Callable[[SparkSession, str], DataFrame]:
 
 
 def _wiki(rule) -> Callable[[SparkSession, str], DataFrame]:
-    return lambda spark, d: rule(*lint.wiki_relations(vault(spark, d))[:2]).select("path", "line", "code")
+    return lambda spark, d: rule(*lint.wiki_relations(vault(spark, d), home=HOME)[:2]).select("path", "line", "code")
 
 
 def _images(rule) -> Callable[[SparkSession, str], DataFrame]:
-    return lambda spark, d: rules.emit(lint.image_relations(vault(spark, d))[1], rule()).select("path", "line", "code")
+    return lambda spark, d: rules.emit(lint.image_relations(vault(spark, d), home=HOME)[1], rule()).select("path", "line", "code")
 
 
 def _html(*parts) -> Callable[[SparkSession, str], DataFrame]:
@@ -149,8 +152,12 @@ def _html_settled(rule) -> Callable[[SparkSession, str], DataFrame]:
     return run
 
 
+def _in_wiki() -> Column:
+    return paths.inner(F.col("path"), HOME).startswith("wiki/p") & F.col("text").isNotNull()
+
+
 def _page_links(spark: SparkSession, d: str) -> DataFrame:
-    return extract.markdown_links(vault(spark, d).where("path LIKE 'wiki/p%' AND text IS NOT NULL")).select("path", "line", "label", "target")
+    return extract.markdown_links(vault(spark, d).where(_in_wiki())).select("path", "line", "label", "target")
 
 
 def _targets_normalized(spark: SparkSession, d: str) -> DataFrame:
@@ -165,7 +172,7 @@ def _elements(spark: SparkSession, d: str) -> DataFrame:
 
 def _candidates(spark: SparkSession, d: str) -> DataFrame:
     files = vault(spark, d).unionByName(_files(_derived(spark, d, DECLARED_SQL)))
-    return lint.candidates(files).select("page", "source_count", "total_bytes", "state", F.size("html_pages").alias("n_pages"))
+    return lint.candidates(files, home=HOME).select("page", "source_count", "total_bytes", "state", F.size("html_pages").alias("n_pages"))
 
 
 def _images_found(spark: SparkSession, d: str) -> DataFrame:
@@ -185,7 +192,7 @@ def page_summary(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _fix_plan(spark: SparkSession, d: str) -> DataFrame:
-    return fixes.plan(vault(spark, d))[1].select("path", "new_text", "fixed", "normalized_links", "removed_links")
+    return fixes.plan(vault(spark, d), home=HOME)[1].select("path", "new_text", "fixed", "normalized_links", "removed_links")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -193,15 +200,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "src005": _heads(rules.src005), "src006": _heads(rules.src006), "src007": _heads(rules.src007),
     "frontmatter_entries": lambda s, d: extract.frontmatter_entries(notes(s, d)),
     "links": _page_links, "link_targets_normalized": _targets_normalized, "image_links": _images_found,
-    "source_items": lambda s, d: extract.source_items(vault(s, d).where("path LIKE 'wiki/p%'")).select("path", "item"),
-    "wiki001": _wiki(rules.wiki001), "wiki002": _wiki(lambda _, targets: rules.emit(targets, rules.wiki002())),
-    "wiki003": _wiki(lambda _, targets: rules.emit(targets, rules.wiki003())), "wiki004": _wiki(rules.wiki004),
+    "source_items": lambda s, d: extract.source_items(vault(s, d).where(_in_wiki())).select("path", "item"),
+    "wiki001": _wiki(lambda files, targets: rules.wiki001(files, targets, home=HOME)), "wiki002": _wiki(lambda _, targets: rules.emit(targets, rules.wiki002())),
+    "wiki003": _wiki(lambda _, targets: rules.emit(targets, rules.wiki003())), "wiki004": _wiki(lambda files, targets: rules.wiki004(files, targets, home=HOME)),
     "img001": _images(rules.img001), "img002": _images(rules.img002),
     "html001": _html(rules.html001), "html002": _html(rules.html002), "html003": _html(rules.html003), "html004": _html(rules.html004),
     "html005": _html(rules.html005), "html006": _html_settled(rules.html006), "html007": _html(rules.html007), "html008": _html_settled(rules.html008),
     "elements": _elements, "candidates": _candidates, "diagnostic_summary": page_summary,
     "source_report": lambda s, d: report.diagnostic_lines(rules.only(rules.emit(extract.frontmatter(notes(s, d)), rules.src006()))),
-    "rename_plan": lambda s, d: fixes.plan(vault(s, d))[0].select("source", "destination"), "fix_plan": _fix_plan,
+    "rename_plan": lambda s, d: fixes.plan(vault(s, d), home=HOME)[0].select("source", "destination"), "fix_plan": _fix_plan,
     "vault_files": _vault_files,
 }
 
@@ -258,7 +265,7 @@ _IMAGES = f"""(SELECT path, doc_id, CAST(line AS INTEGER) AS line, regexp_replac
     SELECT path, doc_id, line, 'markdown' AS kind, unnest(regexp_extract_all(row, '!\\[[^\\]]*\\]\\(([^)]+)\\)', 1)) AS target FROM rows_of
     UNION ALL SELECT path, doc_id, line, 'obsidian', split_part(split_part(unnest(regexp_extract_all(row, '!\\[\\[([^\\]]+)\\]\\]', 1)), '|', 1), '#', 1) FROM rows_of)
   WHERE ends_with(target, '.png'))""".replace("rows_of", f"(SELECT path, doc_id, unnest(string_split(text, chr(10))) AS row, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM ({WIKI_SQL}) w)")
-_PICTURES = "SELECT 'wiki/p' || (doc_id % 5) || '/img ' || doc_id || '.png' FROM documents WHERE doc_id % 2 = 0"
+_PICTURES = f"SELECT {_HOME} || 'wiki/p' || (doc_id % 5) || '/img ' || doc_id || '.png' FROM documents WHERE doc_id % 2 = 0"
 _CANONICAL = f"replace({_DECODED}, ' ', '_')"
 _MISSING = " AND ".join(f"folder || '{below}/' || {t} NOT IN ({_PICTURES})" for below in ("", "/images") for t in (_DECODED, "target", _CANONICAL))
 _HEAD_LINES = f"(SELECT path, unnest(string_split(text, chr(10))[2:4]) AS row, unnest([2, 3, 4]) AS line FROM {_N} WHERE {_OK})"
@@ -266,6 +273,8 @@ _HEAD_LINES = f"(SELECT path, unnest(string_split(text, chr(10))[2:4]) AS row, u
 _ITEMS = f"""(SELECT doc_id AS d, '../../' || {_NOTE} AS item FROM documents
   UNION ALL SELECT doc_id, '../../' || {_OTHERS[0]} FROM documents WHERE doc_id % 8 = 0 UNION ALL SELECT doc_id, '../../' || {_OTHERS[1]} FROM documents WHERE doc_id % 8 = 0)"""
 
+_OWN = "regexp_extract(path, '^v[0-9]+/')"
+
 ORACLE_SQL: dict[str, str] = HTML_SQL | {
     "src001": f"SELECT path, 1 AS line, 'SRC001' AS code FROM {_N} WHERE trim(string_split(text, chr(10))[1]) <> '---'",
     "src002": f"SELECT path, 1 AS line, 'SRC002' AS code FROM {_N} WHERE starts_with(text, '---') AND NOT regexp_matches(text, '\\n[ \\t]*---[ \\t]*(\\n|$)')",
@@ -278,7 +287,7 @@ ORACLE_SQL: dict[str, str] = HTML_SQL | {
       FROM {_HEAD_LINES} WHERE contains(row, ':') AND NOT starts_with(row, '#')""",
     "links": f"SELECT path, line, label, target FROM {_LINKS} WHERE bang = ''",
     "link_targets_normalized": f"""SELECT path, line, target, starts_with(target, '#') OR {_OUTSIDE.format("target")} AS external, url_decode(split_part(target, '#', 1)) AS decoded, {_CANONICAL} AS canonical,
-      regexp_replace(CASE WHEN starts_with(target, '../../') THEN substr(target, 7) ELSE regexp_replace(path, '/[^/]*$', '') || '/' || split_part(target, '#', 1) END, '/+', '/', 'g') AS resolved FROM {_LINKS} WHERE bang = ''""",
+      regexp_replace(CASE WHEN starts_with(target, '../../') THEN {_OWN} || substr(target, 7) ELSE regexp_replace(path, '/[^/]*$', '') || '/' || split_part(target, '#', 1) END, '/+', '/', 'g') AS resolved FROM {_LINKS} WHERE bang = ''""",
     "image_links": f"SELECT path, line, target, kind FROM {_IMAGES}",
     "img001": f"SELECT path, line, 'IMG001' AS code FROM {_IMAGES} WHERE {_MISSING}",
     "img002": f"SELECT path, line, 'IMG002' AS code FROM {_IMAGES} WHERE target <> {_CANONICAL}",
@@ -289,17 +298,17 @@ ORACLE_SQL: dict[str, str] = HTML_SQL | {
           CASE WHEN doc_id % 2 = 0 THEN replace(replace(text, '(img%20' || doc_id || '.png)', '(img_' || doc_id || '.png)'), '[[img ' || doc_id || '.png#f', '[[img_' || doc_id || '.png#f')
             ELSE replace(replace(replace(text, '![i](img%20' || doc_id || '.png)', ''), '![[img_' || doc_id || '.png|30]]', ''), '![[img ' || doc_id || '.png#f|30]]', '') END AS new_text FROM ({WIKI_SQL}) w
         UNION ALL SELECT path, text, 0, 0, text FROM {_N}
-        UNION ALL SELECT 'wiki/index.md', text, 0, 0, text FROM (SELECT string_agg('- [p](p' || (doc_id % 5) || '/page_' || doc_id || '.md)', chr(10) ORDER BY doc_id) AS text FROM documents WHERE doc_id % 4 <> 1))""",
-    "wiki001": "SELECT 'wiki/p' || (doc_id % 5) || '/page_' || doc_id || '.md' AS path, 1 AS line, 'WIKI001' AS code FROM documents WHERE doc_id % 4 = 1",
+        UNION ALL SELECT {_HOME} || 'wiki/index.md', string_agg('- [p](p' || (doc_id % 5) || '/page_' || doc_id || '.md)', chr(10) ORDER BY doc_id) AS t, 0, 0, t FROM documents WHERE doc_id % 4 <> 1 GROUP BY {_HOME})""",
+    "wiki001": f"SELECT {_HOME} || 'wiki/p' || (doc_id % 5) || '/page_' || doc_id || '.md' AS path, 1 AS line, 'WIKI001' AS code FROM documents WHERE doc_id % 4 = 1",
     "wiki002": f"SELECT path, line, 'WIKI002' AS code FROM {_LINKS} WHERE bang = '' AND starts_with(target, 'missing')",
     "wiki003": f"SELECT path, line, 'WIKI003' AS code FROM {_LINKS} WHERE bang = '' AND contains(label, '*')",
-    "wiki004": f"SELECT path, 1 AS line, 'WIKI004' AS code FROM {_N} WHERE path NOT IN (SELECT substr(target, 7) FROM {_LINKS} WHERE bang = '' AND starts_with(target, '../../'))",
+    "wiki004": f"SELECT path, 1 AS line, 'WIKI004' AS code FROM {_N} WHERE path NOT IN (SELECT {_OWN} || substr(target, 7) FROM {_LINKS} WHERE bang = '' AND starts_with(target, '../../'))",
     "elements": f"SELECT path, ord, line, tag, {_attribute('href')} AS href, CAST(len(regexp_extract_all(attrs, '=\"')) AS INTEGER) AS n_attrs FROM {_TAGS}",
     "diagnostic_summary": f"SELECT code, count(*) AS findings, count(DISTINCT path) AS files FROM ({_EVERY_FINDING}) GROUP BY code",
     "candidates": f"""SELECT page, count(size) AS source_count, CAST(coalesce(sum(size), 0) AS BIGINT) AS total_bytes,
         CASE WHEN doc_id % 3 <> 0 THEN 'missing' WHEN doc_id % 2 = 1 OR doc_id % 12 = 0 THEN 'stale' ELSE 'current' END AS state,
         CAST(CASE WHEN doc_id % 3 <> 0 THEN 0 WHEN doc_id % 12 = 0 THEN 2 ELSE 1 END AS INTEGER) AS n_pages
-      FROM (SELECT w.doc_id, w.path AS page, strlen(n.text) AS size FROM ({WIKI_SQL}) w JOIN {_ITEMS} i ON i.d = w.doc_id LEFT JOIN {_N} ON n.path = substr(i.item, 7))
+      FROM (SELECT w.doc_id, w.path AS page, strlen(n.text) AS size FROM ({WIKI_SQL}) w JOIN {_ITEMS} i ON i.d = w.doc_id LEFT JOIN {_N} ON n.path = regexp_extract(w.path, '^v[0-9]+/') || substr(i.item, 7))
       GROUP BY doc_id, page HAVING source_count >= 3 OR total_bytes >= 30000""",
     "vault_files": f"SELECT path, CAST(strlen(text) AS BIGINT) AS size, sha256(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10))) AS text_sha256 FROM ({PAGES_SQL}) p",
     "source_items": f"SELECT path, item FROM ({WIKI_SQL}) w0 JOIN {_ITEMS} i ON w0.doc_id = i.d",

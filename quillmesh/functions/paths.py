@@ -47,3 +47,13 @@ def stem(path: Column) -> Column:
 def order_key(path: Column) -> Column:
     """Sorts as paths do, part by part."""
     return F.split(path, "/")
+
+
+def home_of(path: Column, home: str = "") -> Column:
+    """The folder of a path's vault, with its slash, where one relation holds many vaults and ``home`` is the pattern of their folders; else nothing."""
+    return F.regexp_extract(path, f"^{home}", 0) if home else F.lit("")
+
+
+def inner(path: Column, home: str = "") -> Column:
+    """A path within its vault."""
+    return F.regexp_replace(path, f"^{home}", "") if home else path

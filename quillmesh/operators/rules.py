@@ -142,18 +142,18 @@ def img002() -> Column:
 # Wiki: rows are resolve.wiki_targets of all pages.
 
 
-def _under(root: str) -> Column:
-    return F.col("path").startswith(f"{root}/") & F.col("path").endswith(".md")
+def _under(root: str, home: str) -> Column:
+    return paths.inner(F.col("path"), home).startswith(f"{root}/") & F.col("path").endswith(".md")
 
 
-def wiki001(files: DataFrame, targets: DataFrame, wiki: str = "wiki", links: DataFrame | None = None) -> DataFrame:
-    """Diagnostics of pages that the index does not link; nothing if the index does not exist."""
-    index = f"{wiki}/index.md"
-    linked = targets.where((F.col("path") == index) & F.col("resolved").isNotNull()).select(F.col("resolved").alias("real"))
-    pages = files.where(_under(wiki) & ~paths.name(F.col("path")).isin(*SPECIAL_PAGES)).select("path", F.col("path").alias("real"))
-    there = files.where((F.col("path") == index) & ~F.col("is_dir")).select(F.lit(wiki).alias("root")).limit(1)
-    pages = resolve.follow(pages, "real", links).withColumn("root", F.lit(wiki)).join(there, "root", "left_semi")
-    return only(emit(pages.join(linked, "real", "left_anti"), F.array(finding(F.lit(True), "WIKI001", 1, "the index has no link to this page", [1]))))
+def wiki001(files: DataFrame, targets: DataFrame, wiki: str = "wiki", links: DataFrame | None = None, home: str = "") -> DataFrame:
+    """Diagnostics of pages that the index of their vault does not link; nothing if the index does not exist."""
+    own, inner, index = paths.home_of(F.col("path"), home), paths.inner(F.col("path"), home), f"{wiki}/index.md"
+    linked = targets.where((inner == index) & F.col("resolved").isNotNull()).select(own.alias("home"), F.col("resolved").alias("real"))
+    pages = files.where(_under(wiki, home) & ~paths.name(F.col("path")).isin(*SPECIAL_PAGES)).select("path", F.col("path").alias("real"), own.alias("home"))
+    there = files.where((inner == index) & ~F.col("is_dir")).select(own.alias("home")).distinct()
+    pages = resolve.follow(pages, "real", links).join(there, "home", "left_semi")
+    return only(emit(pages.join(linked, ["home", "real"], "left_anti"), F.array(finding(F.lit(True), "WIKI001", 1, "the index has no link to this page", [1]))))
 
 
 def wiki002() -> Column:
@@ -167,29 +167,29 @@ def wiki003() -> Column:
     return F.array(finding(holds, "WIKI003", F.col("line"), "the label reads as emphasis; write spaces for the file name's underscores", [3, F.col("ord")]))
 
 
-def wiki004(files: DataFrame, targets: DataFrame, wiki: str = "wiki", sources: str = "sources", links: DataFrame | None = None) -> DataFrame:
+def wiki004(files: DataFrame, targets: DataFrame, wiki: str = "wiki", sources: str = "sources", links: DataFrame | None = None, home: str = "") -> DataFrame:
     """Diagnostics of notes that no wiki page links."""
-    linked = targets.where(F.col("path").startswith(f"{wiki}/") & F.col("resolved").isNotNull()).select(F.col("resolved").alias("real"))
-    notes = resolve.follow(files.where(_under(sources)).select("path", F.col("path").alias("real")), "real", links)
+    linked = targets.where(paths.inner(F.col("path"), home).startswith(f"{wiki}/") & F.col("resolved").isNotNull()).select(F.col("resolved").alias("real"))
+    notes = resolve.follow(files.where(_under(sources, home)).select("path", F.col("path").alias("real")), "real", links)
     return only(emit(notes.join(linked, "real", "left_anti"), F.array(finding(F.lit(True), "WIKI004", 1, "no wiki page links to this note", [4]))))
 
 
 # Pages: rows are ``page_rows``: a row each element, and before them one of the page itself, whose tag is empty.
 
 
-def page_rows(pages: DataFrame) -> DataFrame:
-    """pages(path, elements, placeholders) -> path, ord, tag, attrs, line, marks, has_sheet, has_meta."""
+def page_rows(pages: DataFrame, home: str = "") -> DataFrame:
+    """pages(path, elements, placeholders) -> path, home, ord, tag, attrs, line, marks, has_sheet, has_meta."""
     at = lambda e, name: F.coalesce(e["attrs"][name], F.lit(""))
     sheet = F.exists("elements", lambda e: (e["tag"] == "link") & F.lower(at(e, "rel")).contains("stylesheet") & ~fn.external_in_html(at(e, "href")))
     meta = F.exists("elements", lambda e: (e["tag"] == "meta") & (at(e, "name") == "wiki-source"))
     own = F.struct(F.lit(-1).alias("ord"), F.lit("").alias("tag"), F.create_map().cast("map<string,string>").alias("attrs"), F.lit(1).alias("line"))
     rows = pages.select("path", "placeholders", sheet.alias("has_sheet"), meta.alias("has_meta"), F.explode(F.concat(F.array(own), "elements")).alias("e"))
     marks = F.when(F.col("e.tag") == "", F.col("placeholders"))
-    return rows.select("path", "e.*", marks.alias("marks"), "has_sheet", "has_meta")
+    return rows.select("path", paths.home_of(F.col("path"), home).alias("home"), "e.*", marks.alias("marks"), "has_sheet", "has_meta")
 
 
 def _resolves_to(target: Column, asset: str) -> Column:
-    return paths.resolve(paths.parent(F.col("path")), fn.percent_decode(target)) == asset
+    return paths.resolve(paths.parent(F.col("path")), fn.percent_decode(target)) == F.concat("home", F.lit(asset))
 
 
 def _targets() -> Column:
@@ -225,6 +225,10 @@ def _meta() -> tuple[Column, Column, Column]:
     return (F.col("tag") == "meta") & (attribute("name") == "wiki-source"), *declared(attribute("content"))
 
 
+def _from_home(source: Column) -> Column:
+    return paths.normalize(F.when(source.startswith("/"), source).otherwise(F.concat("home", source)))
+
+
 def html005() -> Column:
     meta, source, _ = _meta()
     return F.array(
@@ -240,7 +244,7 @@ def html006() -> Column:
         return finding(holds, "HTML006", F.col("line"), _quoted("link target `%s` does not exist", t["target"]), [F.lit(3), F.col("ord"), t["turn"]], needs=paths.resolve(paths.parent(F.col("path")), local))
 
     meta, source, _ = _meta()
-    gone = finding(meta & source.isNotNull(), "HTML006", F.col("line"), _quoted("wiki-source `%s` does not exist", source), [4, F.col("ord")], needs=paths.normalize(source))
+    gone = finding(meta & source.isNotNull(), "HTML006", F.col("line"), _quoted("wiki-source `%s` does not exist", source), [4, F.col("ord")], needs=_from_home(source))
     return F.concat(F.transform(_targets(), made), F.array(gone))
 
 
@@ -252,7 +256,7 @@ def html007() -> Column:
 
 def html008() -> Column:
     meta, source, day = _meta()
-    return F.array(finding(meta & source.isNotNull(), "HTML008", F.col("line"), _quoted("`%s`", source), [4, F.col("ord")], True, needs=paths.normalize(source), stamp=day))
+    return F.array(finding(meta & source.isNotNull(), "HTML008", F.col("line"), _quoted("`%s`", source), [4, F.col("ord")], True, needs=_from_home(source), stamp=day))
 
 
 def pages() -> list[Column]:

@@ -140,12 +140,12 @@ def _edited(docs: DataFrame, edits: DataFrame, name: str, spliced) -> DataFrame:
     return stage(rows.mapInArrow(run, ", ".join([f"{c} {types[c]}" for c in [*keep, "text"]] + [f"{name} string, changes int, images {schemas.PARTS['images']}"])), "edited")
 
 
-def plan(files: DataFrame, chosen: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+def plan(files: DataFrame, chosen: list[str] | None = None, home: str = "") -> tuple[DataFrame, DataFrame]:
     """(renames, edits): source and destination of each file that ends elsewhere; and rows as in EDIT, with the findings that stay in each document.
 
     Three passes over texts: to find links, to make them canonical, and to cut out broken ones.
     """
-    wanted = chosen_files(chosen or ["sources", "wiki"], ".md")
+    wanted = chosen_files(chosen or ["sources", "wiki"], ".md", home=home)
     rows = lint.whole(files).withColumn("wanted", wanted & F.col("error").isNull())
     held = stage(extract.parse(rows.withColumn("whole", F.when(F.col("wanted"), F.col("text"))), ["images"], ["path", "is_dir", "link", "wanted", "whole"], F.col("wanted")), "parsed")
     there, links = stage(inventory(held), "inventory"), resolve.link_table(held)

@@ -31,6 +31,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWrite
 from pyspark.sql.types import StructType
 
 from .. import schemas
+from ..functions import paths
 
 WRITES = ".quillmesh-writes"
 CHANGE = "path string, text string, source string"
@@ -250,9 +251,9 @@ def write(changes: DataFrame, root: str) -> None:
     changes.select("path", "text", "source").write.format("vault").mode("append").save(root)
 
 
-def chosen_files(chosen: list[str], suffix: str, any_file: bool = False) -> Column:
-    """Whether a file is named in chosen (of any suffix if any_file), or is of the suffix and below one of its directories."""
-    path, named = F.col("path"), [c.rstrip("/") for c in chosen]
+def chosen_files(chosen: list[str], suffix: str, any_file: bool = False, home: str = "") -> Column:
+    """Whether a file is named in chosen (of any suffix if any_file), or is of the suffix and below one of its directories, in its vault."""
+    path, named = paths.inner(F.col("path"), home), [c.rstrip("/") for c in chosen]
     below = F.lit(False)
     for c in named:
         below = below | (path.startswith(f"{c}/") if c != "." else F.lit(True))

@@ -373,3 +373,12 @@ def test_paths_and_parts(spark):
     rows = spark.createDataFrame([("a", "[x](y)"), ("b", None), ("c", ""), ("d", "![](z.png)"), ("e", "[x](y)")], "path string, text string")
     got = {r["path"]: (len(r["links"]), len(r["images"])) for r in extract.parse(rows, ["links", "images"], ["path"], F.col("path") != "e").collect()}
     assert got == {"a": (1, 0), "b": (0, 0), "c": (0, 0), "d": (0, 1), "e": (0, 0)}
+
+
+@pytest.mark.parametrize("run", [lint.lint_html, lambda f, **k: lint.lint_wiki(f, check_unreferenced=True, **k), lint.lint_images, lint.lint_sources, lambda f, **k: lint.candidates(f, 1, 1, **k).select(F.col("page").alias("path"), F.lit(1).alias("line"), F.col("state").alias("code"))])
+def test_many_vaults_in_one_relation(spark, run):
+    """Each is checked by itself: its index, its sources, its assets."""
+    vaults = {"v1/": VAULT, "v22/": [r for r in VAULT if r[0] not in ("wiki/x y.png", "wiki/index.md")] + [("html/assets/style.css", False, 1, ""), ("wiki/gone.png", False, 1, ""), ("sources/2024-01-02_b.md", False, 1, "x")]}
+    rows = [(home + p, *r) for home, files in vaults.items() for p, *r in files]
+    want = sorted((home + p, line, code) for home, files in vaults.items() for p, line, code in codes(run(spark.createDataFrame(files, FILE))))
+    assert codes(run(spark.createDataFrame(rows, FILE), home=r"v\d+/")) == want and want
