@@ -13,7 +13,7 @@ import re
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import paths
@@ -152,12 +152,8 @@ def _html_settled(rule) -> Callable[[SparkSession, str], DataFrame]:
     return run
 
 
-def _in_wiki() -> Column:
-    return paths.inner(F.col("path"), HOME).startswith("wiki/p") & F.col("text").isNotNull()
-
-
 def _page_links(spark: SparkSession, d: str) -> DataFrame:
-    return extract.markdown_links(vault(spark, d).where(_in_wiki())).select("path", "line", "label", "target")
+    return extract.markdown_links(_derived(spark, d, WIKI_SQL)).select("path", "line", "label", "target")
 
 
 def _targets_normalized(spark: SparkSession, d: str) -> DataFrame:
@@ -200,7 +196,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "src005": _heads(rules.src005), "src006": _heads(rules.src006), "src007": _heads(rules.src007),
     "frontmatter_entries": lambda s, d: extract.frontmatter_entries(notes(s, d)),
     "links": _page_links, "link_targets_normalized": _targets_normalized, "image_links": _images_found,
-    "source_items": lambda s, d: extract.source_items(vault(s, d).where(_in_wiki())).select("path", "item"),
+    "source_items": lambda s, d: extract.source_items(_derived(s, d, WIKI_SQL)).select("path", "item"),
     "wiki001": _wiki(lambda files, targets: rules.wiki001(files, targets, home=HOME)), "wiki002": _wiki(lambda _, targets: rules.emit(targets, rules.wiki002())),
     "wiki003": _wiki(lambda _, targets: rules.emit(targets, rules.wiki003())), "wiki004": _wiki(lambda files, targets: rules.wiki004(files, targets, home=HOME)),
     "img001": _images(rules.img001), "img002": _images(rules.img002),

@@ -29,7 +29,6 @@ from ..sources.vault import chosen_files, inventory
 from . import lint
 
 EDIT = "path string, new_text string, fixed boolean, normalized_links int, removed_links int, renamed_files int, remaining array<struct<line:int,code:string,message:string>>"
-MOVES = "source string, destination string, doc array<string>, turn int"
 
 
 def ways(links: DataFrame) -> DataFrame:
@@ -46,26 +45,27 @@ def ways(links: DataFrame) -> DataFrame:
 
 
 def decide(waiting: DataFrame, there: DataFrame) -> DataFrame:
-    """Rows as in MOVES: the renames that all links together bring about; there is the inventory.  A round a link at most that others wait for."""
-    moves = waiting.sparkSession.createDataFrame([], MOVES)
-    waiting = stage(waiting, "waiting")
-    now = stage(there.select("path").join(waiting.select(F.explode(F.array_union("tries", "canonical")).alias("path")).distinct(), "path"), "there")
-    while not waiting.isEmpty():
-        looks = waiting.select("rank", F.explode(F.array_union("tries", "canonical")).alias("path"))
+    """source, destination, doc, turn of the renames that all links together bring about; there is the inventory.  A round a link at most that others wait for."""
+    looked = lambda rows: rows.select("rank", F.explode(F.array_union("tries", "canonical")).alias("path"))
+    moves, waiting = None, stage(waiting, "waiting")
+    now = stage(there.select("path").join(looked(waiting).select("path").distinct(), "path"), "there")
+    while True:
+        looks = looked(waiting)
         first = looks.groupBy("path").agg(F.min("rank").alias("first"))
-        behind = looks.join(first, "path").where("rank > first").select("rank").distinct()
+        behind = stage(looks.join(first, "path").where("rank > first").select("rank").distinct(), "behind")
         ready = waiting.join(behind, "rank", "left_anti")
-        seen = ready.select("rank", F.explode(F.array_union("tries", "canonical")).alias("path")).join(now, "path").groupBy("rank").agg(F.collect_set("path").alias("seen"))
+        seen = looked(ready).join(now, "path").groupBy("rank").agg(F.collect_set("path").alias("seen"))
         hit = F.filter("tries", lambda p: F.array_contains("seen", p))
         rows = ready.join(seen, "rank").where(~F.arrays_overlap("canonical", "seen")).select("rank", "folder", "new", "single", F.get(hit, F.lit(0)).alias("source")).where("source IS NOT NULL")
         beside = paths.resolve(paths.parent(F.col("source")), paths.name(F.col("new")))
         to = F.when(F.col("new").startswith("/"), F.col("new")).when(F.col("single"), beside).otherwise(paths.resolve(F.col("folder"), F.col("new")))
         made = stage(rows.select("source", to.alias("destination"), F.col("rank.doc").alias("doc"), F.col("rank.turn").alias("turn")).where("source <> destination"), "moves")
-        moves = moves.unionByName(made)
+        moves = made if moves is None else moves.unionByName(made)
+        if behind.isEmpty():
+            return moves
         waiting = stage(waiting.join(behind, "rank", "left_semi"), "waiting")
         gone = made.select(F.col("source").alias("path"))
         now = stage(now.join(gone, "path", "left_anti").unionByName(made.select(F.col("destination").alias("path"))), "there")
-    return moves
 
 
 def spans(there: DataFrame, moves: DataFrame) -> DataFrame:
@@ -150,7 +150,7 @@ def plan(files: DataFrame, chosen: list[str] | None = None, home: str = "") -> t
     held = stage(extract.parse(rows.withColumn("whole", F.when(F.col("wanted"), F.col("text"))), ["images"], ["path", "is_dir", "link", "wanted", "whole"], F.col("wanted")), "parsed")
     there, links = stage(inventory(held), "inventory"), resolve.link_table(held)
     found = held.select("path", F.inline("images"))
-    moves = stage(decide(ways(found), there), "moves")
+    moves = decide(ways(found), there)
     alive = stage(spans(there, moves), "spans")
 
     new = fn.canonical_target(F.col("target"))
@@ -182,16 +182,15 @@ def remaining(edits: DataFrame) -> DataFrame:
 
 def net(moves: DataFrame) -> DataFrame:
     """source, destination of each file from where it is to where it ends, however often it moves in between; a round a move."""
-    at = F.struct("doc", "turn")
-    every = stage(moves.select(F.col("source").alias("_from"), F.col("destination").alias("_to"), at.alias("_at")), "steps")
+    every = moves.select(F.col("source").alias("_from"), F.col("destination").alias("_to"), F.struct("doc", "turn").alias("_at"))
     now = every.toDF("source", "destination", "at")
     onward = lambda rows: rows.join(every, (F.col("destination") == F.col("_from")) & (F.col("_at") > F.col("at"))).groupBy("source", "at").agg(F.min(F.struct("_at", "_to")).alias("n"))
-    now = stage(now.join(onward(now).select(F.col("n._at").alias("at")).distinct(), "at", "left_anti"), "chains")
-    while True:
-        more = stage(onward(now), "onward")
-        if more.isEmpty():
-            return now.select("source", "destination").where("source <> destination")
-        now = stage(now.join(more, ["source", "at"], "left").select("source", F.coalesce("n._to", "destination").alias("destination"), F.coalesce("n._at", "at").alias("at")), "chains")
+    more = onward(now)
+    if not more.isEmpty():
+        now = stage(now.join(more.select(F.col("n._at").alias("at")).distinct(), "at", "left_anti"), "chains")
+        while not (more := stage(onward(now), "onward")).isEmpty():
+            now = stage(now.join(more, ["source", "at"], "left").select("source", F.coalesce("n._to", "destination").alias("destination"), F.coalesce("n._at", "at").alias("at")), "chains")
+    return now.select("source", "destination").where("source <> destination")
 
 
 def apply(root: str, renames: DataFrame, edits: DataFrame) -> dict[str, int]:
