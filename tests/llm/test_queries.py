@@ -288,3 +288,22 @@ def test_queries_on_odd_tables(spark, tmp_path, name):
 
 def test_pipeline_empty(spark, folders):
     assert corpus_pipeline.run(spark, folders[1]).count() == 0
+
+
+@pytest.mark.parametrize("name", ["op4_chat_format", "op8_warc", "op11_prefix_trie"])
+def test_talks_and_pages_on_odd_tables(spark, tmp_path, name):
+    """Ids at both ends of 64 bits, repeated rows, ties, empty and null texts, and a text of 5 MB: the rows of SQL."""
+    long = "<|im_end|> word \\ é " * 250_000
+    ids = [-(2**63), -21, -1, 0, 7, 20, 27, 2**63 - 1]
+    talks = [(c, t, r, x, 1) for c in ids for t, r, x in [(None, "user", None), (0, None, ""), (1, "assistant", f"of {c % 3}"), (1, "assistant", f"of {c % 3}"), (2**63 - 1, "user", "x")][: 1 + c % 5]]
+    talks += [(7, 9, "assistant", long, 1), (27, 9, "user", long, 1)]
+    pages = [(-(2**63), "u", None, "x"), (2**63 - 1, "u", long, "x"), (5, "v", long, "x"), (6, "v", "", "x"), (8, None, "same", "x"), (9, "http://é.org/a b", "same", "x"), (10, "", "same\r\n", "x")]
+    for table_name, rows in (("conversations", talks), ("pages", pages)):
+        spark.createDataFrame(rows, SCHEMAS[table_name]).repartition(3).write.parquet(f"{tmp_path}/{table_name}.parquet")
+    con = duckdb.connect()
+    for table_name in ("conversations", "pages"):
+        con.execute(f"CREATE VIEW {table_name} AS SELECT * FROM '{tmp_path}/{table_name}.parquet/*.parquet'")
+    got = con.execute(queries.ORACLE_SQL[name])
+    names = [c[0] for c in got.description]
+    want = Counter(tuple(sorted(zip(names, row, strict=True))) for row in got.fetchall())
+    assert bag(r.asDict() for r in queries.QUERIES[name](spark, str(tmp_path)).collect()) == want
