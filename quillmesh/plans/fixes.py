@@ -123,7 +123,7 @@ def splice(text: str, edits: list[tuple[int, int, str]]) -> str:
 
 
 def _edited(docs: DataFrame, edits: DataFrame, name: str, spliced) -> DataFrame:
-    """docs(path, text) with ``name``, the text after each one's edits, changes, their number, and the image links of the new text: one pass, written."""
+    """docs with ``name`` in place of text, the text after each one's edits, changes, their number, and the image links of the new text: one pass, written."""
     rows = docs.join(edits, "path", "left")
     keep = [c for c in docs.columns if c != "text"]
 
@@ -134,10 +134,10 @@ def _edited(docs: DataFrame, edits: DataFrame, name: str, spliced) -> DataFrame:
                 each = [e or [] for e in part.column("edits").to_pylist()]
                 new = [splice(t or "", [spliced(x) for x in e]) for t, e in zip(part.column("text").to_pylist(), each, strict=True)]
                 made = [pa.array(new, pa.string()), pa.array([len(e) for e in each], pa.int32()), *extract.parts_array(["images"], new)]
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), part.column("text"), *made], names=[*keep, "text", name, "changes", "images"])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), *made], names=[*keep, name, "changes", "images"])
 
     types = {f.name: f.dataType.simpleString() for f in docs.schema}
-    return stage(rows.mapInArrow(run, ", ".join([f"{c} {types[c]}" for c in [*keep, "text"]] + [f"{name} string, changes int, images {schemas.PARTS['images']}"])), "edited")
+    return stage(rows.mapInArrow(run, ", ".join([f"{c} {types[c]}" for c in keep] + [f"{name} string, changes int, images {schemas.PARTS['images']}"])), "edited", "zstd")
 
 
 def plan(files: DataFrame, chosen: list[str] | None = None, home: str = "") -> tuple[DataFrame, DataFrame]:
@@ -147,7 +147,7 @@ def plan(files: DataFrame, chosen: list[str] | None = None, home: str = "") -> t
     """
     wanted = chosen_files(chosen or ["sources", "wiki"], ".md", home=home)
     rows = lint.whole(files).withColumn("wanted", wanted & F.col("error").isNull())
-    held = stage(extract.parse(rows.withColumn("whole", F.when(F.col("wanted"), F.col("text"))), ["images"], ["path", "is_dir", "link", "wanted", "whole"], F.col("wanted")), "parsed")
+    held = stage(extract.parse(rows.withColumn("whole", F.when(F.col("wanted"), F.col("text"))), ["images"], ["path", "is_dir", "link", "wanted", "whole"], F.col("wanted")), "parsed", "zstd")
     there, links = stage(inventory(held), "inventory"), resolve.link_table(held)
     found = held.select("path", F.inline("images"))
     moves = decide(ways(found), there)
@@ -155,19 +155,22 @@ def plan(files: DataFrame, chosen: list[str] | None = None, home: str = "") -> t
 
     new = fn.canonical_target(F.col("target"))
     edits = found.where(fn.needs_normalization(F.col("target"))).groupBy("path").agg(F.collect_list(F.struct("target_start", "target_end", "raw_target", new.alias("new"), "kind")).alias("edits"))
-    docs = held.where("wanted").select("path", F.col("whole").alias("text"))
+    # texts without image links stay as they are; of the others a digest tells whether they change
+    plain, imaged = held.where("wanted AND size(images) = 0"), held.where("wanted AND size(images) > 0")
+    docs = imaged.select("path", F.md5("whole").alias("old"), F.col("whole").alias("text"))
     mid = _edited(docs, edits, "mid", lambda x: (x["target_start"], x["target_end"], rewritten(x["raw_target"], x["new"], x["kind"])))
     cuts = _targets(mid, alive, links).where("resolved IS NULL").groupBy("path").agg(F.collect_list(F.struct("start", "end")).alias("edits"))
-    kept = mid.select("path", F.col("text").alias("old"), F.col("changes").alias("normalized_links"), F.col("mid").alias("text"))
+    kept = mid.select("path", "old", F.col("changes").alias("normalized_links"), F.col("mid").alias("text"))
     last = _edited(kept, cuts, "new_text", lambda x: (x["start"], x["end"], ""))
     stays = rules.emit(_targets(last, alive, links), rules.img002(), rules.img001()).groupBy("path").agg(F.sort_array(F.collect_list(F.struct("line", "place", "code", "message"))).alias("r"))
     stays = stays.select("path", F.transform("r", lambda x: F.struct(x["line"].alias("line"), x["code"].alias("code"), x["message"].alias("message"))).alias("remaining"))
     renamed = moves.groupBy(F.array_join("doc", "/").alias("path")).agg(F.count(F.lit(1)).cast("int").alias("renamed_files"))
     out = last.join(stays, "path", "left").join(renamed, "path", "left")
     none = F.array().cast("array<struct<line:int,code:string,message:string>>")
-    changed = F.col("new_text") != F.coalesce("old", F.lit(""))
+    changed = F.md5("new_text") != F.col("old")
+    same = plain.select("path", F.coalesce("whole", F.lit("")).alias("new_text"), F.lit(False).alias("fixed"), *[F.lit(0).alias(c) for c in ("normalized_links", "removed_links", "renamed_files")], none.alias("remaining"))
     edited = out.select("path", "new_text", changed.alias("fixed"), "normalized_links", F.col("changes").alias("removed_links"), F.coalesce("renamed_files", F.lit(0)).alias("renamed_files"), F.coalesce("remaining", none).alias("remaining"))
-    return net(moves), edited
+    return net(moves), edited.unionByName(same)
 
 
 def _targets(edited: DataFrame, alive: DataFrame, links: DataFrame | None) -> DataFrame:

@@ -26,10 +26,10 @@ def scratch(spark: SparkSession) -> str:
     return f"file://{base}"
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
+def stage(df: DataFrame, name: str, compression: str | None = None) -> DataFrame:
     """Write df to the shared folder and read it again: computed once, and safe from lost executors."""
     path = f"{scratch(df.sparkSession)}/quillmesh/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
