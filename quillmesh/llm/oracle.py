@@ -103,6 +103,10 @@ SELECT CAST(conv_id AS BIGINT) AS conv_id, CAST(n AS BIGINT) AS n_turns, sha256(
 FROM joined"""
 
 
+def _number(seed: str, key: str, start: int) -> str:
+    return f"CAST('0x' || substr(md5({seed} || coalesce(CAST({key} AS VARCHAR), 'null')), {start}, 13) AS BIGINT)"
+
+
 #: The level rises source by source: each round gives those over their cap the cap, and the rest is shared again.
 MIXING = f"""
 WITH RECURSIVE docs AS MATERIALIZED (SELECT row_number() OVER () AS d, doc_id, source, CAST(len({_words()}) AS BIGINT) AS size FROM documents),
@@ -122,9 +126,19 @@ targets AS MATERIALIZED (
   FROM levelled),
 rated AS MATERIALIZED (
   SELECT *, CASE WHEN source_size > 0 THEN least(target / source_size, 3.0::DOUBLE) ELSE 0.0::DOUBLE END AS rate FROM targets),
-drawn AS (SELECT *, CAST('0x' || substr(md5('mix/' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 13) AS BIGINT) / 4503599627370496.0::DOUBLE AS drawn FROM docs)
-SELECT doc_id, size, source_size, target, (CAST(floor(rate) AS BIGINT) + CASE WHEN drawn < rate - floor(rate) THEN 1 ELSE 0 END) * size AS taken
-FROM drawn d JOIN rated ON d.source IS NOT DISTINCT FROM rated.source"""
+places AS MATERIALIZED (SELECT *, {_number("'mix/'", "doc_id", 1)} AS draw, 0.45::DOUBLE + 0.1::DOUBLE * ({_number("'mix/'", "doc_id", 14)} / 4503599627370496.0::DOUBLE) AS point FROM docs),
+line AS MATERIALIZED (
+  SELECT source, draw, size, coalesce(sum(size) OVER (PARTITION BY source ORDER BY draw ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT + point * size AS point
+  FROM (SELECT source, draw, sum(size)::BIGINT AS size, max(point) AS point FROM places WHERE size > 0 GROUP BY source, draw)),
+begun AS (
+  SELECT r.source, coalesce(sum(l.size) FILTER (l.point <= {_number("'mix//'", "r.source", 1)} / 4503599627370496.0::DOUBLE * r.source_size), 0)::BIGINT AS edge
+  FROM rated r LEFT JOIN line l ON r.source IS NOT DISTINCT FROM l.source GROUP BY r.source),
+arcs AS MATERIALIZED (SELECT rated.*, edge, edge + (rate - floor(rate)) * source_size AS until FROM rated JOIN begun ON rated.source IS NOT DISTINCT FROM begun.source)
+SELECT p.doc_id, p.size, a.source_size, a.target, (CAST(floor(rate) AS BIGINT) + CASE
+  WHEN p.size = 0 THEN CASE WHEN p.draw / 4503599627370496.0::DOUBLE < rate - floor(rate) THEN 1 ELSE 0 END
+  WHEN until < source_size AND l.point > edge AND l.point <= until THEN 1
+  WHEN until >= source_size AND (l.point > edge OR l.point <= until - source_size) THEN 1 ELSE 0 END) * p.size AS taken
+FROM places p JOIN arcs a ON p.source IS NOT DISTINCT FROM a.source LEFT JOIN line l ON p.source IS NOT DISTINCT FROM l.source AND p.draw = l.draw"""
 
 _BASE32 = "array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST(('0b' || substr(bits, 1 + 5 * i, 5)) AS INTEGER), 1)), '')"
 

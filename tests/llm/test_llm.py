@@ -1,6 +1,7 @@
 import base64
 import gzip
 import hashlib
+import math
 import random
 import zlib
 from array import array
@@ -325,6 +326,26 @@ def test_mixing_comes_near_the_target(spark):
     assert rates and sum(whole[i] != other[i] for i in whole) <= 60
 
 
+def test_mixing_is_off_by_half_a_document(spark):
+    """Of any source, some long documents in it or not, and of one whose words are mostly one document's."""
+    r = random.Random(2)
+    rows = [(i, f"s{i % 6}", int(r.paretovariate(1.1) * 20) if i % 6 else r.randint(0, 400)) for i in range(3000)]
+    rows += [(4000, "giant", 5000), *((4001 + i, "giant", 2) for i in range(500)), (None, None, 7), (None, None, 7), (9000, None, 3)]
+    own = defaultdict(list)
+    for x in mixing.mix(spark.createDataFrame(rows, "doc_id long, source string, size long")).collect():
+        own[x["source"]].append(x)
+    for source, docs in own.items():
+        off = abs(sum(x["size"] * x["copies"] for x in docs) - docs[0]["target"])
+        assert off <= 0.55 * (14 if source is None else max(x["size"] for x in docs)) + 1e-6
+        rate = docs[0]["target"] / docs[0]["source_size"]
+        assert all(math.floor(rate) <= x["copies"] <= math.ceil(rate) for x in docs)
+    even = [(i, f"s{i % 3}", 10 + i % 50) for i in range(3000)]
+    own = defaultdict(list)
+    for x in mixing.mix(spark.createDataFrame(even, "doc_id long, source string, size long")).collect():
+        own[x["source"]].append(x)
+    assert all(sum(x["size"] * x["copies"] for x in docs) == pytest.approx(docs[0]["target"], rel=0.002) for docs in own.values())
+
+
 def test_fingerprints(spark):
     rows = [(i, t) for i, t in corpus() if i is not None]
     docs = documents(spark, rows)
