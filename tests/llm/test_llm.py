@@ -3,6 +3,8 @@ import gzip
 import hashlib
 import math
 import random
+import sys
+import time
 import zlib
 from array import array
 from collections import Counter, defaultdict
@@ -346,6 +348,23 @@ def test_mixing_is_off_by_half_a_document(spark):
     assert all(sum(x["size"] * x["copies"] for x in docs) == pytest.approx(docs[0]["target"], rel=0.002) for docs in own.values())
 
 
+def test_words_are_the_patterns_and_quick():
+    by_pattern = lambda text: toxicity._TOKEN.findall((text or "").lower().replace("_", " "))
+    r = random.Random(8)
+    every = [chr(c) for c in range(sys.maxunicode + 1) if not 0xD800 <= c < 0xE000]
+    texts = [None, "", " ".join(every), "x".join(every), "".join(map(chr, range(128)))]
+    texts += ["".join(r.choices("aZ9_ -.\n\x1c\x85\u0130\u0301\u3000\u00df" + "".join(r.choices(every, k=20)), k=60)) for _ in range(2000)]
+    assert all(toxicity.words_in(t) == by_pattern(t) for t in texts)
+    for text in ("Some words, of letters only. " * 20_000, "Einige Wörter, mit Umlauten. " * 20_000):
+
+        def seconds(cut):
+            start = time.process_time()
+            cut(text)
+            return time.process_time() - start
+
+        assert min(seconds(toxicity.words_in) for _ in range(3)) < 0.7 * min(seconds(by_pattern) for _ in range(3))
+
+
 def test_fingerprints(spark):
     rows = [(i, t) for i, t in corpus() if i is not None]
     docs = documents(spark, rows)
