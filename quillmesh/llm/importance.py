@@ -1,20 +1,20 @@
 """Importance resampling towards a target corpus, by a dictionary of the distinct features of both.
 
-Features are the runs of 1 to ``N`` words of a text.  The steps, each a Spark job:
-
-1. Texts are read once and kept as chunks of word numbers with a vocabulary each.
-2. Each chunk sends its distinct features with their counts to the dictionary's parts, dealt by a mix of
-   their words' hashes, as packed strings.  A part merges the features of all
-   chunks, so it counts each distinct string globally, hashes it once, and sums the counts of
-   each bucket.  It answers each chunk with the buckets of the features that it sent, in their order.
-3. The gain of a bucket follows from the sums, a table of ``BUCKETS`` rows.
-4. Chunks and answers meet again: the feature counts of each document are joined with the gains.
+Features are the runs of 1 to 3 words of a text.  The steps, in one Spark job:
+
+1. Texts are read once, in chunks.  Each sends its distinct runs of three words (fewer at a text's end) to the
+   dictionary's parts, dealt by a mix of the hashes of the first two, as a trie of strings: first words, under each
+   its second words, under each its third words, and the number of the document of each occurrence.
+2. A part merges the tries of all chunks.  It holds each distinct string of two or three words of both corpora once,
+   hashes it once, and sums the counts of each bucket.  A single word is held by the parts of the pairs that it begins.
+3. The gain of a bucket follows from the sums of all parts, a table of ``BUCKETS`` rows.
+4. The parts, from the same exchange, add up the gains of what each document sent them; the sums of all parts are its weight.
 5. Documents are ranked by weight plus seeded Gumbel noise, in ranges, without one global sort.
 
-A feature that all documents hold is one string a chunk.  Chunks and parts hold ``CHUNK`` words,
-and more from some 4 GB of text on, with the root of the corpus, so that what a chunk sends a part keeps a
-useful size; a task's memory, about 250 bytes a word of a chunk, grows with it.  Texts longer than a
-chunk are cut into pieces that share ``N`` - 1 words.
+Buckets never go back to the chunks, and no string is sent for a feature that begins another one.  A run that all
+documents hold is one string a chunk.  Chunks hold ``CHUNK`` words, and more from some 4 GB of text on, with the root of the corpus, so
+that what a chunk sends a part keeps a useful size; a task's memory grows with it.  Texts longer than a
+chunk are cut into pieces that share two words.
 
 A null text has no words.  Rows are documents of their own, also where they repeat a doc_id; a null
 doc_id draws its noise as ``null`` and comes first among ties.  Other columns are not read.  No rows
@@ -37,12 +37,13 @@ from pyspark.sql import functions as F
 
 from .shared import lean, lean_group, lean_pair, stage
 
-N, BUCKETS = 3, 10_000
-CHUNK, PART_ROWS = 3 << 19, 1 << 19
-CHUNKS = "chunk long, target boolean, row array<long>, doc_id array<long>, n_words array<long>, length array<int>, starts array<int>, vocabulary binary, ids binary"
+BUCKETS = 10_000
+CHUNK, PART_ROWS, ROOM = 3 << 19, 1 << 19, 1 << 62
+#: What a chunk sends a part.  A row of a part below 0 tells the chunk's documents instead: whether each has an id, the ids, the numbers of words.
+SENT = "chunk long, target boolean, part int, words binary, n_seconds binary, n_thirds binary, n binary, docs binary"
 #: A-Z become small, ASCII letters and digits and all other bytes from 128 on stay, the rest becomes a space.
 _CLEAN = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
-_MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
+_MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
 
 def _pack(values: np.ndarray) -> bytes:
@@ -73,229 +74,195 @@ class _Chunk:
     """Documents' words, gathered until there are enough."""
 
     def __init__(self):
-        self.rows, self.ids, self.words, self.lengths, self.starts, self.texts, self.size = [], [], [], [], [], [], 0
+        self.docs, self.lengths, self.own, self.texts, self.size = [], [], [], [], 0
 
-    def add(self, row: int, doc_id: int | None, total: int, words: list[bytes], starts: int) -> None:
-        self.rows.append(row)
-        self.ids.append(doc_id)
-        self.words.append(total)
+    def add(self, doc: int, words: list[bytes], own: int) -> None:
+        """own: how many of the words begin features here, and not in the next piece."""
+        self.docs.append(doc)
         self.lengths.append(len(words))
-        self.starts.append(starts)
+        self.own.append(own)
         self.texts.append(b" ".join(words) + b" " if words else b"")
         self.size += len(words)
 
-    def packed(self, chunk: int, target: bool) -> pa.RecordBatch:
-        """A row of CHUNKS; words are numbered from the most frequent on."""
+    def sent(self, parts: int) -> Iterator[tuple[int, bytes, bytes, bytes, bytes, bytes]]:
+        """(part, words, n_seconds, n_thirds, n, docs) of SENT; 0 is the number of no word, the others rise with the word."""
         coded = _strings(b"".join(self.texts), 32).dictionary_encode()
-        places = coded.indices.to_numpy()
-        order = np.argsort(-np.bincount(places, minlength=len(coded.dictionary)), kind="stable")
-        rank = np.empty(len(order), np.uint32)
-        rank[order] = np.arange(len(order), dtype=np.uint32)
-        vocabulary = _data(coded.dictionary.take(pa.array(order)))
-        kinds = [pa.int64(), pa.bool_(), *[pa.list_(pa.int64())] * 3, *[pa.list_(pa.int32())] * 2, pa.binary(), pa.binary()]
-        values = [chunk, target, self.rows, self.ids, self.words, self.lengths, self.starts, vocabulary, _pack(rank[places])]
-        return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds, strict=True)], names=[c.split()[0] for c in CHUNKS.split(", ")])
-
-
-def chunks_of(docs: DataFrame, words: int, target: bool = False) -> DataFrame:
-    """docs(doc_id, text) as rows of CHUNKS; numbers of rows and chunks come from the partition and the place in it."""
+        if not len(coded):
+            return
+        order = pc.sort_indices(coded.dictionary).to_numpy()
+        vocabulary = pa.concat_arrays([pa.array([b""], pa.large_binary()), pa.array([w[:-1] for w in coded.dictionary.take(pa.array(order)).to_pylist()], pa.large_binary())])
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(1, len(order) + 1)
+        ids, lengths = rank[coded.indices.to_numpy()], np.array(self.lengths)
+        left = np.repeat(np.cumsum(lengths), lengths) - np.arange(len(ids))
+        begins = np.arange(len(ids)) < np.repeat(np.cumsum(lengths) - lengths + np.array(self.own), lengths)
+        second, third = (np.where(left > k, np.append(ids[k:], [0] * k)[: len(ids)], 0)[begins] for k in (1, 2))
+        first, docs = ids[begins], np.repeat(np.array(self.docs, np.uint32), np.array(self.own))
+        hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, vocabulary.to_pylist()), np.uint64, len(vocabulary))
+        mixed = hashes[first] * np.uint64(_MIX[0]) + hashes[second] * np.uint64(_MIX[1])
+        owner = ((mixed ^ mixed >> np.uint64(29)) % np.uint64(parts)).astype(np.int64)
+        pairs, base = first * len(vocabulary) + second, len(vocabulary)
+        if parts * base**3 < ROOM:
+            order = np.argsort((owner * base**2 + pairs) * base + third, kind="stable")
+        else:
+            order = np.lexsort((third, pairs, owner))
+        owner, first, second, third, docs = owner[order], first[order], second[order], third[order], docs[order]
+        new = np.ones((3, len(order)), bool)
+        new[0, 1:] = (owner[1:] != owner[:-1]) | (first[1:] != first[:-1])
+        new[1, 1:] = new[0, 1:] | (second[1:] != second[:-1])
+        new[2, 1:] = new[1, 1:] | (third[1:] != third[:-1])
+        cuts = np.searchsorted(owner, np.arange(parts + 1))
+        for part in np.flatnonzero(np.diff(cuts)).tolist():
+            here = slice(cuts[part], cuts[part + 1])
+            at = [np.flatnonzero(x) for x in new[:, here]]
+            texts = [vocabulary.take(pa.array(w[here][i])) for w, i in zip((first, second, third), at, strict=True)]
+            words = _data(pc.binary_join_element_wise(pa.concat_arrays(texts), pa.scalar(b"", pa.large_binary()), pa.scalar(b"\n", pa.large_binary())))
+            n_seconds, n_thirds = (np.diff(np.append(np.searchsorted(below, above), len(below))).astype(np.uint32) for above, below in ((at[0], at[1]), (at[1], at[2])))
+            n = np.diff(np.append(at[2], here.stop - here.start)).astype(np.uint32)
+            yield part, len(words).to_bytes(8, "little") + pa.compress(words, "zstd", asbytes=True), _pack(n_seconds), _pack(n_thirds), _pack(n), _pack(docs[here])
+
+
+def sent_by(docs: DataFrame, words: int, parts: int, target: bool = False) -> DataFrame:
+    """docs(doc_id, text) as rows of SENT, and one row a chunk, of a part below 0, with the ids and numbers of words of its documents."""
+
+    def rows_of(chunk: int, held: _Chunk, ids: list, totals: list) -> Iterator[pa.RecordBatch]:
+        rows = [(chunk, target, *x) for x in held.sent(parts)]
+        if ids and not target:
+            known = pa.array(ids, pa.int64())
+            rows.append((chunk, target, -1 - chunk % parts, None, _pack(np.array([x is not None for x in ids])), _pack(known.fill_null(0).to_numpy()), _pack(np.array(totals, np.int64)), None))
+        for row in rows:
+            kinds = [pa.int64(), pa.bool_(), pa.int32(), *[pa.binary()] * 5]
+            yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], names=[c.split()[0] for c in SENT.split(", ")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part = TaskContext.get().partitionId()
-        row, done, held = part << 36, 0, _Chunk()
+        chunk, held, ids, totals = TaskContext.get().partitionId() << 24, _Chunk(), [], []
         for b in batches:
             for doc_id, text in zip(b.column("doc_id").to_pylist(), b.column("text").cast(pa.binary()).to_pylist(), strict=True):
                 found = (text or b"").translate(_CLEAN).split()
+                ids.append(doc_id)
+                totals.append(len(found))
                 for at in range(0, max(1, len(found)), words):
-                    own = found[at : at + words + N - 1]
-                    held.add(row, doc_id, len(found), own, min(words, len(found) - at))
-                    if held.size >= words:
-                        yield held.packed((part << 24) + done, target)
-                        done, held = done + 1, _Chunk()
-                row += 1
-        if held.rows:
-            yield held.packed((part << 24) + done, target)
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(run), CHUNKS)
-
-
-def _coded(columns: list[np.ndarray], base: int) -> np.ndarray:
-    """A number for each row of word numbers below base, equal for equal rows and rising with the first column."""
-    code, room = columns[0].astype(np.int64), base
-    for column in columns[1:]:
-        if room * base >= 1 << 62:
-            distinct, code = np.unique(code, return_inverse=True)
-            room = len(distinct)
-        code, room = code * base + column, room * base
-    return code
-
-
-def _groups(code: np.ndarray, inverse: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
-    """A place of each distinct code, by code, how often it comes, and if asked for which code each place has."""
+                    if held.size >= words or (not at and len(ids) > words):
+                        yield from rows_of(chunk, held, ids[:-1] if not at else [], totals[:-1])
+                        if not at:
+                            chunk, ids, totals = chunk + 1, ids[-1:], totals[-1:]
+                        held = _Chunk()
+                    held.add(len(ids) - 1, found[at : at + words + 2], min(words, len(found) - at))
+        yield from rows_of(chunk, held, ids, totals)
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(run), SENT)
+
+
+def _distinct(code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A place of each distinct code, and for each place which code it has."""
     order = np.argsort(code)
-    new = np.empty(len(code), bool)
-    new[:1] = True
     held = code[order]
+    new = np.ones(len(code), bool)
     np.not_equal(held[1:], held[:-1], out=new[1:])
-    starts = np.flatnonzero(new)
-    counts = np.diff(np.append(starts, len(code)))
-    which = None
-    if inverse:
-        which = np.empty(len(code), np.int32)
-        which[order] = np.cumsum(new, dtype=np.int32) - 1
-    return order[starts], counts, which
-
-
-class _Features:
-    """The distinct features of a chunk: by length, then by the part of the dictionary, then by their words' numbers."""
-
-    def __init__(self, row: dict, parts: int):
-        self.parts, self.words = parts, row["vocabulary"].split(b" ")[:-1]
-        self.hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, self.words), np.uint64, len(self.words))
-        self.ids = _unpack(row["ids"], np.uint32).astype(np.int32)
-        lengths, starts = (np.array(row[c], np.int64) for c in ("length", "starts"))
-        ends = np.cumsum(lengths)
-        self.firsts = ends - lengths
-        #: words up to the end of the text from each place on, 0 where another piece has it
-        self.left = np.repeat(ends, lengths) - np.arange(len(self.ids))
-        self.left[np.arange(len(self.ids)) >= np.repeat(self.firsts + starts, lengths)] = 0
-
-    def of(self, n: int, inverse: bool = False) -> tuple[np.ndarray, list[np.ndarray], np.ndarray, np.ndarray, np.ndarray, np.ndarray | None]:
-        """Places, then of the distinct features the words, counts, parts and the order in which they are sent; which feature each place has."""
-        at = np.flatnonzero(self.left >= n)
-        columns = [self.ids[at + j] for j in range(n)]
-        first, counts, which = _groups(_coded(columns, max(1, len(self.words))), inverse)
-        grams = [c[first] for c in columns]
-        mixed = np.zeros(len(counts), np.uint64)
-        for g, m in zip(grams, _MIX, strict=False):
-            mixed += self.hashes[g] * np.uint64(m)
-        owners = ((mixed ^ mixed >> np.uint64(29)) % np.uint64(self.parts)).astype(np.int32)
-        return at, grams, counts, owners, np.argsort(owners, kind="stable"), which
-
-    def sent(self) -> Iterator[tuple[int, bytes, bytes]]:
-        """(part, strings with line feeds, counts): of one word, then of two, then of three, each in the order of its words' numbers."""
-        held, binary = [], pa.large_binary()
-        words = pa.array(self.words, binary)
-        ended = pc.binary_join_element_wise(words, pa.scalar(b"", binary), pa.scalar(b"\n", binary))
-        for n in range(1, N + 1):
-            _, grams, counts, owners, order, _ = self.of(n)
-            taken = [(words if k < n - 1 else ended).take(pa.array(g[order])) for k, g in enumerate(grams)]
-            strings = pc.binary_join_element_wise(*taken, pa.scalar(b" ", binary)) if n > 1 else taken[0]
-            cuts = np.searchsorted(owners[order], np.arange(self.parts + 1))
-            ends = np.frombuffer(strings.buffers()[1], np.int64)[cuts] if len(strings) else np.zeros(self.parts + 1, np.int64)
-            held.append((memoryview(strings.buffers()[2] or b""), ends, counts[order].astype(np.uint32), cuts))
-        for part in range(self.parts):
-            counts = np.concatenate([c[cuts[part] : cuts[part + 1]] for _, _, c, cuts in held])
-            if len(counts):
-                strings = b"".join([data[ends[part] : ends[part + 1]] for data, ends, _, _ in held])
-                yield part, len(strings).to_bytes(8, "little") + pa.compress(strings, "zstd", asbytes=True), _pack(counts)
-
-    def sums(self, told: list[tuple[int, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-        """Number of features and sum of gains of each document, from the gains of each part's features in the order of sending."""
-        many, total = np.zeros(len(self.firsts), np.int64), np.zeros(len(self.firsts), np.int64)
-        used = dict.fromkeys((part for part, _ in told), 0)
-        for n in range(1, N + 1):
-            at, _, counts, owners, order, which = self.of(n, True)
-            sizes = np.bincount(owners, minlength=self.parts)
-            own = [gains[used[part] : used[part] + sizes[part]] for part, gains in told]
-            for part in used:
-                used[part] += sizes[part]
-            gains = np.empty(len(counts), np.int64)
-            gains[order] = np.concatenate(own) if own else []
-            upto = np.concatenate([[0], np.cumsum(gains[which])])
-            cut = np.append(np.searchsorted(at, self.firsts), len(at))
-            many += cut[1:] - cut[:-1]
-            total += upto[cut[1:]] - upto[cut[:-1]]
-        return many, total
-
-
-def _merged(rows: list[dict]) -> tuple[np.ndarray, list[bytes]]:
-    """Sums of the buckets, of corpus and target, and the buckets of each row's features in their order."""
-    texts = [pa.decompress(r["strings"][8:], int.from_bytes(r["strings"][:8], "little"), codec="zstd", asbytes=True) for r in rows]
-    counts = [_unpack(r["counts"], np.uint32) for r in rows]
-    coded = _strings(b"".join(texts), 10).dictionary_encode()
-    del texts
-    distinct, places = coded.dictionary, coded.indices.to_numpy()
-    # each distinct string is hashed once
-    strings = _data(distinct).split(b"\n")[:-1]
-    bucket = (np.fromiter(map(crc32, strings), np.uint32, len(strings)) % BUCKETS).astype(np.uint16)
-    held, at, answers = np.zeros((2, len(strings)), np.int64), 0, []
-    for r, own in zip(rows, counts, strict=True):
-        where = places[at : at + len(own)]
-        held[int(r["target"]), where] += own  # a chunk sends no string twice
-        answers.append(_pack(bucket[where]))
-        at += len(own)
-    return np.stack([np.bincount(bucket, side, BUCKETS).astype(np.int64) for side in held]), answers
-
-
-def dictionary(chunks: DataFrame, parts: int) -> DataFrame:
-    """(chunk, part, buckets, target): each part's answer to each chunk, and a row with the sums of its buckets, of chunk null."""
-
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [pa.int64(), pa.bool_(), pa.int32(), pa.binary(), pa.binary()]
-        for b in batches:
-            for row in b.to_pylist():
-                for part, strings, counts in _Features(row, parts).sent():
-                    values = [row["chunk"], row["target"], part, strings, counts]
-                    yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds, strict=True)], names=["chunk", "target", "part", "strings", "counts"])
+    which = np.empty(len(code), np.int64)
+    which[order] = np.cumsum(new) - 1
+    return order[new], which
+
+
+class _Part:
+    """The dictionary's entries of one part, and where each chunk's runs of words are in it."""
+
+    def __init__(self, rows: list[dict]):
+        self.rows = rows
+        texts = [pa.decompress(r["words"][8:], int.from_bytes(r["words"][:8], "little"), codec="zstd", asbytes=True) for r in rows]
+        n_seconds, n_thirds, self.n = ([_unpack(r[c], np.uint32) for r in rows] for c in ("n_seconds", "n_thirds", "n"))
+        coded = _strings(b"".join(texts), 10).dictionary_encode()
+        del texts
+        words = [w[:-1] for w in coded.dictionary.to_pylist()]
+        spaced, filled, codes, at = [b" " + w for w in words], np.array([bool(w) for w in words]), coded.indices.to_numpy().astype(np.int64), 0
+        levels: list[list[np.ndarray]] = [[], [], []]
+        for two, three, n in zip(n_seconds, n_thirds, self.n, strict=True):
+            for level, many in zip(levels, (len(two), len(three), len(n)), strict=True):
+                level.append(codes[at : at + many])
+                at += many
+        first, second, third = map(np.concatenate, levels)
+        # the hash of a run goes on from that of the run that begins it; each distinct one is hashed once
+        hashed = np.fromiter(map(crc32, words), np.int64, len(words))
+        begin = np.repeat(first, np.concatenate(n_seconds))
+        at, pair = _distinct(begin * len(words) + second)
+        pairs = np.fromiter(map(crc32, map(spaced.__getitem__, second[at].tolist()), hashed[begin[at]].tolist()), np.int64, len(at))
+        has_second = filled[second[at]]
+        own = np.repeat(pair, np.concatenate(n_thirds))
+        at, run = _distinct(own * len(words) + third)
+        runs = np.fromiter(map(crc32, map(spaced.__getitem__, third[at].tolist()), pairs[own[at]].tolist()), np.int64, len(at))
+        has_third = filled[third[at]]
+        # of each run sent: the buckets of its one, two and three words, and BUCKETS for none
+        self.buckets = [
+            hashed[np.repeat(begin, np.concatenate(n_thirds))] % BUCKETS,
+            np.where(has_second, pairs % BUCKETS, BUCKETS)[own],
+            np.where(has_third, runs % BUCKETS, BUCKETS)[run],
+        ]
+
+    def sums(self) -> np.ndarray:
+        """Counts of the buckets, of the corpus and of the target."""
+        n = np.concatenate(self.n).astype(float)
+        target = np.repeat([r["target"] for r in self.rows], [len(x) for x in self.n])
+        return np.stack([sum(np.bincount(b, n * (target == side), BUCKETS + 1)[:BUCKETS] for b in self.buckets).astype(np.int64) for side in (False, True)])
+
+    def weights(self, gains: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """Each chunk's sums of gains by its documents."""
+        table = np.append(gains, 0)
+        each, at = sum(table[b] for b in self.buckets), 0
+        for row, n in zip(self.rows, self.n, strict=True):
+            if not row["target"]:
+                yield row["chunk"], np.bincount(_unpack(row["docs"], np.uint32), np.repeat(each[at : at + len(n)], n)).astype(np.int64)
+            at += len(n)
+
+
+def gains_of(sent: DataFrame) -> DataFrame:
+    """gains, one row with the gains of all buckets, from the sums of all parts."""
 
     def merge(rows: pa.Table) -> pa.Table:
-        held = rows.to_pylist()
-        sums, answers = _merged(held)
-        return pa.table({
-            "chunk": pa.array([*(r["chunk"] for r in held), None], pa.int64()), "target": pa.array([*(r["target"] for r in held), None], pa.bool_()),
-            "part": pa.array([held[0]["part"]] * (len(held) + 1), pa.int32()), "buckets": pa.array([*answers, _pack(sums.ravel())], pa.binary()),
-        })
-
-    sent = chunks.mapInArrow(lean(send), "chunk long, target boolean, part int, strings binary, counts binary")
-    return sent.groupBy("part").applyInArrow(lean_group(merge), "chunk long, target boolean, part int, buckets binary")
-
+        held = rows.filter(pc.greater_equal(rows["part"], 0)).to_pylist()
+        s, t = _Part(held).sums() if held else np.zeros((2, BUCKETS), np.int64)
+        return pa.table({"bucket": np.arange(BUCKETS), "s": s, "t": t})
 
-def gains_of(answers: DataFrame) -> list[int]:
-    """The gain of each bucket, from the sums of all parts."""
-
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(2 * BUCKETS, np.int64)
-        for b in batches:
-            for sums in b.column("buckets").to_pylist():
-                total += _unpack(sums, np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(BUCKETS)), pa.array(total[:BUCKETS]), pa.array(total[BUCKETS:])], names=["bucket", "s", "t"])
-
-    sums = answers.where("chunk IS NULL").select("buckets").mapInArrow(lean(spread), "bucket long, s long, t long").groupBy("bucket").agg(F.sum("s").alias("s"), F.sum("t").alias("t"))
-    whole = sums.agg(F.sum("s").alias("all_s"), F.sum("t").alias("all_t"))
+    sums = sent.groupBy("part").applyInArrow(lean_group(merge), "bucket long, s long, t long").groupBy("bucket").agg(F.sum("s").alias("s"), F.sum("t").alias("t"))
     d = lambda c: F.col(c).cast("double")
-    gain = F.floor(1000 * F.log((d("t") + 1) * (d("all_s") + BUCKETS) / ((d("s") + 1) * (d("all_t") + BUCKETS))))
-    found = dict(sums.join(F.broadcast(whole)).select("bucket", gain.cast("long").alias("gain")).toLocalIterator())
-    return [found.get(k, 0) for k in range(BUCKETS)]
-
-
-def weights_of(chunks: DataFrame, answers: DataFrame, gains: list[int], parts: int) -> DataFrame:
-    """row, doc_id, n_words, n_features, weight of each document."""
-    table = np.array(gains, np.int64)
-
-    def run(rows: pa.Table, told: pa.Table) -> pa.Table:
-        out = [pa.table({c: pa.array([], pa.int64()) for c in ("row", "doc_id", "n_words", "n_features", "weight")})]
-        told = told.sort_by("part")
-        own = [(part, table[_unpack(b, np.uint16)]) for part, b in zip(told["part"].to_pylist(), told["buckets"].to_pylist(), strict=True)]
-        for row in rows.to_pylist():
-            many, total = _Features(row, parts).sums(own)
-            out.append(pa.table({"row": pa.array(row["row"], pa.int64()), "doc_id": pa.array(row["doc_id"], pa.int64()), "n_words": pa.array(row["n_words"], pa.int64()), "n_features": pa.array(many), "weight": pa.array(total)}))
-        return pa.concat_tables(out)
-
-    kept = chunks.where("NOT target").groupBy("chunk").cogroup(answers.where("NOT target").select("chunk", "part", "buckets").groupBy("chunk"))
-    pieces = kept.applyInArrow(lean_pair(run), "row long, doc_id long, n_words long, n_features long, weight long")
-    return pieces.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.sum("n_features").alias("n_features"), F.sum("weight").alias("weight"))
+    whole = sums.agg(F.sort_array(F.collect_list(F.struct("bucket", "s", "t"))).alias("held"), F.sum("s").alias("all_s"), F.sum("t").alias("all_t"))
+    gain = lambda x: F.floor(1000 * F.log((x["t"].cast("double") + 1) * (d("all_s") + BUCKETS) / ((x["s"].cast("double") + 1) * (d("all_t") + BUCKETS)))).cast("long")
+    return whole.select(F.transform("held", gain).alias("gains"))
 
 
 def weigh(docs: DataFrame, target: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """doc_id, n_words, n_features, weight: a row each row of docs(doc_id, text); target has a text column."""
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()[0]
     chunk = max(chunk, math.isqrt(6000 * (size // 6)))
-    theirs = chunks_of(target.select(F.lit(None).cast("long").alias("doc_id"), "text"), chunk, True).withColumn("chunk", -1 - F.col("chunk"))
-    chunks = stage(chunks_of(docs, chunk).unionByName(theirs), "chunks")
     parts = max(1, -(-size // (4 * chunk)))
-    answers = stage(dictionary(chunks, parts), "answers")
-    return weights_of(chunks, answers, gains_of(answers), parts)
+    theirs = sent_by(target.select(F.lit(None).cast("long").alias("doc_id"), "text"), chunk, parts, True)
+    sent = sent_by(docs, chunk, parts).unionByName(theirs)
+
+    def run(rows: pa.Table, told: pa.Table) -> pa.Table:
+        held, gains = rows.to_pylist(), told["gains"].to_pylist()
+        out: list[tuple] = []
+        if held and held[0]["part"] >= 0:
+            out = [(chunk, _pack(weight), None, None, None) for chunk, weight in _Part(held).weights(np.array(gains[0], np.int64))]
+        elif held:
+            out = [(r["chunk"], None, r["n_seconds"], r["n_thirds"], r["n"]) for r in held]
+        kinds = [pa.int64(), *[pa.binary()] * 4]
+        return pa.table([pa.array(c, k) for c, k in zip(zip(*out, strict=True) if out else [[]] * 5, kinds, strict=True)], names=["chunk", "weight", "known", "ids", "totals"])
+
+    # one query, so that the gains and the weights are of one exchange
+    told = docs.sparkSession.range(-parts, parts).select(F.col("id").cast("int").alias("part")).crossJoin(F.broadcast(gains_of(sent)))
+    pieces = sent.groupBy("part").cogroup(told.groupBy("part")).applyInArrow(lean_pair(run), "chunk long, weight binary, known binary, ids binary, totals binary")
+
+    def add(rows: pa.Table) -> pa.Table:
+        held = rows.to_pylist()
+        known, ids, totals = next((_unpack(r["known"], bool), _unpack(r["ids"], np.int64), _unpack(r["totals"], np.int64)) for r in held if r["known"])
+        weight = np.zeros(len(ids), np.int64)
+        for r in held:
+            if r["weight"]:
+                own = _unpack(r["weight"], np.int64)
+                weight[: len(own)] += own
+        many = sum(np.maximum(totals - k, 0) for k in range(3))
+        return pa.table({"doc_id": pa.array(ids, pa.int64(), mask=~known), "n_words": totals, "n_features": many, "weight": weight})
+
+    return pieces.groupBy("chunk").applyInArrow(lean_group(add), "doc_id long, n_words long, n_features long, weight long")
 
 
 def noise(key: Column, seed: int = 42) -> Column:
@@ -319,7 +286,7 @@ def ranked(rows: DataFrame, value: str, key: str, name: str) -> DataFrame:
 
 def resample(docs: DataFrame, target: DataFrame, percent: int = 5, least: int = 20, seed: int = 42, chunk: int = CHUNK) -> DataFrame:
     """doc_id, n_words, n_features, weight, score, rank: of the documents of ``least`` words, floor(percent / 100) of them have a rank."""
-    scored = stage(weigh(docs, target, chunk).drop("row").withColumn("score", F.col("weight") + noise(F.col("doc_id"), seed)), "scored")
+    scored = stage(weigh(docs, target, chunk).withColumn("score", F.col("weight") + noise(F.col("doc_id"), seed)), "scored")
     able = ranked(scored.where(F.col("n_words") >= least), "score", "doc_id", "rank")
     drawn = scored.where(F.col("n_words") >= least).count() * percent // 100
     able = able.withColumn("rank", F.when(F.col("rank") <= drawn, F.col("rank")))

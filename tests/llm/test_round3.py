@@ -204,3 +204,36 @@ def test_ranks_are_counted_range_by_range(spark, monkeypatch):
     out = importance.ranked(spark.createDataFrame(rows, "k long, v long"), "v", "k", "n").collect()
     order = sorted(rows, key=lambda x: (-x[1], x[0] is not None, x[0]))
     assert [(x["k"], x["v"]) for x in sorted(out, key=lambda x: x["n"])] == order and sorted(x["n"] for x in out) == list(range(1, 1001))
+
+
+def test_importance_sends_a_run_once(spark, monkeypatch):
+    """Neither chunks nor answers are written, the gains and the weights are of one exchange, and long texts and empty ones share chunks."""
+    staged = []
+    monkeypatch.setattr(importance, "stage", lambda df, name: staged.append(name) or df)
+    r = random.Random(9)
+    words = [f"{a}{b}" for a in ("Ab", "c", "é", "z9") for b in range(12)]
+    rows = [(i, " ".join(r.choices(words, k=r.choice([0, 0, 1, 2, 3, 40])))) for i in range(120)] + [(900, " ".join(r.choices(words, k=500))), (None, None), (5, "Ab1"), *((1000 + i, "") for i in range(60))]
+    theirs = [" ".join(r.choices(words, k=30)) for _ in range(8)]
+    out = importance.weigh(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(t,) for t in theirs], "text string"), chunk=25)
+    got = Counter((x["doc_id"], x["n_words"], x["n_features"], x["weight"]) for x in out.collect())
+    assert not staged and out._jdf.queryExecution().executedPlan().toString().count("ReusedExchange")
+
+    low = lambda t: re.findall(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub(rb"[A-Z]", lambda m: m[0].lower(), (t or "").encode()))
+    features = lambda t: [zlib.crc32(b" ".join(w[i : i + n])) % 10_000 for w in [low(t)] for n in (1, 2, 3) for i in range(len(w) - n + 1)]
+    s, t = Counter(f for _, x in rows for f in features(x)), Counter(f for x in theirs for f in features(x))
+    gain = {b: math.floor(1000 * math.log((t[b] + 1) * (s.total() + 10_000) / ((s[b] + 1) * (t.total() + 10_000)))) for b in s}
+    assert got == Counter((i, len(low(x)), len(features(x)), sum(gain[b] for b in features(x))) for i, x in rows)
+
+
+def test_importance_order_of_sending(monkeypatch):
+    """Codes that have no room in 62 bits are sorted column by column, to the same rows; a run of words comes once a chunk."""
+    held = importance._Chunk()
+    for doc in range(4):
+        held.add(doc, b"a b a b c a b a d".split()[doc:], 9 - doc)
+    sent = list(held.sent(3))
+    monkeypatch.setattr(importance, "ROOM", 1)
+    assert list(held.sent(3)) == sent and {part for part, *_ in sent} <= {0, 1, 2}
+    texts = [importance.pa.decompress(w[8:], int.from_bytes(w[:8], "little"), codec="zstd", asbytes=True) for _, w, *_ in sent]
+    # of 30 occurrences: distinct first words a part, pairs, and runs of three or of what is left
+    assert sum(len(importance._unpack(x[4], importance.np.uint32)) for x in sent) == 8 and sum(importance._unpack(x[4], importance.np.uint32).sum() for x in sent) == 30
+    assert sum(len(importance._unpack(x[3], importance.np.uint32)) for x in sent) == 6 and all(t.endswith(b"\n") for t in texts)
