@@ -12,7 +12,7 @@ document whose middle (moved by a twentieth of its words at most, by a coin of i
 
 So a source's sum is off its target by some half of one document at most, whatever the number of documents, and
 over the seeds a document is taken once more with a chance that is the fraction where it is short beside the
-arc; one that is more than twice as long as all further words asked for is not.  One law holds for all documents;
+arc; one that is more than 2.3 times as long as all further words asked for is not.  One law holds for all documents;
 there is no rank by size.  A document without words has no place on the circle, and its coin alone decides.
 
 Sums are shuffled, and, in the two strips of numbers a source where an arc begins and ends, what lies in them (a
@@ -28,7 +28,6 @@ from pyspark.sql import functions as F
 
 from .shared import stage
 
-
 #: Bits of a number, and of the strip that it lies in.  Strips share out the work and change no result.
 BITS, STRIP_BITS = 52, 12
 
