@@ -3,16 +3,18 @@
 Features are the runs of 1 to 3 words of a text.  The steps, in one Spark job:
 
 1. Texts are read once, in chunks.  Each sends its distinct runs of three words (fewer at a text's end) to the
-   dictionary's parts, dealt by a mix of the hashes of the first two, as a trie of strings: first words, under each
-   its second words, under each its third words, and the number of the document of each occurrence.
-2. A part merges the tries of all chunks.  It holds each distinct string of two or three words of both corpora once,
+   dictionary's parts, dealt by a mix of the hashes of the first two, as a trie: first words, under each
+   its second words, under each its third words, and the number of the document of each occurrence.  Each word of a
+   trie is sent once as a string, and by its number wherever it stands.
+2. A part merges the tries of all chunks.  It holds each distinct run of two or three words of both corpora once,
    hashes it once, and sums the counts of each bucket.  A single word is held by the parts of the pairs that it begins.
+   Only words are hashed as strings; the CRC of a longer run follows from those of what begins it and of its last word.
 3. The gain of a bucket follows from the sums of all parts, a table of ``BUCKETS`` rows.
 4. The parts, from the same exchange, add up the gains of what each document sent them; the sums of all parts are its weight.
 5. Documents are ranked by weight plus seeded Gumbel noise, in ranges, without one global sort.
 
-Buckets never go back to the chunks, and no string is sent for a feature that begins another one.  A run that all
-documents hold is one string a chunk.  Chunks hold ``CHUNK`` words, and more from some 4 GB of text on, with the root of the corpus, so
+Buckets never go back to the chunks, and nothing is sent for a feature that begins another one.  A run that all
+documents hold is one entry a chunk.  Chunks hold ``CHUNK`` words, and more from some 4 GB of text on, with the root of the corpus, so
 that what a chunk sends a part keeps a useful size; a task's memory grows with it.  Texts longer than a
 chunk are cut into pieces that share two words.
 
@@ -35,27 +37,29 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import lean, lean_group, lean_pair, stage
+from .shared import batches_of, lean, lean_group, lean_pair, stage
 
 BUCKETS = 10_000
 CHUNK, PART_ROWS, ROOM = 3 << 19, 1 << 19, 1 << 62
-#: What a chunk sends a part.  A row of a part below 0 tells the chunk's documents instead: whether each has an id, the ids, the numbers of words.
-SENT = "chunk long, target boolean, part int, words binary, n_seconds binary, n_thirds binary, n binary, docs binary"
+#: What a chunk sends a part; codes are the numbers of first words, each less the one before, of second and of third words.  A row of a part below 0 tells the chunk's documents instead: whether each has an id, the ids, the numbers of words.
+SENT = "chunk long, target boolean, part int, words binary, n_seconds binary, n_thirds binary, n binary, docs binary, codes binary"
 #: A-Z become small, ASCII letters and digits and all other bytes from 128 on stay, the rest becomes a space.
 _CLEAN = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 _MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
 
 def _pack(values: np.ndarray) -> bytes:
-    """Compressed, all first bytes first."""
+    """Compressed, all first bytes first; the last ones that all are 0 are left out."""
     planes = np.ascontiguousarray(values).view(np.uint8).reshape(-1, values.itemsize).T
-    return len(planes.tobytes()).to_bytes(8, "little") + pa.compress(planes.tobytes(), "zstd", asbytes=True)
+    kept = next((k for k in range(values.itemsize, 0, -1) if planes[k - 1].any()), 0)
+    return len(values).to_bytes(8, "little") + bytes([kept]) + pa.compress(planes[:kept].tobytes(), "zstd", asbytes=True)
 
 
 def _unpack(data: bytes, kind) -> np.ndarray:
-    size = int.from_bytes(data[:8], "little")
-    planes = np.frombuffer(pa.decompress(data[8:], size, codec="zstd", asbytes=True), np.uint8)
-    return np.ascontiguousarray(planes.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+    many, kept = int.from_bytes(data[:8], "little"), data[8]
+    out = np.zeros((many, np.dtype(kind).itemsize), np.uint8)
+    out[:, :kept] = np.frombuffer(pa.decompress(data[9:], many * kept, codec="zstd", asbytes=True), np.uint8).reshape(kept, many).T
+    return out.view(kind).ravel()
 
 
 def _data(strings: pa.Array) -> bytes:
@@ -70,6 +74,28 @@ def _strings(data: bytes, stop: int) -> pa.Array:
     return pa.Array.from_buffers(pa.large_binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
 
 
+def _sorted(codes: np.ndarray, below: int) -> tuple[np.ndarray, np.ndarray]:
+    """Codes, all less than ``below``, in order, and the place of each; equal ones keep their order."""
+    bits = len(codes).bit_length()
+    if below << bits <= ROOM:
+        both = codes << bits
+        both |= np.arange(len(codes))
+        both.sort()
+        return both >> bits, (both & (1 << bits) - 1).astype(np.int32)
+    at = np.argsort(codes, kind="stable")
+    return codes[at], at
+
+
+def _distinct(codes: np.ndarray, below: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first place of each distinct code, by code, and for each place which of them it has."""
+    held, order = _sorted(codes, below)
+    new = np.ones(len(held), bool)
+    np.not_equal(held[1:], held[:-1], out=new[1:])
+    which = np.empty(len(held), np.int32)
+    which[order] = np.cumsum(new) - 1
+    return order[new], which
+
+
 class _Chunk:
     """Documents' words, gathered until there are enough."""
 
@@ -81,45 +107,64 @@ class _Chunk:
         self.docs.append(doc)
         self.lengths.append(len(words))
         self.own.append(own)
-        self.texts.append(b" ".join(words) + b" " if words else b"")
+        self.texts.append(b"\n".join(words) + b"\n" if words else b"")
         self.size += len(words)
 
-    def sent(self, parts: int) -> Iterator[tuple[int, bytes, bytes, bytes, bytes, bytes]]:
-        """(part, words, n_seconds, n_thirds, n, docs) of SENT; 0 is the number of no word, the others rise with the word."""
-        coded = _strings(b"".join(self.texts), 32).dictionary_encode()
-        if not len(coded):
-            return
+    def numbered(self) -> tuple[pa.Array, np.ndarray]:
+        """The distinct words in order, after that of no word, and the number among them of each word."""
+        coded = _strings(b"".join(self.texts), 10).dictionary_encode()
         order = pc.sort_indices(coded.dictionary).to_numpy()
-        vocabulary = pa.concat_arrays([pa.array([b""], pa.large_binary()), pa.array([w[:-1] for w in coded.dictionary.take(pa.array(order)).to_pylist()], pa.large_binary())])
-        rank = np.empty(len(order), np.int64)
+        rank = np.empty(len(order), np.int32)
         rank[order] = np.arange(1, len(order) + 1)
-        ids, lengths = rank[coded.indices.to_numpy()], np.array(self.lengths)
+        return pa.concat_arrays([pa.array([b"\n"], pa.large_binary()), coded.dictionary.take(pa.array(order))]), rank[coded.indices.to_numpy()]
+
+    def runs(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """First, second and third words of the runs that begin here, and their documents."""
+        lengths, own = np.array(self.lengths), np.array(self.own)
         left = np.repeat(np.cumsum(lengths), lengths) - np.arange(len(ids))
-        begins = np.arange(len(ids)) < np.repeat(np.cumsum(lengths) - lengths + np.array(self.own), lengths)
-        second, third = (np.where(left > k, np.append(ids[k:], [0] * k)[: len(ids)], 0)[begins] for k in (1, 2))
-        first, docs = ids[begins], np.repeat(np.array(self.docs, np.uint32), np.array(self.own))
-        hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, vocabulary.to_pylist()), np.uint64, len(vocabulary))
+        begins = np.arange(len(ids)) < np.repeat(np.cumsum(lengths) - lengths + own, lengths)
+        second, third = (np.where(left > k, np.append(ids[k:], np.zeros(k, ids.dtype))[: len(ids)], 0)[begins] for k in (1, 2))
+        return ids[begins], second, third, np.repeat(np.array(self.docs, np.uint32), own)
+
+    def sent(self, parts: int) -> Iterator[tuple[int, bytes, bytes, bytes, bytes, bytes, bytes]]:
+        """(part, words, n_seconds, n_thirds, n, docs, codes) of SENT; 0 is the number of no word, the others rise with the word."""
+        if not self.size:
+            return
+        vocabulary, ids = self.numbered()
+        first, second, third, docs = self.runs(ids)
+        base = len(vocabulary)
+        del ids
+        at, pair = _distinct(first.astype(np.int64) * base + second, base**2)
+        first, second = first[at], second[at]
+        hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, _data(vocabulary).split(b"\n")), np.uint64, base)
         mixed = hashes[first] * np.uint64(_MIX[0]) + hashes[second] * np.uint64(_MIX[1])
         owner = ((mixed ^ mixed >> np.uint64(29)) % np.uint64(parts)).astype(np.int64)
-        pairs, base = first * len(vocabulary) + second, len(vocabulary)
-        if parts * base**3 < ROOM:
-            order = np.argsort((owner * base**2 + pairs) * base + third, kind="stable")
-        else:
-            order = np.lexsort((third, pairs, owner))
-        owner, first, second, third, docs = owner[order], first[order], second[order], third[order], docs[order]
-        new = np.ones((3, len(order)), bool)
-        new[0, 1:] = (owner[1:] != owner[:-1]) | (first[1:] != first[:-1])
-        new[1, 1:] = new[0, 1:] | (second[1:] != second[:-1])
-        new[2, 1:] = new[1, 1:] | (third[1:] != third[:-1])
+        # pairs by part, first and second word
+        owner, order = _sorted(owner, parts)
+        first, second = first[order], second[order]
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        held, order = _sorted(rank[pair] * base + third, len(rank) * base)
+        docs, third = docs[order], third[order]
+        runs = np.flatnonzero(np.append(True, held[1:] != held[:-1]))
+        pair, third, ends = held[runs] // base, third[runs], np.append(runs, len(held))
+        del at, held, order, rank, mixed, hashes
+        firsts = np.flatnonzero(np.append(True, (owner[1:] != owner[:-1]) | (first[1:] != first[:-1])))
+        n_seconds, n_thirds, n = np.diff(np.append(firsts, len(owner))), np.bincount(pair, minlength=len(owner)), np.diff(ends)
+        # where each part begins among the pairs, the first words and the runs
         cuts = np.searchsorted(owner, np.arange(parts + 1))
+        above, below, place = np.searchsorted(firsts, cuts), np.searchsorted(pair, cuts), np.empty(base, np.int64)
         for part in np.flatnonzero(np.diff(cuts)).tolist():
-            here = slice(cuts[part], cuts[part + 1])
-            at = [np.flatnonzero(x) for x in new[:, here]]
-            texts = [vocabulary.take(pa.array(w[here][i])) for w, i in zip((first, second, third), at, strict=True)]
-            words = _data(pc.binary_join_element_wise(pa.concat_arrays(texts), pa.scalar(b"", pa.large_binary()), pa.scalar(b"\n", pa.large_binary())))
-            n_seconds, n_thirds = (np.diff(np.append(np.searchsorted(below, above), len(below))).astype(np.uint32) for above, below in ((at[0], at[1]), (at[1], at[2])))
-            n = np.diff(np.append(at[2], here.stop - here.start)).astype(np.uint32)
-            yield part, len(words).to_bytes(8, "little") + pa.compress(words, "zstd", asbytes=True), _pack(n_seconds), _pack(n_thirds), _pack(n), _pack(docs[here])
+            one, two, three = (slice(x[part], x[part + 1]) for x in (above, cuts, below))
+            used = np.concatenate([first[firsts[one]], second[two], third[three]])
+            place[used] = np.arange(len(used))
+            own = np.sort(used[place[used] == np.arange(len(used))])
+            place[own] = np.arange(len(own))
+            words, codes = _data(vocabulary.take(pa.array(own))), place[used]
+            many = one.stop - one.start
+            codes[1:many] -= codes[: many - 1].copy()
+            counts = [_pack(x.astype(np.uint32)) for x in (n_seconds[one], n_thirds[two], n[three])]
+            yield part, len(words).to_bytes(8, "little") + pa.compress(words, "zstd", asbytes=True), *counts, _pack(docs[ends[three.start] : ends[three.stop]]), _pack(codes.astype(np.uint32))
 
 
 def sent_by(docs: DataFrame, words: int, parts: int, target: bool = False) -> DataFrame:
@@ -129,15 +174,15 @@ def sent_by(docs: DataFrame, words: int, parts: int, target: bool = False) -> Da
         rows = [(chunk, target, *x) for x in held.sent(parts)]
         if ids and not target:
             known = pa.array(ids, pa.int64())
-            rows.append((chunk, target, -1 - chunk % parts, None, _pack(np.array([x is not None for x in ids])), _pack(known.fill_null(0).to_numpy()), _pack(np.array(totals, np.int64)), None))
+            rows.append((chunk, target, -1 - chunk % parts, None, _pack(np.array([x is not None for x in ids])), _pack(known.fill_null(0).to_numpy()), _pack(np.array(totals, np.int64)), None, None))
         for row in rows:
-            kinds = [pa.int64(), pa.bool_(), pa.int32(), *[pa.binary()] * 5]
+            kinds = [pa.int64(), pa.bool_(), pa.int32(), *[pa.binary()] * 6]
             yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], names=[c.split()[0] for c in SENT.split(", ")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk, held, ids, totals = TaskContext.get().partitionId() << 24, _Chunk(), [], []
         for b in batches:
-            for doc_id, text in zip(b.column("doc_id").to_pylist(), b.column("text").cast(pa.binary()).to_pylist(), strict=True):
+            for doc_id, text in ((i, t) for few in batches_of(b) for i, t in zip(few.column("doc_id").to_pylist(), few.column("text").cast(pa.binary()).to_pylist(), strict=True)):
                 found = (text or b"").translate(_CLEAN).split()
                 ids.append(doc_id)
                 totals.append(len(found))
@@ -153,15 +198,31 @@ def sent_by(docs: DataFrame, words: int, parts: int, target: bool = False) -> Da
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(run), SENT)
 
 
-def _distinct(code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A place of each distinct code, and for each place which code it has."""
-    order = np.argsort(code)
-    held = code[order]
-    new = np.ones(len(code), bool)
-    np.not_equal(held[1:], held[:-1], out=new[1:])
-    which = np.empty(len(code), np.int64)
-    which[order] = np.cumsum(new) - 1
-    return order[new], which
+class _Longer:
+    """What the CRCs of strings become by the bytes behind them: crc32(a + b) == by(crc32(a), len(b)) ^ crc32(b)."""
+
+    def __init__(self, lengths: np.ndarray):
+        """lengths: of all strings that may stand behind."""
+        one = np.arange(256, dtype=np.uint32)
+        for _ in range(8):
+            one = one >> 1 ^ (one & 1) * np.uint32(0xEDB88320)
+        bits = (np.arange(256, dtype=np.uint32) << np.arange(0, 32, 8, dtype=np.uint32)[:, None]).ravel()
+        many, self.row = np.unique(lengths, return_inverse=True)
+        self.tables = np.tile(bits, (len(many), 1))
+        # by 1, 2, 4 ... bytes, for each byte of a CRC
+        step = bits >> 8 ^ one[bits & 255]
+        for k in range(int(many.max(initial=0)).bit_length()):
+            here = many >> k & 1 == 1
+            self.tables[here] = self._look(step, self.tables[here], 0)
+            step = self._look(step, step, 0)
+
+    @staticmethod
+    def _look(tables: np.ndarray, crc: np.ndarray, at: np.ndarray | int) -> np.ndarray:
+        return tables[at + (crc & 255)] ^ tables[at + (256 + (crc >> 8 & 255))] ^ tables[at + (512 + (crc >> 16 & 255))] ^ tables[at + (768 + (crc >> 24))]
+
+    def by(self, crc: np.ndarray, which: np.ndarray) -> np.ndarray:
+        """which: the numbers, among the lengths, of the strings behind."""
+        return self._look(self.tables.ravel(), crc, self.row[which] * 1024)
 
 
 class _Part:
@@ -170,32 +231,35 @@ class _Part:
     def __init__(self, rows: list[dict]):
         self.rows = rows
         texts = [pa.decompress(r["words"][8:], int.from_bytes(r["words"][:8], "little"), codec="zstd", asbytes=True) for r in rows]
-        n_seconds, n_thirds, self.n = ([_unpack(r[c], np.uint32) for r in rows] for c in ("n_seconds", "n_thirds", "n"))
+        n_seconds, n_thirds, self.n, codes = ([_unpack(r[c], np.uint32) for r in rows] for c in ("n_seconds", "n_thirds", "n", "codes"))
         coded = _strings(b"".join(texts), 10).dictionary_encode()
-        del texts
-        words = [w[:-1] for w in coded.dictionary.to_pylist()]
-        spaced, filled, codes, at = [b" " + w for w in words], np.array([bool(w) for w in words]), coded.indices.to_numpy().astype(np.int64), 0
+        words, numbers, at = _data(coded.dictionary).split(b"\n")[:-1], coded.indices.to_numpy(), 0
         levels: list[list[np.ndarray]] = [[], [], []]
-        for two, three, n in zip(n_seconds, n_thirds, self.n, strict=True):
-            for level, many in zip(levels, (len(two), len(three), len(n)), strict=True):
-                level.append(codes[at : at + many])
-                at += many
+        for text, own, two, three in zip(texts, codes, n_seconds, n_thirds, strict=True):
+            np.cumsum(own[: len(two)], out=own[: len(two)])
+            for level, x in zip(levels, np.split(numbers[at:][own], [len(two), len(two) + len(three)]), strict=True):
+                level.append(x)
+            at += text.count(b"\n")
         first, second, third = map(np.concatenate, levels)
+        del texts, codes, coded, numbers, levels, level, own, x
         # the hash of a run goes on from that of the run that begins it; each distinct one is hashed once
-        hashed = np.fromiter(map(crc32, words), np.int64, len(words))
+        hashed = np.fromiter(map(crc32, words), np.uint32, len(words))
+        spaced = np.fromiter(map(crc32, map(b" ".__add__, words)), np.uint32, len(words))
+        lengths = np.fromiter(map(len, words), np.int64, len(words))
+        filled, longer = lengths > 0, _Longer(lengths + 1)
         begin = np.repeat(first, np.concatenate(n_seconds))
-        at, pair = _distinct(begin * len(words) + second)
-        pairs = np.fromiter(map(crc32, map(spaced.__getitem__, second[at].tolist()), hashed[begin[at]].tolist()), np.int64, len(at))
-        has_second = filled[second[at]]
+        at, pair = _distinct(begin.astype(np.int64) * len(words) + second, len(words) ** 2)
+        pairs = longer.by(hashed[begin[at]], second[at]) ^ spaced[second[at]]
+        many, has_second = len(at), filled[second[at]]
         own = np.repeat(pair, np.concatenate(n_thirds))
-        at, run = _distinct(own * len(words) + third)
-        runs = np.fromiter(map(crc32, map(spaced.__getitem__, third[at].tolist()), pairs[own[at]].tolist()), np.int64, len(at))
+        at, run = _distinct(own.astype(np.int64) * len(words) + third, many * len(words))
+        runs = longer.by(pairs[own[at]], third[at]) ^ spaced[third[at]]
         has_third = filled[third[at]]
         # of each run sent: the buckets of its one, two and three words, and BUCKETS for none
         self.buckets = [
-            hashed[np.repeat(begin, np.concatenate(n_thirds))] % BUCKETS,
-            np.where(has_second, pairs % BUCKETS, BUCKETS)[own],
-            np.where(has_third, runs % BUCKETS, BUCKETS)[run],
+            (hashed % BUCKETS).astype(np.int32)[np.repeat(begin, np.concatenate(n_thirds))],
+            np.where(has_second, pairs % BUCKETS, BUCKETS).astype(np.int32)[own],
+            np.where(has_third, runs % BUCKETS, BUCKETS).astype(np.int32)[run],
         ]
 
     def sums(self) -> np.ndarray:

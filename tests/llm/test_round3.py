@@ -237,3 +237,37 @@ def test_importance_order_of_sending(monkeypatch):
     # of 30 occurrences: distinct first words a part, pairs, and runs of three or of what is left
     assert sum(len(importance._unpack(x[4], importance.np.uint32)) for x in sent) == 8 and sum(importance._unpack(x[4], importance.np.uint32).sum() for x in sent) == 30
     assert sum(len(importance._unpack(x[3], importance.np.uint32)) for x in sent) == 6 and all(t.endswith(b"\n") for t in texts)
+
+
+def test_importance_sends_and_hashes_words_once(monkeypatch):
+    """However many runs hold a word: one string a chunk and part, two hashes a part; the CRCs of runs are those of their bytes."""
+    r = random.Random(4)
+    words = [bytes(r.choices(b"az09\xc3\xa9", k=k)) for k in [*range(1, 40), 255, 256, 70_000]]
+    texts = [r.choices(words[:30], k=120) for _ in range(9)] + [words, words[:1], []]
+    rows = defaultdict(list)
+    for chunk in range(2):
+        held = importance._Chunk()
+        for doc, found in enumerate(texts):
+            held.add(doc, found, len(found))
+        for sent in held.sent(3):
+            rows[sent[0]].append({"chunk": chunk, "target": chunk == 1} | dict(zip([c.split()[0] for c in importance.SENT.split(", ")][2:], sent, strict=True)))
+    strings = [importance.pa.decompress(x["words"][8:], int.from_bytes(x["words"][:8], "little"), codec="zstd", asbytes=True).split(b"\n")[:-1] for p in rows for x in rows[p]]
+    assert all(len(x) == len(set(x)) for x in strings)
+
+    hashed = []
+    monkeypatch.setattr(importance, "crc32", lambda *x: hashed.append(x) or zlib.crc32(*x))
+    parts = [importance._Part(x) for x in rows.values()]
+    assert len(hashed) == sum(map(len, strings))  # both chunks send the same words, and each is hashed with a space before it and without
+    features = lambda w: [zlib.crc32(b" ".join(w[i : i + n])) % importance.BUCKETS for n in (1, 2, 3) for i in range(len(w) - n + 1)]
+    want = Counter(f for w in texts for f in features(w))
+    assert [Counter({b: n for b, n in enumerate(side.tolist()) if n}) for side in sum(x.sums() for x in parts)] == [want, want]
+    gains = importance.np.arange(importance.BUCKETS) % 977 - 400
+    weights = sum(importance.np.pad(w, (0, len(texts) - len(w))) for x in parts for _, w in x.weights(gains))
+    assert weights.tolist() == [sum(int(gains[f]) for f in features(w)) for w in texts]
+
+
+def test_importance_packs_all_values():
+    for x in ([], [0, 0], [1, 255, 256], [2**32 - 1]):
+        assert importance._unpack(importance._pack(importance.np.array(x, "u4")), "u4").tolist() == x
+    for x in ([], [-1, 0, 2**62], [-(2**63), 5]):
+        assert importance._unpack(importance._pack(importance.np.array(x, "i8")), "i8").tolist() == x
